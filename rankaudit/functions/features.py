@@ -8,8 +8,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import fixed
-from .mathx import clamp01, logistic, round_to, triangular
-from .text import add_all, at, count_of, fraction_of, in_class, windows_of
+from .mathx import clamp01, let, logistic, round_to, triangular
+from .text import add_all, at, count_of, fraction_of, in_class, residue_values
 
 
 def hydropathy(sequence: Column) -> Column:
@@ -80,25 +80,41 @@ MODE_ONLY_FEATURES = (
 )
 
 
+def _letter_counts(sequence: Column) -> dict[str, Column]:
+    return {f"_n_{aa}": count_of(sequence, aa) for aa in fixed.ALPHABET}
+
+
+def _share(letters: str) -> Column:
+    """Share of a residue class from the counted letters."""
+    total = add_all([F.col(f"_n_{aa}") for aa in letters])
+    return F.coalesce(total / F.nullif(F.col("length"), F.lit(0)), F.lit(0.0))
+
+
+def _weighted(weights: dict[str, float]) -> Column:
+    return add_all([F.col(f"_n_{aa}") * F.lit(w) for aa, w in weights.items()])
+
+
 def with_domain_features(df: DataFrame, sequence: str = "sequence") -> DataFrame:
     """Terminal anchors, balances, penalties and the triad interaction, rounded to 6.
 
-    Two projections: fractions and charge first, everything that reuses them second, so
-    each is computed once per row.
+    Letters are counted once per row; every later projection is arithmetic on the counts.
     """
     s = F.col(sequence)
     first, second, third = at(s, 1), at(s, 2), at(s, 3)
     last, before_last, third_last = at(s, -1), at(s, -2), at(s, -3)
-    base = df.withColumns(
+    counted = df.withColumns({"length": F.length(s), **_letter_counts(s)})
+    charges = {aa: residue_charge(aa, 7.4) for aa in CHARGED_LETTERS}
+    base = counted.withColumns(
         {
-            "length": F.length(s),
-            "_hydrophobic": fraction_of(s, fixed.HYDROPHOBIC),
-            "_aromatic": fraction_of(s, fixed.AROMATIC),
-            "_basic": fraction_of(s, fixed.BASIC),
-            "_acidic": fraction_of(s, fixed.ACIDIC),
-            "_proline": fraction_of(s, "P"),
-            "_charge": net_charge(s),
-            "_hydropathy": hydropathy(s),
+            "_hydrophobic": _share(fixed.HYDROPHOBIC),
+            "_aromatic": _share(fixed.AROMATIC),
+            "_basic": _share(fixed.BASIC),
+            "_acidic": _share(fixed.ACIDIC),
+            "_proline": _share("P"),
+            "_charge": F.when(F.col("length") > 0, F.lit(end_charge(7.4)) + _weighted(charges)).otherwise(F.lit(0.0)),
+            "_hydropathy": F.coalesce(
+                _weighted(fixed.HYDROPATHY) / F.nullif(F.col("length"), F.lit(0)), F.lit(0.0)
+            ),
             "cterm_anchor": in_class(last, fixed.END_ANCHOR),
             "cterm_proline": in_class(last, "P"),
             "cterm_aromatic": in_class(last, fixed.AROMATIC),
@@ -109,7 +125,7 @@ def with_domain_features(df: DataFrame, sequence: str = "sequence") -> DataFrame
             "third_proline": in_class(third, "P"),
             "cterm_hydrophobic": in_class(last, fixed.HYDROPHOBIC),
             "second_basic": in_class(second, fixed.BASIC),
-            "cysteine_penalty": F.when(s.contains("C"), F.lit(1.0)).otherwise(F.lit(0.0)),
+            "cysteine_penalty": F.when(F.col("_n_C") > 0, F.lit(1.0)).otherwise(F.lit(0.0)),
         }
     )
     strength = F.abs(F.col("_charge"))
@@ -141,7 +157,8 @@ def with_domain_features(df: DataFrame, sequence: str = "sequence") -> DataFrame
             "cysteine_free": F.lit(1.0) - F.col("cysteine_penalty"),
         }
     )
-    return finished.drop("_hydrophobic", "_aromatic", "_basic", "_acidic", "_proline", "_charge", "_hydropathy")
+    helpers = ["_hydrophobic", "_aromatic", "_basic", "_acidic", "_proline", "_charge", "_hydropathy"]
+    return finished.drop(*helpers, *_letter_counts(s))
 
 
 def baseline_score(sequence: Column) -> Column:
@@ -182,35 +199,52 @@ def exposure(sequence: Column) -> Column:
     return clamp01((F.lit(4.5) - hydropathy(sequence)) / F.lit(9.0))
 
 
+def side_charges(ph: float) -> dict[str, float]:
+    return {aa: residue_charge(aa, ph) for aa in CHARGED_LETTERS}
+
+
 def uptake_index(sequence: Column, ph: float = 6.8) -> Column:
     """Mean over all 2- and 3-residue windows of neutrality, hydrophobic start and mild hydropathy."""
-    def window_score(w: Column) -> Column:
-        neutral = F.lit(1.0) - F.least(F.abs(net_charge(w, ph)) / F.lit(2.0), F.lit(1.0))
-        start_kd = hydropathy(F.substring(w, 1, 1))
-        start = F.greatest(F.lit(0.0), F.least(F.lit(1.0), start_kd / F.lit(2.5)))
-        mild = F.lit(1.0) - F.least(F.abs(hydropathy(w) - F.lit(0.5)) / F.lit(3.0), F.lit(1.0))
-        return (neutral + start + mild) / F.lit(3.0)
+    size = F.length(sequence)
+    one, zero = F.lit(1.0), F.lit(0.0)
+    values = F.struct(
+        residue_values(sequence, fixed.HYDROPATHY).alias("kd"),
+        residue_values(sequence, side_charges(ph)).alias("charge"),
+    )
 
-    scores = F.transform(F.concat(windows_of(sequence, 2), windows_of(sequence, 3)), window_score)
-    total = F.aggregate(scores, F.lit(0.0), lambda a, b: a + b)
-    return F.when(F.length(sequence) >= 2, clamp01(total / F.size(scores))).otherwise(F.lit(0.0))
+    def window_scores(v: Column, width: int) -> Column:
+        def score(i: Column) -> Column:
+            kd = [F.get(v["kd"], i + F.lit(j)) for j in range(width)]
+            charge = F.lit(end_charge(ph)) + add_all([F.get(v["charge"], i + F.lit(j)) for j in range(width)])
+            neutral = one - F.least(F.abs(charge) / F.lit(2.0), one)
+            start = F.greatest(zero, F.least(one, kd[0] / F.lit(2.5)))
+            mild = one - F.least(F.abs(add_all(kd) / F.lit(float(width)) - F.lit(0.5)) / F.lit(3.0), one)
+            return (neutral + start + mild) / F.lit(3.0)
+
+        starts = F.when(size >= width, F.sequence(F.lit(0), size - F.lit(width)))
+        return F.coalesce(F.transform(starts, score), F.array().cast("array<double>"))
+
+    scores = let(values, lambda v: F.concat(window_scores(v, 2), window_scores(v, 3)))
+    mean = let(scores, lambda s: F.aggregate(s, zero, lambda a, b: a + b) / F.size(s))
+    return F.when(size >= 2, clamp01(mean)).otherwise(zero)
 
 
 def hydrophobic_moment(sequence: Column, degrees: float = 100.0) -> Column:
     """Length-normalised vector sum of hydropathy around a helix."""
     step = math.radians(degrees)
-    positions = F.sequence(F.lit(1), F.length(sequence))
-
-    def part(wave) -> Column:
-        terms = F.transform(
-            positions,
-            lambda i: hydropathy(F.substring(sequence, i, F.lit(1))) * wave(F.lit(step) * (i - F.lit(1))),
+    zero = F.struct(F.lit(0).alias("at"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y"))
+
+    def turn(acc: Column, kd: Column) -> Column:
+        angle = F.lit(step) * acc["at"]
+        return F.struct(
+            (acc["at"] + F.lit(1)).alias("at"),
+            (acc["x"] + kd * F.cos(angle)).alias("x"),
+            (acc["y"] + kd * F.sin(angle)).alias("y"),
         )
-        return F.aggregate(terms, F.lit(0.0), lambda a, b: a + b)
 
-    cosine, sine = part(F.cos), part(F.sin)
-    moment = F.sqrt(cosine * cosine + sine * sine) / F.length(sequence)
-    return F.when(F.length(sequence) > 0, moment).otherwise(F.lit(0.0))
+    length = lambda acc: F.sqrt(acc["x"] * acc["x"] + acc["y"] * acc["y"])
+    total = F.aggregate(residue_values(sequence, fixed.HYDROPATHY), zero, turn, length)
+    return F.when(F.length(sequence) > 0, total / F.length(sequence)).otherwise(F.lit(0.0))
 
 
 def run_excess(sequence: Column, letters: str, shortest: int) -> Column:

@@ -85,9 +85,20 @@ def digamma(x: Column) -> Column:
     return F.log(y) - F.lit(0.5) / y - series - steps
 
 
+def let(value: Column, body) -> Column:
+    """Evaluate `value` once and hand it to `body`, inside one expression."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def signed_log_gammas(*terms: tuple[int, Column]) -> Column:
+    """Sum of sign * log_gamma(x) with a single copy of the series in the plan."""
+    pairs = F.array(*[F.struct(F.lit(float(sign)).alias("sign"), x.alias("x")) for sign, x in terms])
+    return F.aggregate(pairs, F.lit(0.0), lambda acc, t: acc + t["sign"] * log_gamma(t["x"]))
+
+
 def log_choose(n: Column, k: Column) -> Column:
     one = F.lit(1.0)
-    return log_gamma(n + one) - log_gamma(k + one) - log_gamma(n - k + one)
+    return signed_log_gammas((1, n + one), (-1, k + one), (-1, n - k + one))
 
 
 def hypergeometric_tail(hits: Column, population: Column, successes: Column, draws: Column) -> Column:
@@ -97,33 +108,59 @@ def hypergeometric_tail(hits: Column, population: Column, successes: Column, dra
     exp(-200) of the sum, so they are left out; what remains is exact to double precision.
     The sum walks the ratio of neighbouring terms in log space, scaled by the largest term.
     """
-    pop, suc, drw = (c.cast("double") for c in (population, successes, draws))
-    mean = drw * suc / pop
-    width = F.lit(10.0) * F.sqrt(drw) + F.lit(60.0)
-    top = F.least(suc, drw)
-    start = F.greatest(hits.cast("double"), F.ceil(mean - width).cast("double"), drw - (pop - suc))
-    end = F.least(top, F.floor(F.greatest(start, mean) + width).cast("double"))
-    mode = F.floor((drw + 1.0) * (suc + 1.0) / (pop + 2.0)).cast("double")
-    peak = F.least(F.greatest(mode, start), end)
-
-    def log_term(x: Column) -> Column:
-        return log_choose(suc, x) + log_choose(pop - suc, drw - x) - log_choose(pop, drw)
-
-    def step(acc: Column, x: Column) -> Column:
-        ratio = (suc - x) * (drw - x) / ((x + 1.0) * (pop - suc - drw + x + 1.0))
-        total = acc["total"] + F.exp(acc["term"])
-        following = acc["term"] + F.when(ratio > 0, F.log(ratio)).otherwise(F.lit(-1e6))
-        return F.struct(following.alias("term"), total.alias("total"))
-
-    begin = F.struct((log_term(start) - log_term(peak)).alias("term"), F.lit(0.0).alias("total"))
-    xs = F.transform(F.sequence(start.cast("long"), end.cast("long")), lambda i: i.cast("double"))
-    walked = F.aggregate(xs, begin, step, lambda acc: acc["total"])
-    tail = F.least(F.lit(1.0), walked * F.exp(log_term(peak)))
+    one = F.lit(1.0)
+    inputs = F.struct(
+        hits.cast("double").alias("hits"), population.cast("double").alias("pop"),
+        successes.cast("double").alias("suc"), draws.cast("double").alias("drw"),
+    )
+
+    def log_term(p: Column, x: Column) -> Column:
+        pop, suc, drw = p["pop"], p["suc"], p["drw"]
+        return signed_log_gammas(
+            (1, suc + one), (-1, x + one), (-1, suc - x + one),
+            (1, pop - suc + one), (-1, drw - x + one), (-1, pop - suc - drw + x + one),
+            (-1, pop + one), (1, drw + one), (1, pop - drw + one),
+        )
+
+    def bounded(p: Column) -> Column:
+        mean = p["drw"] * p["suc"] / p["pop"]
+        width = F.lit(10.0) * F.sqrt(p["drw"]) + F.lit(60.0)
+        start = F.greatest(p["hits"], F.rint(mean - width), p["drw"] - (p["pop"] - p["suc"]))
+        end = F.least(p["suc"], p["drw"], F.rint(F.greatest(start, mean) + width))
+        return F.struct(p.alias("p"), start.alias("start"), end.alias("end"))
+
+    def with_peak(q: Column) -> Column:
+        p = q["p"]
+        mode = F.rint((p["drw"] + one) * (p["suc"] + one) / (p["pop"] + F.lit(2.0)))
+        peak = F.least(F.greatest(mode, q["start"]), q["end"])
+        return F.struct(q.alias("q"), peak.alias("peak"), log_term(p, peak).alias("log_peak"))
+
+    def walk(r: Column) -> Column:
+        q = r["q"]
+        p = q["p"]
+
+        def step(acc: Column, i: Column) -> Column:
+            x = i.cast("double")
+            ratio = (p["suc"] - x) * (p["drw"] - x) / ((x + one) * (p["pop"] - p["suc"] - p["drw"] + x + one))
+            following = acc["term"] + F.when(ratio > 0, F.log(ratio)).otherwise(F.lit(-1e6))
+            return F.struct(following.alias("term"), (acc["total"] + F.exp(acc["term"])).alias("total"))
+
+        begin = F.struct((log_term(p, q["start"]) - r["log_peak"]).alias("term"), F.lit(0.0).alias("total"))
+        xs = F.sequence(q["start"].cast("long"), q["end"].cast("long"))
+        walked = F.aggregate(xs, begin, step, lambda acc: acc["total"])
+        return F.least(one, walked * F.exp(r["log_peak"]))
+
+    tail = let(
+        inputs,
+        lambda p: let(
+            bounded(p),
+            lambda q: F.when(q["start"] <= q["end"], let(with_peak(q), walk)).otherwise(F.lit(0.0)),
+        ),
+    )
     return (
-        F.when((population <= 0) | population.isNull(), F.lit(float("nan")))
-        .when(hits <= 0, F.lit(1.0))
-        .when(hits > top, F.lit(0.0))
-        .when(start > end, F.lit(0.0))
+        F.when(population.isNull() | (population <= 0), F.lit(float("nan")))
+        .when(hits <= 0, one)
+        .when(hits > F.least(successes, draws), F.lit(0.0))
         .otherwise(tail)
     )
 

@@ -8,6 +8,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from .fixed import ALPHABET, INHIBITION_PERCENT, POTENCY_RANGE
+from .mathx import let
 
 
 def clean_sequence(text: Column) -> Column:
@@ -46,6 +47,8 @@ def sorted_letters(sequence: Column) -> Column:
 
 def count_of(sequence: Column, letters: str) -> Column:
     """How many characters of `sequence` are among `letters`."""
+    if len(letters) == 1:
+        return F.length(sequence) - F.length(F.replace(sequence, F.lit(letters), F.lit("")))
     return F.length(sequence) - F.length(F.translate(sequence, letters, ""))
 
 
@@ -53,6 +56,12 @@ def fraction_of(sequence: Column, letters: str) -> Column:
     return F.coalesce(count_of(sequence, letters) / F.nullif(F.length(sequence), F.lit(0)), F.lit(0.0))
 
 
+def residue_values(sequence: Column, values: dict[str, float]) -> Column:
+    """Array with the value of every residue, looked up by its place in the alphabet; 0 for others."""
+    table = F.array(F.lit(0.0), *[F.lit(float(values.get(aa, 0.0))) for aa in ALPHABET])
+    return F.transform(residues(sequence), lambda r: F.get(table, F.position(r, F.lit(ALPHABET))))
+
+
 def at(sequence: Column, position: int) -> Column:
     """Character at a 1-based position, negative from the end; '' outside."""
     needed = abs(position)
@@ -96,21 +105,20 @@ def windows_of(sequence: Column, width: int) -> Column:
     return F.coalesce(cut, F.array().cast("array<string>"))
 
 
+def _kmer_shares(grams: Column, k: int) -> Column:
+    def share(gram: Column) -> Column:
+        hits = F.size(F.filter(grams, lambda g: g == gram))
+        return F.struct(F.concat(F.lit(f"kmer_{k}="), gram).alias("token"), (hits / F.size(grams)).alias("value"))
+
+    return F.transform(F.array_distinct(grams), share)
+
+
 def kmer_tokens(sequence: Column, widths: tuple[int, ...] = (2, 3)) -> Column:
     """Array of (token, share) for the distinct inner k-mers of each width."""
-    per_width = []
-    for k in widths:
-        grams = windows_of(sequence, k)
-        per_width.append(
-            F.transform(
-                F.array_distinct(grams),
-                lambda gram, grams=grams, k=k: F.struct(
-                    F.concat(F.lit(f"kmer_{k}="), gram).alias("token"),
-                    (F.size(F.filter(grams, lambda g: g == gram)) / F.size(grams)).alias("value"),
-                ),
-            )
-        )
-    return F.concat(*per_width)
+    def shares(k: int) -> Column:
+        return let(windows_of(sequence, k), lambda grams: _kmer_shares(grams, k))
+
+    return F.concat(*[shares(k) for k in widths])
 
 
 def position_tokens(sequence: Column) -> Column:

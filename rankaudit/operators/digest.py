@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.fixed import CUT_RULES
+from ..functions.mathx import let
 
 
 def fragments(sequence: Column, rule: str, missed: int, shortest: int, longest: int) -> Column:
@@ -14,15 +15,19 @@ def fragments(sequence: Column, rule: str, missed: int, shortest: int, longest:
         pieces = F.array(sequence)
     else:
         pieces = F.filter(F.split(sequence, CUT_RULES[rule]), lambda p: p != "")
-    count = F.size(pieces)
 
-    def spans_from(i: Column) -> Column:
-        reach = F.sequence(F.lit(1), F.least(F.lit(missed + 1), count - i + F.lit(1)))
-        return F.transform(reach, lambda k: F.array_join(F.slice(pieces, i, k), ""))
+    def joined(p: Column) -> Column:
+        count = F.size(p)
 
-    spans = F.flatten(F.transform(F.sequence(F.lit(1), count), spans_from))
-    kept = F.filter(spans, lambda s: F.length(s).between(shortest, longest))
-    return F.when(count > 0, F.array_distinct(kept)).otherwise(F.array().cast("array<string>"))
+        def spans_from(i: Column) -> Column:
+            reach = F.sequence(F.lit(1), F.least(F.lit(missed + 1), count - i + F.lit(1)))
+            return F.transform(reach, lambda k: F.array_join(F.slice(p, i, k), ""))
+
+        spans = F.flatten(F.transform(F.sequence(F.lit(1), count), spans_from))
+        kept = F.filter(spans, lambda s: F.length(s).between(shortest, longest))
+        return F.when(count > 0, F.array_distinct(kept)).otherwise(F.array().cast("array<string>"))
+
+    return let(pieces, joined)
 
 
 def digest(

@@ -8,7 +8,9 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.fixed import ALPHABET
+from ..functions.mathx import let
 from ..functions.text import candidate_id, residues
+from ..session import spread
 from .ordering import global_rank, top_per_group
 
 _HEX = 4
@@ -23,29 +25,29 @@ def draw_text(key: Column, length: Column) -> Column:
 
 def shuffle(sequence: Column, key: Column) -> Column:
     """Residues reordered by the key's digits; ties keep their order."""
-    digits = draw_text(key, F.length(sequence))
-    tagged = F.transform(
-        residues(sequence),
-        lambda r, i: F.struct(
-            F.substring(digits, i * F.lit(_HEX) + F.lit(1), F.lit(_HEX)).alias("draw"), i.alias("at"), r.alias("residue")
-        ),
-    )
-    return F.array_join(F.transform(F.array_sort(tagged), lambda t: t["residue"]), "")
+    def tagged(digits: Column) -> Column:
+        return F.transform(
+            residues(sequence),
+            lambda r, i: F.struct(
+                F.substring(digits, i * F.lit(_HEX) + F.lit(1), F.lit(_HEX)).alias("draw"),
+                i.alias("at"), r.alias("residue"),
+            ),
+        )
+
+    ordered = F.array_sort(let(draw_text(key, F.length(sequence)), tagged))
+    return F.array_join(F.transform(ordered, lambda t: t["residue"]), "")
 
 
 def random_string(length: Column, key: Column) -> Column:
     """Letters picked by the key's digits."""
-    digits = draw_text(key, length)
-    picked = F.transform(
-        F.sequence(F.lit(0), length - F.lit(1)),
-        lambda i: F.substring(
-            F.lit(ALPHABET),
-            (F.conv(F.substring(digits, i * F.lit(_HEX) + F.lit(1), F.lit(_HEX)), 16, 10).cast("int")
-             % F.lit(len(ALPHABET))) + F.lit(1),
-            F.lit(1),
-        ),
-    )
-    return F.array_join(picked, "")
+    def letters(digits: Column) -> Column:
+        def pick(i: Column) -> Column:
+            draw = F.conv(F.substring(digits, i * F.lit(_HEX) + F.lit(1), F.lit(_HEX)), 16, 10).cast("int")
+            return F.substring(F.lit(ALPHABET), draw % F.lit(len(ALPHABET)) + F.lit(1), F.lit(1))
+
+        return F.transform(F.sequence(F.lit(0), length - F.lit(1)), pick)
+
+    return F.array_join(let(draw_text(key, length), letters), "")
 
 
 def attempts(parents: DataFrame, count: int) -> DataFrame:
@@ -59,7 +61,7 @@ def shuffled_decoys(parents: DataFrame, per_parent: int, tries: int = 200, seed:
     found by a combined minimum, so only distinct decoys reach the per-parent limit.
     """
     key = F.concat_ws(":", F.lit(seed), F.col("parent"), F.col("attempt").cast("string"))
-    tried = attempts(parents.select("parent"), tries).withColumn("sequence", shuffle(F.col("parent"), key))
+    tried = attempts(spread(parents.select("parent"), "parent"), tries).withColumn("sequence", shuffle(F.col("parent"), key))
     distinct = (
         tried.where(F.col("sequence") != F.col("parent"))
         .groupBy("parent", "sequence")
@@ -78,7 +80,7 @@ def random_decoys(
     """
     key = F.concat_ws(":", F.lit(seed), F.col("parent"), F.col("attempt").cast("string"))
     wanted = quotas.where(F.col("quota") > 0).select("parent", "quota")
-    drawn = attempts(wanted, tries).withColumn("sequence", random_string(F.length("parent"), key))
+    drawn = attempts(spread(wanted, "parent"), tries).withColumn("sequence", random_string(F.length("parent"), key))
     owned = drawn.groupBy("sequence").agg(
         F.min(F.struct("attempt", "parent", "quota")).alias("owner")
     )

@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.mathx import hypergeometric_tail
-from .metrics import cutoff, number_hits, rank_statistics, tag
+from .metrics import cutoff, number_hits, rank_statistics, tag, with_enrichment
 
 
 def row_digest(columns: list[str]) -> Column:
@@ -30,11 +29,7 @@ def evaluate_rank_list(ranks: DataFrame, by: list[str], percents: tuple[float, .
         inside = F.col("rank") <= cutoff(F.col("n_rows"), percent)
         counts.append(F.count_if(inside).alias(f"top_{tag(percent)}pct_count"))
     summary = numbered.groupBy(*by).agg(*counts, *rank_statistics(F.col("hit"), F.col("n_positive")))
-    for percent in percents:
-        hits = F.col(f"top_{tag(percent)}pct_count")
-        p = hypergeometric_tail(hits, F.col("n_rows"), F.col("n_positive"), cutoff(F.col("n_rows"), percent))
-        summary = summary.withColumn(f"top_{tag(percent)}pct_p", p)
-    return summary
+    return with_enrichment(summary, percents)
 
 
 def expect(summary: DataFrame, expected: dict[str, tuple[float, float]], loud: bool = False) -> DataFrame:

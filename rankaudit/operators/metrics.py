@@ -124,19 +124,30 @@ def recovery(ranked: DataFrame, by: list[str], percents: tuple[float, ...] = PER
     return joined.fillna(0, names)
 
 
-def with_enrichment(summary: DataFrame, percent: float = 1.0) -> DataFrame:
-    """Fraction, enrichment over random and tail probability at one percent cut."""
-    name = f"top_{tag(percent)}pct"
-    count, cut = F.col(f"{name}_count"), cutoff(F.col("n_rows"), percent)
-    share = count / F.nullif(F.col("n_positive"), F.lit(0))
-    expected = F.col("n_positive") * cut / F.col("n_rows")
-    return summary.withColumns(
-        {
-            f"{name}_fraction": share,
-            f"{name}_enrichment": count / F.greatest(F.lit(1e-12), expected),
-            f"{name}_p": hypergeometric_tail(count, F.col("n_rows"), F.col("n_positive"), cut),
-        }
+def with_enrichment(summary: DataFrame, percents: tuple[float, ...] = (1.0,)) -> DataFrame:
+    """Fraction, enrichment over random and tail probability at the percent cuts.
+
+    The cuts go through one array so that the plan holds the tail sum once.
+    """
+    pairs = F.array(
+        *[
+            F.struct(F.col(f"top_{tag(p)}pct_count").alias("hits"), cutoff(F.col("n_rows"), p).alias("cut"))
+            for p in percents
+        ]
     )
+    tails = F.transform(
+        pairs, lambda t: hypergeometric_tail(t["hits"], F.col("n_rows"), F.col("n_positive"), t["cut"])
+    )
+    summary = summary.withColumn("_tails", tails)
+    added = {}
+    for i, percent in enumerate(percents):
+        name = f"top_{tag(percent)}pct"
+        count, cut = F.col(f"{name}_count"), cutoff(F.col("n_rows"), percent)
+        expected = F.col("n_positive") * cut / F.col("n_rows")
+        added[f"{name}_fraction"] = count / F.nullif(F.col("n_positive"), F.lit(0))
+        added[f"{name}_enrichment"] = count / F.greatest(F.lit(1e-12), expected)
+        added[f"{name}_p"] = F.get("_tails", F.lit(i))
+    return summary.withColumns(added).drop("_tails")
 
 
 def evaluate(
@@ -149,8 +160,7 @@ def evaluate(
     """Rank, then recovery, enrichment and separation: one row per group."""
     ranked = global_rank(scored, by, total_order(score, length), total="n_rows")
     summary = recovery(ranked, by, percents)
-    for percent in percents:
-        summary = with_enrichment(summary, percent)
+    summary = with_enrichment(summary, percents)
     apart = separation(ranked, by, score)
     return summary.join(apart, by) if by else summary.crossJoin(apart)
 

@@ -5,8 +5,11 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.features import CHARGED_LETTERS, hydropathy, residue_charge, run_score
-from ..functions.text import add_all, count_of, residues
+from ..functions import fixed
+from ..functions.features import run_score, side_charges
+from ..functions.mathx import let
+from ..functions.text import residue_values, residues
+from ..session import spread
 from .generate import attempts, shuffle
 
 
@@ -17,11 +20,10 @@ def property_trace(df: DataFrame, window: int = 5, ph: float = 6.8) -> DataFrame
     """
     letters = residues(F.col("sequence"))
     half = F.lit(max(1, window) // 2)
-    charge = lambda r: add_all([count_of(r, aa) * F.lit(residue_charge(aa, ph)) for aa in CHARGED_LETTERS])
     valued = df.select(
         "sequence",
-        F.transform(letters, hydropathy).alias("_kd"),
-        F.transform(letters, charge).alias("_charge"),
+        residue_values(F.col("sequence"), fixed.HYDROPATHY).alias("_kd"),
+        residue_values(F.col("sequence"), side_charges(ph)).alias("_charge"),
         letters.alias("_letters"),
     )
     size = F.size("_letters")
@@ -29,7 +31,7 @@ def property_trace(df: DataFrame, window: int = 5, ph: float = 6.8) -> DataFrame
     def mean_around(values: str, i):
         first = F.greatest(F.lit(1), i - half)
         part = F.slice(F.col(values), first, F.least(size, i + half) - first + F.lit(1))
-        return F.aggregate(part, F.lit(0.0), lambda a, b: a + b) / F.size(part)
+        return let(part, lambda p: F.aggregate(p, F.lit(0.0), lambda a, b: a + b) / F.size(p))
 
     rows = F.transform(
         F.sequence(F.lit(1), size),
@@ -52,8 +54,9 @@ def shuffle_zscore(df: DataFrame, shuffles: int = 200, seed: str = "zscore") ->
     """
     strings = df.select("sequence").distinct().withColumn("score", run_score(F.col("sequence")))
     key = F.concat_ws(":", F.lit(seed), F.col("sequence"), F.col("attempt").cast("string"))
-    spread = attempts(strings.where(F.length("sequence") > 1), shuffles)
-    shuffled = spread.withColumn("shuffled", run_score(shuffle(F.col("sequence"), key)))
+    tried = attempts(spread(strings.where(F.length("sequence") > 1), "sequence"), shuffles)
+    mixed = tried.withColumn("mixed", shuffle(F.col("sequence"), key))
+    shuffled = mixed.withColumn("shuffled", run_score(F.col("mixed")))
     stats = shuffled.groupBy("sequence").agg(
         F.avg("shuffled").alias("shuffle_mean"), F.stddev_pop("shuffled").alias("shuffle_sd"),
         F.min("shuffled").alias("_low"), F.max("shuffled").alias("_high"),

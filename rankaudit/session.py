@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_KEY = "spark.checkpoint.dir"
 _RUN_ID = uuid.uuid4().hex[:12]
+_LOCAL: list[str] = []
 
 
 def local_session(app: str = "rankaudit", cpus: int | str = "*", memory: str = "12g") -> SparkSession:
@@ -22,7 +23,9 @@ def local_session(app: str = "rankaudit", cpus: int | str = "*", memory: str = "
         .config("spark.sql.shuffle.partitions", str(cores))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
+        .config("spark.sql.codegen.hugeMethodLimit", "8000")
         .config("spark.ui.enabled", "false")
+        .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
     )
 
@@ -36,8 +39,9 @@ def scratch_dir(spark: SparkSession) -> str:
     if not named:
         if not spark.sparkContext.master.startswith("local"):
             raise ValueError(f"set {CHECKPOINT_KEY} to a folder that every executor can reach")
-        named = tempfile.mkdtemp(prefix="spark-")
-        spark.conf.set(CHECKPOINT_KEY, named)
+        if not _LOCAL:
+            _LOCAL.append(tempfile.mkdtemp(prefix="spark-"))
+        named = _LOCAL[0]
     return f"{named.rstrip('/')}/rankaudit-{_RUN_ID}"
 
 
@@ -53,6 +57,14 @@ def materialize(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """Repartition ahead of work that is heavy per row.
+
+    The explicit count keeps adaptive execution from merging partitions by their small size.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
+
+
 def drop_scratch(spark: SparkSession) -> None:
     """Remove what this run wrote with `materialize`."""
     jvm = spark._jvm
