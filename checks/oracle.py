@@ -476,3 +476,277 @@ ORACLE["suffix_sharing"] = f"""WITH {DOCW}, {PRIORW}, pr AS (SELECT DISTINCT seq
 s2 AS (SELECT right(other, 2) AS e, count(*) AS c FROM pr WHERE length(other) >= 2 GROUP BY 1), s3 AS (SELECT right(other, 3) AS e, count(*) AS c FROM pr WHERE length(other) >= 3 GROUP BY 1)
 SELECT sequence, coalesce(s2.c, 0) AS suffix2_count, coalesce(s3.c, 0) AS suffix3_count FROM docw
 LEFT JOIN s2 ON length(sequence) >= 2 AND s2.e = right(sequence, 2) LEFT JOIN s3 ON length(sequence) >= 3 AND s3.e = right(sequence, 3)"""
+
+# ---- notes ------------------------------------------------------------------------------------
+
+NOTES = """nt AS (SELECT event_id, user_id, event_type, value, CASE event_type WHEN 'click' THEN 'Reported IC50 ' || value || ' uM after digestion'
+  WHEN 'view' THEN 'IC50 of ' || value || ' mg per mL for the synthesis product' WHEN 'purchase' THEN 'IC50 from ' || value || '-' || (value + 10.0::DOUBLE) || ' mM'
+  WHEN 'signup' THEN value || ' percent ACE inhibition' ELSE 'activity seen in a hydrolysate' END AS notes FROM events)"""
+# What each note kind must parse to, from the kind itself.
+META = f"""{NOTES}, md AS (SELECT event_id, user_id, notes,
+  CASE WHEN event_type IN ('click', 'view', 'purchase') THEN value END AS ic50_value_low,
+  CASE WHEN event_type = 'purchase' THEN value + 10.0::DOUBLE END AS ic50_value_high,
+  CASE event_type WHEN 'click' THEN 'uM' WHEN 'view' THEN 'mg/mL' WHEN 'purchase' THEN 'mM' END AS ic50_unit,
+  CASE event_type WHEN 'click' THEN value WHEN 'purchase' THEN value * 1000.0::DOUBLE END AS ic50_um_low,
+  CASE event_type WHEN 'purchase' THEN (value + 10.0::DOUBLE) * 1000.0::DOUBLE END AS ic50_um_high,
+  CASE WHEN event_type IN ('click', 'view', 'purchase') THEN 'IC50' WHEN event_type = 'signup' THEN 'fixed_concentration_inhibition' ELSE 'activity_reported' END AS readout,
+  CASE WHEN event_type = 'signup' THEN value END AS inhibition_percent,
+  CASE event_type WHEN 'click' THEN 'post_digestive_assay' WHEN 'error' THEN 'hydrolysate_or_digest_context' ELSE 'not_specified' END AS digestive_context,
+  CASE event_type WHEN 'view' THEN 'synthesized_peptide_ic50' WHEN 'click' THEN 'reported_ic50' WHEN 'purchase' THEN 'reported_ic50'
+    WHEN 'signup' THEN 'fixed_concentration_activity' ELSE 'reported_activity' END AS evidence,
+  CASE WHEN event_type = 'click' THEN value END AS potency_um FROM nt)"""
+SHORT = lambda v: f"regexp_replace(CAST(CAST({v} AS DECIMAL(24, 6)) AS VARCHAR), '\\.?0+$', '')"
+ORACLE["assay_metadata"] = f"""WITH {META} SELECT event_id, notes, {r('ic50_value_low')} AS ic50_value_low, {r('ic50_value_high')} AS ic50_value_high, ic50_unit,
+  CASE WHEN ic50_value_high IS NOT NULL THEN {SHORT('ic50_value_low')} || '-' || {SHORT('ic50_value_high')} WHEN ic50_value_low IS NOT NULL THEN {SHORT('ic50_value_low')} END AS ic50_value_text,
+  {r('ic50_um_low')} AS ic50_um_low, {r('ic50_um_high')} AS ic50_um_high, readout, {r('inhibition_percent')} AS inhibition_percent,
+  digestive_context, evidence, {r('potency_um')} AS potency_um FROM md"""
+ORACLE["metadata_counts"] = f"""WITH {META} SELECT readout, evidence, digestive_context, count(*) AS n, count(DISTINCT user_id) AS users, count(ic50_um_low) AS with_um,
+  count(*) FILTER (lower(ic50_unit) IN ('mg/ml', 'ug/ml')) AS with_mass FROM md GROUP BY 1, 2, 3"""
+
+
+def pw(v: str, ref: float, top: float) -> str:
+    return f"CASE WHEN {v} <= 0 THEN {d(top)} ELSE greatest({d(1.0)}, least({d(top)}, {d(1.0)} + greatest({d(0.0)}, log10({d(ref)} / greatest({v}, {d(1e-6)}))))) END"
+
+
+ORACLE["potency_weights"] = f"WITH {META} SELECT user_id AS sequence, {r('max(' + pw('ic50_um_low', 1000.0, 3.0) + ')')} AS weight FROM md WHERE ic50_um_low IS NOT NULL GROUP BY 1"
+ORACLE["training_merge"] = f"""WITH {BASE}, bg AS (SELECT sequence, label, row_number() OVER (PARTITION BY label ORDER BY
+  CAST(('0x' || substr(sha256('train:' || sequence), 1, 12))::BIGINT AS DOUBLE), sequence) AS rk FROM uni WHERE label = 'digestome_background'),
+np AS (SELECT greatest(1, count(*)) * 4 AS quota FROM uni WHERE {POS})
+SELECT sequence, label, CASE WHEN {POS} THEN {r(pw('CAST(n AS DOUBLE)', 100.0, 3.0))} ELSE 1.0::DOUBLE END AS weight FROM uni WHERE {POS} OR label = 'matched_decoy'
+UNION ALL SELECT sequence, label, 1.0::DOUBLE FROM bg, np WHERE rk <= quota // 2"""
+
+# ---- strings ---------------------------------------------------------------------------------------
+
+GRAMS = " UNION ALL ".join(
+    f"SELECT sequence, 'kmer_{k}=' || substr(sequence, CAST(i AS BIGINT), {k}) AS token, length(sequence) - {k - 1} AS size FROM docw, range(1, 12) t(i) WHERE i <= length(sequence) - {k - 1}"
+    for k in (2, 3)
+)
+ORACLE["kmer_frequencies"] = f"WITH {DOCW}, g AS ({GRAMS}) SELECT sequence, token, {r('count(*) / CAST(any_value(size) AS DOUBLE)')} AS value FROM g GROUP BY 1, 2"
+EDGES = " UNION ALL ".join(
+    f"SELECT 'first_{k}=' || left(sequence, {k}) AS token, n FROM docw WHERE length(sequence) >= {k} UNION ALL SELECT 'last_{k}=' || right(sequence, {k}), n FROM docw WHERE length(sequence) >= {k}"
+    for k in (1, 2, 3)
+)
+ORACLE["edge_ngrams"] = f"WITH {DOCW}, e AS ({EDGES}) SELECT token, count(*) AS n_sequences, CAST(sum(n) AS BIGINT) AS n_occurrences FROM e GROUP BY 1"
+PLACES = [
+    f"SELECT 'first_pos_{i + 1}=' || CASE WHEN length(sequence) > {i} THEN substr(sequence, {i + 1}, 1) ELSE '_' END AS token FROM docw UNION ALL "
+    f"SELECT 'last_pos_{i + 1}=' || CASE WHEN length(sequence) > {i} THEN substr(sequence, length(sequence) - {i}, 1) ELSE '_' END FROM docw"
+    for i in range(5)
+] + [
+    f"SELECT 'first_pair_{i + 1}=' || CASE WHEN length(sequence) > {i + 1} THEN substr(sequence, {i + 1}, 2) ELSE '_' END FROM docw UNION ALL "
+    f"SELECT 'last_pair_{i + 1}=' || CASE WHEN length(sequence) > {i + 1} THEN substr(sequence, length(sequence) - {i + 1}, 2) ELSE '_' END FROM docw"
+    for i in range(3)
+]
+ORACLE["position_categories"] = f"WITH {DOCW}, e AS ({' UNION ALL '.join(PLACES)}) SELECT token, count(*) AS n_sequences FROM e GROUP BY 1"
+ORACLE["motif_counts"] = f"""WITH {DOCW} SELECT length(sequence) AS length, count(*) FILTER (sequence LIKE '%P') AS ends_proline,
+  count(*) FILTER (right(sequence, 1) IN ('F', 'W', 'Y')) AS ends_aromatic, count(*) FILTER (right(sequence, 1) IN ('K', 'R', 'H')) AS ends_basic,
+  count(*) FILTER (right(sequence, 1) IN ('D', 'E')) AS ends_acidic, {', '.join(f"count(*) FILTER (contains(sequence, '{m}')) AS contains_{m.lower()}" for m in ('PP', 'GP', 'PR', 'LRP', 'YY'))},
+  CAST(sum(length(sequence) * length(sequence)) AS BIGINT) AS length_squared FROM docw GROUP BY 1"""
+
+PWM_ROWS = []
+for _name, _m in cut_matrices.CUT_MATRICES.items():
+    for _off, _w in _m["positions"].items():
+        for _a in AA + "_":
+            PWM_ROWS.append(f"('{_name}', {_off}, '{_a}', {float(_w.get(_a, _w.get('*', 0.0)))!r}::DOUBLE)")
+PWM_META = ", ".join(f"('{n}', {float(m['intercept'])!r}::DOUBLE, {m['min_probability']!r}::DOUBLE)" for n, m in cut_matrices.CUT_MATRICES.items())
+PWM = f"""{DOCW}, pwm AS (SELECT * FROM (VALUES {', '.join(PWM_ROWS)}) v(enzyme, off, residue, weight)), pm AS (SELECT * FROM (VALUES {PWM_META}) v(enzyme, intercept, threshold)),
+places AS (SELECT sequence, i AS position FROM docw, range(1, 12) t(i) WHERE i < length(sequence)),
+offs AS (SELECT DISTINCT enzyme, off FROM pwm),
+scored AS (SELECT sequence, position, enzyme, CASE WHEN position + off BETWEEN 1 AND length(sequence) THEN substr(sequence, CAST(position + off AS BIGINT), 1) ELSE '_' END AS residue, off FROM places, offs),
+logits AS (SELECT sequence, position, enzyme, sum(weight) AS total FROM scored JOIN pwm USING (enzyme, off, residue) GROUP BY 1, 2, 3),
+sites AS (SELECT sequence, enzyme, position, 1 / (1 + exp(-(total + intercept))) AS probability, substr(sequence, CAST(position AS BIGINT), 1) AS residue,
+  substr(sequence, CAST(position + 1 AS BIGINT), 1) AS next_residue FROM logits JOIN pm USING (enzyme) WHERE 1 / (1 + exp(-(total + intercept))) >= threshold)"""
+ORACLE["pwm_sites"] = f"WITH {PWM} SELECT sequence, enzyme, CAST(position AS INTEGER) AS position, {r('probability')} AS probability, residue, next_residue FROM sites"
+ORACLE["pwm_profile"] = f"""WITH {PWM}, a AS (SELECT sequence, enzyme, count(*) AS k, 1 - product(1 - probability) AS p FROM sites GROUP BY 1, 2)
+SELECT sequence, enzyme, CAST(coalesce(k, 0) AS INTEGER) AS n_sites, {r('coalesce(p, 0::DOUBLE)')} AS probability FROM docw CROSS JOIN pm LEFT JOIN a USING (sequence, enzyme)"""
+ORACLE["pwm_stability"] = f"""WITH {PWM}, a AS (SELECT sequence, {', '.join(f"count(*) FILTER (enzyme = '{n}') AS {n}" for n in cut_matrices.CUT_MATRICES)} FROM sites
+  WHERE probability >= 0.2 AND next_residue <> 'P' GROUP BY 1)
+SELECT sequence, {', '.join(f'CAST(coalesce({n}, 0) AS INTEGER) AS {n}_sites' for n in cut_matrices.CUT_MATRICES)},
+  {r("1.0::DOUBLE - least((coalesce(trypsin, 0) + coalesce(chymotrypsin, 0) + coalesce(pepsin, 0)) / CAST(greatest(1, length(sequence) - 1) AS DOUBLE), 1.0::DOUBLE)")} AS stability
+FROM docw LEFT JOIN a USING (sequence)"""
+
+RES = "rt AS (SELECT * FROM (VALUES " + ", ".join(f"('{a}', {fixed.HYDROPATHY[a]!r}::DOUBLE, {charge_of(a, 6.8)!r}::DOUBLE)" for a in AA) + ") v(a, kd, ch))"
+POSN = f"{DOCW}, {RES}, ps AS (SELECT sequence, i, kd, ch, a FROM (SELECT sequence, i, substr(sequence, CAST(i AS BIGINT), 1) AS a FROM docw, range(1, 13) t(i) WHERE i <= length(sequence)) JOIN rt USING (a))"
+ORACLE["uptake_index"] = f"""WITH {POSN}, win AS (SELECT p.sequence, p.i, w.w, sum(q.kd) AS kd, sum(q.ch) AS ch, any_value(p.kd) AS k0 FROM ps p, (VALUES (2), (3)) w(w), ps q
+  WHERE p.sequence = q.sequence AND q.i BETWEEN p.i AND p.i + w.w - 1 AND p.i + w.w - 1 <= length(p.sequence) GROUP BY 1, 2, 3),
+s AS (SELECT sequence, avg((1 - least(abs({d(ends(6.8))} + ch) / 2, 1) + greatest(0, least(1, k0 / 2.5::DOUBLE)) + 1 - least(abs(kd / w - 0.5::DOUBLE) / 3, 1)) / 3) AS u FROM win GROUP BY 1)
+SELECT sequence, {r(clamp('u'))} AS uptake FROM s"""
+ORACLE["hydrophobic_moment"] = f"""WITH {POSN}, m AS (SELECT sequence, sqrt(pow(sum(kd * cos({d(math.radians(100.0))} * (i - 1))), 2) + pow(sum(kd * sin({d(math.radians(100.0))} * (i - 1))), 2)) / length(sequence) AS moment FROM ps GROUP BY 1)
+SELECT sequence, {r('moment')} AS moment, {r(clamp('moment / 4.5::DOUBLE'))} AS moment_norm FROM m"""
+ORACLE["engagement"] = f"""WITH {DOCW} SELECT sequence, {r(clamp(f"{d(0.4)} * least({frac('KRH')} / {d(0.35)}, 1) + {d(0.3)} * least({frac('FWY')} / {d(0.25)}, 1) + {d(0.3)} * least({frac('AILMFWYV')} / {d(0.6)}, 1)"))} AS engagement FROM docw"""
+ORACLE["exposure"] = f"WITH {DOCW} SELECT sequence, {r(clamp(f'({d(4.5)} - {KD}) / {d(9.0)}'))} AS exposure FROM docw"
+ORACLE["property_trace"] = f"""WITH {POSN} SELECT sequence, CAST(i AS INTEGER) AS position, a AS residue, {r('avg(kd) OVER w')} AS hydropathy, {r('avg(ch) OVER w')} AS charge FROM ps
+WINDOW w AS (PARTITION BY sequence ORDER BY i ROWS BETWEEN 2 PRECEDING AND 2 FOLLOWING)"""
+
+
+def runs(letters: str, least: int, s: str) -> str:
+    return f"coalesce(list_sum(list_transform(regexp_extract_all({s}, '[{letters}]{{{least},}}'), lambda x: length(x) - {least - 1})), 0)"
+
+
+def run_sql(s: str) -> dict[str, str]:
+    n = f"CAST(length({s}) AS DOUBLE)"
+    pairs = f"(length({s}) - length(replace({s}, 'CW', 'C')) + length({s}) - length(replace({s}, 'HW', 'H')))"
+    return {
+        "aromatic_fraction": frac("FWY", s),
+        "basic_fraction": f"({cnt('RK', s)} + least({cnt('H', s)}, 0.5::DOUBLE * length({s}))) / {n}",
+        "turn_score": f"least(1.0::DOUBLE, CASE WHEN contains({s}, 'P') THEN 0.6::DOUBLE ELSE 0 END + CASE WHEN contains({s}, 'GP') OR contains({s}, 'PG') THEN 0.2::DOUBLE ELSE 0 END + CASE WHEN regexp_matches({s}, '[FWY]..[FWY]') THEN 0.2::DOUBLE ELSE 0 END)",
+        "length_score": f"greatest(0.0::DOUBLE, 1 - abs({n} - 8) / 4)",
+        "net_charge": f"({cnt('RK', s)} + 0.1::DOUBLE * {cnt('H', s)} - {cnt('DE', s)})",
+        "charge_score": f"exp(-abs({cnt('RK', s)} + 0.1::DOUBLE * {cnt('H', s)} - {cnt('DE', s)}) / 3.0::DOUBLE)",
+        "solubility_input": f"({frac('STNQY', s)} - {frac('AILMVFWY', s)})",
+        "toxicity_raw": f"({runs('KR', 3, s)} + 0.5::DOUBLE * {pairs}) / {n}",
+        "bitterness_raw": f"({runs('AILMVFWY', 3, s)} + {runs('FW', 2, s)}) / {n}",
+    }
+
+
+RUNS = ", ".join(f"{e} AS {n}" for n, e in run_sql("sequence").items())
+ORACLE["run_features"] = f"WITH {DOCW} SELECT sequence, {', '.join(f'{r(e)} AS {n}' for n, e in run_sql('sequence').items())} FROM docw"
+
+
+def logit(v: str, key: str) -> str:
+    c, s = fixed.LOGISTIC[key]
+    return f"1 / (1 + exp(-(({v}) - {d(c)}) / {d(s)}))"
+
+
+TRANS = {
+    "aromatic": logit("aromatic_fraction", "aromatic"), "basic": logit("basic_fraction", "basic"), "turn": "turn_score", "length": "length_score",
+    "charge": "charge_score", "solubility": logit("solubility_input", "solubility"), "toxicity": logit("toxicity_raw", "toxicity"), "bitterness": logit("bitterness_raw", "bitterness"),
+}
+RSCORE = "(" + " + ".join(f"{d(abs(w))} * " + (f'"{n}"' if w > 0 else f'(1 - "{n}")') for n, w in fixed.RUN_WEIGHTS.items()) + f") / {d(sum(abs(w) for w in fixed.RUN_WEIGHTS.values()))}"
+TCOLS = ", ".join(f'{e} AS "{n}"' for n, e in TRANS.items())
+ORACLE["logistic_score"] = f"""WITH {DOCW}, a AS (SELECT sequence, {RUNS} FROM docw), t AS (SELECT sequence, {TCOLS} FROM a)
+SELECT sequence, {', '.join(r(f'"{n}"') + f' AS "{n}"' for n in TRANS)}, {r(RSCORE)} AS score FROM t"""
+ORACLE["shuffle_zscore"] = f"""WITH {PANELW}, tries AS (SELECT sequence AS parent, sha256('zscore:' || sequence || ':' || t.k || ':0') AS hex FROM panelw, range(1, 201) t(k) WHERE length(sequence) > 1),
+mixed AS (SELECT parent, array_to_string(list_transform(list_sort(list_transform(range(0, length(parent)),
+  lambda i: {{'k': substr(hex, CAST(i * 4 + 1 AS BIGINT), 4), 'i': i, 'x': substr(parent, CAST(i + 1 AS BIGINT), 1)}})), lambda s: s.x), '') AS sequence FROM tries),
+every AS (SELECT NULL AS parent, sequence FROM panelw UNION ALL SELECT * FROM mixed), a AS (SELECT parent, sequence, {RUNS} FROM every), t AS (SELECT parent, sequence, {TCOLS} FROM a),
+sc AS (SELECT parent, sequence, {RSCORE} AS score FROM t),
+st AS (SELECT parent, avg(score) AS m, CASE WHEN min(score) = max(score) THEN 0 ELSE stddev_pop(score) END AS sd FROM sc WHERE parent IS NOT NULL GROUP BY 1)
+SELECT sequence, {r('score', 5)} AS score, {r('m', 5)} AS shuffle_mean, {r('sd', 5)} AS shuffle_sd, {r('CASE WHEN sd = 0 THEN 0 WHEN sd > 1e-6 THEN (score - m) / sd END', 5)} AS z_score
+FROM sc LEFT JOIN st ON st.parent = sequence WHERE sc.parent IS NULL"""
+MW = " + ".join(f"{cnt(a)} * {d(m)}" for a, m in fixed.RESIDUE_MASS.items()) + f" + {d(fixed.WATER_MASS)}"
+ORACLE["residue_descriptors"] = f"""WITH {DOCW} SELECT sequence, {r(MW)} AS molecular_weight, {r(frac('FWY'))} AS aromaticity, {r(KD)} AS mean_hydropathy,
+  {r(f"{d(100.0)} * ({frac('A')} + {d(2.9)} * {frac('V')} + {d(3.9)} * {frac('IL')})")} AS aliphatic_index,
+  {r(frac('VIYFWL'))} AS helix_fraction, {r(frac('NPGS'))} AS turn_fraction, {r(frac('EMAL'))} AS sheet_fraction FROM docw"""
+FOUR = " OR ".join(f"contains(sequence, '{a * 4}')" for a in AA)
+ORACLE["developability"] = f"""WITH {DOCW} SELECT CASE WHEN length(sequence) <= 2 THEN 'descriptor_unavailable' WHEN {MW} NOT BETWEEN 250 AND 1500 THEN 'mw_outside_peptide_screen'
+  WHEN length(sequence) * 60 > 650 THEN 'high_tpsa' WHEN 8 * {frac('AILMFWYV')} > 6 THEN 'high_logp' WHEN {FOUR} THEN 'homopolymer_run' ELSE 'screen_pass' END AS flag, count(*) AS n FROM docw GROUP BY 1"""
+
+# ---- conditional model ---------------------------------------------------------------------------------
+
+
+def neighbours(source: str, keep: str) -> str:
+    return f"""(SELECT {keep}, i AS position, substr(sequence, CAST(i AS BIGINT), 1) AS residue, CASE WHEN i > 1 THEN substr(sequence, CAST(i - 1 AS BIGINT), 1) ELSE '_' END AS l,
+  CASE WHEN i < length(sequence) THEN substr(sequence, CAST(i + 1 AS BIGINT), 1) ELSE '_' END AS rr FROM {source}, range(1, 13) t(i) WHERE i <= length(sequence))"""
+
+
+MODEL = f"""{DOCW}, {PANELW}, aa AS (SELECT unnest(string_split('{AA}', '')) AS residue),
+seen AS (SELECT l, rr, residue, sum(n) AS n FROM {neighbours('docw', 'n')} GROUP BY 1, 2, 3),
+grid AS (SELECT l, rr, cn, residue FROM (SELECT l, rr, sum(n) AS cn FROM seen GROUP BY 1, 2), aa),
+lefts AS (SELECT l, residue, sum(n) AS ln FROM seen GROUP BY 1, 2), ltot AS (SELECT l, sum(n) AS lt FROM seen GROUP BY 1),
+model AS (SELECT g.l, g.rr, g.residue, ln((coalesce(s.n, 0) + 20.0::DOUBLE * ((coalesce(ln, 0) + 1.0::DOUBLE) / (lt + 20.0::DOUBLE))) / (cn + 20.0::DOUBLE)) AS log_p
+  FROM grid g LEFT JOIN seen s ON g.l = s.l AND g.rr = s.rr AND g.residue = s.residue LEFT JOIN lefts f ON f.l = g.l AND f.residue = g.residue JOIN ltot t ON t.l = g.l)"""
+ORACLE["kmer_lm_score"] = f"""WITH {MODEL}, pl AS (SELECT p.sequence, sum(coalesce(log_p, -3.0::DOUBLE)) AS total FROM {neighbours('panelw', 'sequence')} p
+  LEFT JOIN model m ON p.l = m.l AND p.rr = m.rr AND p.residue = m.residue GROUP BY 1)
+SELECT sequence, {r('total')} AS total_ll, {r('total / length(sequence)')} AS mean_ll, {r('exp(-total / length(sequence))')} AS pseudo_perplexity FROM pl"""
+SUBS = f"""{MODEL}, subs AS (SELECT p.sequence, position, p.residue, m.residue AS substitute, log_p,
+  row_number() OVER (PARTITION BY p.sequence, position ORDER BY log_p DESC, m.residue) AS choice
+  FROM {neighbours('panelw', 'sequence')} p JOIN model m ON p.l = m.l AND p.rr = m.rr AND p.residue <> m.residue QUALIFY choice <= 3)"""
+ORACLE["top_substitutions"] = f"WITH {SUBS} SELECT sequence, CAST(position AS INTEGER) AS position, residue, substitute, {r('log_p')} AS log_p, CAST(choice AS INTEGER) AS choice FROM subs"
+ORACLE["variants"] = f"""WITH {SUBS},
+single AS (SELECT sequence AS parent, left(sequence, CAST(position - 1 AS BIGINT)) || substitute || substr(sequence, CAST(position + 1 AS BIGINT)) AS sequence, 1 AS edit_count,
+  residue || position || substitute AS mutations, log_p AS support, position AS a, 0 AS b, choice AS c, 0 AS dd FROM subs),
+dbl AS (SELECT x.sequence AS parent, left(x.sequence, CAST(x.position - 1 AS BIGINT)) || x.substitute || substr(x.sequence, CAST(x.position + 1 AS BIGINT), CAST(y.position - x.position - 1 AS BIGINT))
+  || y.substitute || substr(x.sequence, CAST(y.position + 1 AS BIGINT)) AS sequence, 2 AS edit_count, x.residue || x.position || x.substitute || ';' || y.residue || y.position || y.substitute AS mutations,
+  (x.log_p + y.log_p) / 2 AS support, x.position AS a, y.position AS b, x.choice AS c, y.choice AS dd FROM subs x JOIN subs y ON x.sequence = y.sequence AND x.position < y.position AND x.choice <= 2 AND y.choice <= 2),
+every AS (SELECT * FROM single UNION ALL SELECT * FROM dbl)
+SELECT sequence, parent, edit_count, mutations, {r('support')} AS support, 'VAR-' || substr(sha256(parent || ':' || sequence || ':' || mutations), 1, 16) AS variant_id
+FROM every WHERE sequence NOT IN (SELECT sequence FROM docw UNION ALL SELECT sequence FROM panelw)
+QUALIFY row_number() OVER (PARTITION BY sequence ORDER BY edit_count, parent DESC, a DESC, b DESC, c DESC, dd DESC) = 1"""
+
+# ---- two-score fusion -----------------------------------------------------------------------------------------
+
+MM = lambda v, o="": f"CASE WHEN abs(max({v}) OVER ({o}) - min({v}) OVER ({o})) <= 1e-9 * greatest(abs(min({v}) OVER ({o})), abs(max({v}) OVER ({o}))) THEN 0.5::DOUBLE ELSE ({v} - min({v}) OVER ({o})) / (max({v}) OVER ({o}) - min({v}) OVER ({o})) END"
+GRID = "(SELECT i / 20.0::DOUBLE AS weight FROM range(0, 21) t(i))"
+_q, _s = evaluation("mixed", ["weight"], length=False)
+ORACLE["lm_fusion_curve"] = f"""WITH {PAIRS}, ev AS (SELECT * FROM pairs WHERE label <> 'random_background'), zs AS (SELECT * FROM {lz('ev', 's2')}),
+ab AS (SELECT *, {MM('s1')} AS fa, {MM('z')} AS fb FROM zs), mixed AS (SELECT weight, sequence, label, {r('weight * fa + (1 - weight) * fb', 9)} AS score FROM ab, {GRID}), {_q} {_s}"""
+ORACLE["correlations"] = f"""WITH {PAIRS}, q AS (SELECT label, s1, round_even(s2 * 20.0::DOUBLE, 0) / 20.0::DOUBLE AS s2 FROM pairs),
+k AS (SELECT *, rank() OVER (PARTITION BY label ORDER BY s1) + (count(*) OVER (PARTITION BY label, s1) - 1) / 2.0 AS r1,
+  rank() OVER (PARTITION BY label ORDER BY s2) + (count(*) OVER (PARTITION BY label, s2) - 1) / 2.0 AS r2 FROM q)
+SELECT label, {r('corr(s1, s2)')} AS pearson, {r('corr(r1, r2)')} AS spearman, count(*) AS n_rows FROM k GROUP BY 1"""
+AUC = lambda on: f"(sum(mr) FILTER ({POS}) - count(*) FILTER ({POS}) * (count(*) FILTER ({POS}) + 1) / 2.0) / nullif(count(*) FILTER ({POS}) * CAST(count(*) FILTER (NOT ({POS})) AS DOUBLE), 0)"
+CV = f"""{PAIRS}, rf AS (SELECT pairs.*, rep AS repeat, fold, (('0x' || substr(sha256('cv:' || rep || ':' || parent), 1, 8))::BIGINT % 5 + 1) = fold AS held
+  FROM pairs, range(1, 4) a(rep), range(1, 6) b(fold) WHERE label <> 'random_background'),
+fl AS (SELECT repeat, fold, length, avg(s2) AS m, stddev_pop(s2) AS sd FROM rf WHERE NOT held GROUP BY 1, 2, 3),
+fg AS (SELECT repeat, fold, avg(s2) AS gm, stddev_pop(s2) AS gsd FROM rf WHERE NOT held GROUP BY 1, 2),
+zz AS (SELECT rf.*, (s2 - coalesce(m, gm)) / coalesce(nullif(sd, 0), nullif(gsd, 0), 1) AS z FROM rf JOIN fg USING (repeat, fold) LEFT JOIN fl USING (repeat, fold, length)),
+bb AS (SELECT repeat, fold, min(s1) AS a0, max(s1) AS a1, min(z) AS b0, max(z) AS b1 FROM zz WHERE NOT held GROUP BY 1, 2),
+gr AS (SELECT repeat, fold, held, label, weight, {r('weight * ((s1 - a0) / (a1 - a0)) + (1 - weight) * ((z - b0) / (b1 - b0))', 9)} AS score FROM zz JOIN bb USING (repeat, fold), {GRID}),
+mm AS (SELECT *, rank() OVER (PARTITION BY repeat, fold, held, weight ORDER BY score) + (count(*) OVER (PARTITION BY repeat, fold, held, weight, score) - 1) / 2.0 AS mr FROM gr),
+au AS (SELECT repeat, fold, held, weight, {AUC('')} AS auc FROM mm GROUP BY 1, 2, 3, 4),
+td AS (SELECT repeat, fold, held, weight, score, count(*) FILTER ({POS}) AS p, count(*) AS c FROM gr GROUP BY 1, 2, 3, 4, 5),
+sp AS (SELECT *, sum(p) OVER w AS tp, sum(c) OVER w AS nn FROM td WINDOW w AS (PARTITION BY repeat, fold, held, weight ORDER BY score DESC)),
+ap AS (SELECT repeat, fold, held, weight, sum(p * CAST(tp AS DOUBLE) / nn) / nullif(sum(p), 0) AS ap FROM sp GROUP BY 1, 2, 3, 4),
+pick AS (SELECT repeat, fold, weight AS selected_weight, auc AS train_auroc FROM au WHERE NOT held QUALIFY row_number() OVER (PARTITION BY repeat, fold ORDER BY auc DESC, weight) = 1),
+sz AS (SELECT repeat, fold, count(*) FILTER (NOT held) AS train_rows, count(*) FILTER (held) AS test_rows, count(*) FILTER (NOT held AND {POS}) AS train_positives,
+  count(*) FILTER (held AND {POS}) AS test_positives FROM rf GROUP BY 1, 2),
+cv AS (SELECT CAST(sz.repeat AS INTEGER) AS repeat, CAST(sz.fold AS INTEGER) AS fold, train_rows, test_rows, train_positives, test_positives, selected_weight, train_auroc, t.auc AS test_auroc, ap.ap AS test_ap,
+  f.auc AS test_first_auroc, s.auc AS test_second_auroc FROM sz JOIN pick USING (repeat, fold) JOIN au t ON t.repeat = sz.repeat AND t.fold = sz.fold AND t.held AND t.weight = selected_weight
+  JOIN ap ON ap.repeat = sz.repeat AND ap.fold = sz.fold AND ap.held AND ap.weight = selected_weight
+  JOIN au f ON f.repeat = sz.repeat AND f.fold = sz.fold AND f.held AND f.weight = 1 JOIN au s ON s.repeat = sz.repeat AND s.fold = sz.fold AND s.held AND s.weight = 0)"""
+ORACLE["grouped_cv_fusion"] = f"""WITH {CV} SELECT repeat, fold, train_rows, test_rows, train_positives, test_positives, {r('selected_weight')} AS selected_weight,
+  {', '.join(f'{r(c)} AS {c}' for c in ('train_auroc', 'test_auroc', 'test_ap', 'test_first_auroc', 'test_second_auroc'))} FROM cv"""
+ORACLE["cv_summary"] = f"""WITH {CV}, s AS (SELECT count(*) AS fold_results, avg(selected_weight) AS mean_selected_weight, median(selected_weight) AS median_selected_weight, avg(test_auroc) AS mean_test_auroc,
+  coalesce(stddev_samp(test_auroc), 0) AS sd_test_auroc, avg(test_first_auroc) AS mean_first_auroc, avg(test_second_auroc) AS mean_second_auroc, avg(test_auroc - test_first_auroc) AS mean_delta,
+  median(test_auroc - test_first_auroc) AS median_delta, count(*) FILTER (test_auroc - test_first_auroc > 0) AS win_count, avg(test_ap) AS mean_test_ap FROM cv)
+SELECT fold_results, win_count, {', '.join(f'{r(c)} AS {c}' for c in ('mean_selected_weight', 'median_selected_weight', 'mean_test_auroc', 'sd_test_auroc', 'mean_first_auroc', 'mean_second_auroc', 'mean_delta', 'median_delta', 'mean_test_ap'))},
+  {r('win_count / CAST(fold_results AS DOUBLE)')} AS win_rate,
+  {r('least(1.0::DOUBLE, 2 * list_sum(list_transform(range(greatest(win_count, fold_results - win_count), fold_results + 1), lambda k: exp(lgamma(fold_results + 1) - lgamma(k + 1) - lgamma(fold_results - k + 1) - fold_results * ln(2.0::DOUBLE)))))')} AS sign_test_p FROM s"""
+FROZEN = f"""{PAIRS}, zs AS (SELECT * FROM {lz('pairs', 's2')}), ab AS (SELECT *, {MM('s1')} AS first_norm, {MM('z')} AS second_norm FROM zs),
+fz AS (SELECT *, {r('0.65::DOUBLE * first_norm + (1.0::DOUBLE - 0.65::DOUBLE) * second_norm', 10)} AS score FROM ab), fr AS (SELECT *, row_number() OVER (ORDER BY score DESC, sequence) AS rank FROM fz)"""
+ORACLE["frozen_lm_fusion"] = f"WITH {FROZEN} SELECT candidate_id, rank, {r('first_norm')} AS first_norm, {r('z')} AS length_z, {r('second_norm')} AS second_norm, {r('score')} AS score FROM fr"
+ORACLE["shortlist"] = f"WITH {FROZEN} SELECT candidate_id, rank, label, {r('score')} AS score FROM fr WHERE label = 'random_background' ORDER BY rank LIMIT 40"
+JOINS = lambda c: f"array_to_string(list_sort(list(DISTINCT CAST({c} AS VARCHAR))), ';')"
+ORACLE["consensus"] = f"""WITH {RANKED}, li AS (SELECT component AS model_id, sequence, rank, score, candidate_id, label, length FROM ranked WHERE component IN ('c01', 'c02', 'c03') AND rank <= 60),
+cs AS (SELECT sequence, count(DISTINCT model_id) AS models_present, {JOINS('model_id')} AS model_ids, avg(rank) AS mean_rank, min(rank) AS best_rank, avg(score) AS mean_score, avg(score - 0.1::DOUBLE) AS mean_delta,
+  {JOINS('candidate_id % 7')} AS parents, {JOINS('1 + candidate_id % 2')} AS edit_counts, array_to_string(list_sort(list(model_id || ':A' || length || 'V')), ';') AS mutations_by_model,
+  'P' || any_value(candidate_id % 7) AS nearest, CAST(any_value(candidate_id % 5) AS INTEGER) AS nearest_distance, {JOINS('label')} AS flags FROM li GROUP BY 1)
+SELECT * REPLACE ({r('mean_rank')} AS mean_rank, {r('mean_score')} AS mean_score, {r('mean_delta')} AS mean_delta),
+  row_number() OVER (ORDER BY models_present DESC, mean_rank, mean_delta DESC, sequence) AS consensus_rank FROM cs QUALIFY consensus_rank <= 80"""
+ORACLE["scoring_panel"] = f"""WITH {RANKED}, o AS (SELECT * FROM ranked WHERE component = 'c01'), g AS (SELECT candidate_id, rank, CASE WHEN label <> 'random_background' THEN 'matched_eval'
+  WHEN rank <= 60 THEN 'top_background' ELSE 'random_background_probe' END AS scenario_group FROM o),
+pb AS (SELECT * FROM g WHERE scenario_group = 'random_background_probe' ORDER BY ('0x' || substr(sha256('panel:' || candidate_id), 1, 12))::BIGINT, candidate_id LIMIT 50)
+SELECT candidate_id, scenario_group, rank FROM g WHERE scenario_group <> 'random_background_probe' UNION ALL SELECT candidate_id, scenario_group, rank FROM pb"""
+ORACLE["role_panel"] = f"""WITH {RANKED}, o AS (SELECT * FROM ranked WHERE component = 'c02' AND length <= 8),
+p AS (SELECT candidate_id, rank FROM o WHERE {POS} ORDER BY CASE WHEN candidate_id IN (1, 9, 60) THEN 0 ELSE 1 END, rank LIMIT 12),
+m AS (SELECT candidate_id, rank FROM o WHERE label = 'matched_decoy' QUALIFY row_number() OVER (ORDER BY rank) <= 2 * (SELECT count(*) FROM p))
+SELECT candidate_id, 'positive' AS panel_role, rank FROM p UNION ALL SELECT candidate_id, 'hard_matched_decoy', rank FROM m"""
+_q, _s = evaluation("comps", ["component"])
+_drop = ["auroc_all", "auroc_matched", "ap_step", "ap_positives_first", "top_10_count", "top_25_count", "top_50_count", "top_100_count"]
+ORACLE["rank_list_eval"] = f"WITH {COMPS}, {_q}, f AS ({_s}) SELECT * EXCLUDE ({', '.join(_drop)}) FROM f"
+ORACLE["expectations"] = f"""WITH {COMPS}, {_q}, f AS (SELECT n_rows, auroc_all, auroc_matched FROM ({_s}) WHERE component = 'c01'),
+e AS (SELECT 'n_rows' AS metric, CAST(n_rows AS DOUBLE) AS actual, 500.0::DOUBLE AS expected, 0.0::DOUBLE AS tolerance FROM f UNION ALL SELECT 'auroc_all', auroc_all, 0.5, 0.1 FROM f
+ UNION ALL SELECT 'auroc_matched', auroc_matched, 0.9, 0.01 FROM f) SELECT *, coalesce(abs(actual - expected) <= tolerance, FALSE) AS met FROM e"""
+
+# ---- geometry and manifests ------------------------------------------------------------------------------------------
+
+ATOMS = """atoms AS (SELECT CAST(vec_id // 10 AS BIGINT) AS pose, vec_id % 3 AS residue_number, ['C', 'O', 'N', 'S', 'H', 'C', 'O', 'H', 'N', 'C'][label + 1] AS element,
+  CAST(embedding[1] AS DOUBLE) * 10 AS x, CAST(embedding[2] AS DOUBLE) * 10 AS y, CAST(embedding[3] AS DOUBLE) * 10 AS z FROM embeddings),
+hv AS (SELECT *, sqrt((x - 0.5::DOUBLE) * (x - 0.5::DOUBLE) + (y + 0.5::DOUBLE) * (y + 0.5::DOUBLE) + (z - 0.25::DOUBLE) * (z - 0.25::DOUBLE)) AS dd,
+  max(residue_number) OVER (PARTITION BY pose) AS last FROM atoms WHERE element <> 'H'),
+geo AS (SELECT pose, min(dd) AS min_heavy, min(dd) FILTER (element IN ('O', 'N', 'S')) AS min_polar, min(dd) FILTER (element = 'O') AS min_oxygen,
+  min(dd) FILTER (element = 'O' AND residue_number = last) AS min_terminal_oxygen, count(*) FILTER (element IN ('O', 'N', 'S') AND dd <= 3.2::DOUBLE) AS polar_near,
+  count(*) FILTER (element = 'O' AND dd <= 3.2::DOUBLE) AS oxygen_near, count(*) FILTER (element = 'O' AND residue_number = last) AS terminal_oxygens FROM hv GROUP BY 1)"""
+ORACLE["contact_geometry"] = f"WITH {ATOMS} SELECT * REPLACE ({', '.join(f'{r(c)} AS {c}' for c in ('min_heavy', 'min_polar', 'min_oxygen', 'min_terminal_oxygen'))}) FROM geo"
+CS = lambda v: f"coalesce({tri(v, 2.3, 2.2)}, 0)" if False else f"CASE WHEN {v} IS NULL THEN 0 ELSE {tri(v, 2.3, 2.2)} END"
+ORACLE["contact_metrics"] = f"""WITH {ATOMS}, po AS (SELECT *, CASE WHEN pose % 2 = 0 THEN 'known_positive' ELSE 'matched_decoy' END AS label, 4.0::DOUBLE + pose % 9 AS raw,
+  (4.0::DOUBLE + pose % 9) / (3 + pose % 4) AS per FROM geo),
+sh AS (SELECT *, {CS('min_polar')} AS contact, {CS('min_terminal_oxygen')} AS tc, {MM('raw')} AS raw_share, {MM('per')} AS per_residue_share FROM po),
+al AS (SELECT label, min_heavy, contact, raw_share, per_residue_share, 0.35::DOUBLE * tc + 0.25::DOUBLE * contact + 0.25::DOUBLE * raw_share + 0.15::DOUBLE * per_residue_share AS pose_score FROM sh),
+lo AS (UNPIVOT al ON min_heavy, contact, raw_share, per_residue_share, pose_score INTO NAME metric VALUE v),
+mr AS (SELECT *, rank() OVER (PARTITION BY metric ORDER BY v) + (count(*) OVER (PARTITION BY metric, v) - 1) / 2.0 AS mr FROM lo)
+SELECT metric, {r("avg(v) FILTER (label = 'known_positive')")} AS positive_mean, {r("avg(v) FILTER (label = 'matched_decoy')")} AS decoy_mean, count(*) AS n, {r(AUC(''))} AS auroc_matched FROM mr GROUP BY 1"""
+ORACLE["table_manifest"] = f"""WITH {NOTES} SELECT event_type, count(*) AS n, CAST(sum(CAST(('0x' || substr(sha256(event_id || '|' || user_id || '|' || notes), 1, 12))::BIGINT AS HUGEINT)) AS VARCHAR) AS digest FROM nt GROUP BY 1"""
+ORACLE["fasta_scan"] = f"""WITH {PROT} SELECT 'doc' || accession AS accession, 'doc' || accession || ' ' || source_class AS header,
+  length(sequence) AS n, CASE WHEN sequence = '' THEN '' ELSE sha256(sequence) END AS sha256 FROM prot"""
+ORACLE["tsv_scan"] = f"WITH {NOTES} SELECT event_id, notes FROM nt"
