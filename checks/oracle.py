@@ -67,7 +67,7 @@ def words(table: str, keep: str) -> str:
 
 def residues(table: str, keep: str) -> str:
     return (
-        f"(SELECT * EXCLUDE (word), translate(word, 'BJOUXZ', 'DLKCAE') AS sequence FROM {words(table, keep)} "
+        f"(SELECT * EXCLUDE (word), translate(word, 'BJOUXZ', 'DLPCAE') AS sequence FROM {words(table, keep)} "
         "WHERE length(word) BETWEEN 2 AND 12)"
     )
 
@@ -187,7 +187,7 @@ ORACLE["export_best_potency"] = f"""WITH {PANELW}, {EXPORT}
 SELECT sequence, source, id, ic50, {r('ic50_um')} AS ic50_um FROM judged WHERE reason = 'accepted'
 QUALIFY row_number() OVER (PARTITION BY sequence ORDER BY ic50_um, id, source) = 1"""
 
-PROT = "prot AS (SELECT doc_id AS accession, source AS source_class, translate(upper(regexp_replace(text, '[^A-Za-z]', '', 'g')), 'BJOUXZ', 'DLKCAE') AS sequence FROM documents)"
+PROT = "prot AS (SELECT doc_id AS accession, source AS source_class, translate(upper(regexp_replace(text, '[^A-Za-z]', '', 'g')), 'BJOUXZ', 'DLPCAE') AS sequence FROM documents)"
 
 
 def pieces(missed: int, low: int, high: int) -> str:

@@ -62,16 +62,22 @@ def euclidean(a: tuple, b: tuple) -> Column:
 _SHIFT = 8
 
 
-def log_gamma(x: Column) -> Column:
-    """Log-gamma for x > 0: a Stirling series at x + 8, walked back by a product."""
-    y = x + F.lit(float(_SHIFT))
-    product = x
-    for step in range(1, _SHIFT):
-        product = product * (x + F.lit(float(step)))
-    inverse = F.lit(1.0) / (y * y)
-    series = (F.lit(1 / 12) + inverse * (F.lit(-1 / 360) + inverse * (F.lit(1 / 1260) - inverse * F.lit(1 / 1680)))) / y
-    stirling = (y - F.lit(0.5)) * F.log(y) - y + F.lit(0.5 * math.log(2 * math.pi)) + series
-    return stirling - F.log(product)
+def log_gamma(x: str) -> str:
+    """SQL of log-gamma for x > 0: a Stirling series at x + 8, walked back by a product.
+
+    Written as SQL text because it is used inside larger expressions: one parse is much
+    cheaper to plan than some hundred column calls.
+    """
+    y = f"({x} + {float(_SHIFT)}D)"
+    product = " * ".join(f"({x} + {float(step)}D)" for step in range(_SHIFT))
+    z = f"(1.0D / ({y} * {y}))"
+    series = f"(1.0D/12 + {z} * (-1.0D/360 + {z} * (1.0D/1260 - {z} * 1.0D/1680))) / {y}"
+    return f"(({y} - 0.5D) * ln({y}) - {y} + {0.5 * math.log(2 * math.pi)!r}D + {series} - ln({product}))"
+
+
+def let(value: Column, body) -> Column:
+    """Evaluate `value` once and hand it to `body`, inside one expression."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
 def digamma(x: Column) -> Column:
@@ -90,88 +96,56 @@ def let(value: Column, body) -> Column:
     return F.get(F.transform(F.array(value), body), F.lit(0))
 
 
-def signed_log_gammas(*terms: tuple[int, Column]) -> Column:
-    """Sum of sign * log_gamma(x) with a single copy of the series in the plan."""
-    pairs = F.array(*[F.struct(F.lit(float(sign)).alias("sign"), x.alias("x")) for sign, x in terms])
-    return F.aggregate(pairs, F.lit(0.0), lambda acc, t: acc + t["sign"] * log_gamma(t["x"]))
+def signed_log_gammas(*terms: tuple[int, str]) -> str:
+    """SQL of the sum of sign * log_gamma(x) with a single copy of the series."""
+    pairs = ", ".join(f"named_struct('s', {float(sign)}D, 'x', double({x}))" for sign, x in terms)
+    return f"aggregate(array({pairs}), 0.0D, (lg, g) -> lg + g.s * {log_gamma('g.x')})"
 
 
-def log_choose(n: Column, k: Column) -> Column:
-    one = F.lit(1.0)
-    return signed_log_gammas((1, n + one), (-1, k + one), (-1, n - k + one))
+def log_choose(n: str, k: str) -> str:
+    return signed_log_gammas((1, f"{n} + 1"), (-1, f"{k} + 1"), (-1, f"{n} - {k} + 1"))
 
 
-def hypergeometric_tail(hits: Column, population: Column, successes: Column, draws: Column) -> Column:
-    """P(X >= hits) when drawing `draws` rows from `population` with `successes` marked.
+def hypergeometric_tail(hits: str, population: str, successes: str, draws: str) -> str:
+    """SQL of P(X >= hits) when drawing `draws` rows from `population` with `successes` marked.
 
     Terms further than 10 sqrt(draws) from both the mean and the start add less than
     exp(-200) of the sum, so they are left out; what remains is exact to double precision.
     The sum walks the ratio of neighbouring terms in log space, scaled by the largest term.
+    A one-element transform binds each intermediate once.
     """
-    one = F.lit(1.0)
-    inputs = F.struct(
-        hits.cast("double").alias("hits"), population.cast("double").alias("pop"),
-        successes.cast("double").alias("suc"), draws.cast("double").alias("drw"),
-    )
-
-    def log_term(p: Column, x: Column) -> Column:
-        pop, suc, drw = p["pop"], p["suc"], p["drw"]
+    def log_term(x: str) -> str:
         return signed_log_gammas(
-            (1, suc + one), (-1, x + one), (-1, suc - x + one),
-            (1, pop - suc + one), (-1, drw - x + one), (-1, pop - suc - drw + x + one),
-            (-1, pop + one), (1, drw + one), (1, pop - drw + one),
+            (1, "p.suc + 1"), (-1, f"{x} + 1"), (-1, f"p.suc - {x} + 1"),
+            (1, "p.pop - p.suc + 1"), (-1, f"p.drw - {x} + 1"), (-1, f"p.pop - p.suc - p.drw + {x} + 1"),
+            (-1, "p.pop + 1"), (1, "p.drw + 1"), (1, "p.pop - p.drw + 1"),
         )
 
-    def bounded(p: Column) -> Column:
-        mean = p["drw"] * p["suc"] / p["pop"]
-        width = F.lit(10.0) * F.sqrt(p["drw"]) + F.lit(60.0)
-        start = F.greatest(p["hits"], F.rint(mean - width), p["drw"] - (p["pop"] - p["suc"]))
-        end = F.least(p["suc"], p["drw"], F.rint(F.greatest(start, mean) + width))
-        return F.struct(p.alias("p"), start.alias("start"), end.alias("end"))
-
-    def with_peak(q: Column) -> Column:
-        p = q["p"]
-        mode = F.rint((p["drw"] + one) * (p["suc"] + one) / (p["pop"] + F.lit(2.0)))
-        peak = F.least(F.greatest(mode, q["start"]), q["end"])
-        return F.struct(q.alias("q"), peak.alias("peak"), log_term(p, peak).alias("log_peak"))
-
-    def walk(r: Column) -> Column:
-        q = r["q"]
-        p = q["p"]
-
-        def step(acc: Column, i: Column) -> Column:
-            x = i.cast("double")
-            ratio = (p["suc"] - x) * (p["drw"] - x) / ((x + one) * (p["pop"] - p["suc"] - p["drw"] + x + one))
-            following = acc["term"] + F.when(ratio > 0, F.log(ratio)).otherwise(F.lit(-1e6))
-            return F.struct(following.alias("term"), (acc["total"] + F.exp(acc["term"])).alias("total"))
-
-        begin = F.struct((log_term(p, q["start"]) - r["log_peak"]).alias("term"), F.lit(0.0).alias("total"))
-        xs = F.sequence(q["start"].cast("long"), q["end"].cast("long"))
-        walked = F.aggregate(xs, begin, step, lambda acc: acc["total"])
-        return F.least(one, walked * F.exp(r["log_peak"]))
-
-    tail = let(
-        inputs,
-        lambda p: let(
-            bounded(p),
-            lambda q: F.when(q["start"] <= q["end"], let(with_peak(q), walk)).otherwise(F.lit(0.0)),
-        ),
-    )
-    return (
-        F.when(population.isNull() | (population <= 0), F.lit(float("nan")))
-        .when(hits <= 0, one)
-        .when(hits > F.least(successes, draws), F.lit(0.0))
-        .otherwise(tail)
-    )
-
-
-def sign_test(wins: Column, trials: Column) -> Column:
-    """Two-sided exact sign test, capped at 1."""
-    n = trials.cast("double")
-    observed = F.greatest(wins, trials - wins)
-    terms = F.transform(
-        F.sequence(observed.cast("long"), trials.cast("long")),
-        lambda k: F.exp(log_choose(n, k.cast("double")) - n * F.lit(math.log(2.0))),
+    inputs = (
+        f"named_struct('hits', double({hits}), 'pop', double({population}), "
+        f"'suc', double({successes}), 'drw', double({draws}))"
     )
-    tail = F.aggregate(terms, F.lit(0.0), lambda a, b: a + b)
-    return F.when(trials <= 0, F.lit(1.0)).otherwise(F.least(F.lit(1.0), F.lit(2.0) * tail))
+    mean, width = "(p.drw * p.suc / p.pop)", "(10.0D * sqrt(p.drw) + 60.0D)"
+    start = f"greatest(p.hits, rint({mean} - {width}), p.drw - (p.pop - p.suc))"
+    bounds = f"named_struct('a', {start}, 'b', least(p.suc, p.drw, rint(greatest({start}, {mean}) + {width})))"
+    mode = "rint((p.drw + 1) * (p.suc + 1) / (p.pop + 2))"
+    peak = f"least(greatest({mode}, q.a), q.b)"
+    ratio = "((p.suc - x) * (p.drw - x) / ((x + 1) * (p.pop - p.suc - p.drw + x + 1)))"
+    walk = f"""aggregate(
+        transform(sequence(bigint(q.a), bigint(q.b)), i -> double(i)),
+        named_struct('term', {log_term('q.a')} - top, 'total', 0.0D),
+        (acc, x) -> named_struct(
+            'term', acc.term + if({ratio} > 0, ln({ratio}), -1000000.0D), 'total', acc.total + exp(acc.term)),
+        acc -> least(1.0D, acc.total * exp(top)))"""
+    tail = f"""transform(array({inputs}), p -> transform(array({bounds}), q -> if(q.a > q.b, 0.0D,
+        transform(array({log_term(peak)}), top -> {walk})[0]))[0])[0]"""
+    return f"""CASE WHEN {population} IS NULL OR {population} <= 0 THEN double('NaN') WHEN {hits} <= 0 THEN 1.0D
+        WHEN {hits} > least({successes}, {draws}) THEN 0.0D ELSE {tail} END"""
+
+
+def sign_test(wins: str, trials: str) -> str:
+    """SQL of the two-sided exact sign test, capped at 1."""
+    term = f"exp({log_choose(f'double({trials})', 'double(k)')} - {trials} * {math.log(2.0)!r}D)"
+    terms = f"transform(sequence(bigint(greatest({wins}, {trials} - {wins})), bigint({trials})), k -> {term})"
+    tail = f"aggregate({terms}, 0.0D, (a, b) -> a + b)"
+    return f"if({trials} <= 0, 1.0D, least(1.0D, 2.0D * {tail}))"

@@ -135,9 +135,9 @@ def with_enrichment(summary: DataFrame, percents: tuple[float, ...] = (1.0,)) ->
             for p in percents
         ]
     )
-    tails = F.transform(
-        pairs, lambda t: hypergeometric_tail(t["hits"], F.col("n_rows"), F.col("n_positive"), t["cut"])
-    )
+    tail = hypergeometric_tail("t.hits", "n_rows", "n_positive", "t.cut")
+    summary = summary.withColumn("_pairs", pairs)
+    tails = F.expr(f"transform(_pairs, t -> {tail})")
     summary = summary.withColumn("_tails", tails)
     added = {}
     for i, percent in enumerate(percents):
@@ -147,7 +147,7 @@ def with_enrichment(summary: DataFrame, percents: tuple[float, ...] = (1.0,)) ->
         added[f"{name}_fraction"] = count / F.nullif(F.col("n_positive"), F.lit(0))
         added[f"{name}_enrichment"] = count / F.greatest(F.lit(1e-12), expected)
         added[f"{name}_p"] = F.get("_tails", F.lit(i))
-    return summary.withColumns(added).drop("_tails")
+    return summary.withColumns(added).drop("_pairs", "_tails")
 
 
 def evaluate(

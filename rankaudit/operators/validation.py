@@ -121,6 +121,6 @@ def cv_summary(folds: DataFrame) -> DataFrame:
     return summary.withColumns(
         {
             "win_rate": F.col("win_count") / F.col("fold_results"),
-            "sign_test_p": sign_test(F.col("win_count"), F.col("fold_results")),
+            "sign_test_p": F.expr(sign_test("win_count", "fold_results")),
         }
     )

@@ -22,7 +22,7 @@ def letters_only(text: Column) -> Column:
 
 def to_residues(words: Column) -> Column:
     """Map the six letters outside the residue alphabet onto it."""
-    return F.translate(words, "BJOUXZ", "DLKCAE")
+    return F.translate(words, "BJOUXZ", "DLPCAE")
 
 
 def raw_words(df: DataFrame, *keep: str) -> DataFrame:
