@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import candidate_id, sorted_letters
+from ..session import widen
 
 NAMESPACE = "rankaudit-v1"
 SHORTEST, LONGEST = 2, 12
@@ -27,7 +28,7 @@ def to_residues(words: Column) -> Column:
 
 def raw_words(df: DataFrame, *keep: str) -> DataFrame:
     word = F.explode(F.split(letters_only(F.col("text")), " ")).alias("word")
-    return df.select(*keep, word).where(F.col("word") != "")
+    return widen(df.select(*keep, "text")).select(*keep, word).where(F.col("word") != "")
 
 
 def document_words(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,7 +87,8 @@ def keyed_universe(spark: SparkSession, sf_dir: str) -> DataFrame:
 def proteins(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One long residue string per document."""
     text = F.upper(F.regexp_replace("text", "[^A-Za-z]", ""))
-    return table(spark, sf_dir, "documents").select(
+    documents = widen(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    return documents.select(
         F.col("doc_id").alias("accession"), F.col("source").alias("source_class"), to_residues(text).alias("sequence")
     )
 

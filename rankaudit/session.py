@@ -24,6 +24,7 @@ def local_session(app: str = "rankaudit", cpus: int | str = "*", memory: str = "
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.session.timeZone", "UTC")
         .config("spark.sql.codegen.hugeMethodLimit", "8000")
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "64k")
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .getOrCreate()
@@ -65,6 +66,16 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
 
 
+def widen(df: DataFrame) -> DataFrame:
+    """Spread a scan that has fewer partitions than the cluster has cores; leave others alone.
+
+    Only small inputs in few files are moved, so that the heavy projection after the scan
+    does not run in one task. The count comes from the file listing, no job is run.
+    """
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
+
+
 def drop_scratch(spark: SparkSession) -> None:
     """Remove what this run wrote with `materialize`."""
     jvm = spark._jvm
