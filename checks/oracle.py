@@ -378,7 +378,7 @@ UNION ALL SELECT 'unscored', count(*), 0 FROM wide WHERE label = 'known_positive
 
 SCALED = f"{COMPS}, scaled AS ({pct('comps', 'component')})"
 MIXW = "mixw AS (SELECT * FROM (VALUES ('c01', 0.5::DOUBLE), ('c02', 0.25::DOUBLE), ('c09', 0.2::DOUBLE), ('c10', 0.1::DOUBLE)) v(component, weight))"
-FUSED = "fused AS (SELECT candidate_id, any_value(length) AS length, any_value(sequence) AS sequence, any_value(label) AS label, sum(weight * score) / sum(weight) AS score FROM scaled JOIN mixw USING (component) GROUP BY 1)"
+FUSED = "fused AS (SELECT candidate_id, any_value(length) AS length, any_value(sequence) AS sequence, any_value(label) AS label, round_even((sum(weight * score) / sum(weight)) * 1e12, 0) / 1e12 AS score FROM scaled JOIN mixw USING (component) GROUP BY 1)"
 ORACLE["weighted_fusion"] = f"WITH {SCALED}, {MIXW}, {FUSED} SELECT 'mix' AS fusion_id, candidate_id, {r('score', 9)} AS score FROM fused"
 NAMES = "(SELECT DISTINCT component FROM comps)"
 WEIGHTS = f"""wts AS (SELECT 'single__' || component AS fusion_id, component, 1.0::DOUBLE AS weight FROM {NAMES}
@@ -388,7 +388,7 @@ WEIGHTS = f"""wts AS (SELECT 'single__' || component AS fusion_id, component, 1.
 _q, _s = evaluation("kept", ["fusion_id"])
 ORACLE["fusion_search"] = f"""WITH {SCALED}, {WEIGHTS},
 fz AS (SELECT fusion_id, candidate_id, any_value(length) AS length, any_value(sequence) AS sequence, any_value(label) AS label,
-  sum(weight * {r('score', 9)}) / sum(weight) AS score FROM scaled JOIN wts USING (component) GROUP BY 1, 2),
+  {r("sum(weight * " + r('score', 9) + ") / sum(weight)", 12)} AS score FROM scaled JOIN wts USING (component) GROUP BY 1, 2),
 fr AS (SELECT *, row_number() OVER (PARTITION BY fusion_id ORDER BY score DESC, length, sequence) AS rk, count(*) OVER (PARTITION BY fusion_id) AS nn FROM fz),
 fc AS (SELECT fusion_id, count(*) FILTER ({POS} AND rk <= {cut('nn', 1.0)}) AS one, count(*) FILTER ({POS} AND rk <= {cut('nn', 10.0)}) AS ten FROM fr GROUP BY 1),
 best AS (SELECT fusion_id FROM fc ORDER BY one DESC, ten DESC, fusion_id LIMIT 6),

@@ -318,6 +318,31 @@ def run_score(sequence: Column) -> Column:
     return signed_weight_score(run_transforms(run_features(sequence)))
 
 
+# Terms of the run score that change when residues are reordered.
+ORDER_TERMS = ("turn", "toxicity", "bitterness")
+
+
+def _partial_score(transforms: dict[str, Column], names: list[str]) -> Column:
+    """Share of the signed-weight score that the named terms add, before clamping."""
+    total = sum(abs(w) for w in fixed.RUN_WEIGHTS.values())
+    parts = []
+    for name in names:
+        w = fixed.RUN_WEIGHTS[name]
+        parts.append(F.lit(abs(w)) * (transforms[name] if w > 0 else F.lit(1.0) - transforms[name]))
+    return add_all(parts) / F.lit(total)
+
+
+def run_score_kept(sequence: Column) -> Column:
+    """Part of the run score that every reordering of the string shares."""
+    kept = [name for name in fixed.RUN_WEIGHTS if name not in ORDER_TERMS]
+    return _partial_score(run_transforms(run_features(sequence)), kept)
+
+
+def run_score_moved(sequence: Column, kept: Column) -> Column:
+    """Run score of a reordered string, given the shared part."""
+    return clamp01(kept + _partial_score(run_transforms(run_features(sequence)), list(ORDER_TERMS)))
+
+
 def molecular_weight(sequence: Column) -> Column:
     masses = [count_of(sequence, aa) * F.lit(mass) for aa, mass in fixed.RESIDUE_MASS.items()]
     return add_all(masses) + F.lit(fixed.WATER_MASS)

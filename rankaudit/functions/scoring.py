@@ -46,6 +46,37 @@ def score_modes(public: DataFrame, modes: dict[str, dict[str, float]] | None = N
     return to_long(featured, ["candidate_id", "sequence", "length"], mode_columns(modes), "mode")
 
 
+def unblinded(scored: DataFrame, key: DataFrame, required: bool = False) -> DataFrame:
+    """Attach labels to one-row-per-candidate scores, before they are made long.
+
+    Joining first moves one row per candidate through the shuffle, not one per score. A
+    missing key is labelled, or dropped when it is required.
+    """
+    labels = key.select("candidate_id", "label")
+    if required:
+        return scored.join(labels, "candidate_id")
+    return scored.join(labels, "candidate_id", "left").fillna({"label": "missing_key"})
+
+
+def labelled_modes(public: DataFrame, key: DataFrame, modes: dict[str, dict[str, float]] | None = None) -> DataFrame:
+    """All mode scores, blind, then labelled: (id, sequence, length, label, mode, score)."""
+    featured = with_domain_features(public.select("candidate_id", "sequence"))
+    wide = featured.select(
+        "candidate_id", "sequence", "length", *[c.alias(name) for name, c in mode_columns(modes).items()]
+    )
+    names = {name: F.col(name) for name in mode_columns(modes)}
+    return to_long(unblinded(wide, key), ["candidate_id", "sequence", "length", "label"], names, "mode")
+
+
+def labelled_ablations(public: DataFrame, key: DataFrame) -> DataFrame:
+    featured = with_domain_features(public.select("candidate_id", "sequence"))
+    scored = featured.withColumn("sar", mode_columns()["sar"])
+    columns = ablation_columns()
+    wide = scored.select("candidate_id", "sequence", "length", *[c.alias(name) for name, c in columns.items()])
+    names = {name: F.col(name) for name in columns}
+    return to_long(unblinded(wide, key, True), ["candidate_id", "sequence", "length", "label"], names, "ablation")
+
+
 def score_wide(public: DataFrame) -> DataFrame:
     """Feature row with one column per mode."""
     featured = with_domain_features(public.select("candidate_id", "sequence"))

@@ -7,6 +7,7 @@ from itertools import accumulate
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.mathx import round_to
 from .metrics import cutoff, evaluate, is_positive, total_order
 from .ordering import global_rank
 from .scaling import length_percentile, percentile
@@ -17,12 +18,14 @@ META = ["length", "sequence", "label"]
 def fuse(components: DataFrame, weights: DataFrame, keep: list[str]) -> DataFrame:
     """Weighted mean of component scores per (fusion_id, candidate); weights <= 0 are ignored.
 
-    Sums run map-side first, so the rows that travel are one per fusion and candidate.
+    Sums run map-side first, so the rows that travel are one per fusion and candidate. Doubles
+    add up in no fixed order, so the last bits are rounded off at 12 digits: candidates whose
+    means are equal stay tied, and ranks do not change from run to run.
     """
     used = weights.where(F.col("weight") > 0).select("fusion_id", "component", "weight")
     joined = components.join(used, "component")
     scored = joined.groupBy("fusion_id", *keep).agg(
-        (F.sum(F.col("weight") * F.col("score")) / F.sum("weight")).alias("score")
+        round_to(F.sum(F.col("weight") * F.col("score")) / F.sum("weight"), 12).alias("score")
     )
     return scored
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.fixed import MATCHED_LABEL, POSITIVE_LABELS
 from ..functions.mathx import digamma, hypergeometric_tail
-from .ordering import global_rank, running_totals, tied_positions
+from .ordering import flagged_ranks, global_rank, ordered_parts, running_totals, tied_positions
 
 PERCENTS = (1.0, 5.0, 10.0)
 TOPS = (10, 25, 50, 100)
@@ -106,22 +106,17 @@ def rank_statistics(hits: Column, count: Column) -> list[Column]:
     ]
 
 
-def recovery(ranked: DataFrame, by: list[str], percents: tuple[float, ...] = PERCENTS) -> DataFrame:
-    """Recovery of positives from rows that carry `rank`, `n_rows` and `label`, per group."""
-    totals = ranked.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("n_rows"), F.count_if(is_positive()).alias("n_positive")
-    )
-    found = ranked.where(is_positive()).select(*by, "rank", "n_rows")
-    numbered = number_hits(found, by)
+def recovery(rows: DataFrame, by: list[str], percents: tuple[float, ...] = PERCENTS) -> DataFrame:
+    """Recovery of positives per group, from rows placed by `ordered_parts` in rank order."""
+    found, totals = flagged_ranks(rows.select(*by, "label", "_at"), by, is_positive())
     counts = []
     for percent in percents:
         inside = F.col("rank") <= cutoff(F.col("n_rows"), percent)
         counts.append(F.count_if(inside).alias(f"top_{tag(percent)}pct_count"))
     counts += [F.count_if(F.col("rank") <= k).alias(f"top_{k}_count") for k in TOPS]
-    stats = numbered.groupBy(*by).agg(*counts, *rank_statistics(F.col("hit"), F.col("n_positive")))
-    joined = totals.join(stats, by, "left") if by else totals.crossJoin(stats)
+    stats = found.groupBy(*by).agg(*counts, *rank_statistics(F.col("hit"), F.col("n_positive")))
     names = [f"top_{tag(p)}pct_count" for p in percents] + [f"top_{k}_count" for k in TOPS]
-    return joined.fillna(0, names)
+    return totals.join(stats, by, "left").fillna(0, names)
 
 
 def with_enrichment(summary: DataFrame, percents: tuple[float, ...] = (1.0,)) -> DataFrame:
@@ -157,12 +152,14 @@ def evaluate(
     length: str | None = "length",
     percents: tuple[float, ...] = PERCENTS,
 ) -> DataFrame:
-    """Rank, then recovery, enrichment and separation: one row per group."""
-    ranked = global_rank(scored, by, total_order(score, length), total="n_rows")
-    summary = recovery(ranked, by, percents)
-    summary = with_enrichment(summary, percents)
-    apart = separation(ranked, by, score)
-    return summary.join(apart, by) if by else summary.crossJoin(apart)
+    """Rank, then recovery, enrichment and separation: one row per group.
+
+    The rows are ordered and written once; everything else reads only the columns it needs
+    from there. `by` names at least one column.
+    """
+    rows = ordered_parts(scored, by, total_order(score, length))
+    summary = with_enrichment(recovery(rows, by, percents), percents)
+    return summary.join(separation(rows, by, score), by)
 
 
 def endpoint_pass(count: Column, fraction: Column, auroc: Column, least: tuple[int, float, float]) -> Column:

@@ -32,6 +32,31 @@ def _earlier_parts(by: list[str]):
     return Window.partitionBy(*by).orderBy(_PART).rowsBetween(Window.unboundedPreceding, -1)
 
 
+def part_offsets(rows: DataFrame, by: list[str], flag: Column | None = None) -> DataFrame:
+    """One row per (partition, group): its first position, the rows before it, and group totals.
+
+    With `flag` also the flagged rows before it and in the group. This table has as many rows
+    as there are partitions and groups, whatever the number of rows.
+    """
+    counts = [F.min(_AT).alias("_first"), F.count(F.lit(1)).alias("_size")]
+    counts.append((F.lit(0) if flag is None else F.count_if(flag)).cast("bigint").alias("_flagged"))
+    sizes = rows.withColumn(_PART, _partition_number()).groupBy(_PART, *by).agg(*counts)
+    group = Window.partitionBy(*by)
+    before = lambda c: F.coalesce(F.sum(c).over(_earlier_parts(by)), F.lit(0))
+    return sizes.select(
+        _PART, *by, "_first",
+        before("_size").alias(_BASE), F.sum("_size").over(group).alias("_rows"),
+        before("_flagged").alias("_flag_base"), F.sum("_flagged").over(group).alias("_flags"),
+    )
+
+
+def _position(offsets_joined: DataFrame, name: str) -> DataFrame:
+    return offsets_joined.withColumn(name, F.col(_BASE) + F.col(_AT) - F.col("_first") + F.lit(1))
+
+
+_OFFSET_COLUMNS = ("_first", _BASE, "_rows", "_flag_base", "_flags")
+
+
 def global_rank(
     df: DataFrame, by: list[str], order: list[Column], name: str = "rank", total: str | None = None
 ) -> DataFrame:
@@ -39,14 +64,26 @@ def global_rank(
 
     The order should be total (end in a unique key), otherwise ties fall arbitrarily.
     """
-    rows = ordered_parts(df, by, order).withColumn(_PART, _partition_number())
-    sizes = rows.groupBy(_PART, *by).agg(F.min(_AT).alias("_first"), F.count(F.lit(1)).alias("_size"))
-    offsets = sizes.withColumn(_BASE, F.coalesce(F.sum("_size").over(_earlier_parts(by)), F.lit(0)))
+    rows = ordered_parts(df, by, order)
+    joined = rows.withColumn(_PART, _partition_number()).join(part_offsets(rows, by), [_PART, *by])
+    ranked = _position(joined, name)
     if total:
-        offsets = offsets.withColumn(total, F.sum("_size").over(Window.partitionBy(*by)))
-    joined = rows.join(offsets.drop("_size"), [_PART, *by])
-    ranked = joined.withColumn(name, F.col(_BASE) + F.col(_AT) - F.col("_first") + F.lit(1))
-    return ranked.drop(_AT, _PART, _BASE, "_first")
+        ranked = ranked.withColumn(total, F.col("_rows"))
+    return ranked.drop(_AT, _PART, *_OFFSET_COLUMNS)
+
+
+def flagged_ranks(rows: DataFrame, by: list[str], flag: Column) -> tuple[DataFrame, DataFrame]:
+    """Rank and running number of the flagged rows of `ordered_parts`, and totals per group.
+
+    Only flagged rows are joined and numbered; the totals come from the offsets alone.
+    """
+    offsets = part_offsets(rows, by, flag)
+    inside = Window.partitionBy(_PART, *by).orderBy(_AT)
+    kept = rows.where(flag).withColumn(_PART, _partition_number()).join(offsets, [_PART, *by])
+    kept = _position(kept, "rank").withColumn("hit", F.col("_flag_base") + F.row_number().over(inside))
+    kept = kept.withColumns({"n_rows": F.col("_rows"), "n_positive": F.col("_flags")})
+    totals = offsets.groupBy(*by).agg(F.max("_rows").alias("n_rows"), F.max("_flags").alias("n_positive"))
+    return kept.drop(_AT, _PART, *_OFFSET_COLUMNS), totals
 
 
 def running_totals(df: DataFrame, by: list[str], order: list[Column], sums: list[str]) -> DataFrame:

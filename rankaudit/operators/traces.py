@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import fixed
-from ..functions.features import run_score, side_charges
+from ..functions.features import run_score, run_score_kept, run_score_moved, side_charges
 from ..functions.mathx import let
 from ..functions.text import residue_values, residues
 from ..session import spread
@@ -48,20 +48,22 @@ def property_trace(df: DataFrame, window: int = 5, ph: float = 6.8) -> DataFrame
 def shuffle_zscore(df: DataFrame, shuffles: int = 200, seed: str = "zscore") -> DataFrame:
     """Run score against its own shuffles: mean, population sd and z.
 
+    Terms that only depend on the composition are computed once per string.
     Works on distinct strings. z is 0 when sd is 0 and NULL when sd is positive but not
     above 1e-6; a single residue has none. Partial sums keep the shuffle to one row per
     string and task.
     """
     strings = df.select("sequence").distinct().withColumn("score", run_score(F.col("sequence")))
+    strings = strings.withColumn("_kept", run_score_kept(F.col("sequence")))
     key = F.concat_ws(":", F.lit(seed), F.col("sequence"), F.col("attempt").cast("string"))
     tried = attempts(spread(strings.where(F.length("sequence") > 1), "sequence"), shuffles)
     mixed = tried.withColumn("mixed", shuffle(F.col("sequence"), key))
-    shuffled = mixed.withColumn("shuffled", run_score(F.col("mixed")))
+    shuffled = mixed.withColumn("shuffled", run_score_moved(F.col("mixed"), F.col("_kept")))
     stats = shuffled.groupBy("sequence").agg(
         F.avg("shuffled").alias("shuffle_mean"), F.stddev_pop("shuffled").alias("shuffle_sd"),
         F.min("shuffled").alias("_low"), F.max("shuffled").alias("_high"),
     )
-    joined = strings.join(stats, "sequence", "left")
+    joined = strings.drop("_kept").join(stats, "sequence", "left")
     z = (F.col("score") - F.col("shuffle_mean")) / F.when(F.col("shuffle_sd") > 1e-6, F.col("shuffle_sd"))
     flat = F.col("_low") == F.col("_high")
     return joined.select(

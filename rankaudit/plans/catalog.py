@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import features, fixed, mathx, text
 from ..functions.mathx import round_to
-from ..functions.scoring import score_ablations, score_modes, score_wide
+from ..functions.scoring import labelled_ablations, labelled_modes, score_modes, score_wide, unblinded
 from ..operators import (
     cleavage, context_model, digest, fusion, generate, geometry, manifest, metrics, models, neighbors, overlap,
     panels, scaling, traces, validation,
@@ -39,11 +39,6 @@ def public_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def scored_by(scores: DataFrame, universe: DataFrame, required: bool = False) -> DataFrame:
-    key = universe.select("candidate_id", "label", "origin", F.lit("").alias("provenance"))
-    return panels.join_key(scores, key, required).drop("origin", "provenance")
-
-
 # ---- candidates, filters and ids -------------------------------------------------
 
 
@@ -99,7 +94,7 @@ def _decoy_sources(spark, sf_dir):
     quotas = parents.join(have, "parent", "left").select(
         "parent", (F.lit(24) - F.coalesce("_have", F.lit(0))).cast("int").alias("quota")
     )
-    blocked = (
+    blocked = materialize(
         inputs.document_words(spark, sf_dir).select("sequence")
         .unionByName(parents.select(F.col("parent").alias("sequence")))
         .unionByName(shuffled.select("sequence"))
@@ -210,7 +205,7 @@ def blind_rank(spark, sf_dir):
 def mode_sweep_summary(spark, sf_dir):
     """All score modes ranked, unblinded and evaluated in one plan, with the endpoint gate."""
     universe = materialize(inputs.keyed_universe(spark, sf_dir))
-    scored = scored_by(score_modes(universe), universe)
+    scored = labelled_modes(universe, universe)
     summary = metrics.evaluate(scored, ["mode"])
     passed = metrics.endpoint_pass(
         F.col("top_1pct_count"), F.col("top_1pct_fraction"), F.col("auroc_matched"), (2, 0.012, 0.5)
@@ -221,7 +216,7 @@ def mode_sweep_summary(spark, sf_dir):
 @query
 def ablation_summary(spark, sf_dir):
     universe = materialize(inputs.keyed_universe(spark, sf_dir))
-    scored = scored_by(score_ablations(universe), universe, required=True)
+    scored = labelled_ablations(universe, universe)
     return rounded(metrics.evaluate(scored.withColumn("score", round_to(F.col("score"), 9)), ["ablation"]))
 
 
@@ -231,7 +226,7 @@ def baseline_score_rank(spark, sf_dir):
     universe = materialize(inputs.keyed_universe(spark, sf_dir))
     public = universe.select("candidate_id", "sequence", "length")
     scored = public.withColumn("score", features.baseline_score(F.col("sequence"))).withColumn("baseline", F.lit("composition"))
-    summary = metrics.evaluate(scored_by(scored, universe), ["baseline"])
+    summary = metrics.evaluate(unblinded(scored, universe), ["baseline"])
     return rounded(summary.drop("median_rank"))
 
 

@@ -285,6 +285,18 @@ def test_gate_helpers_and_duplicate_weights(spark):
     assert all(r.w == pytest.approx(1.0, abs=1e-4) for r in draws.collect())
 
 
+def test_fused_ties_do_not_depend_on_partitioning(spark):
+    """Candidates holding the same scores in different components are tied after an equal mean."""
+    names = [f"c{i}" for i in range(9)]
+    values = [0.1, 0.7, 0.3, 0.9, 0.2, 0.6, 1 / 3, 0.45, 0.05]
+    rows = [(f"x{k}", n, values[(i + k) % 9]) for k in range(9) for i, n in enumerate(names)]
+    components = spark.createDataFrame(rows, "candidate_id string, component string, score double")
+    weights = spark.createDataFrame([("m", n, 1 / 9) for n in names], "fusion_id string, component string, weight double")
+    for parts in (1, 4, 13):
+        fused = fusion.fuse(components.repartition(parts), weights, ["candidate_id"]).collect()
+        assert len({r.score for r in fused}) == 1 and len(fused) == 9
+
+
 def test_panel_helpers(spark):
     df = spark.createDataFrame([("s", 2, 5.0), ("s", 1, 5.0), ("t", 3, 1.0)], "sequence string, ordinal int, value double")
     assert {(r.sequence, r.ordinal) for r in panels.lowest_per_key(df, "sequence", "value", "ordinal").collect()} == {("s", 1), ("t", 3)}
