@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.fixed import ALPHABET
 from ..functions.text import mutation, residues, stable_id
+from .ordering import top_per_group
 
 _EDGE = "_"
 
@@ -78,8 +79,6 @@ def top_substitutions(parents: DataFrame, model: DataFrame, n: int) -> DataFrame
     options = model.select("left", "right", F.col("residue").alias("substitute"), "log_p")
     contexts = places.select("left", "right", "residue").distinct().join(options, ["left", "right"])
     others = contexts.where(F.col("substitute") != F.col("residue"))
-    from .ordering import top_per_group
-
     best = top_per_group(others, ["left", "right", "residue"], [F.col("log_p").desc(), F.col("substitute")], n, "choice")
     return places.join(best, ["left", "right", "residue"]).select(
         "sequence", "position", "residue", "substitute", "log_p", "choice"
@@ -101,14 +100,9 @@ def variants(
     """
     best = top_substitutions(parents, model, max(singles, doubles))
     tagged = best.join(parents.select("sequence", "parent_order"), "sequence")
-    by_position = tagged.groupBy("sequence", "parent_order", "position", "residue").agg(
-        F.sort_array(F.collect_list(F.struct("choice", "substitute", "log_p"))).alias("choices")
-    )
-    first = by_position.select(
-        "sequence", "parent_order", F.col("position").alias("p1"), F.col("residue").alias("r1"), F.inline("choices")
-    ).select(
-        "sequence", "parent_order", "p1", "r1", F.col("choice").alias("c1"),
-        F.col("substitute").alias("s1"), F.col("log_p").alias("l1"),
+    first = tagged.select(
+        "sequence", "parent_order", F.col("position").alias("p1"), F.col("residue").alias("r1"),
+        F.col("choice").alias("c1"), F.col("substitute").alias("s1"), F.col("log_p").alias("l1"),
     )
     single = first.where(F.col("c1") <= singles).select(
         F.col("sequence").alias("parent"), "parent_order",

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.ml import Pipeline
+from pyspark.ml import PipelineModel
 from pyspark.ml.classification import GBTClassifier, LinearSVC, LogisticRegression
 from pyspark.ml.feature import HashingTF, MaxAbsScaler, VectorAssembler
 from pyspark.ml.functions import vector_to_array
@@ -80,20 +80,21 @@ def with_feature_columns(df: DataFrame) -> tuple[DataFrame, list[str]]:
 def train_family(train: DataFrame, names: list[str] | None = None, size: int = 2048) -> dict:
     """Fit each model of the family on `sequence, label, weight`; returns fitted pipelines.
 
-    Terms are hashed, so no vocabulary is gathered.
+    Terms are hashed, so no vocabulary is gathered. Features are built once for all models.
     """
     featured, numeric = with_feature_columns(train)
     labelled, total = balanced(featured)
-    prepared = labelled.select(*numeric, "terms", "target", "row_weight").persist()
     hashing = HashingTF(inputCol="terms", outputCol="hashed", numFeatures=size)
     joined = VectorAssembler(inputCols=[*numeric, "hashed"], outputCol="joined")
-    scaler = MaxAbsScaler(inputCol="joined", outputCol="features")
+    wide = joined.transform(hashing.transform(labelled)).select("joined", "target", "row_weight").persist()
+    scaler = MaxAbsScaler(inputCol="joined", outputCol="features").fit(wide)
+    prepared = scaler.transform(wide)
     fitted = {}
     for name in names or list(FAMILY):
         model = FAMILY[name](total)
         model.setLabelCol("target").setWeightCol("row_weight").setFeaturesCol("features")
-        fitted[name] = Pipeline(stages=[hashing, joined, scaler, model]).fit(prepared)
-    prepared.unpersist()
+        fitted[name] = PipelineModel(stages=[hashing, joined, scaler, model.fit(prepared)])
+    wide.unpersist()
     return fitted
 
 

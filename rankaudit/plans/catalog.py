@@ -773,7 +773,7 @@ def expectations(spark, sf_dir):
 def _model_scores(spark, sf_dir):
     universe = materialize(inputs.keyed_universe(spark, sf_dir))
     weights = universe.where(metrics.is_positive()).select("sequence", F.lit(1.0).alias("weight"))
-    train = panels.training_merge(universe.select("sequence", "label"), weights, per_positive=4)
+    train = materialize(panels.training_merge(universe.select("sequence", "label"), weights, per_positive=4))
     fitted = models.train_family(train, ["logistic_c0_2", "svm_c0_2"])
     return models.score_family(fitted, universe.select("sequence", "label"), ["sequence", "label"])
 
