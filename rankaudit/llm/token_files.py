@@ -13,6 +13,7 @@ import struct
 import uuid
 import zlib
 from collections.abc import Iterator
+from functools import cache
 
 import numpy as np
 import pyarrow as pa
@@ -160,6 +161,12 @@ class Encoder:
         return out
 
 
+@cache
+def encoder_of(path: str) -> Encoder:
+    """One encoder for all tasks that a Python worker runs."""
+    return Encoder(path)
+
+
 def _filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri)
 
@@ -182,7 +189,7 @@ def write_token_files(
     placed = rows.repartitionByRange(*sizes).sortWithinPartitions(keys[0], sizes[1], keys[1])
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, fs, out, writer, names = Encoder(tokenizer), None, None, None, []
+        encoder, fs, out, writer, names = encoder_of(tokenizer), None, None, None, []
         part = TaskContext.get().partitionId()
         for batch in batches:
             if not batch.num_rows:
