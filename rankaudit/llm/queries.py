@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import content_sort, external_shuffle, positional_index, token_files
+from . import content_sort, external_shuffle, positional_index, rank_profiles, token_files, toxicity
 from .common import table
 
 QUERIES = {}
@@ -52,3 +52,27 @@ def op7_external_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_content_sort(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Exact copies up to white space: which row stays, for every document."""
     return content_sort.exact_groups(table(spark, sf_dir, "documents"))
+
+
+def remainder(n: int):
+    """crc32 of doc_id as text modulo n; a null id counts as empty text."""
+    return F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))) % n
+
+
+@query
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Calibrated toxicity of every document, learnt from three quarters of the labels."""
+    docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
+    model = toxicity.fit_model(docs, labels, remainder(4) != 2)
+    scored = toxicity.score(docs.select("doc_id", "text"), model)
+    return scored.select(
+        "doc_id", (remainder(4) == 2).alias("held_out"), F.col("_score").alias("score"), (F.col("_score") >= 0.3).cast("int").alias("predicted")
+    )
+
+
+@query
+def op6_rank_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document by out-of-place distance, learnt from four fifths of the documents."""
+    docs = table(spark, sf_dir, "documents")
+    found = rank_profiles.predict_languages(docs, remainder(5) != 0)
+    return found.select("doc_id", (remainder(5) == 0).alias("held_out"), "lang_pred", "score")
