@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import content_sort, external_shuffle, positional_index, rank_profiles, token_files, toxicity
+from . import content_sort, external_shuffle, positional_index, rank_profiles, substrings, token_files, toxicity
 from .common import table
 
 QUERIES = {}
@@ -76,3 +76,10 @@ def op6_rank_profiles(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     found = rank_profiles.predict_languages(docs, remainder(5) != 0)
     return found.select("doc_id", (remainder(5) == 0).alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document that windows of 35 words found elsewhere cover."""
+    found = substrings.remove_repeats(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
