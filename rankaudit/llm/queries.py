@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import content_sort, external_shuffle, positional_index, rank_profiles, substrings, token_files, toxicity
+from . import content_sort, external_shuffle, lattice_model, positional_index, rank_profiles, substrings, token_files, toxicity
 from .common import table
 
 QUERIES = {}
@@ -83,3 +83,12 @@ def op2_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of every document that windows of 35 words found elsewhere cover."""
     found = substrings.remove_repeats(table(spark, sf_dir, "documents"))
     return found.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+@query
+def op8_subword_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log10 probability of every document over all segmentations into pieces, and the add-half word unigram."""
+    import public_tokenizers
+
+    scored = lattice_model.score_texts(table(spark, sf_dir, "documents"), remainder(5) != 1, public_tokenizers.path("piece_bpe_32k.model"))
+    return scored.select("doc_id", (~F.col("learn")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
