@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import content_sort, external_shuffle, lattice_model, positional_index, rank_profiles, substrings, token_files, toxicity
+from . import content_sort, external_shuffle, lattice_model, piece_lattice, positional_index, rank_profiles, substrings, token_files, toxicity
 from .common import table
 
 QUERIES = {}
@@ -92,3 +92,15 @@ def op8_subword_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
 
     scored = lattice_model.score_texts(table(spark, sf_dir, "documents"), remainder(5) != 1, public_tokenizers.path("piece_bpe_32k.model"))
     return scored.select("doc_id", (~F.col("learn")).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score")
+
+
+@query
+def op1_piece_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """SentencePiece ids of every document by the best path through its lattice; the digest is of the text they decode to."""
+    import public_tokenizers
+
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    decoded = piece_lattice.decode(piece_lattice.encode(table(spark, sf_dir, "documents"), path), path)
+    return decoded.select(
+        "doc_id", F.size("ids").cast("bigint").alias("n_pieces"), F.xxhash64("ids").alias("ids_xxhash64"), F.sha2("text", 256).alias("text_sha256")
+    )
