@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import content_sort, external_shuffle, lattice_model, piece_lattice, positional_index, rank_profiles, substrings, token_files, toxicity
+from . import content_sort, external_shuffle, jaccard_join, lattice_model, piece_lattice, positional_index, rank_profiles, substrings, token_files, toxicity
 from .common import table
 
 QUERIES = {}
@@ -104,3 +104,9 @@ def op1_piece_lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decoded.select(
         "doc_id", F.size("ids").cast("bigint").alias("n_pieces"), F.xxhash64("ids").alias("ids_xxhash64"), F.sha2("text", 256).alias("text_sha256")
     )
+
+
+@query
+def op9_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Component of every document under links of Jaccard similarity 0.85 or more of four-word shingles."""
+    return jaccard_join.near_groups(table(spark, sf_dir, "documents"))
