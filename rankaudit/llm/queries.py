@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 
 from . import content_sort, external_shuffle, jaccard_join, lattice_model, piece_lattice, positional_index, rank_profiles, substrings, token_files, toxicity
 from .common import table
+from .oracles import ORACLE  # noqa: F401
 
 QUERIES = {}
-ORACLE = {}
 
 
 def query(function):
