@@ -75,6 +75,7 @@ DOMAIN_FEATURES = (
     "basic_fraction", "acidic_fraction", "proline_fraction", "hydrophobic_balance", "proline_balance", "net_charge",
     "charge_balance", "triad", "acidic_penalty", "cysteine_penalty", "extreme_charge_penalty", "hydropathy",
 )
+FULL_SCORE = "_full_score"
 MODE_ONLY_FEATURES = (
     "cterm_hydrophobic", "second_basic", "length_balance", "aromatic_balance", "acid_free", "cysteine_free",
 )
@@ -95,9 +96,9 @@ def _weighted(weights: dict[str, float]) -> Column:
 
 
 def with_domain_features(df: DataFrame, sequence: str = "sequence") -> DataFrame:
-    """Terminal anchors, balances, penalties and the triad interaction, rounded to 6.
+    """Terminal anchors, balances, penalties and the triad interaction, rounded to 6, and the unrounded full score.
 
-    Letters are counted once per row; every later projection is arithmetic on the counts.
+    The full score sums features before they are rounded; the other modes read the rounded ones. Letters are counted once per row; every later projection is arithmetic on the counts.
     """
     s = F.col(sequence)
     first, second, third = at(s, 1), at(s, 2), at(s, 3)
@@ -150,8 +151,17 @@ def with_domain_features(df: DataFrame, sequence: str = "sequence") -> DataFrame
             "acidic_penalty": round_to(F.col("_acidic")),
         }
     )
+    exact = {
+        "hydrophobic_balance": triangular(F.col("_hydrophobic"), 0.38, 0.38),
+        "proline_balance": triangular(F.col("_proline"), 0.32, 0.32),
+        "charge_balance": triangular(strength, 0.45, 1.25),
+        "acidic_penalty": F.col("_acidic"),
+        "extreme_charge_penalty": F.greatest(F.lit(0.0), strength - F.lit(2.0)) / F.lit(3.0),
+    }
+    full = add_all([F.lit(w) * exact.get(name, F.col(name)) for name, w in fixed.MODE_WEIGHTS["sar"].items()])
     finished = derived.withColumns(
         {
+            FULL_SCORE: full,
             "aromatic_balance": triangular(F.col("aromatic_fraction"), 0.12, 0.22),
             "acid_free": F.lit(1.0) - F.col("acidic_penalty"),
             "cysteine_free": F.lit(1.0) - F.col("cysteine_penalty"),

@@ -91,9 +91,26 @@ def digamma(x: Column) -> Column:
     return F.log(y) - F.lit(0.5) / y - series - steps
 
 
-def let(value: Column, body) -> Column:
-    """Evaluate `value` once and hand it to `body`, inside one expression."""
-    return F.get(F.transform(F.array(value), body), F.lit(0))
+_FAR = 64.0
+
+
+def harmonic_span(before: Column, count: Column) -> tuple[Column, Column]:
+    """Sums over k = 1..count of 1 / (before + k) and of k / (before + k), for counts of any size.
+
+    Far from the origin both come from differences that are taken before rounding: the first through log1p, the second
+    through u - log1p(u), so neither loses its digits however large `before` is.
+    """
+    x = F.greatest(before, F.lit(_FAR))
+    y, u = x + count, count / x
+    square, fourth = (x + y) / (x * x * y * y), (F.lit(1.0) / (y * y * y * y) - F.lit(1.0) / (x * x * x * x))
+    tail = count * square / F.lit(12.0) + fourth / F.lit(120.0)
+    far = F.log1p(u) - count / (F.lit(2.0) * x * y) + tail
+    series = u * u * (F.lit(0.5) - u * (F.lit(1 / 3) - u * (F.lit(0.25) - u * (F.lit(0.2) - u * F.lit(1 / 6)))))
+    bend = F.when(u < 0.01, series).otherwise(u - F.log1p(u))
+    far_ramp = x * bend + count / (F.lit(2.0) * y) - x * tail
+    near = digamma(before + count + F.lit(1.0)) - digamma(before + F.lit(1.0))
+    is_far = before >= _FAR
+    return F.when(is_far, far).otherwise(near), F.when(is_far, far_ramp).otherwise(count - before * near)
 
 
 def signed_log_gammas(*terms: tuple[int, str]) -> str:
@@ -102,6 +119,37 @@ def signed_log_gammas(*terms: tuple[int, str]) -> str:
     return f"aggregate(array({pairs}), 0.0D, (lg, g) -> lg + g.s * {log_gamma('g.x')})"
 
 
+def _stirling_rest(x: str) -> str:
+    """SQL of ln(x!) less Stirling's formula, for x > 0."""
+    z = f"(1.0D / ({x} * {x}))"
+    series = f"(1.0D/12 - {z} * (1.0D/360 - {z} * (1.0D/1260 - {z} * (1.0D/1680 - {z} * 1.0D/1188)))) / {x}"
+    small = f"{log_gamma(f'({x} + 1)')} - ({x} + 0.5D) * ln({x}) + {x} - {0.5 * math.log(2 * math.pi)!r}D"
+    return f"if({x} < 16, {small}, {series})"
+
+
+def _deviance(x: str, mean: str) -> str:
+    """SQL of x ln(x / mean) + mean - x, by a series where the two are near."""
+    v = f"(({x} - {mean}) / ({x} + {mean}))"
+    powers = ", ".join(f"{j}" for j in range(1, 9))
+    near = f"({x} - {mean}) * {v} + 2.0D * {x} * {v} * aggregate(array({powers}), 0.0D, (dv, j) -> dv + pow({v} * {v}, j) / (2 * j + 1))"
+    return f"if(abs({x} - {mean}) < 0.1D * ({x} + {mean}), {near}, {x} * ln({x} / {mean}) + {mean} - {x})"
+
+
+def signed_binomials(share: str, *terms: tuple[int, str, str]) -> str:
+    """SQL of the sum of sign * ln of the binomial mass at x of n, all with one share, with a single copy of the formula.
+
+    The saddle-point form: Stirling remainders and deviances are small numbers, so nothing of size n ln n is subtracted.
+    """
+    pairs = ", ".join(f"named_struct('s', {float(s)}D, 'x', double({x}), 'n', double({n}))" for s, x, n in terms)
+    middle = (
+        f"{_stirling_rest('b.n')} - ({_stirling_rest('b.x')}) - ({_stirling_rest('(b.n - b.x)')}) "
+        f"- ({_deviance('b.x', f'(b.n * {share})')}) - ({_deviance('(b.n - b.x)', f'(b.n * (1 - {share}))')}) "
+        f"+ 0.5D * ln(b.n / ({2 * math.pi!r}D * b.x * (b.n - b.x)))"
+    )
+    mass = f"CASE WHEN b.n <= 0 THEN 0.0D WHEN b.x <= 0 THEN b.n * log1p(-{share}) WHEN b.x >= b.n THEN b.n * ln({share}) ELSE {middle} END"
+    return f"aggregate(array({pairs}), 0.0D, (bm, b) -> bm + b.s * ({mass}))"
+
+
 def log_choose(n: str, k: str) -> str:
     return signed_log_gammas((1, f"{n} + 1"), (-1, f"{k} + 1"), (-1, f"{n} - {k} + 1"))
 
@@ -115,15 +163,11 @@ def hypergeometric_tail(hits: str, population: str, successes: str, draws: str)
     A one-element transform binds each intermediate once.
     """
     def log_term(x: str) -> str:
-        return signed_log_gammas(
-            (1, "p.suc + 1"), (-1, f"{x} + 1"), (-1, f"p.suc - {x} + 1"),
-            (1, "p.pop - p.suc + 1"), (-1, f"p.drw - {x} + 1"), (-1, f"p.pop - p.suc - p.drw + {x} + 1"),
-            (-1, "p.pop + 1"), (1, "p.drw + 1"), (1, "p.pop - p.drw + 1"),
-        )
+        return signed_binomials("p.share", (1, x, "p.suc"), (1, f"p.drw - {x}", "p.pop - p.suc"), (-1, "p.drw", "p.pop"))
 
     inputs = (
         f"named_struct('hits', double({hits}), 'pop', double({population}), "
-        f"'suc', double({successes}), 'drw', double({draws}))"
+        f"'suc', double({successes}), 'drw', double({draws}), 'share', double({draws}) / double({population}))"
     )
     mean, width = "(p.drw * p.suc / p.pop)", "(10.0D * sqrt(p.drw) + 60.0D)"
     start = f"greatest(p.hits, rint({mean} - {width}), p.drw - (p.pop - p.suc))"
@@ -140,7 +184,7 @@ def hypergeometric_tail(hits: str, population: str, successes: str, draws: str)
     tail = f"""transform(array({inputs}), p -> transform(array({bounds}), q -> if(q.a > q.b, 0.0D,
         transform(array({log_term(peak)}), top -> {walk})[0]))[0])[0]"""
     return f"""CASE WHEN {population} IS NULL OR {population} <= 0 THEN double('NaN') WHEN {hits} <= 0 THEN 1.0D
-        WHEN {hits} > least({successes}, {draws}) THEN 0.0D ELSE {tail} END"""
+        WHEN {hits} > least({successes}, {draws}) THEN 0.0D WHEN {draws} >= {population} THEN 1.0D ELSE {tail} END"""
 
 
 def sign_test(wins: str, trials: str) -> str:

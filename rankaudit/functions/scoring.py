@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .features import DOMAIN_FEATURES, MODE_ONLY_FEATURES, with_domain_features
+from .features import DOMAIN_FEATURES, FULL_SCORE, MODE_ONLY_FEATURES, with_domain_features
 from .fixed import ABLATION_REMOVES, COMPOSITION_TERMS, MODE_WEIGHTS
 from .mathx import clamp01, hash_uniform, round_to
 from .text import add_all
@@ -16,8 +16,10 @@ def linear(weights: dict[str, float]) -> Column:
 
 
 def mode_columns(modes: dict[str, dict[str, float]] | None = None) -> dict[str, Column]:
-    """Registry of score modes: name -> column over the feature row."""
-    return {name: round_to(clamp01(linear(weights))) for name, weights in (modes or MODE_WEIGHTS).items()}
+    """Registry of score modes: name -> column over the feature row; the full score comes with the row, unrounded."""
+    chosen = modes or MODE_WEIGHTS
+    exact = lambda weights: F.col(FULL_SCORE) if weights is MODE_WEIGHTS["sar"] else linear(weights)
+    return {name: round_to(clamp01(exact(weights))) for name, weights in chosen.items()}
 
 
 def ablation_columns() -> dict[str, Column]:

@@ -30,10 +30,6 @@ def fuse(components: DataFrame, weights: DataFrame, keep: list[str]) -> DataFram
     return scored
 
 
-def missing_components(weights: DataFrame, components: DataFrame) -> DataFrame:
-    return weights.join(components.select("component").distinct(), "component", "left_anti")
-
-
 def single_and_mean_weights(names: DataFrame, groups: dict[str, str]) -> DataFrame:
     """Each component alone, and the equal mean of every group of components.
 
@@ -95,9 +91,8 @@ def fusion_search(components: DataFrame, weights: DataFrame, keep: int) -> tuple
     scored = fuse(components, weights, ["candidate_id", *META])
     ranked = global_rank(scored, by, total_order(), total="n_rows")
     counts = top_counts(ranked, by)
-    best = counts.orderBy(F.desc("top_1pct_count"), F.desc("top_10pct_count"), "fusion_id").limit(keep * 3)
     order = [F.desc("top_1pct_count"), F.desc("top_10pct_count"), F.col("fusion_id")]
-    placed = global_rank(best, [], order, "place").select("fusion_id", "place")
+    placed = global_rank(counts, [], order, "place").select("fusion_id", "place")
     chosen = without_duplicates(weights.join(placed.select("fusion_id"), "fusion_id", "left_semi"), placed, keep)
     survivors = ranked.drop("rank", "n_rows").join(chosen.select("fusion_id"), "fusion_id", "left_semi")
     return evaluate(survivors, by), chosen

@@ -50,24 +50,30 @@ def random_string(length: Column, key: Column) -> Column:
     return F.array_join(let(draw_text(key, length), letters), "")
 
 
-def attempts(parents: DataFrame, count: int) -> DataFrame:
-    return parents.withColumn("attempt", F.explode(F.sequence(F.lit(1), F.lit(count))))
+def attempts(parents: DataFrame, count: int, start: int = 1) -> DataFrame:
+    return parents.withColumn("attempt", F.explode(F.sequence(F.lit(start), F.lit(count))))
 
 
 def shuffled_decoys(parents: DataFrame, per_parent: int, tries: int = 200, seed: str = "shuffle") -> DataFrame:
     """First `per_parent` distinct shuffles of each parent that differ from it.
 
     `parents` has one distinct string per row in `parent`. A string keeps its first attempt,
-    found by a combined minimum, so only distinct decoys reach the per-parent limit.
+    found by a combined minimum, so only distinct decoys reach the per-parent limit. Parents that
+    the first attempts serve in full are not tried further, which changes nothing in their result.
     """
     key = F.concat_ws(":", F.lit(seed), F.col("parent"), F.col("attempt").cast("string"))
-    tried = attempts(spread(parents.select("parent"), "parent"), tries).withColumn("sequence", shuffle(F.col("parent"), key))
-    distinct = (
-        tried.where(F.col("sequence") != F.col("parent"))
-        .groupBy("parent", "sequence")
-        .agg(F.min("attempt").alias("attempt"))
-    )
-    return top_per_group(distinct, ["parent"], [F.col("attempt")], per_parent, "ordinal")
+
+    def distinct(some: DataFrame, start: int, count: int) -> DataFrame:
+        tried = attempts(spread(some, "parent"), count, start).withColumn("sequence", shuffle(F.col("parent"), key))
+        return tried.where(F.col("sequence") != F.col("parent")).groupBy("parent", "sequence").agg(F.min("attempt").alias("attempt"))
+
+    head = min(tries, 4 * per_parent)
+    found = distinct(parents.select("parent"), 1, head)
+    if head < tries:
+        served = found.groupBy("parent").agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") >= per_parent)
+        later = distinct(parents.select("parent").join(served, "parent", "left_anti"), head + 1, tries)
+        found = found.unionByName(later).groupBy("parent", "sequence").agg(F.min("attempt").alias("attempt"))
+    return top_per_group(found, ["parent"], [F.col("attempt")], per_parent, "ordinal")
 
 
 def random_decoys(

@@ -32,13 +32,16 @@ def evaluate_rank_list(ranks: DataFrame, by: list[str], percents: tuple[float, .
     return with_enrichment(summary, percents)
 
 
-def expect(summary: DataFrame, expected: dict[str, tuple[float, float]], loud: bool = False) -> DataFrame:
-    """Compare the columns of a one-row table with (value, tolerance); `loud` raises on a miss."""
+def expect(summary: DataFrame, expected: dict[str, tuple[float | str, float]], loud: bool = False) -> DataFrame:
+    """Compare the columns of a one-row table with (value, tolerance); `loud` raises on a miss.
+
+    A value in text names another column of the table.
+    """
     checks = F.array(
         *[
             F.struct(
                 F.lit(name).alias("metric"), F.col(name).cast("double").alias("actual"),
-                F.lit(float(value)).alias("expected"), F.lit(float(tolerance)).alias("tolerance"),
+                (F.col(value).cast("double") if isinstance(value, str) else F.lit(float(value))).alias("expected"), F.lit(float(tolerance)).alias("tolerance"),
             )
             for name, (value, tolerance) in expected.items()
         ]

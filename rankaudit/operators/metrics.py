@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.fixed import MATCHED_LABEL, POSITIVE_LABELS
-from ..functions.mathx import digamma, hypergeometric_tail
+from ..functions.mathx import harmonic_span, hypergeometric_tail
 from .ordering import flagged_ranks, global_rank, ordered_parts, running_totals, tied_positions
 
 PERCENTS = (1.0, 5.0, 10.0)
@@ -50,7 +50,7 @@ def separation(df: DataFrame, by: list[str], score: str = "score") -> DataFrame:
 
     Works on distinct scores with their class counts, so ties get half credit without
     comparing pairs. `ap_step` groups ties; `ap_positives_first` lists the positives of
-    a tie before its negatives, summed in closed form through the digamma function.
+    a tie before its negatives, summed in closed form.
     """
     counted = df.groupBy(*by, score).agg(
         F.count_if(is_positive()).alias("pos"),
@@ -65,9 +65,8 @@ def separation(df: DataFrame, by: list[str], score: str = "score") -> DataFrame:
     tp_before = p - F.col("cum_pos")
     rows_before = tp_before + n - F.col("cum_neg")
     tp, rows = tp_before + pos, rows_before + pos + neg
-    one = F.lit(1.0)
-    harmonic = digamma(rows_before + pos + one) - digamma(rows_before + one)
-    first = pos - (rows_before - tp_before) * harmonic
+    harmonic, ramp = harmonic_span(rows_before, pos)
+    first = tp_before * harmonic + ramp
     summed = run.groupBy(*by).agg(
         F.sum(wins_all).alias("_all"),
         F.sum(wins_matched).alias("_matched"),

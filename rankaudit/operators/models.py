@@ -41,27 +41,29 @@ def feature_tokens(df: DataFrame) -> DataFrame:
 
 
 FAMILY = {
-    "logistic_c0_05": lambda total: LogisticRegression(regParam=1.0 / (0.05 * total), maxIter=40),
-    "logistic_c0_2": lambda total: LogisticRegression(regParam=1.0 / (0.2 * total), maxIter=40),
-    "logistic_c1": lambda total: LogisticRegression(regParam=1.0 / total, maxIter=40),
-    "svm_c0_05": lambda total: LinearSVC(regParam=1.0 / (0.05 * total), maxIter=40),
-    "svm_c0_2": lambda total: LinearSVC(regParam=1.0 / (0.2 * total), maxIter=40),
+    "logistic_c0_05": lambda total: LogisticRegression(regParam=1.0 / (0.05 * total), maxIter=100, standardization=False),
+    "logistic_c0_2": lambda total: LogisticRegression(regParam=1.0 / (0.2 * total), maxIter=100, standardization=False),
+    "logistic_c1": lambda total: LogisticRegression(regParam=1.0 / total, maxIter=100, standardization=False),
+    "svm_c0_05": lambda total: LinearSVC(regParam=1.0 / (0.05 * total), maxIter=100, standardization=False),
+    "svm_c0_2": lambda total: LinearSVC(regParam=1.0 / (0.2 * total), maxIter=100, standardization=False),
     "boosted_trees": lambda total: GBTClassifier(maxIter=10, maxDepth=3, seed=7),
 }
 
 
 def balanced(train: DataFrame) -> tuple[DataFrame, float]:
-    """Class-balanced row weights times the row's own weight; returns the total as well."""
+    """Class-balanced row weights times the row's own weight; returns the total of both factors, which C refers to."""
     sizes = train.agg(
-        F.count(F.lit(1)).alias("n"), F.count_if(is_positive()).alias("p"), F.sum("weight").alias("w")
+        F.count(F.lit(1)).alias("n"), F.count_if(is_positive()).alias("p"), F.coalesce(F.sum("weight"), F.lit(0.0)).alias("w"),
+        F.coalesce(F.sum(F.when(is_positive(), F.col("weight"))), F.lit(0.0)).alias("w_pos"),
     ).first()
     positives, negatives = max(sizes["p"], 1), max(sizes["n"] - sizes["p"], 1)
+    total = sizes["n"] / 2.0 * (sizes["w_pos"] / positives + (sizes["w"] - sizes["w_pos"]) / negatives)
     share = F.when(is_positive(), F.lit(sizes["n"] / (2.0 * positives)))
     share = share.otherwise(F.lit(sizes["n"] / (2.0 * negatives)))
     labelled = train.withColumns(
         {"target": F.when(is_positive(), F.lit(1.0)).otherwise(F.lit(0.0)), "row_weight": share * F.col("weight")}
     )
-    return labelled, float(sizes["w"])
+    return labelled, float(total)
 
 
 def with_feature_columns(df: DataFrame) -> tuple[DataFrame, list[str]]:
@@ -77,10 +79,11 @@ def with_feature_columns(df: DataFrame) -> tuple[DataFrame, list[str]]:
     return featured, [*DOMAIN_FEATURES, "length", *modes, *added]
 
 
-def train_family(train: DataFrame, names: list[str] | None = None, size: int = 2048) -> dict:
+def train_family(train: DataFrame, names: list[str] | None = None, size: int = 1 << 15) -> dict:
     """Fit each model of the family on `sequence, label, weight`; returns fitted pipelines.
 
-    Terms are hashed, so no vocabulary is gathered. Features are built once for all models.
+    Terms are hashed, so no vocabulary is gathered. Features are built once for all models; they are scaled to a largest
+    value of one, and the penalty acts on that scale.
     """
     featured, numeric = with_feature_columns(train)
     labelled, total = balanced(featured)

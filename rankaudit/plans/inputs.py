@@ -6,19 +6,33 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import candidate_id, sorted_letters
-from ..session import widen
+from ..session import spread
 
 NAMESPACE = "rankaudit-v1"
+#: Lengths that the builders of panels, decoys and universes take; the loaders take every word.
 SHORTEST, LONGEST = 2, 12
 
+#: Accented letters and the base letters that stand for them.
+ACCENTED = "àâäáãåçéèêëíìîïñóòôöõøúùûüýÿßœæÀÂÄÁÃÅÇÉÈÊËÍÌÎÏÑÓÒÔÖÕØÚÙÛÜÝŒÆ"
+BASE_LETTERS = "aaaaaaceeeeiiiinoooooouuuuyysoaAAAAAACEEEEIIIINOOOOOOUUUUYOA"
+
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def base_letters(text: Column) -> Column:
+    return F.translate(text, ACCENTED, BASE_LETTERS)
+
+
 def letters_only(text: Column) -> Column:
-    """Upper-case words over A-Z, stripped before upper-casing."""
-    return F.trim(F.upper(F.regexp_replace(text, "[^A-Za-z]+", " ")))
+    """Upper-case words over A-Z; accents are folded, everything else is stripped before upper-casing."""
+    return F.trim(F.upper(F.regexp_replace(base_letters(text), "[^A-Za-z]+", " ")))
+
+
+def sized(words: DataFrame, shortest: int = SHORTEST, longest: int = LONGEST) -> DataFrame:
+    """Words of the lengths that a builder takes."""
+    return words.where(F.length("sequence").between(shortest, longest))
 
 
 def to_residues(words: Column) -> Column:
@@ -28,30 +42,28 @@ def to_residues(words: Column) -> Column:
 
 def raw_words(df: DataFrame, *keep: str) -> DataFrame:
     word = F.explode(F.split(letters_only(F.col("text")), " ")).alias("word")
-    return widen(df.select(*keep, "text")).select(*keep, word).where(F.col("word") != "")
+    return df.select(*keep, word).where(F.col("word") != "")
 
 
 def document_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct residue strings of `documents` with their first document and occurrence count."""
     words = raw_words(table(spark, sf_dir, "documents"), "doc_id")
     mapped = words.select("doc_id", to_residues(F.col("word")).alias("sequence"))
-    sized = mapped.where(F.length("sequence").between(SHORTEST, LONGEST))
-    return sized.groupBy("sequence").agg(F.min("doc_id").alias("min_doc_id"), F.count(F.lit(1)).alias("n"))
+    return mapped.groupBy("sequence").agg(F.min("doc_id").alias("min_doc_id"), F.count(F.lit(1)).alias("n"))
 
 
 def panel_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct residue strings of `benchmark`: the panel of positives."""
     words = raw_words(table(spark, sf_dir, "benchmark"), "item_id")
     mapped = words.select("item_id", to_residues(F.col("word")).alias("sequence"))
-    sized = mapped.where(F.length("sequence").between(SHORTEST, LONGEST))
-    return sized.groupBy("sequence").agg(F.min("item_id").alias("item_id"))
+    return mapped.groupBy("sequence").agg(F.min("item_id").alias("item_id"))
 
 
 def prior_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Residue strings of `conversations`, one exclusion panel per role."""
     words = raw_words(table(spark, sf_dir, "conversations"), "role")
     mapped = words.select(F.col("role").alias("panel"), to_residues(F.col("word")).alias("sequence"))
-    return mapped.where(F.length("sequence").between(SHORTEST, LONGEST)).distinct()
+    return mapped.distinct()
 
 
 def keyed_universe(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,8 +98,8 @@ def keyed_universe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def proteins(spark: SparkSession, sf_dir: str) -> DataFrame:
     """One long residue string per document."""
-    text = F.upper(F.regexp_replace("text", "[^A-Za-z]", ""))
-    documents = widen(table(spark, sf_dir, "documents").select("doc_id", "source", "text"))
+    text = F.upper(F.regexp_replace(base_letters(F.col("text")), "[^A-Za-z]", ""))
+    documents = spread(table(spark, sf_dir, "documents").select("doc_id", "source", "text"), "doc_id")
     return documents.select(
         F.col("doc_id").alias("accession"), F.col("source").alias("source_class"), to_residues(text).alias("sequence")
     )

@@ -38,7 +38,7 @@ def scratch_dir(spark: SparkSession) -> str:
     """
     named = spark.conf.get(CHECKPOINT_KEY, None)
     if not named:
-        if not spark.sparkContext.master.startswith("local"):
+        if not (spark.sparkContext.master == "local" or spark.sparkContext.master.startswith("local[")):
             raise ValueError(f"set {CHECKPOINT_KEY} to a folder that every executor can reach")
         if not _LOCAL:
             _LOCAL.append(tempfile.mkdtemp(prefix="spark-"))
@@ -66,16 +66,6 @@ def spread(df: DataFrame, *keys: str) -> DataFrame:
     return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)
 
 
-def widen(df: DataFrame) -> DataFrame:
-    """Spread a scan that has fewer partitions than the cluster has cores; leave others alone.
-
-    Only small inputs in few files are moved, so that the heavy projection after the scan
-    does not run in one task. The count comes from the file listing, no job is run.
-    """
-    cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
-
-
 def drop_scratch(spark: SparkSession) -> None:
     """Remove what this run wrote with `materialize`."""
     jvm = spark._jvm

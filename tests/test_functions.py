@@ -167,3 +167,65 @@ def test_round_to_is_half_even_and_keeps_missing(spark):
     assert one(spark, mathx.round_to(F.lit(-1.2345678))) == -1.234568
     assert math.isnan(one(spark, mathx.round_to(F.lit(float("nan")))))
     assert one(spark, mathx.round_to(F.lit(None).cast("double"))) is None
+
+
+def test_average_precision_terms_keep_their_digits_at_any_size(spark):
+    from decimal import Decimal, getcontext
+
+    from rankaudit.functions.mathx import harmonic_span
+
+    getcontext().prec = 50
+    cases = [(float(r), float(c), float(t)) for r in (0, 5, 63, 64, 1e4, 1e8, 1e10, 1e12) for c in (1, 7, 300) for t in (0, 3)]
+    harmonic, ramp = harmonic_span(F.col("r"), F.col("c"))
+    for row in spark.createDataFrame(cases, "r double, c double, t double").withColumn("v", F.col("t") * harmonic + ramp).collect():
+        exact = sum((Decimal(int(row.t)) + k) / (Decimal(int(row.r)) + k) for k in range(1, int(row.c) + 1))
+        assert abs((Decimal(row.v) - exact) / exact) < Decimal("1e-9"), row
+
+
+def test_tail_probability_keeps_its_digits_at_any_size(spark):
+    import math
+    from decimal import Decimal, getcontext
+
+    from rankaudit.functions.mathx import hypergeometric_tail
+
+    getcontext().prec = 50
+
+    def exact(h, n, k, d):
+        total = Decimal(0)
+        for x in range(h, min(k, d) + 1):
+            mass = Decimal(math.comb(k, x))
+            for i in range(x):
+                mass *= Decimal(d - i) / Decimal(n - i)
+            for i in range(k - x):
+                mass *= Decimal(n - d - i) / Decimal(n - x - i)
+            total += mass
+        return total
+
+    cases = [(6, 58192, 52, 582), (3, 10**8, 50, 10**6), (2, 10**10, 100, 10**8), (5, 10**12, 120, 10**10), (1, 30, 10, 5), (10, 30, 10, 20)]
+    df = spark.createDataFrame([tuple(map(float, c)) for c in cases], "h double, n double, k double, d double")
+    for case, row in zip(cases, df.select(F.expr(hypergeometric_tail("h", "n", "k", "d")).alias("p")).collect()):
+        assert abs((Decimal(row.p) - exact(*case)) / exact(*case)) < Decimal("1e-9"), case
+
+
+def test_full_score_sums_unrounded_features(spark):
+    """Some strings differ by 1e-6 when features are rounded first."""
+    from rankaudit.functions import fixed
+    from rankaudit.functions.features import FULL_SCORE, with_domain_features
+    from rankaudit.functions.scoring import linear, mode_columns
+
+    words = ["".join(c) for c in __import__("itertools").product("AKPDEW", "VRPE", "PLD", "AEP", "DEK", "PW", "AK")]
+    rows = with_domain_features(spark.createDataFrame([(w,) for w in words], "sequence string"))
+    exact, rounded_first = mode_columns()["sar"], mode_columns({"sar": dict(fixed.MODE_WEIGHTS["sar"])})["sar"]
+    found = rows.select(exact.alias("a"), rounded_first.alias("b"), linear(fixed.MODE_WEIGHTS["sar"]).alias("c"), FULL_SCORE).collect()
+    assert all(r.a == round(min(1.0, max(0.0, r[FULL_SCORE])), 6) for r in found)
+    assert any(r.a != r.b for r in found) and all(abs(r.a - r.b) < 2e-6 for r in found)
+
+
+def test_words_keep_every_letter(spark, sf_dir):
+    from rankaudit.plans import inputs
+
+    documents = inputs.table(spark, sf_dir, "documents")
+    letters = documents.agg(F.sum(F.length(F.regexp_replace("text", r"[^\p{L}]", ""))).alias("n")).first()["n"]
+    words = inputs.document_words(spark, sf_dir)
+    assert words.agg(F.sum(F.length("sequence") * F.col("n"))).first()[0] == letters
+    assert words.where(F.length("sequence") > 12).count() > 0 and words.where(F.length("sequence") == 1).count() > 0
