@@ -42,9 +42,9 @@ def op7_external_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 16 shards of a random permutation; row counts are at most one apart."""
     mixed = external_shuffle.shuffled_buckets(table(spark, sf_dir, "documents"))
     text = F.coalesce("text", F.lit(""))
-    return external_shuffle.shards(mixed, 16).select(
-        "doc_id", (F.octet_length(text) + 1).cast("bigint").alias("size"), F.crc32(text).alias("text_crc32"),
-        F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard"),
+    narrow = mixed.select("doc_id", (F.octet_length(text) + 1).cast("bigint").alias("size"), F.crc32(text).alias("text_crc32"), "_bucket", "_place")
+    return external_shuffle.shards(narrow, 16).select(
+        "doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", "slot", F.lit(None).cast("int").alias("grown_shard")
     )
 
 
