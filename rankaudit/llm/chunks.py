@@ -22,7 +22,7 @@ from .common import Stored, arrow_schema, batches_of, grouped, store_bucketed, u
 
 CHUNK_BYTES = 8 << 20
 #: Chunks that one Arrow batch takes to a Python worker.
-CHUNKS_PER_BATCH = 4
+CHUNKS_PER_BATCH = 16
 
 
 def packed(data: bytes, level: int = 3) -> bytes:
@@ -33,6 +33,22 @@ def unpacked(data: bytes) -> bytes:
     return zstandard.ZstdDecompressor().decompress(data)
 
 
+def pack_strings(strings: list[bytes]) -> bytes:
+    return packed(np.array([len(strings), *map(len, strings)], "<u4").tobytes() + b"".join(strings))
+
+
+def unpack_strings(data: bytes) -> list[bytes]:
+    raw = unpacked(data)
+    n = int(np.frombuffer(raw, "<u4", 1)[0])
+    ends = (np.cumsum(np.frombuffer(raw, "<u4", n, 4), dtype=np.int64) + 4 * (n + 1)).tolist()
+    return [raw[a:b] for a, b in zip([4 * (n + 1), *ends], ends)]
+
+
+def gathered(values: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """The runs of `values` with these starts and lengths, one after the other."""
+    return values[np.repeat(starts - np.cumsum(lengths) + lengths, lengths) + np.arange(int(lengths.sum()))]
+
+
 def write_chunks(docs: DataFrame, id_col: str, text_col: str, chunk_bytes: int = CHUNK_BYTES) -> Stored:
     """The documents as rows (chunk, ids, sizes, data); a null text is empty."""
     batches_of(docs.sparkSession)

@@ -10,21 +10,23 @@ Ids return to the chunks of documents packed by hash bucket.
 from __future__ import annotations
 
 import heapq
+import re
 from collections import defaultdict
 from collections.abc import Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass
-from functools import cache
+from functools import cache, cached_property
 from itertools import count
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .chunks import by_bucket, each_chunk, packed, texts_of, unpacked, with_answers, write_chunks
+from .chunks import by_bucket, each_chunk, gathered, pack_strings, packed, texts_of, unpack_strings, unpacked, with_answers, write_chunks
 from .common import arrow_schema, store, total_bytes
 
 MARK = "▁"
@@ -48,6 +50,18 @@ class Pieces:
     def longest(self) -> int:
         return max(map(len, self.ids))
 
+    @property
+    def by_place(self) -> np.ndarray:
+        """Ids from the lowest score up; of equal scores the higher id first."""
+        return np.array(sorted(self.ids.values(), key=self._order), np.int64)
+
+    def _order(self, number: int) -> tuple[float, int]:
+        return self._scores_by_id[number], -number
+
+    @cached_property
+    def _scores_by_id(self) -> dict[int, float]:
+        return {i: self.scores[p] for p, i in self.ids.items()}
+
     @property
     def unknown_score(self) -> float:
         return min(self.scores.values()) - UNKNOWN_PENALTY
@@ -83,7 +97,7 @@ class Cutter:
         for a, b in pairs:
             self.joined[self.number[ord(a)], self.number[ord(b)]] = True
 
-    def words(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
+    def cut(self, texts: list[str]) -> tuple[list[str], np.ndarray]:
         """The words of all texts one after the other, and how many each text has."""
         whole = "".join(texts)
         if not whole:
@@ -105,25 +119,47 @@ def cutter_of(path: str) -> Cutter:
     return Cutter(read_pieces(path))
 
 
-def marked(text: str) -> str:
-    """Spaces shown, and one in front of a text that is not empty: the model's own normalisation."""
-    return MARK + text.replace(" ", MARK) if text else ""
+_SPACED = re.compile(rb" *[^ ]+| +$")
+
+
+def spaced(text: bytes) -> list[bytes]:
+    """Parts of a text that each follow a space, the one that the model puts in front included; further spaces stay."""
+    if not text:
+        return []
+    if b"  " in text or text[:1] == b" " or text[-1:] == b" ":
+        return [p[1:] for p in _SPACED.findall(b" " + text)]
+    return text.split(b" ")
 
 
 class _Words:
+    """Texts of a chunk by numbers: parts between spaces in the documents, words of the lattice in the distinct parts."""
+
     def __init__(self, row: dict, path: str):
+        parts: dict[bytes, int] = defaultdict(count().__next__)
+        documents = []
+        for text in texts_of(row):
+            own = spaced(text)
+            documents.append(np.fromiter(map(parts.__getitem__, own), np.int32, len(own)))
+        self.sizes = np.fromiter(map(len, documents), np.int64, len(documents))
+        self.sequence = np.concatenate([*documents, np.empty(0, np.int32)])
+        cut, self.part_sizes = cutter_of(path).cut([MARK + p.decode("utf-8", "surrogatepass").replace(" ", MARK) for p in parts])
         known: dict[str, int] = defaultdict(count().__next__)
-        own, self.sizes = cutter_of(path).words([marked(t.decode("utf-8", "surrogatepass")) for t in texts_of(row)])
-        self.sequence = np.fromiter(map(known.__getitem__, own), np.int32, len(own))
-        self.words = list(known)
-        hashes = (xxhash.xxh64_intdigest(w.encode("utf-8", "surrogatepass"), seed=42) for w in self.words)
-        self.hashes = np.fromiter(hashes, np.uint64, len(self.words))
+        self.part_words = np.fromiter(map(known.__getitem__, cut), np.int32, len(cut))
+        self.words = [w.encode("utf-8", "surrogatepass") for w in known]
+        self.hashes = np.fromiter((xxhash.xxh64_intdigest(w) for w in self.words), np.uint64, len(self.words))
+
+
+#: Bits of an edge that hold the place of its piece; the bits above hold its start and end.
+PLACE_BITS = 20
 
 
 def piece_table(spark: SparkSession, pieces: Pieces) -> DataFrame:
-    """(piece, id, score): as large as the vocabulary, whatever the corpus."""
-    rows = [(p, i, float(pieces.scores[p])) for p, i in pieces.ids.items()]
-    return spark.createDataFrame(rows, "piece string, id int, score double")
+    """(piece, id, score, place): as large as the vocabulary, whatever the corpus. Places count from 1 by rising score."""
+    if len(pieces.ids) >> PLACE_BITS:
+        raise ValueError(f"more than {1 << PLACE_BITS} pieces")
+    places = {int(i): k for k, i in enumerate(pieces.by_place, 1)}
+    rows = [(p, i, float(pieces.scores[p]), places[i]) for p, i in pieces.ids.items()]
+    return spark.createDataFrame(rows, "piece string, id int, score double, place bigint")
 
 
 def best_path(edges: Column, length: Column) -> Column:
@@ -149,23 +185,46 @@ def best_path(edges: Column, length: Column) -> Column:
     return F.get(F.transform(F.array(best), step), F.lit(0))
 
 
-def merged_path(edges: Column, length: Column) -> Column:
-    """Ids of the symbols that remain when neighbours are merged, the best-scored and then leftmost pair first.
+def edge_key(start: Column, end: Column) -> Column:
+    return start * F.lit(LONG + 1) + end
 
-    The fold keeps the bounds between symbols; each step takes away the bound inside the best edge over two symbols.
+
+def merged_path(edges: Column, length: Column, word: Column) -> Column:
+    """Places of the symbols that remain when neighbours are merged, the best-scored and then leftmost pair first.
+
+    An edge is one number: its start and end above the place of its piece, which is all that merging needs. The fold
+    keeps the bounds between symbols; each step looks up the pieces over two neighbours and takes away the bound inside
+    the best one. A character without a piece comes out as -1 - its code point.
     """
-    wide = F.filter(edges, lambda x: x["end"] > x["start"] + 1)
-    over_two = lambda bounds: F.filter(wide, lambda x: F.get(bounds, (F.array_position(bounds, x["start"]) + 1).cast("int")).eqNullSafe(x["end"])
-                                       & (F.array_position(bounds, x["start"]) > 0))
-    best = lambda bounds: F.array_max(F.transform(over_two(bounds), lambda x: F.struct(x["score"].alias("score"), (-x["start"]).alias("back"))))
-    merge = lambda bounds: F.get(F.transform(F.array(best(bounds)), lambda m: F.when(m.isNull(), bounds).otherwise(
-        F.array_remove(bounds, F.get(bounds, F.array_position(bounds, -m["back"]).cast("int")))
-    )), F.lit(0))
-    start = F.sequence(F.lit(0), length)
-    kept = F.aggregate(F.slice(F.sequence(F.lit(1), length), F.lit(2), length), start, lambda bounds, _: merge(bounds))
-    spelled = lambda bounds: F.transform(F.slice(bounds, F.lit(2), length), lambda end, i: F.get(
-        F.filter(edges, lambda x: (x["end"] == end) & (x["start"] == F.get(bounds, i))), F.lit(0))["id"])
-    return F.get(F.transform(F.array(kept), spelled), F.lit(0))
+    low = (1 << PLACE_BITS) - 1
+    table = F.map_from_arrays(F.transform(edges, lambda x: F.shiftright(x, PLACE_BITS).cast("int")), F.transform(edges, lambda x: x.bitwiseAND(F.lit(low)).cast("int")))
+
+    def run(known: Column) -> Column:
+        piece = lambda start, end: F.try_element_at(known, edge_key(start, end))
+
+        def merge(bounds: Column) -> Column:
+            pairs = F.transform(F.sequence(F.lit(0), F.size(bounds) - 3), lambda i: F.struct(
+                piece(F.get(bounds, i), F.get(bounds, i + 2)).alias("place"), (-i).alias("back")))
+            taken = lambda m: F.when(m["place"].isNull(), bounds).otherwise(F.array_remove(bounds, F.get(bounds, F.lit(1) - m["back"])))
+            return F.when(F.size(bounds) < 3, bounds).otherwise(F.get(F.transform(F.array(F.array_max(pairs)), taken), F.lit(0)))
+
+        def spelled(bounds: Column) -> Column:
+            symbol = lambda start, place: F.when(place > 0, place).otherwise(-1 - F.ascii(F.substring(word, start + 1, F.lit(1))))
+            return F.transform(F.slice(bounds, F.lit(2), length), lambda end, i: symbol(F.get(bounds, i), piece(F.get(bounds, i), end)))
+
+        steps = F.slice(F.sequence(F.lit(0), length), F.lit(3), length)
+        kept = F.aggregate(steps, F.sequence(F.lit(0), length), lambda bounds, _: merge(bounds))
+        return F.get(F.transform(F.array(kept), spelled), F.lit(0))
+
+    return F.get(F.transform(F.array(table), run), F.lit(0))
+
+
+def as_ids(pieces: Pieces, symbols: np.ndarray) -> np.ndarray:
+    """Ids of what `segment` gives: they are places for byte-pair models and ids already for others."""
+    if not pieces.merges:
+        return symbols
+    table = np.concatenate([[0], pieces.by_place])
+    return np.where(symbols > 0, table[np.maximum(symbols, 0)], symbols)
 
 
 def fold_long(edges: list, length: int, merges: bool) -> list[int]:
@@ -206,30 +265,37 @@ def fold_long(edges: list, length: int, merges: bool) -> list[int]:
 
 
 def segment(words: DataFrame, pieces: Pieces) -> DataFrame:
-    """(bucket, word, ids) for distinct rows (bucket, word). A character without a piece has the id -1 - its code point.
+    """(bucket, word, ids) for distinct rows (bucket, word); `as_ids` makes ids of byte-pair symbols.
 
-    The piece table is broadcast: its size is the vocabulary's.
+    A character without a piece has -1 - its code point. The piece table is broadcast: its size is the vocabulary's.
     """
-    table = piece_table(words.sparkSession, pieces)
+    table, merges = piece_table(words.sparkSession, pieces), pieces.merges
+    end = F.col("start") + F.col("width")
+    packed_edge = F.shiftleft(edge_key(F.col("start"), end).cast("bigint"), PLACE_BITS).bitwiseOR(F.coalesce("place", F.lit(0).cast("bigint")))
+    full_edge = F.struct(
+        end.alias("end"), "start", F.coalesce("id", -1 - F.ascii("piece")).alias("id"), F.coalesce("score", F.lit(pieces.unknown_score)).alias("score"),
+    )
 
-    def lattices(some: DataFrame) -> DataFrame:
+    def lattices(some: DataFrame, edge: Column) -> DataFrame:
         spots = some.withColumn("length", F.length("word")).withColumn("start", F.explode(F.sequence(F.lit(0), F.col("length") - 1)))
         widths = F.sequence(F.lit(1), F.least(F.lit(pieces.longest), F.col("length") - F.col("start")))
         spans = spots.withColumn("width", F.explode(widths))
         spans = spans.withColumn("piece", F.substring(F.col("word"), F.col("start") + 1, F.col("width")))
         found = spans.join(F.broadcast(table), "piece", "left").where(F.col("id").isNotNull() | (F.col("width") == 1))
-        edge = F.struct(
-            (F.col("start") + F.col("width")).alias("end"), F.col("start").alias("start"),
-            F.coalesce("id", -1 - F.ascii("piece")).alias("id"), F.coalesce("score", F.lit(pieces.unknown_score)).alias("score"),
-        )
         return found.groupBy("bucket", "word").agg(F.collect_list(edge).alias("edges"))
 
-    path = merged_path if pieces.merges else best_path
-    merges = pieces.merges
-    fold = F.udf(lambda edges, length: fold_long([tuple(e) for e in edges], length, merges), "array<int>")
-    short = lattices(words.where(F.length("word") <= LONG)).select("bucket", "word", path(F.col("edges"), F.length("word")).alias("ids"))
-    long = lattices(words.where(F.length("word") > LONG)).select("bucket", "word", fold("edges", F.length("word")).alias("ids"))
-    return short.unionByName(long)
+    places = {int(i): k for k, i in enumerate(pieces.by_place, 1)} if merges else {}
+
+    @F.udf("array<int>")
+    def fold(edges, length):
+        found = fold_long([tuple(e) for e in edges], length, merges)
+        return [places.get(i, i) for i in found] if merges else found
+
+    size = F.length("word")
+    short = lattices(words.where(size <= LONG), packed_edge if merges else full_edge)
+    path = merged_path(F.col("edges"), size, F.col("word")) if merges else best_path(F.col("edges"), size)
+    long = lattices(words.where(size > LONG), full_edge)
+    return short.select("bucket", "word", path.alias("ids")).unionByName(long.select("bucket", "word", fold("edges", size).alias("ids")))
 
 
 @contextmanager
@@ -256,27 +322,31 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
 
     def send(row: dict) -> Iterator[pa.RecordBatch]:
         own = _Words(row, model_path)
-        sent = [(b, row["chunk"], [own.words[i] for i in at]) for b, at in by_bucket(own.hashes, buckets)]
+        sent = [(b, row["chunk"], pack_strings([own.words[i] for i in at])) for b, at in by_bucket(own.hashes, buckets)]
         columns = list(zip(*sent)) or [[]] * 3
         yield pa.RecordBatch.from_arrays(
-            [pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int64(), pa.list_(pa.string())))], ["bucket", "chunk", "words"]
+            [pa.array(c, t) for c, t in zip(columns, (pa.int32(), pa.int64(), pa.binary()))], ["bucket", "chunk", "words"]
         )
 
-    sent = store(each_chunk(chunks, send, "bucket int, chunk bigint, words array<string>")).df.repartition(buckets, "bucket")
-    distinct = sent.select("bucket", F.explode("words").alias("word")).distinct()
-    segmented = segment(distinct, pieces).select(F.col("bucket").alias("_bucket"), "word", "ids")
+    def spread(group: pa.Table) -> pa.Table:
+        words = sorted({w for data in group["words"].to_pylist() for w in unpack_strings(data)})
+        return pa.table({"bucket": pa.repeat(group["bucket"][0], len(words)), "word": pa.array(words, pa.binary()).cast(pa.string())})
+
+    sent = store(each_chunk(chunks, send, "bucket int, chunk bigint, words binary")).df
+    distinct = sent.groupBy("bucket").applyInArrow(spread, "bucket int, word string")
+    segmented = segment(distinct.repartition(buckets, "bucket"), pieces).select(F.col("bucket").alias("_bucket"), "word", "ids")
 
     def back(chunk_words: pa.Table, ids: pa.Table) -> pa.Table:
-        place = {w: i for i, w in enumerate(ids["word"].to_pylist())}
+        place = {w: i for i, w in enumerate(ids["word"].cast(pa.binary()).to_pylist())}
         listed = ids["ids"].combine_chunks()
         flat, starts = listed.flatten().to_numpy(), listed.offsets.to_numpy()
         starts = starts - starts[0]
         out = []
-        for words in chunk_words["words"].to_pylist():
+        for data in chunk_words["words"].to_pylist():
+            words = unpack_strings(data)
             at = np.fromiter(map(place.__getitem__, words), np.int64, len(words))
             n = starts[at + 1] - starts[at]
-            picked = np.repeat(starts[at] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))
-            out.append((packed(n.astype("<u4").tobytes()), packed(flat[picked].astype("<i4").tobytes())))
+            out.append((packed(n.astype("<u4").tobytes()), packed(as_ids(pieces, gathered(flat, starts[at], n)).astype("<i4").tobytes())))
         return pa.table({"chunk": chunk_words["chunk"], "bucket": chunk_words["bucket"], "lengths": pa.array([a for a, _ in out], pa.binary()),
                          "ids": pa.array([b for _, b in out], pa.binary())})
 
@@ -295,17 +365,20 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
             lengths[at], starts[at] = n, total + np.cumsum(n) - n
             flat.append(np.frombuffer(unpacked(known[bucket]["ids"]), "<i4"))
             total += len(flat[-1])
-        ids, sequence = np.concatenate(flat), own.sequence
-        ends = np.cumsum(own.sizes)
-        for a in range(0, len(ends), 500):
-            low, high = int(ends[a - 1]) if a else 0, int(ends[min(a + 500, len(ends)) - 1])
-            n = lengths[sequence[low:high]]
-            picked = ids[np.repeat(starts[sequence[low:high]] - np.cumsum(n) + n, n) + np.arange(int(n.sum()))]
-            cuts = np.concatenate([[0], np.cumsum(n)])[ends[a : a + 500] - low]
+        words, n = own.part_words, lengths[own.part_words]
+        ids = gathered(np.concatenate(flat), starts[words], n)
+        ends = np.concatenate([[0], np.cumsum(n)])[np.cumsum(own.part_sizes)]
+        part_starts = np.concatenate([[0], ends[:-1]])
+        part_lengths, limits = ends - part_starts, np.concatenate([[0], np.cumsum(own.sizes)])
+        for a in range(0, len(own.sizes), 500):
+            z = min(a + 500, len(own.sizes))
+            parts = own.sequence[limits[a] : limits[z]]
+            picked = gathered(ids, part_starts[parts], part_lengths[parts])
+            cuts = np.concatenate([[0], np.cumsum(part_lengths[parts])])[limits[a + 1 : z + 1] - limits[a]]
             if len(picked) and picked.min() < 0:
                 picked, cuts = _spelt(picked, cuts, pieces)
             listed = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], cuts]), pa.int32()), pa.array(picked, pa.int32()))
-            yield pa.RecordBatch.from_arrays([row["ids"][a : a + 500].cast(arrow.field(id_col).type), listed.cast(arrow.field("ids").type)], schema=arrow)
+            yield pa.RecordBatch.from_arrays([row["ids"][a:z].cast(arrow.field(id_col).type), listed.cast(arrow.field("ids").type)], schema=arrow)
 
     return each_chunk(with_answers(chunks, answers=answers), finish, schema)
 
@@ -330,13 +403,25 @@ def decode(encoded: DataFrame, model_path: str, ids_col: str = "ids", text_col:
     """
     pieces = read_pieces(model_path)
     spell = {i: p.replace(MARK, " ").encode() for p, i in pieces.ids.items()} | {i: bytes([b]) for b, i in enumerate(pieces.bytes)}
+    last = max(spell)
+    sizes = np.array([len(spell.get(i, b"")) for i in range(last + 1)], np.int64)
+    letters, starts = np.frombuffer(b"".join(spell.get(i, b"") for i in range(last + 1)), np.uint8), np.cumsum(sizes) - sizes
     schema = T.StructType([*[f for f in encoded.schema.fields if f.name != text_col], T.StructField(text_col, T.StringType())])
     arrow = arrow_schema(schema)
 
+    def texts(listed: pa.Array) -> pa.Array:
+        flat = listed.flatten().to_numpy()
+        lengths = np.asarray(pc.fill_null(pc.list_value_length(listed), 0).to_numpy(zero_copy_only=False), np.int64)
+        written = gathered(letters, starts[flat], sizes[flat])
+        ends = np.concatenate([[0], np.cumsum(sizes[flat])])[np.cumsum(lengths)]
+        begins = np.concatenate([[0], ends[:-1]])[: len(ends)]
+        raw, missing = written.tobytes(), listed.is_null().to_pylist()
+        return pa.array([None if no else raw[a + 1 : b].decode("utf-8", "replace") for a, b, no in zip(begins.tolist(), ends.tolist(), missing)], pa.string())
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            texts = [None if ids is None else b"".join(map(spell.__getitem__, ids))[1:].decode("utf-8", "replace") for ids in batch.column(ids_col).to_pylist()]
-            columns = [batch.column(f.name) if f.name != text_col else pa.array(texts, pa.string()) for f in schema.fields]
+            decoded = texts(batch.column(ids_col)) if batch.num_rows else pa.array([], pa.string())
+            columns = [batch.column(f.name) if f.name != text_col else decoded for f in schema.fields]
             yield pa.RecordBatch.from_arrays(columns, schema=arrow)
 
     return encoded.mapInArrow(run, schema)
