@@ -24,7 +24,7 @@ from .chunks import by_bucket, packed, unpacked
 from .common import arrow_schema, batches_of, mix64, store, total_bytes, utf8
 
 SHINGLE, PERCENT = 4, 85
-GROUPS = 64
+GROUPS = 256
 #: Entries of the table of frequent shingles, which only orders shingles; ties of the rest fall to their hash.
 FREQUENT = 200_000
 #: Points that meet in one tree; larger partitions are dealt to several by pairs of parts.
@@ -350,7 +350,13 @@ def near_groups(
 
     shared = store(_shared_firsts(sketches, buckets).join(roots.withColumnRenamed("node", "class"), "class", "left")
                    .withColumn("root", F.coalesce("root", "class"))).df
-    mixed = shared.groupBy("shingle").agg(F.min("root").alias("low"), F.max("root").alias("high")).where("low <> high").select("shingle")
+    mark = F.xxhash64("class")
+    members = shared.groupBy("shingle").agg(
+        F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("m"),
+        F.bit_xor(mark).alias("xor"), F.sum(mark.cast("decimal(38,0)")).alias("sum"),
+    )
+    # Shingles with the same classes would repeat the same comparisons; one of them is enough.
+    mixed = members.where("low <> high").groupBy("m", "xor", "sum").agg(F.min("shingle").alias("shingle")).select("shingle")
     rows = shared.join(mixed, "shingle").join(points.select("class", "n", "counts"), "class")
     others = store(_tree_pairs(rows, percent).join(pairs, ["a", "b"], "left_anti")).df
     links = store(links.unionByName(verified(others, reps, sketches, size, percent))).df
