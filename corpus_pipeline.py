@@ -1,6 +1,6 @@
 """A corpus pipeline over `documents`: five stages, each written as Parquet and read again by the next.
 
-Toxic documents go, then exact copies, then all but one document of each group of near copies, then documents that
+Each stage first deletes what earlier stages kept for themselves. Toxic documents go, then exact copies, then all but one document of each group of near copies, then documents that
 hold passages of the benchmark; what is left is encoded in pieces.
 """
 
@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankaudit.llm import content_sort, jaccard_join, piece_lattice, positional_index, toxicity
-from rankaudit.llm.common import store, table
+from rankaudit.llm.common import release, store, table
 from rankaudit.llm.queries import remainder
 
 THRESHOLD = 0.3
@@ -29,17 +29,20 @@ def _by_key(docs: DataFrame, keys: DataFrame, how: str) -> DataFrame:
 
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents with a score below the threshold; null and empty texts stay, as they score like harmless ones."""
+    release(docs)
     model = toxicity.fit_model(docs, table(spark, sf_dir, "labels"), remainder(4) != 2)
     return toxicity.score(docs, model).where(F.col("_score") < THRESHOLD).select(*docs.columns)
 
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of those with the same text up to white space; null and empty texts are one group."""
+    release(docs)
     return content_sort.without_copies(docs)
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the least id of each group of near copies; texts without words stay."""
+    release(docs)
     keyed = _keyed(docs)
     groups = jaccard_join.near_groups(keyed, _KEY)
     return _by_key(keyed, groups.where(F.col(_KEY).eqNullSafe(F.col("component_id"))), "left_semi")
@@ -47,6 +50,7 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a word inside a window of a benchmark item."""
+    release(docs)
     keyed = _keyed(docs)
     found = positional_index.find_leaks(keyed, table(spark, sf_dir, "benchmark"), _KEY)
     return _by_key(keyed, found.where("n_hit > 0"), "left_anti")
@@ -54,6 +58,7 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Piece ids of every document that is left; no ids for null and empty texts."""
+    release(docs)
     import public_tokenizers
 
     encoded = piece_lattice.encode(docs, public_tokenizers.path("piece_bpe_32k.model"))

@@ -41,8 +41,27 @@ class Stored:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+_WRITTEN: list[str] = []
+
+
 def new_path(spark: SparkSession) -> str:
-    return f"{scratch_dir(spark)}/{uuid.uuid4().hex}"
+    path = f"{scratch_dir(spark)}/{uuid.uuid4().hex}"
+    _WRITTEN.append(path)
+    return path
+
+
+def release(docs: DataFrame) -> None:
+    """Delete the intermediate tables that this process has written, but for those that `docs` reads.
+
+    For the start of a stage whose input is written: nothing that earlier stages kept for themselves is needed then.
+    """
+    spark = docs.sparkSession
+    needed = docs.inputFiles()
+    for name in list(_WRITTEN):
+        if not any(name.rsplit("/", 1)[1] in file for file in needed):
+            path = spark._jvm.org.apache.hadoop.fs.Path(name)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+            _WRITTEN.remove(name)
 
 
 def store(df: DataFrame) -> Stored:
