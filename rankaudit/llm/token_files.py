@@ -9,11 +9,14 @@ A reader fetches the table and the index, and then decompresses only the frames
 from __future__ import annotations
 
 import re
+import string
 import struct
 import uuid
 import zlib
+from collections import defaultdict
 from collections.abc import Iterator
 from functools import cache
+from itertools import chain, count
 
 import numpy as np
 import pyarrow as pa
@@ -25,13 +28,15 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import arrow_schema, batches_of, new_path, store
+from .chunks import CHUNKS_PER_BATCH, by_bucket, each_chunk, gathered, pack_strings, packed, unpack_strings, unpacked, with_answers
+from .common import arrow_schema, batches_of, grouped, new_path, store, store_bucketed, total_bytes, utf8
 
 #: Fixed values of the seekable format.
 SKIPPABLE_MAGIC, SEEKABLE_MAGIC, CHECKSUM_FLAG = 0x184D2A5E, 0x8F92EAB1, 0x80
 
 FRAME_IDS = 1 << 16
-FILE_SCHEMA = "file string, part int, rows bigint, tokens bigint"
+FILE_SCHEMA = "file string, part bigint, rows bigint, tokens bigint"
+CHUNK_BYTES, BUCKET_BYTES = 16 << 20, 16 << 20
 
 
 def _checksum(data: bytes) -> int:
@@ -119,14 +124,55 @@ class FrameReader:
         return whole[a - base : b - base]
 
 
-#: A space between two characters that are no white space always begins a token of the byte-level pattern,
-#: so what stands between two such spaces is encoded alike wherever it occurs.
-_CUT, _UNEVEN = re.compile(r"(?<=\S) (?=\S)"), re.compile(r"\s\s|^\s|\s$")
-MEMO = 300_000
+#: Between characters that are no white space, a space or a line break always begins a token of the byte-level pattern,
+#: so what stands between two of them is encoded alike wherever it occurs. A unit gets back the space before it, unless
+#: it starts with a line break or with one of two bytes that no text holds: the first unit of a text, a text as a whole.
+FIRST, WHOLE = b"\xff", b"\xfe"
+_RARE_SPACE = b"\t\r\x0b\x0c\x1c\x1d\x1e\x1f"
+_WIDE_SPACE = (b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a\x80", b"\xe2\x80", b"\xe2\x81\x9f", b"\xe3\x80\x80")
+_DOUBLE = (b"  ", b" \n", b"\n ", b"\n\n")
+_CUT = re.compile(r"(?<=\S) (?=\S)")
+#: Punctuation after a letter or digit begins a token, so it is split off before units are encoded.
+_TAIL = string.punctuation.encode()
+_TAILS = frozenset(_TAIL[i : i + 1] for i in range(len(_TAIL)))
+
+
+def _even(text: bytes) -> bool:
+    """Whether all white space is single spaces and line breaks inside the text; other texts are cut more carefully."""
+    if text[:1] in b" \n" or text[-1:] in b" \n" or len(text.translate(None, _RARE_SPACE)) < len(text):
+        return False
+    return not any(x in text for x in _DOUBLE) and (text.isascii() or not any(x in text for x in _WIDE_SPACE))
+
+
+def units(text: bytes, special: tuple[bytes, ...]) -> list[bytes]:
+    """Parts of a text that can be encoded each for itself."""
+    if not text:
+        return []
+    if any(x in text for x in special):
+        return [WHOLE + text]
+    if _even(text):
+        parts = text.replace(b"\n", b" \n").split(b" ")
+    else:
+        parts = [p.encode("utf-8") for p in _CUT.split(text.decode("utf-8"))]
+        parts[1:] = [WHOLE + b" " + p for p in parts[1:]]
+    parts[0] = FIRST + parts[0]
+    return parts
+
+
+def stem(unit: bytes) -> bytes:
+    """The unit without the punctuation that follows its last letter or digit."""
+    if unit[-1:] not in _TAILS or not unit[:1].isalnum():
+        return unit
+    short = unit.rstrip(_TAIL)
+    return short if short[-1:].isalnum() else unit
+
+
+def spelling(unit: bytes) -> str:
+    return (unit[1:] if unit[0] in (FIRST[0], WHOLE[0]) else unit if unit[:1] == b"\n" else b" " + unit).decode("utf-8")
 
 
 class Encoder:
-    """Byte-level BPE of whole texts with the tokenizers library; recurring units are encoded once."""
+    """Ids of distinct units with the tokenizers library."""
 
     def __init__(self, path: str):
         import os
@@ -134,31 +180,27 @@ class Encoder:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.memo = Tokenizer.from_file(path), {}
-        self.special = re.compile("|".join(re.escape(t.content) for t in self.tokenizer.get_added_tokens_decoder().values()) or r"(?!)")
-
-    def encode(self, texts: list[str]) -> list[np.ndarray]:
-        if len(self.memo) > MEMO:
-            self.memo = {}
-        memo, units = self.memo, []
-        for text in texts:
-            if self.special.search(text):
-                units.append(None)
-                continue
-            parts = _CUT.split(text) if _UNEVEN.search(text) else text.split(" ")
-            units.append([parts[0], *[" " + p for p in parts[1:]]])
-        new = list({u for parts in units if parts for u in parts if u not in memo})
-        for i in range(0, len(new), 50_000):
-            some = new[i : i + 50_000]
-            for unit, e in zip(some, self.tokenizer.encode_batch_fast(some, add_special_tokens=False)):
-                memo[unit] = np.array(e.ids, np.uint32).tobytes()
-        out = []
-        for text, parts in zip(texts, units):
-            if parts is None:
-                out.append(np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32))
-            else:
-                out.append(np.frombuffer(b"".join(map(memo.__getitem__, parts)), np.uint32))
-        return out
+        self.tokenizer = Tokenizer.from_file(path)
+        self.special = tuple(t.content.encode() for t in self.tokenizer.get_added_tokens_decoder().values())
+
+    def encode(self, own: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """Number of ids of each unit, and all ids one after the other."""
+        number: dict[str, int] = defaultdict(count().__next__)
+        parts = np.full((len(own), 2), -1, np.int64)  # of each unit: its stem and, where there is any, the punctuation after it
+        for i, unit in enumerate(own):
+            short = stem(unit)
+            parts[i, 0] = number[spelling(short)]
+            if len(short) < len(unit):
+                parts[i, 1] = number[unit[len(short):].decode()]
+        texts, lengths, flat = list(number), [], []
+        for i in range(0, len(texts), 20_000):
+            ids = [e.ids for e in self.tokenizer.encode_batch_fast(texts[i : i + 20_000], add_special_tokens=False)]
+            lengths.extend(map(len, ids))
+            flat.append(np.fromiter(chain.from_iterable(ids), "<u4"))
+        lengths = np.array([*lengths, 0], np.int64)  # the last one stands for no punctuation
+        starts = np.cumsum(lengths) - lengths
+        sizes = lengths[parts]
+        return sizes.sum(axis=1), gathered(np.concatenate([*flat, np.empty(0, "<u4")]), starts[parts].ravel(), sizes.ravel())
 
 
 @cache
@@ -167,6 +209,26 @@ def encoder_of(path: str) -> Encoder:
     return Encoder(path)
 
 
+def _number_units(texts: list[bytes], special: tuple[bytes, ...], buckets: int) -> tuple[list[tuple[int, bytes]], np.ndarray, np.ndarray]:
+    """The distinct units of a chunk packed by bucket, the units of its texts by number, and how many each text has.
+
+    Units are numbered in the order of the packed buckets, so answers that come back in that order need no lookup.
+    """
+    known: dict[bytes, int] = defaultdict(count().__next__)
+    documents = []
+    for text in texts:
+        own = units(text, special)
+        documents.append(np.fromiter(map(known.__getitem__, own), np.int32, len(own)))
+    names = list(known)
+    hashes = np.fromiter((xxhash.xxh64_intdigest(stem(u)) for u in names), np.uint64, len(names))
+    sent, number, n = [], np.zeros(len(names), np.int32), 0
+    for bucket, at in by_bucket(hashes, buckets):
+        sent.append((bucket, pack_strings([names[i] for i in at])))
+        number[at] = np.arange(n, n + len(at))
+        n += len(at)
+    return sent, number[np.concatenate([*documents, np.empty(0, np.int32)])], np.fromiter(map(len, documents), np.int64, len(documents))
+
+
 def _filesystem(uri: str) -> tuple[pafs.FileSystem, str]:
     return pafs.FileSystem.from_uri(uri)
 
@@ -176,43 +238,75 @@ def write_token_files(
 ) -> DataFrame:
     """Encode every text, in ascending order of the id, into files of the shared folder; return their manifest.
 
-    Null texts are empty, null ids come first, rows of one id are ordered by their text. A task writes one file
-    under a name of its own, and only files of the manifest are ever read, so a repeated task leaves no trace.
-    Ids must fit the width: 2 bytes for vocabularies up to 65,536.
+    Null texts are empty, null ids come first, rows of one id are ordered by their text. Distinct units of all texts are
+    encoded once, in hash buckets, and return to the chunks of documents. Each chunk becomes a file under a name of its
+    own, and only files of the manifest are ever read, so a repeated task leaves no trace. Ids must fit the width: 2 bytes
+    for vocabularies up to 65,536. An empty table has an empty manifest.
     """
     spark = docs.sparkSession
     batches_of(spark)
     folder = new_path(spark)
-    keys = [F.col("_id").asc_nulls_first(), F.col("_text")]
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total_bytes(docs, text_col)[1] // BUCKET_BYTES + 1)
     rows = docs.select(F.col(id_col).alias("_id"), F.coalesce(F.col(text_col), F.lit("")).alias("_text"))
-    sizes = [keys[0], F.xxhash64("_text")]
-    placed = rows.repartitionByRange(*sizes).sortWithinPartitions(keys[0], sizes[1], keys[1])
+    keys = [F.col("_id").asc_nulls_first(), F.xxhash64("_text")]
+    placed = rows.repartitionByRange(*keys).sortWithinPartitions(*keys, "_text")
+    schema = T.StructType([
+        T.StructField("chunk", T.LongType()), T.StructField("ids", T.ArrayType(docs.schema[id_col].dataType)), T.StructField("sizes", T.BinaryType()),
+        T.StructField("sequence", T.BinaryType()),
+        T.StructField("sent", T.ArrayType(T.StructType([T.StructField("bucket", T.IntegerType()), T.StructField("units", T.BinaryType())]))),
+    ])
+    arrow = arrow_schema(schema)
 
-    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, fs, out, writer, names = encoder_of(tokenizer), None, None, None, []
-        part = TaskContext.get().partitionId()
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            if writer is None:
-                fs, root = _filesystem(folder)
-                fs.create_dir(root)
-                path = f"{root}/part-{part:07d}-{uuid.uuid4().hex}.zst"
-                out = fs.open_output_stream(path, compression=None)
-                writer = FrameWriter(out, width)
-            for ids in encoder.encode(batch.column("_text").to_pylist()):
-                writer.add(ids if end_id is None else np.append(ids, np.uint32(end_id)))
-            names.append(batch.column("_id"))
-        if writer is not None:
-            writer.close(pa.concat_arrays(names))
-            out.close()
-            file = f"{folder}/{path.rsplit('/', 1)[1]}"
-            yield pa.RecordBatch.from_pydict({
-                "file": pa.array([file]), "part": pa.array([part], pa.int32()),
-                "rows": pa.array([len(writer.lengths)], pa.int64()), "tokens": pa.array([writer.tokens], pa.int64()),
-            })
-
-    return store(placed.mapInArrow(encode, FILE_SCHEMA)).df
+    def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, special = TaskContext.get().partitionId(), encoder_of(tokenizer).special
+        for k, held in enumerate(grouped(batches, "_text", CHUNK_BYTES)):
+            sent, sequence, sizes = _number_units(utf8(held["_text"].combine_chunks()), special, buckets)
+            ids = pa.ListArray.from_arrays(pa.array([0, held.num_rows], pa.int32()), held["_id"].combine_chunks())
+            yield pa.RecordBatch.from_arrays([
+                pa.array([part << 32 | k], pa.int64()), ids.cast(arrow.field("ids").type), pa.array([packed(sizes.tobytes())], pa.binary()),
+                pa.array([packed(sequence.tobytes(), 1)], pa.binary()), pa.array([[{"bucket": x, "units": y} for x, y in sent]], arrow.field("sent").type),
+            ], schema=arrow)
+
+    chunks = store_bucketed(placed.mapInArrow(number, schema), "chunk").df
+    batches_of(spark, CHUNKS_PER_BATCH)
+
+    def encode(group: pa.Table) -> pa.Table:
+        known: dict[bytes, int] = defaultdict(count().__next__)
+        places = []
+        for data in group["units"].to_pylist():
+            own = unpack_strings(data)
+            places.append(np.fromiter(map(known.__getitem__, own), np.int64, len(own)))
+        sizes, ids = encoder_of(tokenizer).encode(list(known))
+        starts = np.cumsum(sizes) - sizes
+        out = [(packed(sizes[p].astype("<u4").tobytes()), packed(gathered(ids, starts[p], sizes[p]).tobytes())) for p in places]
+        return pa.table({"chunk": group["chunk"], "bucket": group["bucket"], "lengths": pa.array([a for a, _ in out], pa.binary()),
+                         "ids": pa.array([b for _, b in out], pa.binary())})
+
+    sent = chunks.select("chunk", F.inline("sent"))
+    answers = store(sent.groupBy("bucket").applyInArrow(encode, "chunk bigint, bucket int, lengths binary, ids binary")).df
+
+    def write(row: dict) -> Iterator[pa.RecordBatch]:
+        back = sorted(row["answers"] or (), key=lambda x: x["bucket"])
+        lengths = np.concatenate([*(np.frombuffer(unpacked(x["lengths"]), "<u4") for x in back), np.empty(0, "<u4")]).astype(np.int64)
+        ids = np.concatenate([*(np.frombuffer(unpacked(x["ids"]), "<u4") for x in back), np.array([end_id or 0], "<u4")])
+        starts = np.cumsum(lengths) - lengths
+        sequence, sizes = np.frombuffer(unpacked(row["sequence"]), np.int32), np.frombuffer(unpacked(row["sizes"]), np.int64)
+        limits = np.concatenate([[0], np.cumsum(sizes)]).tolist()
+        fs, root = _filesystem(folder)
+        fs.create_dir(root)
+        name = f"chunk-{row['chunk']:020d}-{uuid.uuid4().hex}.zst"
+        with fs.open_output_stream(f"{root}/{name}", compression=None) as out:
+            writer = FrameWriter(out, width)
+            for document in (sequence[a:b] for a, b in zip(limits, limits[1:])):
+                own_ids = gathered(ids, starts[document], lengths[document])
+                writer.add(own_ids if end_id is None else np.append(own_ids, ids[-1]))
+            writer.close(row["ids"])
+        yield pa.RecordBatch.from_pydict({
+            "file": pa.array([f"{folder}/{name}"]), "part": pa.array([row["chunk"]], pa.int64()),
+            "rows": pa.array([len(writer.lengths)], pa.int64()), "tokens": pa.array([writer.tokens], pa.int64()),
+        })
+
+    return store(each_chunk(with_answers(chunks.drop("sent"), answers=answers), write, FILE_SCHEMA)).df
 
 
 def read_token_files(manifest: DataFrame, id_type: T.DataType, with_ids: bool = False) -> DataFrame:
