@@ -33,6 +33,8 @@ LEAF = 16
 BUCKET_BYTES = 8 << 20
 #: Bits of the filter on the texts to move; a fixed size, whatever the corpus.
 FILTER_BITS = 1 << 24
+#: Further turns of early links, each with new heads, among the classes that share a least hash with more than `CROWD` - 1 others.
+TURNS, CROWD = 4, 32
 _STEP, _SECOND = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xD6E8FEB86659FD93)
 
 
@@ -340,13 +342,27 @@ def near_groups(
     points = store(filled.select("row", "n", "least", "counts").join(reps.select("row", "class"), "row").drop("row")).df
 
     keyed = points.select("class", "n", "counts", F.posexplode("least").alias("which", "key"))
-    least = keyed.groupBy("which", "key").agg(F.min_by(F.struct("class", "n", "counts"), "class").alias("head"), F.count(F.lit(1)).alias("m")).where("m > 1")
-    stars = keyed.join(least.drop("m"), ["which", "key"]).where(F.col("class") != F.col("head.class"))
-    possible = _passes(F.col("n"), F.col("head.n"), percent)
-    stars = stars.where(possible & ((100 + percent) * _bound(F.col("counts"), F.col("head.counts")) >= percent * (F.col("n") + F.col("head.n"))))
-    pairs = store(stars.select(F.col("head.class").alias("a"), F.col("class").alias("b")).distinct()).df
+
+    def stars(roots: DataFrame | None, order: Column, crowd: int) -> DataFrame:
+        """Pairs of the head of each least hash with the classes of other components that the bound leaves possible."""
+        placed = keyed.withColumn("root", F.col("class")) if roots is None else keyed.join(
+            roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
+        heads = placed.groupBy("which", "key").agg(F.min_by(F.struct("class", "n", "counts", "root"), order).alias("head"), F.count(F.lit(1)).alias("m"))
+        met = placed.join(heads.where(F.col("m") >= crowd).drop("m"), ["which", "key"]).where(F.col("root") != F.col("head.root"))
+        bound = (100 + percent) * _bound(F.col("counts"), F.col("head.counts")) >= percent * (F.col("n") + F.col("head.n"))
+        possible = met.where(_passes(F.col("n"), F.col("head.n"), percent) & bound)
+        return possible.select(F.least("head.class", "class").alias("a"), F.greatest("head.class", "class").alias("b")).distinct()
+
+    pairs = store(stars(None, F.col("class"), 2)).df
     links = store(verified(pairs, reps, sketches, size, percent)).df
     roots = components(links)
+    for turn in range(TURNS):
+        more = store(stars(roots, F.xxhash64(F.lit(turn), "class"), CROWD).join(pairs, ["a", "b"], "left_anti")).df
+        if more.isEmpty():
+            break
+        pairs = pairs.unionByName(more)
+        links = store(links.unionByName(verified(more, reps, sketches, size, percent))).df
+        roots = components(links)
 
     shared = store(_shared_firsts(sketches, buckets).join(roots.withColumnRenamed("node", "class"), "class", "left")
                    .withColumn("root", F.coalesce("root", "class"))).df
