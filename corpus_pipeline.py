@@ -14,6 +14,8 @@ from rankaudit.llm.common import release, store, table
 from rankaudit.llm.queries import remainder
 
 THRESHOLD = 0.3
+#: Words of a shingle and hundredths of the Jaccard similarity for near copies; those of op9 hold for that query only.
+NEAR_WORDS, NEAR_PERCENT = 5, 80
 _KEY = "_pipeline_key"
 
 
@@ -41,10 +43,10 @@ def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least id of each group of near copies; texts without words stay."""
+    """The document with the least id of each group under links of similarity 0.8 or more of five-word shingles; texts without words stay."""
     release(docs)
     keyed = _keyed(docs)
-    groups = jaccard_join.near_groups(keyed, _KEY)
+    groups = jaccard_join.near_groups(keyed, _KEY, size=NEAR_WORDS, percent=NEAR_PERCENT)
     return _by_key(keyed, groups.where(F.col(_KEY).eqNullSafe(F.col("component_id"))), "left_semi")
 
 

@@ -85,8 +85,8 @@ def shingle_set(text, n=4):
     return {tuple(words[i : i + n]) for i in range(max(1, len(words) - n + 1))}
 
 
-def components(rows, percent=85):
-    sets = [(k, shingle_set(t)) for k, t in rows]
+def components(rows, percent=85, n=4):
+    sets = [(k, shingle_set(t, n)) for k, t in rows]
     parent = list(range(len(sets)))
 
     def root(i):

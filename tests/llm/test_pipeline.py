@@ -33,3 +33,16 @@ def test_run(spark, sf_dir):
     assert [name for name, _ in corpus_pipeline.STAGES][0] == "toxicity"
     done = corpus_pipeline.run(spark, sf_dir)
     assert done.columns == ["doc_id", "n_pieces", "ids"] and 0 < done.count() < spark.read.parquet(f"{sf_dir}/documents.parquet").count()
+
+
+def test_near_copies_of_five_words(spark, sf_dir, small):
+    word = lambda i: f"w{i}"
+    base = [word(i) for i in range(100)]
+    changed = lambda *at: " ".join("other" + w if i in at else w for i, w in enumerate(base))
+    rows = [(1, changed()), (2, changed(20, 60)), (3, changed(20, 60, 80)), (4, changed(10, 30, 50, 70, 90))]
+    rows += [(10, " ".join(map(word, range(200, 213)))), (11, " ".join(map(word, range(200, 212))) + " end"), (12, "w1 w2 w3 w4"), (13, "w1 w2 w3"), (14, None)]
+    rows += [(100 + i, t) for i, (_, t) in enumerate(small[1])]
+    least = sorted(k for k, _, c in brute.components(rows, 80, 5) if k == c)
+    assert least != sorted(k for k, _, c in brute.components(rows) if k == c)
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert sorted(k for k, _ in rows_of(corpus_pipeline.drop_near_copies(spark, docs, sf_dir))) == least
