@@ -1,7 +1,7 @@
 """A corpus pipeline over `documents`: five stages, each written as Parquet and read again by the next.
 
 Each stage first deletes what earlier stages kept for themselves. Toxic documents go, then exact copies, then all but one document of each group of near copies, then documents that
-hold passages of the benchmark; what is left is encoded in pieces.
+hold passages of the benchmark; what is left is encoded in pieces, which are decoded again and compared.
 """
 
 from __future__ import annotations
@@ -59,12 +59,20 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Piece ids of every document that is left; no ids for null and empty texts."""
+    """Piece ids of every document that is left; no ids for null and empty texts.
+
+    All ids are decoded again. A row whose ids do not spell its text (the mark U+2581 counts as a space) fails the stage.
+    """
     release(docs)
     import public_tokenizers
 
-    encoded = piece_lattice.encode(docs, public_tokenizers.path("piece_bpe_32k.model"))
-    return encoded.select("doc_id", F.size("ids").cast("bigint").alias("n_pieces"), "ids")
+    path = public_tokenizers.path("piece_bpe_32k.model")
+    digest = lambda text: F.xxhash64(F.coalesce(text, F.lit("")))
+    keyed = docs.withColumn(_KEY, F.struct(F.col("doc_id").alias("id"), digest(F.translate("text", piece_lattice.MARK, " ")).alias("hash")))
+    decoded = piece_lattice.decode(piece_lattice.encode(keyed, path, _KEY), path)
+    same = digest(F.col("text")) == F.col(_KEY)["hash"]
+    ids = F.when(same, F.col("ids")).otherwise(F.raise_error(F.lit("the ids of a document do not decode to its text")))
+    return decoded.select(F.col(_KEY)["id"].alias("doc_id"), F.size("ids").cast("bigint").alias("n_pieces"), ids.alias("ids"))
 
 
 STAGES = [

@@ -46,3 +46,19 @@ def test_near_copies_of_five_words(spark, sf_dir, small):
     assert least != sorted(k for k, _, c in brute.components(rows) if k == c)
     docs = spark.createDataFrame(rows, "doc_id bigint, text string")
     assert sorted(k for k, _ in rows_of(corpus_pipeline.drop_near_copies(spark, docs, sf_dir))) == least
+
+
+def test_pieces_are_decoded_again(spark, sf_dir, monkeypatch):
+    from pyspark.sql import functions as F
+
+    rows = [(1, "plain words"), (1, "plain words"), (2, None), (3, ""), (None, " \u2581 marks\u2581and  spaces\n"), (4, "\u65e5\u672c\u8a9e \U0001f600 \u00e9")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    encode = corpus_pipeline.piece_lattice.encode
+    done = corpus_pipeline.encode_pieces(spark, docs, sf_dir)
+    assert done.columns == ["doc_id", "n_pieces", "ids"]
+    assert sorted((r["doc_id"] or 0, r["n_pieces"] > 0, len(r["ids"]) == r["n_pieces"]) for r in done.collect()) == [
+        (0, True, True), (1, True, True), (1, True, True), (2, False, True), (3, False, True), (4, True, True)]
+    cut = F.expr("slice(ids, 1, greatest(size(ids) - 1, 0))")
+    monkeypatch.setattr(corpus_pipeline.piece_lattice, "encode", lambda *a, **b: encode(*a, **b).withColumn("ids", cut))
+    with pytest.raises(Exception, match="do not decode"):
+        corpus_pipeline.encode_pieces(spark, docs, sf_dir).collect()
