@@ -27,6 +27,8 @@ _KEPT = bytes(range(0x30, 0x3A)) + bytes(range(0x61, 0x7B)) + bytes(range(0x80,
 _FOLD = bytes(x if (x := bytes([i]).lower()[0]) in _KEPT else 32 for i in range(256))
 
 WINDOW = 10
+#: Words by which a term may lie off its place in a near match.
+SLOP = 2
 SEGMENT_BYTES = 4 << 20
 BLOCK_BYTES = 8 << 20
 

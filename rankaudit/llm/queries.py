@@ -37,6 +37,23 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query
+def op5_near_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Near matches of every document: windows of ten words of a benchmark item whose terms all lie within two words of their place.
+
+    n_near counts pairs of a window and a place of its rarest term; an exact occurrence is one of them. only_near tells documents
+    without an exact one.
+    """
+    found = positional_index.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), slop=positional_index.SLOP)
+    near = found.withColumn("near", F.filter("matches", lambda m: m["kind"] == "near"))
+    names = F.array_distinct(F.flatten(F.transform("near", lambda m: m["items"])))
+    near = near.withColumn("names", F.array_sort(F.transform(names, lambda x: x.cast("string"))))
+    return near.select(
+        "doc_id", "n_words", F.size("near").cast("bigint").alias("n_near"), F.size("names").cast("bigint").alias("n_items"),
+        F.sha2(F.array_join("names", ","), 256).alias("items_sha256"), ((F.size("near") > 0) & (F.col("n_hit") == 0)).alias("only_near"),
+    )
+
+
 @query
 def op7_external_shuffle(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents in 16 shards of a random permutation; row counts are at most one apart."""

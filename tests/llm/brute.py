@@ -56,6 +56,30 @@ def leaks(rows, items, window=10):
     return out
 
 
+def near_leaks(rows, items, window=10, slop=2):
+    texts = [(k, LEAK_WORD.findall(lower(t or ""))) for k, t in rows]
+    often = Counter(w for _, words in texts for w in words)
+    windows = defaultdict(set)
+    for k, t in items:
+        w = LEAK_WORD.findall(lower(t or ""))
+        for i in range(max(1, len(w) - window + 1) if w else 0):
+            windows[tuple(w[i : i + window])].add(str(k))
+    exact = {k: x[5] for k, x in enumerate(leaks(rows, items, window))}
+    out = []
+    for row, (k, words) in enumerate(texts):
+        n, names, own = 0, set(), set(words)
+        for win, owners in windows.items():
+            if not own.issuperset(win):
+                continue
+            first = min(range(len(win)), key=lambda i: (often[win[i]], i))
+            for p in (p for p, w in enumerate(words) if w == win[first]):
+                spans = (words[max(0, p + i - first - slop) : max(0, p + i - first + slop + 1)] for i in range(len(win)))
+                if all(w in span for w, span in zip(win, spans)):
+                    n, names = n + 1, names | owners
+        out.append((k, len(words), n, len(names), sha(",".join(sorted(names))), bool(n) and not exact[row]))
+    return out
+
+
 def token_files(rows, tokenizer, end=0):
     out, start = [], 0
     for k, text in sorted(rows, key=lambda r: r[0]):

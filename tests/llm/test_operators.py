@@ -151,6 +151,21 @@ def test_near_matches_allow_moved_words(spark):
     assert {k: r.n_hit for k, r in found.items()} == {1: 4, 2: 0, 3: 0}
 
 
+def test_near_matches_of_the_registered_query(spark, small, tmp_path):
+    from rankaudit.llm.queries import QUERIES
+
+    df, rows = small
+    words = passages()[1].split(" ")
+    swapped = [*words[:20], words[21], words[20], *words[22:40]]
+    moved = [(70, " ".join(["lead", *swapped, "tail"])), (71, " ".join(words[44:50] + ["between"] + words[50:56])), (72, " ".join(words[44:49] + ["a", "b", "c"] + words[49:54]))]
+    items = [(1, " ".join(words)), (2, "one"), (3, None), (4, "Words, two"), (5, " ".join(words[44:54]).upper())]
+    df.select("doc_id", "text").unionByName(spark.createDataFrame(moved, "doc_id bigint, text string")).write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame(items, "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    found = got(QUERIES["op5_near_matches"](spark, str(tmp_path)), "doc_id", "n_words", "n_near", "n_items", "items_sha256", "only_near")
+    assert found == expected(brute.near_leaks(rows + moved, items))
+    assert {k: only for k, *_, only in found}[71] and {k: n for k, _, n, *_ in found}[72] == 0
+
+
 # ---- substrings ---------------------------------------------------------------------
 
 
