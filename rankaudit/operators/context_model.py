@@ -30,7 +30,8 @@ def train(corpus: DataFrame, weight: str | None = None, smoothing: float = 1.0,
     """Table (left, right, residue, log_p) for every seen context and every residue.
 
     P = (count + pull * P_left) / (context count + pull), where P_left backs off to the
-    left neighbour alone with additive smoothing.
+    left neighbour alone with additive smoothing. Rows with a null `right` hold P_left, for pairs never
+    seen; those with a null `left` too are uniform, for left neighbours never seen.
     """
     share = F.col(weight) if weight else F.lit(1)
     kept = [weight] if weight else []
@@ -49,7 +50,13 @@ def train(corpus: DataFrame, weight: str | None = None, smoothing: float = 1.0,
         F.col("left_total") + F.lit(smoothing * len(ALPHABET))
     )
     p = (F.coalesce("n", F.lit(0)) + F.lit(pull) * p_left) / (F.col("context_n") + F.lit(pull))
-    return joined.select("left", "right", "residue", F.log(p).alias("log_p"))
+    no = F.lit(None).cast("string")
+    one_sided = left_total.select("left", "left_total", letters).join(by_left, ["left", "residue"], "left")
+    one_sided = one_sided.select("left", no.alias("right"), "residue", F.log(p_left).alias("log_p"))
+    uniform = corpus.sparkSession.range(1).select(letters).select(
+        no.alias("left"), no.alias("right"), "residue", F.log(F.lit(1.0 / len(ALPHABET))).alias("log_p")
+    )
+    return joined.select("left", "right", "residue", F.log(p).alias("log_p")).unionByName(one_sided).unionByName(uniform)
 
 
 _UNSEEN = -3.0
@@ -73,11 +80,16 @@ def log_likelihood(df: DataFrame, model: DataFrame) -> DataFrame:
 def top_substitutions(parents: DataFrame, model: DataFrame, n: int) -> DataFrame:
     """Best n other residues per (parent, position) by conditional log-probability.
 
-    The choice depends only on (left, residue, right), so it is ranked once per context.
+    The choice depends only on (left, residue, right), so it is ranked once per context. Pairs of neighbours
+    that the model has not seen take the rows of their left neighbour, or the uniform ones.
     """
     places = positions(parents.select("sequence").distinct(), ["sequence"])
-    options = model.select("left", "right", F.col("residue").alias("substitute"), "log_p")
-    contexts = places.select("left", "right", "residue").distinct().join(options, ["left", "right"])
+    options = model.select(F.col("left").alias("_l"), F.col("right").alias("_r"), F.col("residue").alias("substitute"), "log_p")
+    lefts = model.where("left IS NOT NULL").select("left", F.col("left").alias("_from")).distinct()
+    pairs = model.where("right IS NOT NULL").select("left", "right", F.col("right").alias("_to")).distinct()
+    contexts = places.select("left", "right", "residue").distinct().join(lefts, "left", "left").join(pairs, ["left", "right"], "left")
+    contexts = contexts.join(options, F.col("_from").eqNullSafe(F.col("_l")) & F.col("_to").eqNullSafe(F.col("_r")))
+    contexts = contexts.select("left", "right", "residue", "substitute", "log_p")
     others = contexts.where(F.col("substitute") != F.col("residue"))
     best = top_per_group(others, ["left", "right", "residue"], [F.col("log_p").desc(), F.col("substitute")], n, "choice")
     return places.join(best, ["left", "right", "residue"]).select(

@@ -1,5 +1,6 @@
 """Operators against brute force, invariants and published summaries."""
 
+import math
 import random
 from collections import Counter
 
@@ -254,6 +255,17 @@ def test_context_model_is_a_distribution(spark):
     assert scored["VPP"].mean_ll == pytest.approx(scored["VPP"].total_ll / 3) and scored["AXA"].total_ll == float("-inf")
 
 
+def test_substitutions_of_contexts_never_seen(spark):
+    df = spark.createDataFrame([("VPPK", 3), ("ACDE", 1), ("VPP", 2)], "sequence string, n int")
+    parents = spark.createDataFrame([("VAE",), ("VPP",), ("WYA",)], "sequence string")
+    rows = context_model.top_substitutions(parents, context_model.train(df, "n"), 2).collect()
+    assert sorted((r.sequence, r.position, r.choice) for r in rows) == sorted((s, i, c) for s in ("VAE", "VPP", "WYA") for i in (1, 2, 3) for c in (1, 2))
+    found = {(r.sequence, r.position, r.choice): (r.substitute, r.log_p) for r in rows}
+    # After V: P with 5 of 5, plus one each of 20; W is no left neighbour.
+    assert found[("VAE", 2, 1)] == ("P", pytest.approx(math.log(6 / 25))) and found[("VAE", 2, 2)] == ("C", pytest.approx(math.log(1 / 25)))
+    assert found[("WYA", 2, 1)] == ("A", pytest.approx(math.log(1 / 20)))
+
+
 def test_variants_prefer_single_edits(spark):
     df = spark.createDataFrame([("VPPK", 3), ("ACDE", 1), ("VPP", 2)], "sequence string, n int")
     parents = df.select("sequence", F.col("sequence").alias("parent_order"))
