@@ -43,4 +43,12 @@ links AS (SELECT x, y FROM (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c F
 reach AS (SELECT doc_id AS x, doc_id AS y FROM d UNION SELECT r.x, l.y FROM reach r JOIN links l ON r.y = l.x)
 SELECT d.doc_id, coalesce(n.n, 0) AS n_shingles, component_id FROM d LEFT JOIN n USING (doc_id) JOIN (SELECT x AS doc_id, min(y) AS component_id FROM reach GROUP BY 1) USING (doc_id)"""
 
-ORACLE = {"op2_substring_dedup": REPEATS, "op5_decontamination": LEAKS, "op9_jaccard_join": NEAR, "op10_content_sort": COPIES}
+LINES = f"""WITH d AS (SELECT doc_id, string_split(coalesce(text, ''), chr(10)) AS w FROM documents),
+l AS (SELECT doc_id, unnest(w) AS line, generate_subscripts(w, 1) AS p FROM d),
+k AS (SELECT *, {LOWER.format("trim(line, ' ' || chr(9) || chr(10) || chr(11) || chr(12) || chr(13))")} AS key FROM l),
+shared AS (SELECT key, max(doc_id) AS keeper FROM k WHERE length(key) >= 20 GROUP BY 1 HAVING count(DISTINCT doc_id) >= 3),
+kept AS (SELECT doc_id, p, line, keeper IS NULL OR keeper = doc_id AS stays FROM k LEFT JOIN shared USING (key))
+SELECT doc_id, count(*) AS n_lines, count(*) FILTER (NOT stays) AS n_dropped,
+  sha256(coalesce(string_agg(line, chr(10) ORDER BY p) FILTER (stays), '')) AS kept_sha256 FROM kept GROUP BY 1"""
+
+ORACLE = {"op12_line_bitmaps": LINES, "op2_substring_dedup": REPEATS, "op5_decontamination": LEAKS, "op9_jaccard_join": NEAR, "op10_content_sort": COPIES}
