@@ -51,4 +51,45 @@ kept AS (SELECT doc_id, p, line, keeper IS NULL OR keeper = doc_id AS stays FROM
 SELECT doc_id, count(*) AS n_lines, count(*) FILTER (NOT stays) AS n_dropped,
   sha256(coalesce(string_agg(line, chr(10) ORDER BY p) FILTER (stays), '')) AS kept_sha256 FROM kept GROUP BY 1"""
 
-ORACLE = {"op12_line_bitmaps": LINES, "op2_substring_dedup": REPEATS, "op5_decontamination": LEAKS, "op9_jaccard_join": NEAR, "op10_content_sort": COPIES}
+#: crc32 of ASCII text k, bit by bit.
+CRC = """xor(list_reduce(list_prepend(4294967295::BIGINT, list_transform(string_split(k, ''), lambda c: ord(c)::BIGINT)),
+  lambda a, b: list_reduce(list_prepend(xor(a, b), range(8)), lambda x, j: xor(x >> 1, (x & 1) * 3988292384))), 4294967295::BIGINT)"""
+
+REPAIRS = rf"""WITH RECURSIVE keyed AS (SELECT *, coalesce(CAST(conv_id AS VARCHAR), ' ') || ':' || coalesce(CAST(turn AS VARCHAR), ' ') AS k FROM conversations),
+raw AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text, {CRC} % 20 AS r FROM keyed),
+harmed AS (SELECT conv_id, turn, CASE r WHEN 4 THEN 'user' ELSE role END AS role,
+  CASE r WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text, CASE r WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END AS copies FROM raw),
+m AS (SELECT conv_id, turn, role, text, unnest(range(copies)) AS c FROM harmed),
+placed AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, sha256(text), c) AS i,
+  row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST, c) AS seen FROM m),
+coded AS (SELECT *, left(role, 1) AS initial, CASE WHEN NOT regexp_matches(text, '[^ 	-
+]') THEN 'blank' WHEN seen > 1 THEN 'duplicate'
+  WHEN NOT regexp_matches(text, '[.!?][ 	-
+]*$') THEN 'truncated' ELSE '' END AS fault FROM placed),
+near AS (SELECT *, lag(initial) OVER (PARTITION BY conv_id ORDER BY i) || initial AS pair FROM coded),
+faults AS (SELECT conv_id, count(*) AS n, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank,
+  count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal FROM near GROUP BY 1),
+ins(q, q2, spent, marks, said) AS (VALUES ('-', '-', 0, '', ''), ('s', 's', 0, '', ''), ('u', 'u', 0, '', ''), ('a', 'a', 0, '', ''),
+  ('-', 'u', 3, 'I', chr(10) || 'user:'), ('s', 'u', 3, 'I', chr(10) || 'user:'), ('a', 'u', 3, 'I', chr(10) || 'user:'), ('u', 'a', 3, 'I', chr(10) || 'assistant:'),
+  ('-', 'a', 6, 'II', chr(10) || 'user:' || chr(10) || 'assistant:'), ('s', 'a', 6, 'II', chr(10) || 'user:' || chr(10) || 'assistant:'),
+  ('a', 'a', 6, 'II', chr(10) || 'user:' || chr(10) || 'assistant:'), ('u', 'u', 6, 'II', chr(10) || 'assistant:' || chr(10) || 'user:')),
+follows(q2, role_next, name) AS (VALUES ('-', 'u', 'user'), ('s', 'u', 'user'), ('a', 'u', 'user'), ('u', 'a', 'assistant')),
+edits(e) AS (VALUES ('D'), ('K'), ('R')),
+best(conv_id, i, q, cost, audit, said) AS (
+  SELECT DISTINCT conv_id, 0::BIGINT, '-', 0, '', '' FROM conversations
+  UNION ALL
+  SELECT conv_id, i, q, cost, audit, said FROM (
+    SELECT *, row_number() OVER (PARTITION BY conv_id, q ORDER BY cost, audit) AS place FROM (
+      SELECT c.conv_id, c.i, CASE e WHEN 'D' THEN ins.q2 WHEN 'R' THEN role_next ELSE initial END AS q,
+        b.cost + spent + CASE e WHEN 'D' THEN 4 WHEN 'R' THEN 3 ELSE 0 END + CASE WHEN e <> 'D' AND fault = 'truncated' THEN 3 ELSE 0 END AS cost,
+        b.audit || marks || e AS audit,
+        b.said || ins.said || CASE e WHEN 'D' THEN '' ELSE chr(10) || CASE e WHEN 'R' THEN name ELSE role END || ':' || text END AS said
+      FROM best b JOIN coded c ON c.conv_id IS NOT DISTINCT FROM b.conv_id AND c.i = b.i + 1 JOIN ins ON ins.q = b.q JOIN follows ON follows.q2 = ins.q2, edits
+      WHERE e = 'D' OR (fault NOT IN ('blank', 'duplicate') AND (e = 'R' OR initial = role_next OR (initial = 's' AND ins.q2 = '-'))))) WHERE place = 1),
+whole AS (SELECT b.conv_id, n, gaps, blank, duplicate, truncated, illegal, b.cost + spent AS cost, b.audit || marks AS audit, b.said || ins.said AS said,
+  row_number() OVER (PARTITION BY b.conv_id ORDER BY b.cost + spent, b.audit || marks) AS place
+  FROM best b JOIN ins ON ins.q = b.q LEFT JOIN faults f ON f.conv_id IS NOT DISTINCT FROM b.conv_id WHERE b.i = coalesce(n, 0) AND ins.q2 IN ('-', 'a'))
+SELECT conv_id, CAST(coalesce(gaps, 0) AS BIGINT) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated,
+  coalesce(illegal, 0) AS illegal, CAST(cost AS BIGINT) AS cost, audit, sha256(substr(said, 2)) AS repaired_sha256 FROM whole WHERE place = 1"""
+
+ORACLE = {"op13_conversation_repair": REPAIRS, "op12_line_bitmaps": LINES, "op2_substring_dedup": REPEATS, "op5_decontamination": LEAKS, "op9_jaccard_join": NEAR, "op10_content_sort": COPIES}

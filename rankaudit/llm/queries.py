@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import content_sort, external_shuffle, jaccard_join, lattice_model, line_bitmaps, piece_lattice, positional_index, rank_profiles, substrings, token_files, toxicity
+from . import content_sort, conversation_repair, external_shuffle, jaccard_join, lattice_model, line_bitmaps, piece_lattice, positional_index, rank_profiles, substrings, token_files, toxicity
 from .common import table
 from .oracles import ORACLE  # noqa: F401
 
@@ -134,3 +134,10 @@ def op12_line_bitmaps(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Lines of every document that three documents or more share and a larger doc_id keeps; the digest is of the text that the bitmap leaves."""
     found = line_bitmaps.keep_bitmaps(table(spark, sf_dir, "documents"), with_text=True)
     return found.select("doc_id", "n_lines", "n_dropped", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
+@query
+def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Faults of every conversation after planted damage, and its cheapest repair."""
+    rows = conversation_repair.damaged(table(spark, sf_dir, "conversations"))
+    return conversation_repair.with_digests(rows, conversation_repair.plan_repairs(rows)).withColumnRenamed("conv", "conv_id")
