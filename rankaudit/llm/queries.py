@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import content_sort, conversation_repair, external_shuffle, jaccard_join, lattice_model, line_bitmaps, piece_lattice, positional_index, rank_profiles, substrings, token_files, toxicity
+from . import content_sort, conversation_repair, external_shuffle, feast_whitening, jaccard_join, lattice_model, line_bitmaps, piece_lattice, positional_index, rank_profiles, substrings, token_files, toxicity
 from .common import table
 from .oracles import ORACLE  # noqa: F401
 
@@ -141,3 +141,10 @@ def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Faults of every conversation after planted damage, and its cheapest repair."""
     rows = conversation_repair.damaged(table(spark, sf_dir, "conversations"))
     return conversation_repair.with_digests(rows, conversation_repair.plan_repairs(rows)).withColumnRenamed("conv", "conv_id")
+
+
+@query
+def op11_feast_whitening(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every vector on the first eight principal components of the whole table, scaled to unit variance; a deviation beyond a long is null."""
+    found = feast_whitening.whiten(table(spark, sf_dir, "embeddings"))
+    return found.withColumn("deviation", F.expr("try_cast(deviation AS bigint)"))
