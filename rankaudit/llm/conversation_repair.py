@@ -248,7 +248,7 @@ def plan_repairs(rows: DataFrame, block: int = BLOCK) -> DataFrame:
     turns between the first and the last (`gaps`), blank, repeated and truncated messages (each by its first fault in this
     order) and neighbours whose roles may not follow each other (`illegal`). The audit has a letter for every edit: Keep,
     Delete, Insert, Rerole. Kept and inserted messages are an optional system message, then user and assistant in turns,
-    ending with an assistant, or nothing at all. Of repairs of the same cost the audit that comes first in ASCII order is
+    ending with an assistant, or nothing at all; an empty role fits nowhere. Of repairs of the same cost the audit that comes first in ASCII order is
     taken. Conversations without messages (all dropped) have zeros and an empty audit; a null id is one conversation;
     identical rows are copies of one message; other columns are ignored. An empty table gives no rows.
     """

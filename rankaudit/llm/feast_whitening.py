@@ -171,14 +171,34 @@ def _cut(v: np.ndarray, low: float, high: float, wanted: int) -> tuple[float, in
     return (end + a) / 2, count
 
 
+def rounding(v: np.ndarray) -> float:
+    """Eigenvalues up to this size are zero as far as doubles tell."""
+    return len(v) * np.finfo(float).eps * float(np.abs(v).sum(axis=1).max())
+
+
+def _top(v: np.ndarray, above: int, low: float, high: float) -> float:
+    """A place at most a hundredth over the greatest eigenvalue below `high`, which has `above` eigenvalues over it."""
+    while high - low > 0.01 * high:
+        middle = (low + high) / 2
+        if count_above(v, middle) > above:
+            low = middle
+        else:
+            high = middle
+    return high
+
+
 def intervals(v: np.ndarray, wanted: int) -> list[tuple[float, float, int]]:
-    """Intervals from the greatest eigenvalue down, each with its inertia count, that hold `wanted` eigenvalues or more."""
-    radius = np.abs(v).sum(axis=1)
-    high, low = float(radius.max()) * (1 + 1e-9) + 1e-300, -float(radius.max()) * (1 + 1e-9) - 1e-300
-    found, above = [], 0
+    """Intervals from the greatest eigenvalue down, each with its inertia count, that hold `wanted` positive eigenvalues or more, or all.
+
+    An interval reaches down to about a quarter of its greatest eigenvalue, so none is at the rim of a circle far wider than itself.
+    """
+    low, high = rounding(v), float(np.abs(v).sum(axis=1).max()) * 1.01
+    wanted, found, above = min(wanted, count_above(v, low)), [], 0
     while above < wanted:
-        cut, count = _cut(v, low, high, min(wanted, above + SLICE))
-        found.append((cut, high, count - above))
+        top = _top(v, above, low, high)
+        near = max(above + 1, count_above(v, max(low, top / 4)))
+        cut, count = _cut(v, low, top, min(wanted, above + SLICE, near))
+        found.append((cut, min(high, 1.25 * top), count - above))
         above, high = count, cut
     return found
 
@@ -223,14 +243,15 @@ def leading_components(v: np.ndarray, wanted: int) -> tuple[np.ndarray, np.ndarr
     """The `wanted` greatest eigenvalues and their unit vectors as columns; values of zero, up to rounding, are left out."""
     if not len(v) or not np.abs(v).max() > 0:
         return np.empty(0), np.empty((len(v), 0))
-    found = [eigenpairs(v, low, high, count) for low, high, count in intervals(v, min(wanted, len(v)))]
+    found = [eigenpairs(v, low, high, count) for low, high, count in intervals(v, wanted)]
+    if not found:
+        return np.empty(0), np.empty((len(v), 0))
     values, vectors = np.concatenate([x[0] for x in found]), np.concatenate([x[1] for x in found], axis=1)
     # Over the intervals together once more, so that vectors of neighbouring intervals are at right angles to rounding.
     basis, _ = np.linalg.qr(vectors)
     values, turned = np.linalg.eigh(basis.T @ v @ basis)
     values, vectors = values[::-1][:wanted], (basis @ turned)[:, ::-1][:, :wanted]
-    real = values > len(v) * np.finfo(float).eps * values[0]
-    return values[real], vectors[:, real] / np.linalg.norm(vectors[:, real], axis=0)
+    return values, vectors / np.linalg.norm(vectors, axis=0)
 
 
 # ---- whitening --------------------------------------------------------------------------

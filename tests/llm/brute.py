@@ -128,3 +128,97 @@ def components(rows, percent=85, n=4):
         r = root(i)
         least[r] = k if least.get(r) is None else min(least[r], k) if k is not None else least[r]
     return [(k, len(s), least[root(i)] if s else k) for i, (k, s) in enumerate(sets)]
+
+
+def shared_lines(rows, min_chars=20, min_documents=3):
+    split = [(k, (t or "").split("\n")) for k, t in rows]
+    key = lambda line: lower(line.strip(" \t\n\x0b\x0c\r"))
+    holders = defaultdict(set)
+    for k, lines in split:
+        for line in lines:
+            if len(key(line)) >= min_chars:
+                holders[key(line)].add(k)
+    keeper = {x: max(own, key=lambda k: (k is not None, k if k is not None else 0)) for x, own in holders.items() if len(own) >= min_documents}
+    out = []
+    for k, lines in split:
+        kept = [line for line in lines if key(line) not in keeper or keeper[key(line)] == k]
+        out.append((k, len(lines), len(lines) - len(kept), sha("\n".join(kept))))
+    return out
+
+
+def whitened(rows, components=8):
+    """rows: (id, vector). Cells of the result by id: n, deviation, and the covariance, eigenvalues and whitened values by numpy."""
+    import math
+
+    import numpy as np
+
+    kept = [(k, [math.floor(1024 * float(c)) + 100_000 for c in v]) for k, v in rows if v is not None and all(c is not None and math.isfinite(c) for c in v)]
+    n, x = len(kept), [v for _, v in kept]
+    sums = [sum(c) for c in zip(*x)]
+    deviation = [sum((n * c - s) ** 2 for c, s in zip(v, sums)) for v in x]
+    centred = np.array([[(n * c - s) / n for c, s in zip(v, sums)] for v in x])
+    v = centred.T @ centred / n
+    values, vectors = np.linalg.eigh(v)
+    values, vectors = values[::-1][:components], vectors[:, ::-1][:, :components]
+    return [k for k, _ in kept], n, deviation, values / np.trace(v), centred @ vectors / np.sqrt(values)
+
+
+def damaged_conversations(rows):
+    """rows: (conv, turn, role, text), as the damage leaves them, by conversation."""
+    out = defaultdict(list)
+    for conv, turn, role, text in rows:
+        name = lambda c: " " if c is None else str(c)
+        kind = zlib.crc32(f"{name(conv)}:{name(turn)}".encode()) % 20
+        role, text, copies = name(role), name(text), 1
+        if kind == 1:
+            text = ""
+        elif kind == 2:
+            text = re.sub("[.!?]", "", text)
+        elif kind == 4:
+            role = "user"
+        copies = {0: 0, 3: 2}.get(kind, 1)
+        out[conv] += [(turn, role, text)] * copies
+    return {c: sorted(own, key=lambda m: (m[0] is not None, m[0] or 0, m[1], sha(m[2]))) for c, own in out.items()}
+
+
+def repairs(rows):
+    """One row per conversation by trying every sequence of edits whose cost is within that of deleting everything."""
+    return sorted(((c, *repair(own)) for c, own in damaged_conversations(rows).items()), key=repr)
+
+
+def faults_of(own):
+    faults, seen = [], set()
+    for _, role, text in own:
+        body = re.sub(r"[\x20\x09-\x0D]+", "", text)
+        faults.append("blank" if not body else "duplicate" if (role, text) in seen else "truncated" if body[-1] not in ".!?" else "")
+        seen.add((role, text))
+    return faults
+
+
+def repair(own):
+    faults = faults_of(own)
+    best = [4 * len(own), "D" * len(own), []]
+
+    def walk(i, cost, audit, said, inserted):
+        if cost > best[0]:
+            return
+        if i == len(own) and re.fullmatch("(s?(ua)+)?", "".join(r[:1] or "-" for r, _ in said)) and (cost, audit) < (best[0], best[1]):
+            best[:] = [cost, audit, said]
+        if inserted < 2:
+            for role in ("user", "assistant"):
+                walk(i, cost + 3, audit + "I", [*said, (role, "")], inserted + 1)
+        if i < len(own):
+            _, role, text = own[i]
+            walk(i + 1, cost + 4, audit + "D", said, 0)
+            if faults[i] not in ("blank", "duplicate"):
+                more = 3 if faults[i] else 0
+                walk(i + 1, cost + more, audit + "K", [*said, (role, text)], 0)
+                for other in ("user", "assistant"):
+                    walk(i + 1, cost + 3 + more, audit + "R", [*said, (other, text)], 0)
+
+    walk(0, 0, "", [], 0)
+    turns = [t for t, _, _ in own if t is not None]
+    gaps = max(turns) - min(turns) + 1 - len(set(turns)) if turns else 0
+    pairs = [(a[1][:1], b[1][:1]) for a, b in zip(own, own[1:])]
+    illegal = sum("".join(p) not in ("su", "ua", "au") for p in pairs)
+    return gaps, faults.count("blank"), faults.count("duplicate"), faults.count("truncated"), illegal, best[0], best[1], sha("\n".join(f"{r}:{t}" for r, t in best[2]))
