@@ -229,19 +229,40 @@ firsts0 AS (SELECT parent, sequence, min(attempt) AS attempt FROM mixed WHERE se
 shuffled AS (SELECT *, row_number() OVER (PARTITION BY parent ORDER BY attempt) AS ordinal FROM firsts0 QUALIFY ordinal <= 20)"""
 ORACLE["shuffled_decoys"] = f"WITH {PANELW}, {SHUF} SELECT parent, sequence, CAST(attempt AS INTEGER) AS attempt, CAST(ordinal AS INTEGER) AS ordinal FROM shuffled"
 DRAW = "array_to_string(list_transform(range(0, {n}), lambda i: substr('ACDEFGHIKLMNPQRSTVWY', CAST(('0x' || substr({hex}, CAST(i * 4 + 1 AS BIGINT), 4))::INTEGER % 20 + 1 AS BIGINT), 1)), '')"
-RAND = f"""have AS (SELECT parent, count(*) AS have FROM shuffled GROUP BY 1),
+#: Two rounds of draws (to twice, then a hundred times the quota), then free strings of the lengths that are short.
+def rand(taken: str) -> str:
+    draw = DRAW.format(n='length(parent)', hex="sha256('random:' || parent || ':' || t.attempt || ':0')")
+    letters = "(SELECT unnest(string_split('ACDEFGHIKLMNPQRSTVWY', '')) AS x)"
+    return f"""shufacc AS (SELECT sequence, min(parent) AS parent FROM shuffled WHERE sequence NOT IN (SELECT sequence FROM {taken}) GROUP BY 1),
+have AS (SELECT parent, count(*) AS have FROM shufacc GROUP BY 1),
 quotas AS (SELECT sequence AS parent, 80 - coalesce(have, 0) AS quota FROM parents LEFT JOIN have ON parent = sequence),
-blocked AS (SELECT sequence FROM docw UNION ALL SELECT sequence FROM panelw UNION ALL SELECT sequence FROM shuffled),
-drawn AS (SELECT parent, quota, t.attempt, {DRAW.format(n='length(parent)', hex="sha256('random:' || parent || ':' || t.attempt || ':0')")} AS sequence
-  FROM quotas, range(1, 401) t(attempt) WHERE quota > 0),
-owned AS (SELECT * FROM drawn QUALIFY row_number() OVER (PARTITION BY sequence ORDER BY attempt, parent) = 1),
-randoms AS (SELECT parent, sequence, attempt, quota, row_number() OVER (PARTITION BY parent ORDER BY attempt) AS ordinal FROM owned
-  WHERE sequence NOT IN (SELECT sequence FROM blocked) QUALIFY ordinal <= quota)"""
-ORACLE["random_decoys"] = f"WITH {DOCW}, {PANELW}, {SHUF}, {RAND} SELECT parent, sequence, CAST(attempt AS INTEGER) AS attempt, CAST(ordinal AS INTEGER) AS ordinal FROM randoms"
+blocked AS (SELECT sequence FROM {taken} UNION ALL SELECT sequence FROM shufacc),
+drawn1 AS (SELECT parent, quota, t.attempt, {draw} AS sequence FROM quotas, range(1, 161) t(attempt) WHERE t.attempt <= 2 * quota),
+owned1 AS (SELECT * FROM drawn1 QUALIFY row_number() OVER (PARTITION BY sequence ORDER BY attempt, parent) = 1),
+acc1 AS (SELECT parent, sequence, attempt, quota, row_number() OVER (PARTITION BY parent ORDER BY attempt) AS ordinal FROM owned1
+  WHERE sequence NOT IN (SELECT sequence FROM blocked) QUALIFY ordinal <= quota),
+short1 AS (SELECT q.parent, any_value(quota) AS quota, any_value(q.quota) - count(a.sequence) AS need, count(a.sequence) AS have1
+  FROM quotas q LEFT JOIN (SELECT parent, sequence FROM acc1) a ON a.parent = q.parent GROUP BY 1 HAVING need > 0),
+drawn2 AS (SELECT parent, need, have1, t.attempt, {draw} AS sequence FROM short1, range(1, 8001) t(attempt) WHERE t.attempt > 2 * quota AND t.attempt <= 100 * quota),
+owned2 AS (SELECT * FROM drawn2 QUALIFY row_number() OVER (PARTITION BY sequence ORDER BY attempt, parent) = 1),
+acc2 AS (SELECT parent, sequence, attempt, need, have1, row_number() OVER (PARTITION BY parent ORDER BY attempt) AS ordinal FROM owned2
+  WHERE sequence NOT IN (SELECT sequence FROM blocked) AND sequence NOT IN (SELECT sequence FROM acc1) QUALIFY ordinal <= need),
+short2 AS (SELECT s.parent, length(s.parent) AS n, any_value(need) - count(a.sequence) AS need2, any_value(have1) + count(a.sequence) AS have2
+  FROM short1 s LEFT JOIN (SELECT parent, sequence FROM acc2) a ON a.parent = s.parent GROUP BY 1 HAVING need2 > 0),
+slots AS (SELECT *, sum(need2) OVER (PARTITION BY n ORDER BY parent) AS upto FROM short2),
+space AS (SELECT a.x || b.x AS sequence FROM {letters} a, {letters} b UNION ALL SELECT a.x || b.x || c.x FROM {letters} a, {letters} b, {letters} c),
+free AS (SELECT sequence, length(sequence) AS n, row_number() OVER (PARTITION BY length(sequence) ORDER BY sha256('fill:' || sequence), sequence) AS slot FROM space
+  WHERE sequence NOT IN (SELECT sequence FROM blocked) AND sequence NOT IN (SELECT sequence FROM acc1) AND sequence NOT IN (SELECT sequence FROM acc2)),
+randoms AS (SELECT parent, sequence, attempt, ordinal FROM acc1 UNION ALL SELECT parent, sequence, attempt, ordinal + have1 FROM acc2
+  UNION ALL SELECT parent, sequence, NULL, slot - (upto - need2) + have2 FROM slots s JOIN free f ON f.n = s.n AND f.slot > upto - need2 AND f.slot <= upto)"""
+
+
+WORDS_TAKEN = "words_taken AS (SELECT sequence FROM docw UNION ALL SELECT sequence FROM panelw)"
+ORACLE["random_decoys"] = f"WITH {DOCW}, {PANELW}, {SHUF}, {WORDS_TAKEN}, {rand('words_taken')} SELECT parent, sequence, CAST(attempt AS INTEGER) AS attempt, CAST(ordinal AS INTEGER) AS ordinal FROM randoms"
 
 
 def background(blocked: str) -> str:
-    return f"""sized AS (SELECT doc_id AS key, t.draw, 'background:' || doc_id || ':' || t.draw AS name FROM documents, range(1, 3) t(draw)),
+    return f"""sized AS (SELECT doc_id AS key, t.draw, 'background:' || doc_id || ':' || t.draw AS name FROM documents, range(1, 7) t(draw)),
 sized2 AS (SELECT *, ('0x' || substr(sha256(name || ':length'), 1, 8))::BIGINT % 11 + 2 AS n FROM sized),
 bdrawn AS (SELECT key, draw, {DRAW.format(n='n', hex="sha256(name || ':0')")} AS sequence FROM sized2),
 bowned AS (SELECT * FROM bdrawn QUALIFY row_number() OVER (PARTITION BY sequence ORDER BY draw, key) = 1),
@@ -249,21 +270,29 @@ noise AS (SELECT sequence, draw, key, row_number() OVER (ORDER BY draw, key) AS
   WHERE sequence NOT IN (SELECT sequence FROM {blocked}) QUALIFY ordinal <= (SELECT count(*) FROM documents))"""
 
 
-ORACLE["random_background"] = f"""WITH {DOCW}, {PANELW}, seen2 AS (SELECT sequence FROM docw UNION ALL SELECT sequence FROM panelw), {background('seen2')}
+ORACLE["random_background"] = f"""WITH {DOCW}, {PANELW}, {WORDS_TAKEN}, {background('words_taken')}
 SELECT sequence, CAST(draw AS INTEGER) AS draw, key, ordinal FROM noise"""
-ORACLE["priority_universe"] = f"""WITH {DOCW}, {PANELW}, {SHUF}, {RAND}, {background('blocked')}, {pieces(2, 2, 12)},
+UNIVERSE = f"""{PANELW}, {SHUF}, {pieces(2, 2, 12)},
 dig AS (SELECT sequence, source_class, rule, accession FROM found QUALIFY row_number() OVER (PARTITION BY sequence ORDER BY source_class, rule_order, accession) = 1),
+digested AS (SELECT sequence FROM dig UNION ALL SELECT sequence FROM parents), {rand('digested')},
+seen AS (SELECT sequence FROM blocked UNION ALL SELECT sequence FROM randoms), {background('seen')}"""
+ORACLE["priority_universe"] = f"""WITH {UNIVERSE},
 every AS (
  SELECT sequence, CASE WHEN sequence IN (SELECT sequence FROM panelw) THEN 'digestome_known_positive' ELSE 'digestome_background' END AS label,
    source_class || ':' || accession || ':' || rule AS origin, 'document' AS provenance, 0 AS priority, '' AS o FROM dig
  UNION ALL SELECT sequence, 'known_positive', 'panel_spike', 'benchmark', 1, '' FROM parents
- UNION ALL SELECT sequence, 'matched_decoy', 'composition_shuffle:' || parent, 'private matched decoy', 2, parent FROM shuffled
+ UNION ALL SELECT sequence, 'matched_decoy', 'composition_shuffle:' || parent, 'private matched decoy', 2, parent FROM shufacc
  UNION ALL SELECT sequence, 'matched_decoy', 'length_matched_random:' || parent, 'private matched decoy', 3, parent FROM randoms
  UNION ALL SELECT sequence, 'random_background', 'random_background', 'synthetic', 4, '' FROM noise),
 universe AS (SELECT {CID} AS candidate_id, * FROM every QUALIFY row_number() OVER (PARTITION BY sequence ORDER BY priority, o) = 1)
 SELECT label, length(sequence) AS length, count(*) AS n,
   CAST(sum(CAST(('0x' || substr(sha256(candidate_id || '|' || sequence || '|' || label || '|' || origin || '|' || provenance), 1, 12))::BIGINT AS HUGEINT)) AS VARCHAR) AS digest
 FROM universe GROUP BY 1, 2"""
+ORACLE["universe_shortage"] = f"""WITH {UNIVERSE},
+got AS (SELECT parent, count(*) AS n FROM (SELECT parent FROM shufacc UNION ALL SELECT parent FROM randoms) GROUP BY 1),
+asked AS (SELECT 'matched_decoy' AS kind, q.parent AS owner, CAST(80 AS BIGINT) AS requested, coalesce(n, 0) AS accepted FROM quotas q LEFT JOIN got g ON g.parent = q.parent
+ UNION ALL SELECT 'random_background', '', (SELECT count(*) FROM documents), (SELECT count(*) FROM noise))
+SELECT *, requested - accepted AS short, CASE WHEN requested > accepted THEN 'no free string of this length' ELSE '' END AS reason FROM asked"""
 
 # ---- features -----------------------------------------------------------------------
 

@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.fixed import ALPHABET
 from ..functions.mathx import let
 from ..functions.text import candidate_id, residues
-from ..session import spread
-from .ordering import global_rank, top_per_group
+from ..session import materialize, spread
+from .ordering import global_rank, running_totals, top_per_group
 
 _HEX = 4
 _PER_DIGEST = 64 // _HEX
@@ -76,49 +76,132 @@ def shuffled_decoys(parents: DataFrame, per_parent: int, tries: int = 200, seed:
     return top_per_group(found, ["parent"], [F.col("attempt")], per_parent, "ordinal")
 
 
+def _free(drawn: DataFrame, owner: list[str], taken: list[DataFrame]) -> DataFrame:
+    """Distinct drawn strings that nothing has taken, each with its least owner."""
+    owned = drawn.groupBy("sequence").agg(F.min(F.struct(*owner)).alias("owner"))
+    for other in taken:
+        owned = owned.join(other.select("sequence"), "sequence", "left_anti")
+    return owned.select("sequence", "owner.*")
+
+
+def _needs(quotas: DataFrame, accepted: DataFrame) -> DataFrame:
+    """Parents that are short: parent, quota, how many they have and how many they need."""
+    have = accepted.groupBy("parent").agg(F.count(F.lit(1)).alias("_have"))
+    joined = quotas.join(have, "parent", "left").withColumn("have", F.coalesce("_have", F.lit(0)).cast("int")).drop("_have")
+    return joined.withColumn("need", F.col("quota") - F.col("have")).where(F.col("need") > 0).select("parent", "quota", "have", "need")
+
+
+def every_string(spark: SparkSession, length: int) -> DataFrame:
+    """All strings of a length, spread over the cluster: the digits of a running number, written in letters."""
+    base = len(ALPHABET)
+    digits = [F.floor(F.col("id") / F.lit(base**i)).cast("bigint") % F.lit(base) for i in reversed(range(length))]
+    letters = [F.substring(F.lit(ALPHABET), d.cast("int") + F.lit(1), F.lit(1)) for d in digits]
+    return spark.range(base**length).select(F.concat(*letters).alias("sequence"))
+
+
+def fill_from_free(needs: DataFrame, taken: list[DataFrame], seed: str = "fill") -> DataFrame:
+    """What is left of each string space, dealt to the parents that are short, in the order of a keyed digest.
+
+    The free strings of a length are numbered by digest, the needs of its parents by running sum, and equal numbers meet. So
+    a parent stays short only when no string of its length is free. Only the lengths that are short are listed out; most of
+    their strings are taken then, so the list is not much longer than the table that took them.
+    """
+    sized = needs.withColumn("length", F.length("parent"))
+    slots = running_totals(sized, ["length"], [F.col("parent")], ["need"])
+    first = F.col("cum_need") - F.col("need")
+    slots = slots.select("parent", "have", "length", "total_need", F.posexplode(F.sequence(first + F.lit(1), F.col("cum_need"))).alias("_at", "slot"))
+    found = None
+    for row in sized.groupBy("length").agg(F.sum("need").alias("total")).collect():
+        free = every_string(needs.sparkSession, row["length"])
+        for other in taken:
+            free = free.join(other.where(F.length("sequence") == row["length"]).select("sequence"), "sequence", "left_anti")
+        drawn = free.withColumn("_draw", F.sha2(F.concat(F.lit(f"{seed}:"), F.col("sequence")), 256))
+        ranked = global_rank(drawn, [], [F.col("_draw"), F.col("sequence")], "slot").where(F.col("slot") <= row["total"])
+        own = ranked.join(slots.where(F.col("length") == row["length"]), "slot").select(
+            "parent", "sequence", F.lit(None).cast("int").alias("attempt"), (F.col("have") + F.col("_at") + F.lit(1)).cast("int").alias("ordinal")
+        )
+        found = own if found is None else found.unionByName(own)
+    return found
+
+
 def random_decoys(
-    quotas: DataFrame, blocked: DataFrame, tries: int = 200, seed: str = "random"
+    quotas: DataFrame, taken: DataFrame, rounds: tuple[int, ...] = (2, 100), seed: str = "random"
 ) -> DataFrame:
-    """Length-matched random strings until each parent's `quota` is met.
+    """Length-matched random strings until each parent's `quota` is met or no string of its length is free.
 
-    A string that two parents draw belongs to the earlier (attempt, parent); strings in
-    `blocked` are left out.
+    In each round the parents that are short draw up to so many times their quota in all. Of what they draw, strings in
+    `taken` and those of earlier rounds are left out, a string that several draw belongs to the earliest (attempt, parent),
+    and a parent keeps its first ones. Who is short after the last round gets free strings by `fill_from_free`. One row per
+    decoy: parent, sequence, attempt (null where filled), ordinal.
     """
+    wanted = quotas.where(F.col("quota") > 0).select("parent", F.col("quota").cast("int").alias("quota"))
+    needs = materialize(wanted.withColumns({"have": F.lit(0), "need": F.col("quota")}))
     key = F.concat_ws(":", F.lit(seed), F.col("parent"), F.col("attempt").cast("string"))
-    wanted = quotas.where(F.col("quota") > 0).select("parent", "quota")
-    drawn = attempts(spread(wanted, "parent"), tries).withColumn("sequence", random_string(F.length("parent"), key))
-    owned = drawn.groupBy("sequence").agg(
-        F.min(F.struct("attempt", "parent", "quota")).alias("owner")
-    )
-    free = owned.join(blocked.select("sequence"), "sequence", "left_anti").select("sequence", "owner.*")
-    ranked = top_per_group(free, ["parent"], [F.col("attempt")], tries, "ordinal")
-    return ranked.where(F.col("ordinal") <= F.col("quota")).drop("quota")
+    parts: list[DataFrame] = []
+    for low, high in zip((0, *rounds), rounds):
+        tries = F.sequence(F.col("quota") * F.lit(low) + F.lit(1), F.col("quota") * F.lit(high))
+        drawn = spread(needs, "parent").withColumn("attempt", F.explode(tries)).withColumn("sequence", random_string(F.length("parent"), key))
+        free = _free(drawn, ["attempt", "parent", "have", "need"], [taken, *parts])
+        ranked = top_per_group(free, ["parent"], [F.col("attempt")], 1 << 30, "ordinal").where(F.col("ordinal") <= F.col("need"))
+        parts.append(materialize(ranked.select("parent", "sequence", "attempt", (F.col("ordinal") + F.col("have")).alias("ordinal"))))
+        needs = materialize(_needs(wanted, reduce(DataFrame.unionByName, parts)))
+        if needs.isEmpty():
+            return reduce(DataFrame.unionByName, parts)
+    return reduce(DataFrame.unionByName, [*parts, fill_from_free(needs, [taken, *parts])])
+
+
+def _used_up(taken: list[DataFrame], shortest: int, longest: int) -> bool:
+    """Whether all strings of these lengths over the alphabet are taken."""
+    lengths = F.length("sequence").alias("length")
+    strings = reduce(DataFrame.unionByName, [t.select("sequence") for t in taken]).where(F.col("sequence").rlike(f"^[{ALPHABET}]{{{shortest},{longest}}}$"))
+    counts = {r["length"]: r["n"] for r in strings.distinct().groupBy(lengths).agg(F.count(F.lit(1)).alias("n")).collect()}
+    return all(counts.get(n, 0) >= len(ALPHABET) ** n for n in range(shortest, longest + 1))
 
 
 def random_background(
-    keys: DataFrame, wanted: int, shortest: int, longest: int, blocked: DataFrame, per_key: int = 2,
-    seed: str = "background",
+    keys: DataFrame, wanted: int, shortest: int, longest: int, taken: DataFrame, seed: str = "background",
 ) -> DataFrame:
-    """First `wanted` distinct random strings of uniform length that are not blocked.
+    """The first `wanted` distinct random strings of uniform length that are not taken, in the order of (`draw`, `key`).
 
-    Draws are numbered by (`draw`, `key`) so the result does not depend on partitioning.
+    Every key draws once, and rounds of twice as many draws go on until there are enough strings or none is free. The order
+    of the draws is fixed, so the rounds do not change the result. Null and repeated keys draw nothing of their own.
     """
     name = F.concat_ws(":", F.lit(seed), F.col("key").cast("string"), F.col("draw").cast("string"))
     width = F.lit(longest - shortest + 1)
-    sized = (
-        keys.select("key")
-        .withColumn("draw", F.explode(F.sequence(F.lit(1), F.lit(per_key))))
-        .withColumn("_name", name)
-        .withColumn("_pick", F.conv(F.substring(F.sha2(F.concat(F.col("_name"), F.lit(":length")), 256), 1, 8), 16, 10))
-        .withColumn("_length", (F.col("_pick").cast("long") % width).cast("int") + F.lit(shortest))
-    )
-    drawn = sized.withColumn("sequence", random_string(F.col("_length"), F.col("_name")))
-    owned = drawn.groupBy("sequence").agg(F.min(F.struct("draw", "key")).alias("owner"))
-    free = owned.join(blocked.select("sequence"), "sequence", "left_anti").select("sequence", "owner.*")
-    ranked = global_rank(free, [], [F.col("draw"), F.col("key")], "ordinal")
+    parts: list[DataFrame] = []
+    done, draws, missing = 0, 1, wanted
+    keys = keys.select("key").where("key is not null").distinct()
+    while missing > 0:
+        sized = (
+            keys.withColumn("draw", F.explode(F.sequence(F.lit(done + 1), F.lit(done + draws))))
+            .withColumn("_name", name)
+            .withColumn("_pick", F.conv(F.substring(F.sha2(F.concat(F.col("_name"), F.lit(":length")), 256), 1, 8), 16, 10))
+            .withColumn("_length", (F.col("_pick").cast("long") % width).cast("int") + F.lit(shortest))
+        )
+        drawn = sized.withColumn("sequence", random_string(F.col("_length"), F.col("_name")))
+        found = materialize(_free(drawn, ["draw", "key"], [taken, *parts]))
+        parts.append(found)
+        own, done = found.count(), done + draws
+        draws, missing = done, missing - own
+        if not own and (keys.isEmpty() or _used_up([taken, *parts], shortest, longest)):
+            break
+    if not parts:
+        return keys.select(F.lit("").alias("sequence"), F.lit(0).alias("draw"), "key", F.lit(0).cast("bigint").alias("ordinal")).limit(0)
+    ranked = global_rank(reduce(DataFrame.unionByName, parts), [], [F.col("draw"), F.col("key")], "ordinal")
     return ranked.where(F.col("ordinal") <= wanted)
 
 
+def shortage(requests: DataFrame, accepted: DataFrame) -> DataFrame:
+    """One row per request (kind, owner, requested): what was accepted, what is short, and why.
+
+    Draws go on while a string is free, so a request is short only when its string space is used up.
+    """
+    counted = accepted.groupBy("kind", "owner").agg(F.count(F.lit(1)).alias("_accepted"))
+    joined = requests.join(counted, ["kind", "owner"], "left").withColumn("accepted", F.coalesce("_accepted", F.lit(0)).cast("bigint")).drop("_accepted")
+    short = F.col("requested") - F.col("accepted")
+    return joined.withColumn("short", short).withColumn("reason", F.when(short > 0, "no free string of this length").otherwise(""))
+
+
 def first_writer_wins(sources: list[DataFrame]) -> DataFrame:
     """Union of candidate sources where the earliest source, then the earliest row, owns a string.
 

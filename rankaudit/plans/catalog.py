@@ -87,27 +87,31 @@ def digest_fragments(spark, sf_dir):
     )
 
 
-#: Decoys of a parent in all, how many of them are shuffles, and the tries that each kind gets.
-DECOYS, SHUFFLES, SHUFFLE_TRIES, RANDOM_TRIES = 80, 20, 1000, 400
+#: Decoys of a parent in all, how many of them are shuffles, and the tries that shuffles get.
+DECOYS, SHUFFLES, SHUFFLE_TRIES = 80, 20, 1000
 
 
 def _parents(spark, sf_dir):
     return inputs.sized(inputs.panel_words(spark, sf_dir)).select(F.col("sequence").alias("parent"))
 
 
-def _decoy_sources(spark, sf_dir):
-    parents = _parents(spark, sf_dir)
-    shuffled = materialize(generate.shuffled_decoys(parents, SHUFFLES, tries=SHUFFLE_TRIES))
+def _decoy_sources(parents, taken):
+    """Shuffles that nothing has taken, quotas of the parents, random decoys up to the quota, and all that is taken then."""
+    drawn = generate.shuffled_decoys(parents, SHUFFLES, tries=SHUFFLE_TRIES)
+    owned = drawn.groupBy("sequence").agg(F.min("parent").alias("parent"))
+    shuffled = materialize(owned.join(taken.select("sequence"), "sequence", "left_anti"))
     have = shuffled.groupBy("parent").agg(F.count(F.lit(1)).alias("_have"))
     quotas = parents.join(have, "parent", "left").select(
         "parent", (F.lit(DECOYS) - F.coalesce("_have", F.lit(0))).cast("int").alias("quota")
     )
-    blocked = materialize(
-        inputs.document_words(spark, sf_dir).select("sequence")
-        .unionByName(parents.select(F.col("parent").alias("sequence")))
-        .unionByName(shuffled.select("sequence"))
-    )
-    return parents, shuffled, generate.random_decoys(quotas, blocked, tries=RANDOM_TRIES), blocked
+    blocked = taken.select("sequence").unionByName(shuffled.select("sequence"))
+    randoms = materialize(generate.random_decoys(quotas, blocked))
+    return shuffled, quotas, randoms, blocked.unionByName(randoms.select("sequence"))
+
+
+def _words_taken(spark, sf_dir):
+    words = inputs.document_words(spark, sf_dir).select("sequence")
+    return materialize(words.unionByName(inputs.panel_words(spark, sf_dir).select("sequence")))
 
 
 @query
@@ -118,33 +122,37 @@ def shuffled_decoys(spark, sf_dir):
 
 @query
 def random_decoys(spark, sf_dir):
-    found = _decoy_sources(spark, sf_dir)[2]
-    return found.select("parent", "sequence", "attempt", "ordinal")
+    """Random decoys beside the words of documents and panel and the shuffles, until every quota is met."""
+    randoms = _decoy_sources(_parents(spark, sf_dir), _words_taken(spark, sf_dir))[2]
+    return randoms.select("parent", "sequence", "attempt", "ordinal")
+
+
+def _background(spark, sf_dir, taken):
+    documents = inputs.table(spark, sf_dir, "documents")
+    wanted = documents.agg(F.count(F.lit(1)).alias("n")).first()["n"]
+    return wanted, generate.random_background(documents.select(F.col("doc_id").alias("key")), wanted, inputs.SHORTEST, inputs.LONGEST, taken)
 
 
 @query
 def random_background(spark, sf_dir):
     """As many distinct random strings as there are documents, none a document or panel word."""
-    documents = inputs.table(spark, sf_dir, "documents")
-    blocked = inputs.document_words(spark, sf_dir).select("sequence").unionByName(
-        inputs.panel_words(spark, sf_dir).select("sequence")
-    )
-    keys = documents.select(F.col("doc_id").alias("key"))
-    return generate.random_background(keys, documents.count(), 2, 12, blocked).select("sequence", "draw", "key", "ordinal")
+    return _background(spark, sf_dir, _words_taken(spark, sf_dir))[1].select("sequence", "draw", "key", "ordinal")
 
 
-def _universe(spark, sf_dir):
-    """Digest of all documents, then spiked panel, shuffles, random decoys and background."""
+def _universe_parts(spark, sf_dir):
+    """Digest of all documents, spiked panel, shuffles, random decoys and background; each leaves out what earlier ones have."""
     panel = inputs.sized(inputs.panel_words(spark, sf_dir))
-    _, shuffled, randoms, blocked = _decoy_sources(spark, sf_dir)
-    documents = inputs.table(spark, sf_dir, "documents")
-    background = generate.random_background(
-        documents.select(F.col("doc_id").alias("key")), documents.count(), 2, 12, blocked
-    )
     pieces = digest.digest(inputs.proteins(spark, sf_dir))
-    owned = pieces.groupBy("sequence").agg(
-        F.min(F.struct("source_class", "rule_order", "rule", "accession")).alias("o")
-    )
+    owned = materialize(pieces.groupBy("sequence").agg(F.min(F.struct("source_class", "rule_order", "rule", "accession")).alias("o")))
+    taken = owned.select("sequence").unionByName(panel.select("sequence"))
+    parents = panel.select(F.col("sequence").alias("parent"))
+    shuffled, quotas, randoms, blocked = _decoy_sources(parents, taken)
+    wanted, noise = _background(spark, sf_dir, blocked)
+    return panel, owned, shuffled, quotas, randoms, materialize(noise), wanted
+
+
+def _universe(spark, sf_dir):
+    panel, owned, shuffled, _, randoms, background, _ = _universe_parts(spark, sf_dir)
     marks = panel.select("sequence", F.lit(1).alias("_panel"))
     digested = owned.join(marks, "sequence", "left").select(
         "sequence",
@@ -169,6 +177,17 @@ def _universe(spark, sf_dir):
     return generate.with_candidate_ids(generate.first_writer_wins(sources), inputs.NAMESPACE)
 
 
+@query
+def universe_shortage(spark, sf_dir):
+    """What the blinded universe was asked for and got: decoys of every parent, and the background."""
+    _, _, shuffled, quotas, randoms, background, wanted = _universe_parts(spark, sf_dir)
+    decoys = quotas.select(F.lit("matched_decoy").alias("kind"), F.col("parent").alias("owner"), F.lit(DECOYS).cast("bigint").alias("requested"))
+    noise = spark.range(1).select(F.lit("random_background").alias("kind"), F.lit("").alias("owner"), F.lit(wanted).cast("bigint").alias("requested"))
+    accepted = shuffled.select("parent").unionByName(randoms.select("parent")).select(F.lit("matched_decoy").alias("kind"), F.col("parent").alias("owner"))
+    accepted = accepted.unionByName(background.select(F.lit("random_background").alias("kind"), F.lit("").alias("owner")))
+    return generate.shortage(decoys.unionByName(noise), accepted)
+
+
 @query
 def priority_universe(spark, sf_dir):
     """Blinded universe: manifest of the private key per label and length."""

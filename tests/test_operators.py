@@ -157,14 +157,46 @@ def test_decoys_keep_composition_and_differ(spark):
 
 def test_random_decoys_fill_quota_without_blocked(spark):
     quotas = spark.createDataFrame([("VPPK", 6), ("ACDEF", 3), ("AAA", 0)], "parent string, quota int")
-    free = generate.random_decoys(quotas, spark.createDataFrame([], "sequence string"), tries=40).collect()
+    free = generate.random_decoys(quotas, spark.createDataFrame([], "sequence string")).collect()
     blocked = spark.createDataFrame([(r.sequence,) for r in free], "sequence string")
-    rows = generate.random_decoys(quotas, blocked, tries=40).collect()
+    rows = generate.random_decoys(quotas, blocked).collect()
     assert Counter(r.parent for r in rows) == {"VPPK": 6, "ACDEF": 3}
     assert not {r.sequence for r in rows} & {r.sequence for r in free}
     assert all(len(r.sequence) == len(r.parent) for r in rows)
 
 
+def test_decoys_use_up_a_string_space_before_a_parent_is_short(spark):
+    quotas = spark.createDataFrame([("AA", 300), ("CC", 90), ("DD", 40), ("EEEE", 50), ("F", 30)], "parent string, quota int")
+    taken = spark.createDataFrame([("AA",), ("CC",), ("DD",), ("AA",), ("F",), ("longer",)], "sequence string")
+    rows = generate.random_decoys(quotas, taken, rounds=(1, 2)).collect()
+    count = Counter(r.parent for r in rows)
+    assert len({r.sequence for r in rows}) == len(rows) and not {"AA", "CC", "DD", "F"} & {r.sequence for r in rows}
+    assert count["AA"] + count["CC"] + count["DD"] == 397 and count["EEEE"] == 50 and count["F"] == 19
+    assert all(len(r.sequence) == len(r.parent) for r in rows) and any(r.attempt is None for r in rows)
+    for parent, n in count.items():
+        assert sorted(r.ordinal for r in rows if r.parent == parent) == list(range(1, n + 1))
+    asked = quotas.selectExpr("'decoy' AS kind", "parent AS owner", "CAST(quota AS BIGINT) AS requested")
+    found = generate.shortage(asked, spark.createDataFrame([("decoy", r.parent) for r in rows], "kind string, owner string")).collect()
+    assert {r.owner for r in found if r.short} <= {"AA", "CC", "DD", "F"} and all((r.short > 0) == (r.reason != "") for r in found)
+    assert sum(r.short for r in found) == 33 + 11
+
+
+def test_background_meets_its_request_or_uses_up_its_strings(spark):
+    keys = spark.createDataFrame([(k,) for k in (1, 2, 3, 3, None)], "key bigint")
+    taken = spark.createDataFrame([("A",), ("C",), ("b",)], "sequence string")
+    rows = generate.random_background(keys, 18, 1, 1, taken).collect()
+    assert len(rows) == 18 and {r.sequence for r in rows} == set("DEFGHIKLMNPQRSTVWY") and {r.ordinal for r in rows} == set(range(1, 19))
+    assert generate.random_background(keys, 50, 1, 1, taken).count() == 18
+    first = generate.random_background(keys, 10, 1, 3, taken).collect()
+    more = generate.random_background(keys, 200, 1, 3, taken).collect()
+    assert {(r.ordinal, r.sequence) for r in first} == {(r.ordinal, r.sequence) for r in more if r.ordinal <= 10} and len(more) == 200
+    assert generate.random_background(keys, 0, 1, 3, taken).count() == 0 and generate.random_background(keys.limit(0), 5, 1, 3, taken).count() == 0
+
+
+def test_every_string_of_a_length(spark):
+    assert {r.sequence for r in generate.every_string(spark, 2).collect()} == {a + b for a in "ACDEFGHIKLMNPQRSTVWY" for b in "ACDEFGHIKLMNPQRSTVWY"}
+
+
 def test_first_writer_wins_and_blinding(spark):
     make = lambda label, *s: spark.createDataFrame([(x, label, "o", "p", "") for x in s], "sequence string, label string, origin string, provenance string, ordinal string")
     union = generate.first_writer_wins([make("a", "X", "Y"), make("b", "Y", "Z")])
