@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.fixed import MATCHED_LABEL, POSITIVE_LABELS
 from ..functions.mathx import harmonic_span, hypergeometric_tail
-from .ordering import flagged_ranks, global_rank, ordered_parts, running_totals, tied_positions
+from .ordering import AT, flagged_ranks, global_rank, ordered_parts, part_offsets, rows_above, running_totals, tied_positions
 
 PERCENTS = (1.0, 5.0, 10.0)
 TOPS = (10, 25, 50, 100)
@@ -51,33 +51,39 @@ def separation(df: DataFrame, by: list[str], score: str = "score") -> DataFrame:
     Works on distinct scores with their class counts, so ties get half credit without
     comparing pairs. `ap_step` groups ties; `ap_positives_first` lists the positives of
     a tie before its negatives, summed in closed form.
+
+    Rows that `ordered_parts` has placed are not ordered again: where a score begins tells how
+    many rows are above it. Only scores of positives and matched negatives get running counts.
     """
-    counted = df.groupBy(*by, score).agg(
-        F.count_if(is_positive()).alias("pos"),
-        F.count_if(~is_positive() | F.col("label").isNull()).alias("neg"),
-        F.count_if(is_matched()).alias("mat"),
+    rows = df if AT in df.columns else ordered_parts(df, by, [F.col(score).desc()])
+    counted = rows.groupBy(*by, score).agg(
+        F.count_if(is_positive()).alias("pos"), F.count_if(is_matched()).alias("mat"),
+        F.count(F.lit(1)).alias("tied"), F.min(AT).alias(AT),
     )
-    run = running_totals(counted, by, [F.col(score)], ["pos", "neg", "mat"])
-    p, n, m = F.col("total_pos").cast("double"), F.col("total_neg").cast("double"), F.col("total_mat").cast("double")
-    pos, neg, mat = (F.col(c).cast("double") for c in ("pos", "neg", "mat"))
-    wins_all = pos * (F.col("cum_neg") - neg * F.lit(0.5))
-    wins_matched = pos * (F.col("cum_mat") - mat * F.lit(0.5))
+    offsets = part_offsets(rows, by)
+    labelled = rows_above(counted.where((F.col("pos") > 0) | (F.col("mat") > 0)), offsets, by, "above")
+    run = running_totals(labelled, by, [F.col(score)], ["pos", "mat"])
+    totals = offsets.groupBy(*by).agg(F.max("_rows").cast("double").alias("_rows"))
+    p, n = F.col("total_pos").cast("double"), F.col("_rows") - F.col("total_pos")
+    pos, mat, tied, above = (F.col(c).cast("double") for c in ("pos", "mat", "tied", "above"))
     tp_before = p - F.col("cum_pos")
-    rows_before = tp_before + n - F.col("cum_neg")
-    tp, rows = tp_before + pos, rows_before + pos + neg
-    harmonic, ramp = harmonic_span(rows_before, pos)
+    neg = tied - pos
+    wins_all = pos * (n - (above - tp_before) - neg * F.lit(0.5))
+    wins_matched = pos * (F.col("cum_mat") - mat * F.lit(0.5))
+    tp = tp_before + pos
+    harmonic, ramp = harmonic_span(above, pos)
     first = tp_before * harmonic + ramp
-    summed = run.groupBy(*by).agg(
+    summed = run.join(totals, by).groupBy(*by).agg(
         F.sum(wins_all).alias("_all"),
         F.sum(wins_matched).alias("_matched"),
-        F.sum(pos * tp / rows).alias("_step"),
+        F.sum(pos * tp / (above + tied)).alias("_step"),
         F.sum(F.when(pos > 0, first).otherwise(F.lit(0.0))).alias("_first"),
         F.max(p).alias("_p"),
         F.max(n).alias("_n"),
-        F.max(m).alias("_m"),
+        F.max("total_mat").cast("double").alias("_m"),
     )
     some = lambda c: F.nullif(c, F.lit(0.0))
-    return summed.select(
+    return totals.select(*by).join(summed, by, "left").select(
         *by,
         (F.col("_all") / some(F.col("_p") * F.col("_n"))).alias("auroc_all"),
         (F.col("_matched") / some(F.col("_p") * F.col("_m"))).alias("auroc_matched"),

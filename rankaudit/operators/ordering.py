@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from ..session import materialize
 
 _ROW_BITS = 33
-_AT, _PART, _BASE = "_at", "_part", "_base"
+AT = _AT = "_at"
+_PART, _BASE = "_part", "_base"
 
 
 def _partition_number() -> Column:
@@ -86,6 +87,12 @@ def flagged_ranks(rows: DataFrame, by: list[str], flag: Column) -> tuple[DataFra
     return kept.drop(_AT, _PART, *_OFFSET_COLUMNS), totals
 
 
+def rows_above(firsts: DataFrame, offsets: DataFrame, by: list[str], name: str) -> DataFrame:
+    """How many rows of its group stand before the row at `_at`, from the offsets of `part_offsets`."""
+    joined = firsts.withColumn(_PART, _partition_number()).join(offsets, [_PART, *by])
+    return joined.withColumn(name, F.col(_BASE) + F.col(_AT) - F.col("_first")).drop(_AT, _PART, *_OFFSET_COLUMNS)
+
+
 def running_totals(df: DataFrame, by: list[str], order: list[Column], sums: list[str]) -> DataFrame:
     """Add `cum_<c>` (inclusive) and `total_<c>` per group for every column in `sums`."""
     rows = ordered_parts(df, by, order).withColumn(_PART, _partition_number())

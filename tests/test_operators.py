@@ -93,6 +93,21 @@ def test_separation_is_null_without_a_class(spark):
     assert got["a"].auroc_all is None and got["b"].auroc_all is None and got["b"].ap_step is None
 
 
+def test_evaluation_orders_all_rows_once(frame, rows, monkeypatch):
+    from rankaudit.operators import ordering
+
+    written = []
+    write = ordering.materialize
+    monkeypatch.setattr(ordering, "materialize", lambda df: written.append(out := write(df)) or out)
+    found = {r.g: r for r in metrics.evaluate(frame, ["g"]).collect()}
+    apart = {r.g: r for r in metrics.separation(frame.drop("length", "sequence"), ["g"]).collect()}
+    for g, r in found.items():
+        assert all(r[c] == pytest.approx(apart[g][c]) if apart[g][c] is not None else r[c] is None for c in ("auroc_all", "auroc_matched", "ap_step", "ap_positives_first"))
+    sizes = [w.count() for w in written]
+    scores = {(r[0], r[1]) for r in rows if r[4] in ("known_positive", "matched_decoy")}
+    assert sizes[0] == len(rows) and sizes[1] == len(scores) < len(rows) and len(sizes) == 4
+
+
 def test_average_ranks_and_percentiles(frame, rows):
     got = {r.sequence: r.avg_rank for r in average_ranks(frame, ["g"], "score").collect()}
     pct = {r.sequence: r.score for r in scaling.percentile(frame, ["g"]).collect()}
