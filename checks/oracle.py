@@ -483,15 +483,37 @@ summ AS (SELECT tag, count(*) AS n_positive, max(n_rows) AS n_rows, count(*) FIL
   FROM nums GROUP BY 1)"""
 
 
+def lifted(percents) -> str:
+    """Columns of enrichment and tail at the percent cuts, over a stratum's counts."""
+    out = []
+    for p in percents:
+        n = f"top_{tag(p)}pct"
+        out.append(f"{r(f'{n}_count / CAST(n_positive AS DOUBLE)')} AS {n}_fraction, "
+                   f"{r(f'{n}_count / greatest(1e-12, n_positive * ' + cut('n_rows', p) + ' / CAST(n_rows AS DOUBLE))')} AS {n}_enrichment, "
+                   f"{r(tail(f'{n}_count', 'n_rows', 'n_positive', cut('n_rows', p)))} AS {n}_p")
+    return ", ".join(out)
+
+
 ORACLE["stratified_recovery"] = f"""WITH {LABELLED}, tagged AS (SELECT 'all' AS tag, * FROM lp UNION ALL SELECT 'english', * FROM lp WHERE lang = 'en'
  UNION ALL SELECT 'short', * FROM lp WHERE n_chars <= 500 UNION ALL SELECT 'short_english', * FROM lp WHERE n_chars <= 500 AND lang = 'en'
  UNION ALL SELECT 'toxic', * FROM lp WHERE toxic = 1 UNION ALL SELECT 'first_source', * FROM lp WHERE source = 'src0'), {strata('tagged')}
 SELECT w.tag, coalesce(n_positive, 0) AS n_positive, coalesce(top_1pct_count, 0) AS top_1pct_count, coalesce(top_10pct_count, 0) AS top_10pct_count,
-  coalesce(top_100_count, 0) AS top_100_count, mean_rank, median_rank, upper_median_rank, best_rank, ap_ranked
-FROM (VALUES ('all'), ('english'), ('short'), ('short_english'), ('toxic'), ('first_source'), ('empty')) w(tag) LEFT JOIN summ ON summ.tag = w.tag"""
+  coalesce(top_100_count, 0) AS top_100_count, mean_rank, median_rank, upper_median_rank, best_rank, ap_ranked, top_1pct_fraction, top_1pct_enrichment, top_1pct_p
+FROM (VALUES ('all'), ('english'), ('short'), ('short_english'), ('toxic'), ('first_source'), ('empty')) w(tag) LEFT JOIN (SELECT *, {lifted([1.0])} FROM summ) summ ON summ.tag = w.tag"""
 ORACLE["failure_strata"] = f"""WITH {LABELLED}, tagged AS (SELECT 'all' AS tag, * FROM lp UNION ALL SELECT 'source:' || source, * FROM lp UNION ALL SELECT 'lang:' || lang, * FROM lp
  UNION ALL SELECT 'chars_le_1000', * FROM lp WHERE n_chars <= 1000 UNION ALL SELECT 'chars_le_3000', * FROM lp WHERE n_chars <= 3000
- UNION ALL SELECT 'toxic', * FROM lp WHERE toxic = 1), {strata('tagged')} SELECT * FROM summ"""
+ UNION ALL SELECT 'toxic', * FROM lp WHERE toxic = 1), {strata('tagged')} SELECT *, {lifted([1.0])} FROM summ"""
+_by_mode = strata("tagged").replace("PARTITION BY tag", "PARTITION BY mode, tag").replace("(SELECT tag,", "(SELECT mode, tag,").replace("GROUP BY 1)", "GROUP BY 1, 2)")
+ORACLE["mode_failure_strata"] = f"""WITH {BASE}, {feats('uni', 'candidate_id, sequence, label')}, {modes('sequence, label')},
+rk AS (SELECT mode, sequence, label, row_number() OVER (PARTITION BY mode ORDER BY score DESC, length, sequence) AS rank, count(*) OVER (PARTITION BY mode) AS n_rows FROM ml),
+bw AS (SELECT item_id, w.word, w.place FROM (SELECT item_id, unnest(list_zip(split, range(len(split)))) AS z FROM
+  (SELECT item_id, string_split(trim(upper(regexp_replace({FOLDED}, '[^A-Za-z]+', ' ', 'g'))), ' ') AS split FROM benchmark)), LATERAL (SELECT z[1] AS word, z[2] AS place) w WHERE w.word <> ''),
+lastrow AS (SELECT translate(word, 'BJOUXZ', 'DLPCAE') AS sequence, item_id % 4 AS material FROM bw
+  QUALIFY row_number() OVER (PARTITION BY translate(word, 'BJOUXZ', 'DLPCAE') ORDER BY item_id DESC, place DESC) = 1),
+hit AS (SELECT rk.*, material, length(rk.sequence) AS size FROM rk JOIN lastrow USING (sequence) WHERE {POS}),
+tagged AS (SELECT *, 'all' AS tag FROM hit UNION ALL SELECT *, 'material:' || material FROM hit UNION ALL SELECT *, 'length_le_3' FROM hit WHERE size <= 3
+ UNION ALL SELECT *, 'length_4_6' FROM hit WHERE size BETWEEN 4 AND 6 UNION ALL SELECT *, 'length_gt_6' FROM hit WHERE size > 6
+ UNION ALL SELECT *, 'ends_proline' FROM hit WHERE sequence LIKE '%P'), {_by_mode} SELECT *, {lifted([1.0, 10.0])} FROM summ"""
 ORACLE["panel_composition"] = f"""WITH rows0 AS (SELECT 'benchmark' AS panel, item_id AS reference, word FROM {words('benchmark', 'item_id')}
  UNION ALL SELECT 'conversations_' || role, conv_id, word FROM {words('conversations', 'conv_id, role')})
 SELECT panel, count(*) AS n, count(DISTINCT reference) AS reference_count, count(DISTINCT substr(word, 1, 1)) AS material_count,
@@ -709,6 +731,34 @@ SELECT sequence, parent, edit_count, mutations, {r('support')} AS support, 'VAR-
 FROM every WHERE sequence NOT IN (SELECT sequence FROM docw UNION ALL SELECT sequence FROM panelw)
 QUALIFY row_number() OVER (PARTITION BY sequence ORDER BY edit_count, parent DESC, a DESC, b DESC, c DESC, dd DESC) = 1"""
 
+FLAG = f"""CASE WHEN length(sequence) <= 2 THEN 'descriptor_unavailable' WHEN {MW} NOT BETWEEN 250 AND 1500 THEN 'mw_outside_peptide_screen'
+  WHEN length(sequence) * 60 > 650 THEN 'high_tpsa' WHEN 8 * {frac('AILMFWYV')} > 6 THEN 'high_logp' WHEN {FOUR} THEN 'homopolymer_run' ELSE 'screen_pass' END"""
+TERMS = lambda source, name: f"""{name} AS (SELECT p.sequence, sum(coalesce(log_p, -3.0::DOUBLE)) / max(length(p.sequence)) AS mean_ll FROM {neighbours(source, 'sequence')} p
+  LEFT JOIN model m ON p.l = m.l AND p.rr = m.rr AND p.residue = m.residue GROUP BY 1)"""
+ORACLE["variant_table"] = f"""WITH {BASE}, {feats('uni', 'candidate_id, sequence, label')}, {modes('sequence, label')},
+ranked AS (SELECT sequence, label, row_number() OVER (ORDER BY score DESC, length, sequence) AS rank FROM ml WHERE mode = 'sar'),
+chosen AS (SELECT sequence, rank AS po FROM ranked WHERE {POS} AND sequence IN (SELECT sequence FROM panelw) ORDER BY rank LIMIT 40),
+{MODEL.removeprefix(f"{DOCW}, {PANELW}, ")},
+subs AS (SELECT p.sequence, po, position, p.residue, m.residue AS substitute, log_p, row_number() OVER (PARTITION BY p.sequence, position ORDER BY log_p DESC, m.residue) AS choice
+  FROM {neighbours('chosen', 'sequence, po')} p JOIN model m ON p.l = m.l AND p.rr = m.rr AND p.residue <> m.residue QUALIFY choice <= 3),
+single AS (SELECT sequence AS parent, po, left(sequence, CAST(position - 1 AS BIGINT)) || substitute || substr(sequence, CAST(position + 1 AS BIGINT)) AS sequence, 1 AS edit_count,
+  residue || position || substitute AS mutations, log_p AS support, position AS a, 0 AS b, choice AS c, 0 AS dd FROM subs),
+dbl AS (SELECT x.sequence AS parent, x.po, left(x.sequence, CAST(x.position - 1 AS BIGINT)) || x.substitute || substr(x.sequence, CAST(x.position + 1 AS BIGINT), CAST(y.position - x.position - 1 AS BIGINT))
+  || y.substitute || substr(x.sequence, CAST(y.position + 1 AS BIGINT)) AS sequence, 2 AS edit_count, x.residue || x.position || x.substitute || ';' || y.residue || y.position || y.substitute AS mutations,
+  (x.log_p + y.log_p) / 2 AS support, x.position AS a, y.position AS b, x.choice AS c, y.choice AS dd FROM subs x JOIN subs y ON x.sequence = y.sequence AND x.position < y.position AND x.choice <= 2 AND y.choice <= 2),
+every AS (SELECT * FROM single UNION ALL SELECT * FROM dbl),
+fresh AS (SELECT * FROM every WHERE sequence NOT IN (SELECT sequence FROM docw UNION ALL SELECT sequence FROM panelw)
+  QUALIFY row_number() OVER (PARTITION BY sequence ORDER BY edit_count, po DESC, a DESC, b DESC, c DESC, dd DESC) = 1),
+{TERMS('fresh', 'own')}, {TERMS('chosen', 'parentll')},
+near AS (SELECT f.sequence, k.sequence AS nearest, levenshtein(f.sequence, k.sequence) AS nd FROM fresh f, panelw k WHERE abs(length(f.sequence) - length(k.sequence)) <= 2
+  QUALIFY row_number() OVER (PARTITION BY f.sequence ORDER BY levenshtein(f.sequence, k.sequence), abs(length(f.sequence) - length(k.sequence)), k.sequence) = 1),
+whole AS (SELECT f.*, own.mean_ll, p.mean_ll AS parent_mean_ll, own.mean_ll - p.mean_ll AS delta_mean_ll, nearest, nd FROM fresh f JOIN own ON own.sequence = f.sequence
+  JOIN parentll p ON p.sequence = f.parent JOIN near n ON n.sequence = f.sequence),
+flagged AS (SELECT *, {FLAG} AS flag FROM whole)
+SELECT row_number() OVER (ORDER BY edit_count < 2, flag <> 'screen_pass', {r('mean_ll', 9)} DESC, {r('delta_mean_ll', 9)} DESC, sequence) AS rank, sequence, parent, po AS parent_rank, edit_count, mutations,
+  {r('support')} AS support, 'VAR-' || substr(sha256(parent || ':' || sequence || ':' || mutations), 1, 16) AS variant_id, {r('mean_ll')} AS mean_ll, {r('parent_mean_ll')} AS parent_mean_ll,
+  {r('delta_mean_ll')} AS delta_mean_ll, {r('exp(-mean_ll)')} AS pseudo_perplexity, nearest, CAST(nd AS INTEGER) AS nearest_distance, flag FROM flagged QUALIFY rank <= 300"""
+
 # ---- two-score fusion -----------------------------------------------------------------------------------------
 
 MM = lambda v, o="": f"CASE WHEN abs(max({v}) OVER ({o}) - min({v}) OVER ({o})) <= 1e-9 * greatest(abs(min({v}) OVER ({o})), abs(max({v}) OVER ({o}))) THEN 0.5::DOUBLE ELSE ({v} - min({v}) OVER ({o})) / (max({v}) OVER ({o}) - min({v}) OVER ({o})) END"

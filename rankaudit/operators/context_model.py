@@ -10,8 +10,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.fixed import ALPHABET
+from ..functions.mathx import round_to
 from ..functions.text import mutation, residues, stable_id
-from .ordering import top_per_group
+from ..session import materialize
+from .neighbors import nearest_within
+from .ordering import global_rank, top_per_group
 
 _EDGE = "_"
 
@@ -149,3 +152,62 @@ def variants(
     return chosen.withColumn(
         "variant_id", stable_id("VAR", F.col("parent"), F.col("sequence"), F.col("mutations"))
     )
+
+
+def changed_scores(variants: DataFrame, parents: DataFrame, model: DataFrame) -> DataFrame:
+    """Total and mean log-likelihood of every variant, and the change of the mean against its parent.
+
+    `variants` has distinct `sequence` with a `parent` of the same length; `parents` has sequence and total_ll. A substitution
+    touches its own term and those of its two neighbours only, so these are looked up before and after it and the rest of
+    the parent's sum is kept.
+    """
+    at = lambda name, i: F.substring(name, i, F.lit(1))
+    size = F.length("sequence")
+    places = F.filter(F.sequence(F.lit(1), size), lambda i: at("sequence", i) != at("parent", i))
+    around = F.array_distinct(F.flatten(F.transform(places, lambda i: F.array(i - 1, i, i + 1))))
+    touched = F.filter(around, lambda i: (i >= 1) & (i <= size))
+
+    def term(name: str, sign: int):
+        i = F.col("_i")
+        left = F.when(i > 1, at(name, i - 1)).otherwise(F.lit(_EDGE))
+        right = F.when(i < size, at(name, i + 1)).otherwise(F.lit(_EDGE))
+        return F.struct(left.alias("left"), at(name, i).alias("residue"), right.alias("right"), F.lit(sign).alias("sign"))
+
+    opened = variants.select("sequence", "parent", F.explode(touched).alias("_i"))
+    terms = opened.select("sequence", F.inline(F.array(term("sequence", 1), term("parent", -1))))
+    counted = terms.groupBy("sequence", "left", "residue", "right").agg(F.sum("sign").alias("sign")).where("sign <> 0")
+    scored = counted.join(model.where("right is not null"), ["left", "right", "residue"], "left")
+    change = scored.groupBy("sequence").agg(F.sum(F.col("sign") * F.coalesce("log_p", F.lit(_UNSEEN))).alias("change"))
+    known = parents.select(F.col("sequence").alias("parent"), F.col("total_ll").alias("_parent_ll"))
+    joined = variants.select("sequence", "parent").join(known, "parent").join(change, "sequence", "left")
+    moved = F.coalesce("change", F.lit(0.0))
+    total = F.col("_parent_ll") + moved
+    return joined.select(
+        "sequence", total.alias("total_ll"), (total / size).alias("mean_ll"), (F.col("_parent_ll") / size).alias("parent_mean_ll"),
+        (moved / size).alias("delta_mean_ll"), F.exp(-total / size).alias("pseudo_perplexity"),
+    )
+
+
+def variant_table(
+    parents: DataFrame, model: DataFrame, known: DataFrame, blocked: DataFrame, flag: Column, n: int, singles: int = 3, doubles: int = 2
+) -> DataFrame:
+    """The best n new strings one or two substitutions from a parent, with score, change, nearest known string and flag.
+
+    `known` holds the parents, so a string as near as the number of edits is always there and no wider search is needed.
+    Doubles come first, then strings that pass the screen, then by score, change and text. `flag` is an expression over `sequence`.
+    """
+    found = variants(parents, model, blocked.select("sequence").unionByName(known.select("sequence")), singles, doubles)
+    found = materialize(found)
+    scores = changed_scores(found, log_likelihood(parents, model), model)
+    near = nearest_within(found.select(F.col("sequence").alias("query"), F.col("edit_count").alias("radius")), known.select(F.col("sequence").alias("other")))
+    orders = parents.select(F.col("sequence").alias("parent"), F.col("parent_order").alias("parent_rank"))
+    joined = found.join(scores, "sequence").join(near.withColumnRenamed("query", "sequence"), "sequence", "left").join(orders, "parent")
+    flagged = joined.withColumn("flag", flag)
+    # Sums of logarithms add up in no fixed order; nine digits tell scores apart and keep equal ones equal.
+    keys = {
+        "_single": F.col("edit_count") < 2, "_fails": F.col("flag") != "screen_pass",
+        "_score": -round_to(F.col("mean_ll"), 9), "_change": -round_to(F.col("delta_mean_ll"), 9),
+    }
+    order = [*map(F.col, keys), F.col("sequence")]
+    best = flagged.withColumns(keys).orderBy(*order).limit(n)
+    return global_rank(best, [], order, "rank").drop(*keys)

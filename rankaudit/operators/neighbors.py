@@ -95,6 +95,23 @@ def _preference() -> Column:
     )
 
 
+def nearest_within(queries: DataFrame, known: DataFrame) -> DataFrame:
+    """Nearest `other` of every distinct `query` by (distance, length gap, text), where `known` has one within the query's `radius`.
+
+    The promised neighbour bounds the search, so its pieces are as long as the radius allows. A query no longer than its radius
+    is searched one step nearer first; all strings of its length are as far away as it is long then, and the first one of them
+    is taken.
+    """
+    size = F.length("query")
+    others = known.select("other").distinct()
+    pairs = pairs_within(queries.select("query", F.least(F.col("radius"), size - F.lit(1)).alias("radius")), others)
+    best = F.min(F.struct("distance", F.abs(size - F.length("other")).alias("length_gap"), "other")).alias("best")
+    near = pairs.groupBy("query").agg(best).select("query", F.col("best.other").alias("nearest"), F.col("best.distance").alias("nearest_distance"))
+    rest = queries.where(F.col("radius") >= size).join(near, "query", "left_anti").withColumn("_n", size)
+    first = others.groupBy(F.length("other").alias("_n")).agg(F.min("other").alias("nearest"))
+    return near.unionByName(rest.join(first, "_n").select("query", "nearest", F.col("_n").alias("nearest_distance")))
+
+
 def _best(pairs: DataFrame) -> DataFrame:
     best = pairs.groupBy("query").agg(F.min(_preference()).alias("best"))
     return best.select("query", F.col("best.other").alias("nearest"), F.col("best.distance").alias("distance"))

@@ -52,6 +52,12 @@ def missing_keys(ranked: DataFrame, key: DataFrame) -> DataFrame:
     return ranked.join(key.select("candidate_id"), "candidate_id", "left_anti")
 
 
+def first_members(ranked: DataFrame, members: DataFrame, n: int, key: str = "sequence") -> DataFrame:
+    """The first n ranked positives whose `key` is in a set."""
+    kept = ranked.where(is_positive()).join(members.select(key).distinct(), key, "left_semi")
+    return kept.orderBy("rank").limit(n)
+
+
 def shortlist(ranked: DataFrame, n: int, only: str | None = None) -> DataFrame:
     """First n ranked rows that are neither positives nor decoys."""
     rows = ranked.where(~is_positive() & ~is_matched())

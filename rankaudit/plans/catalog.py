@@ -12,7 +12,7 @@ from ..operators import (
     cleavage, context_model, digest, fusion, generate, geometry, manifest, metrics, models, neighbors, overlap,
     panels, scaling, traces, validation,
 )
-from ..operators.ordering import average_ranks, global_rank
+from ..operators.ordering import average_ranks, flagged_ranks, global_rank, ordered_parts
 from ..session import materialize, scratch_dir
 from ..sources import tables, text_files
 from . import inputs
@@ -423,7 +423,7 @@ def stratified_recovery(spark, sf_dir):
     """Named overlapping subsets of positives; subsets without rows are reported with zero."""
     ranked = _labelled_documents(spark, sf_dir).where(metrics.is_positive())
     tags = F.array_compact(F.array(*[F.when(p(), F.lit(n)) for n, p in SUBSETS.items()]))
-    summary = metrics.strata_summary(ranked.withColumn("tags", tags), []).drop("n_rows")
+    summary = metrics.with_enrichment(metrics.strata_summary(ranked.withColumn("tags", tags), [])).drop("n_rows")
     wanted = spark.createDataFrame([(n,) for n in SUBSETS], "tag string")
     return rounded(wanted.join(summary, "tag", "left").fillna(
         0, ["n_positive", "top_1pct_count", "top_10pct_count", "top_100_count"]
@@ -441,7 +441,32 @@ def failure_strata(spark, sf_dir):
             F.when(F.col("toxic") == 1, "toxic"),
         )
     )
-    return rounded(metrics.strata_summary(ranked.withColumn("tags", tags), []))
+    return rounded(metrics.with_enrichment(metrics.strata_summary(ranked.withColumn("tags", tags), [])))
+
+
+def _panel_tags(spark, sf_dir):
+    """Strata of every panel string; of the rows that hold it, the last one of the panel counts."""
+    opened = inputs.raw_word_rows(inputs.table(spark, sf_dir, "benchmark"), "item_id")
+    rows = opened.select(
+        inputs.to_residues(F.col("word")).alias("sequence"), F.struct("item_id", "place").alias("ordinal"), (F.col("item_id") % 4).alias("material")
+    )
+    last = panels.latest_per_key(rows, "sequence", "ordinal")
+    size = F.length("sequence")
+    tags = F.array_compact(F.array(
+        F.lit("all"), F.concat(F.lit("material:"), "material"), F.when(size <= 3, "length_le_3"), F.when(size.between(4, 6), "length_4_6"),
+        F.when(size > 6, "length_gt_6"), F.when(F.col("sequence").endswith("P"), "ends_proline"),
+    ))
+    return last.select("sequence", tags.alias("tags"))
+
+
+@query
+def mode_failure_strata(spark, sf_dir):
+    """Every score mode and stratum of the panel: recovery, enrichment over random and tail probability."""
+    universe = materialize(inputs.keyed_universe(spark, sf_dir))
+    placed = ordered_parts(labelled_modes(universe, universe), ["mode"], metrics.total_order())
+    found, _ = flagged_ranks(placed.select("mode", "sequence", "label", "_at"), ["mode"], metrics.is_positive())
+    tagged = found.select("mode", "sequence", "rank", "n_rows").join(_panel_tags(spark, sf_dir), "sequence")
+    return rounded(metrics.with_enrichment(metrics.strata_summary(tagged, ["mode"]), (1.0, 10.0)))
 
 
 @query
@@ -666,14 +691,18 @@ def residue_descriptors(spark, sf_dir):
     return rounded(words.select("sequence", *[c.alias(n) for n, c in features.residue_descriptors(F.col("sequence")).items()]))
 
 
-@query
-def developability(spark, sf_dir):
-    """Developability flag counts; surface and partition stand-ins grow with the length."""
-    s = F.col("sequence")
-    flag = features.developability_flag(
+def _developability(s):
+    """Developability flag; surface and partition stand-ins grow with the length."""
+    return features.developability_flag(
         s, features.molecular_weight(s), F.when(F.length(s) > 2, F.length(s) * 60.0),
         F.lit(8.0) * text.fraction_of(s, fixed.HYDROPHOBIC),
     )
+
+
+@query
+def developability(spark, sf_dir):
+    """Developability flag counts."""
+    flag = _developability(F.col("sequence"))
     return inputs.document_words(spark, sf_dir).groupBy(flag.alias("flag")).agg(F.count(F.lit(1)).alias("n"))
 
 
@@ -704,6 +733,20 @@ def variants(spark, sf_dir):
     return rounded(context_model.variants(parents, model, blocked))
 
 
+@query
+def variant_table(spark, sf_dir):
+    """The best 300 new strings around the 40 best ranked panel strings: score, change, nearest panel string, flag."""
+    universe = materialize(inputs.keyed_universe(spark, sf_dir))
+    scored = score_wide(universe.select("candidate_id", "sequence")).select("candidate_id", "sequence", "length", F.col("sar").alias("score"))
+    ranked = global_rank(unblinded(scored, universe, required=True), [], metrics.total_order())
+    known = materialize(inputs.panel_words(spark, sf_dir).select("sequence"))
+    parents = materialize(panels.first_members(ranked, known, 40).select("sequence", F.col("rank").alias("parent_order")))
+    words = universe.where(F.col("n") > 0).select("sequence", "n")
+    model = materialize(context_model.train(words, "n"))
+    found = context_model.variant_table(parents, model, known, universe, _developability(F.col("sequence")), 300)
+    return rounded(found.drop("total_ll"))
+
+
 # ---- two-score fusion and validation ----------------------------------------------------------
 
 

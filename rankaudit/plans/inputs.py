@@ -45,6 +45,11 @@ def raw_words(df: DataFrame, *keep: str) -> DataFrame:
     return df.select(*keep, word).where(F.col("word") != "")
 
 
+def raw_word_rows(df: DataFrame, *keep: str) -> DataFrame:
+    """Like `raw_words`, with the place of the word in its text."""
+    return df.select(*keep, F.posexplode(F.split(letters_only(F.col("text")), " ")).alias("place", "word")).where(F.col("word") != "")
+
+
 def document_words(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Distinct residue strings of `documents` with their first document and occurrence count."""
     words = raw_words(table(spark, sf_dir, "documents"), "doc_id")

@@ -387,3 +387,65 @@ def test_contact_geometry(spark):
     got = {r.pose: r for r in geometry.contact_geometry(atoms, (0.0, 0.0, 0.0)).collect()}
     assert (got["p"].min_heavy, got["p"].min_terminal_oxygen, got["p"].polar_near, got["p"].oxygen_near) == (1.0, 3.0, 2, 1)
     assert got["q"].min_polar is None and got["q"].terminal_oxygens == 0
+
+
+def test_changed_scores_equal_rescoring(spark):
+    rng = random.Random(3)
+    word = lambda n: "".join(rng.choice("ACDEFG") for _ in range(n))
+    corpus = spark.createDataFrame([(word(rng.randint(1, 7)),) for _ in range(60)], "sequence string")
+    model = context_model.train(corpus).cache()
+    parents, rows = [], {}
+    for n in (1, 2, 3, 4, 6, 9):
+        parent = word(n)
+        parents.append(parent)
+        for _ in range(12):
+            new = list(parent)
+            for i in rng.sample(range(n), min(n, rng.randint(1, 2))):
+                new[i] = rng.choice("ACDEFGW")
+            rows["".join(new)] = parent
+    variants = spark.createDataFrame(list(rows.items()), "sequence string, parent string")
+    scored = context_model.log_likelihood(spark.createDataFrame([(p,) for p in parents], "sequence string"), model)
+    got = {r.sequence: r for r in context_model.changed_scores(variants, scored, model).collect()}
+    whole = {r.sequence: r for r in context_model.log_likelihood(variants, model).collect()}
+    before = {r.sequence: r for r in scored.collect()}
+    assert set(got) == set(rows)
+    for sequence, r in got.items():
+        assert r.total_ll == pytest.approx(whole[sequence].total_ll) and r.pseudo_perplexity == pytest.approx(whole[sequence].pseudo_perplexity)
+        assert r.delta_mean_ll == pytest.approx(whole[sequence].mean_ll - before[rows[sequence]].mean_ll, abs=1e-12)
+
+
+def test_nearest_within_a_promised_radius(spark):
+    rng = random.Random(5)
+    known = {"".join(rng.choice("ABC") for _ in range(rng.randint(1, 7))) for _ in range(60)} | {"Z"}
+    queries = {}
+    for parent in sorted(known):
+        for edits in (1, 2):
+            new = list(parent)
+            for i in rng.sample(range(len(new)), min(edits, len(new))):
+                new[i] = rng.choice("ABCX")
+            queries["".join(new)] = min(edits, queries.get("".join(new), 9))
+    table = spark.createDataFrame(list(queries.items()), "query string, radius int")
+    got = {r.query: (r.nearest, r.nearest_distance) for r in neighbors.nearest_within(table, spark.createDataFrame([(k,) for k in known] * 2, "other string")).collect()}
+    assert set(got) == set(queries)
+    for query, found in got.items():
+        d, _, nearest = min((plain_distance(query, k), abs(len(query) - len(k)), k) for k in known)
+        assert found == (nearest, d), query
+
+
+def test_first_members_and_last_rows(spark):
+    rows = [("A", "known_positive", 3), ("B", "known_positive", 1), ("C", "matched_decoy", 2), ("D", "digestome_known_positive", 4), ("E", "known_positive", 5)]
+    ranked = spark.createDataFrame(rows, "sequence string, label string, rank long")
+    members = spark.createDataFrame([("A",), ("A",), ("C",), ("D",), ("E",)], "sequence string")
+    assert [r.sequence for r in panels.first_members(ranked, members, 2).collect()] == ["A", "D"]
+
+
+def test_strata_have_enrichment_and_tails_per_group(spark):
+    from math import comb
+
+    rows = [("m", r, 200, ["all"] + (["odd"] if r % 2 else [])) for r in (1, 2, 9, 60, 61, 150)] + [("k", 199, 200, ["all", "odd"])]
+    df = spark.createDataFrame(rows, "mode string, rank long, n_rows long, tags array<string>")
+    got = {(r["mode"], r.tag): r for r in metrics.with_enrichment(metrics.strata_summary(df, ["mode"])).collect()}
+    assert set(got) == {("m", "all"), ("m", "odd"), ("k", "all"), ("k", "odd")}
+    r = got["m", "all"]
+    assert (r.n_positive, r.top_1pct_count) == (6, 2) and r.top_1pct_enrichment == pytest.approx(2 / (6 * 2 / 200))
+    assert r.top_1pct_p == pytest.approx(comb(6, 2) * comb(194, 0) / comb(200, 2)) and got["k", "odd"].top_1pct_p == 1.0
