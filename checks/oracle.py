@@ -539,6 +539,14 @@ aud AS (SELECT n.sequence, n.other AS nearest, n.dd AS nearest_distance, {r('n.i
 classed AS (SELECT *, CASE WHEN nearest_distance = 0 THEN 'exact_overlap' WHEN one_edit > 0 THEN 'single_edit_neighbor' WHEN high_identity > 0 THEN 'high_similarity_neighbor'
   WHEN suffix3_count > 0 THEN 'shared_suffix3' WHEN suffix2_count > 0 THEN 'shared_suffix2' ELSE 'distant' END AS neighborhood_class FROM aud)"""
 ORACLE["nearest_neighbor_audit"] = f"WITH {NEAR} SELECT * REPLACE (CAST(nearest_distance AS INTEGER) AS nearest_distance) FROM classed"
+_CLASSES = ("exact_overlap", "single_edit_neighbor", "high_similarity_neighbor", "shared_suffix3", "shared_suffix2", "distant")
+ORACLE["neighborhood_report"] = f"""WITH {DOCW}, {NEAR},
+{UNI}, {feats('uni', 'candidate_id, sequence, label')}, {modes('sequence, label')},
+rk AS (SELECT sequence, row_number() OVER (ORDER BY score DESC, length, sequence) AS rank, CAST(greatest(1, ceil(count(*) OVER () / 100.0)) AS BIGINT) AS threshold FROM ml WHERE mode = 'sar'),
+au AS (SELECT c.*, threshold, coalesce(rank <= threshold, false) AS top FROM classed c JOIN rk USING (sequence))
+SELECT count(*) AS positive_count, max(threshold) AS threshold, count(*) FILTER (top) AS top_1pct_count,
+  {', '.join(f"count(*) FILTER (neighborhood_class = '{c}') AS {c}_count, count(*) FILTER (top AND neighborhood_class = '{c}') AS top_1pct_{c}_count" for c in _CLASSES)},
+  {r('avg(nearest_identity)', 6)} AS mean_identity, {r('quantile_cont(CAST(nearest_identity AS DOUBLE), 0.5)', 6)} AS median_identity FROM au"""
 ORACLE["neighborhood_summary"] = f"WITH {NEAR} SELECT neighborhood_class, count(*) AS n, {r('avg(nearest_identity)', 4)} AS mean_identity FROM classed GROUP BY 1"
 ORACLE["suffix_sharing"] = f"""WITH {DOCW}, {PRIORW}, pr AS (SELECT DISTINCT sequence AS other FROM priorw),
 s2 AS (SELECT right(other, 2) AS e, count(*) AS c FROM pr WHERE length(other) >= 2 GROUP BY 1), s3 AS (SELECT right(other, 3) AS e, count(*) AS c FROM pr WHERE length(other) >= 3 GROUP BY 1)

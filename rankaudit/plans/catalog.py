@@ -522,6 +522,16 @@ def neighborhood_summary(spark, sf_dir):
     )
 
 
+@query
+def neighborhood_report(spark, sf_dir):
+    """The audit of the panel in one row, with the ranks of its strings among all documents' words."""
+    universe = materialize(inputs.keyed_universe(spark, sf_dir))
+    scored = score_wide(universe.select("candidate_id", "sequence")).select("sequence", "length", F.col("sar").alias("score"))
+    ranked = materialize(global_rank(scored, [], metrics.total_order()))
+    audit = nearest_neighbor_audit(spark, sf_dir)
+    return rounded(neighbors.audit_report(neighbors.with_top_ranks(audit, ranked)))
+
+
 @query
 def suffix_sharing(spark, sf_dir):
     """How many conversation strings share the last two and three letters of each document string."""

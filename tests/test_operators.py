@@ -449,3 +449,39 @@ def test_strata_have_enrichment_and_tails_per_group(spark):
     r = got["m", "all"]
     assert (r.n_positive, r.top_1pct_count) == (6, 2) and r.top_1pct_enrichment == pytest.approx(2 / (6 * 2 / 200))
     assert r.top_1pct_p == pytest.approx(comb(6, 2) * comb(194, 0) / comb(200, 2)) and got["k", "odd"].top_1pct_p == 1.0
+
+
+def test_far_search_opens_few_strings_of_a_skewed_collection():
+    rng = random.Random(8)
+    word = lambda letters, n: "".join(rng.choice(letters) for _ in range(n))
+    # Every string has the letter A, a third of them nothing else.
+    others = ["A" * rng.randint(1, 12) for _ in range(1000)] + [word("ABCDEFGHIK", rng.randint(5, 11)) + "A" for _ in range(2000)]
+    queries = [word("ABCDEFGHIK", 9) + "A" for _ in range(15)] + ["WWWW", "", "A"]
+    search = neighbors.FarSearch(queries)
+    for a in range(0, len(others), 700):
+        search.take(others[a : a + 700])
+    for query, found in zip(queries, search.best):
+        assert found == min((d := plain_distance(query, o), -max(len(o), len(query)), abs(len(o) - len(query)), o) for o in others)
+    assert search.opened < 0.4 * len(queries) * len(others)
+
+
+def test_short_pairs_match_brute_force_and_need_no_shared_letter(spark):
+    rng = random.Random(9)
+    word = lambda n: "".join(rng.choice("ABCDEFGHIKLM") for _ in range(rng.randint(1, n)))
+    queries, others = {word(5) for _ in range(60)}, {word(8) for _ in range(300)}
+    make = lambda words, name: spark.createDataFrame([(w,) for w in words], f"{name} string")
+    got = {(r.query, r.other): r.distance for r in neighbors.short_pairs(make(queries, "query"), make(others, "other")).collect()}
+    for q in queries:
+        for o in others:
+            d = plain_distance(q, o)
+            assert got.get((q, o)) == d if d <= 2 and (q, o) in got else d > 2 or max(len(q), len(o)) <= 2
+
+
+def test_audit_report_counts_the_best_hundredth(spark):
+    audit = spark.createDataFrame([("A", "distant", 0.0), ("B", "single_edit_neighbor", 0.5), ("C", "exact_overlap", 1.0), ("D", "distant", 0.25)],
+                                  "sequence string, neighborhood_class string, nearest_identity double")
+    ranked = spark.createDataFrame([("A", 2), ("B", 1), ("C", 250)], "sequence string, rank long")
+    r = neighbors.audit_report(neighbors.with_top_ranks(audit, ranked)).first()
+    assert (r.positive_count, r.threshold, r.top_1pct_count, r.distant_count, r.top_1pct_distant_count, r.exact_overlap_count) == (4, 3, 2, 2, 1, 1)
+    assert (r.mean_identity, r.median_identity) == (0.4375, 0.375)
+    assert neighbors.with_top_ranks(audit, ranked, 100).where("top_1pct").count() == 1
