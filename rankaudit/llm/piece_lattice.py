@@ -30,7 +30,10 @@ from .chunks import by_bucket, each_chunk, gathered, pack_strings, packed, texts
 from .common import arrow_schema, store, total_bytes
 
 MARK = "▁"
-BUCKET_BYTES = 12 << 20
+#: Text for each bucket of words, and in each chunk.
+BUCKET_BYTES, CHUNK_BYTES = 4 << 20, 4 << 20
+#: Words whose edges a task groups by hashing; the rest of its words is sorted, and spilled where memory is short.
+HASHED_WORDS = 20_000
 #: What a character without a piece costs beyond the lowest score, before it is spelt in bytes.
 UNKNOWN_PENALTY = 10.0
 #: Longer words are folded with a heap in Python, as column folds grow with the square of the length.
@@ -300,10 +303,10 @@ def segment(words: DataFrame, pieces: Pieces) -> DataFrame:
 
 @contextmanager
 def _hash_aggregation(spark: SparkSession):
-    """Group edges by hashing: the words of a bucket are bounded, so their lists fit in memory."""
+    """Group edges by hashing for so many words of a task as surely fit in memory."""
     key = "spark.sql.objectHashAggregate.sortBased.fallbackThreshold"
     before = spark.conf.get(key, None)
-    spark.conf.set(key, "200000")
+    spark.conf.set(key, str(HASHED_WORDS))
     try:
         yield
     finally:
@@ -318,7 +321,7 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
     """
     spark, pieces = docs.sparkSession, read_pieces(model_path)
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total_bytes(docs, text_col)[1] // BUCKET_BYTES + 1)
-    chunks = write_chunks(docs, id_col, text_col).df
+    chunks = write_chunks(docs, id_col, text_col, CHUNK_BYTES).df
 
     def send(row: dict) -> Iterator[pa.RecordBatch]:
         own = _Words(row, model_path)
