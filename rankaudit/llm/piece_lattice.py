@@ -30,8 +30,8 @@ from .chunks import by_bucket, each_chunk, gathered, pack_strings, packed, texts
 from .common import arrow_schema, store, total_bytes
 
 MARK = "▁"
-#: Text for each bucket of words, and in each chunk.
-BUCKET_BYTES, CHUNK_BYTES = 4 << 20, 4 << 20
+#: Text for each bucket of words.
+BUCKET_BYTES = 4 << 20
 #: Words whose edges a task groups by hashing; the rest of its words is sorted, and spilled where memory is short.
 HASHED_WORDS = 20_000
 #: What a character without a piece costs beyond the lowest score, before it is spelt in bytes.
@@ -53,11 +53,16 @@ class Pieces:
     def longest(self) -> int:
         return max(map(len, self.ids))
 
-    @property
+    @cached_property
     def by_place(self) -> np.ndarray:
         """Ids from the lowest score up; of equal scores the higher id first."""
         return np.array(sorted(self.ids.values(), key=self._order), np.int64)
 
+    @cached_property
+    def ids_of_places(self) -> np.ndarray:
+        """The id of every place from 1 on."""
+        return np.concatenate([[0], self.by_place])
+
     def _order(self, number: int) -> tuple[float, int]:
         return self._scores_by_id[number], -number
 
@@ -226,8 +231,7 @@ def as_ids(pieces: Pieces, symbols: np.ndarray) -> np.ndarray:
     """Ids of what `segment` gives: they are places for byte-pair models and ids already for others."""
     if not pieces.merges:
         return symbols
-    table = np.concatenate([[0], pieces.by_place])
-    return np.where(symbols > 0, table[np.maximum(symbols, 0)], symbols)
+    return np.where(symbols > 0, pieces.ids_of_places[np.maximum(symbols, 0)], symbols)
 
 
 def fold_long(edges: list, length: int, merges: bool) -> list[int]:
@@ -321,7 +325,7 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
     """
     spark, pieces = docs.sparkSession, read_pieces(model_path)
     buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total_bytes(docs, text_col)[1] // BUCKET_BYTES + 1)
-    chunks = write_chunks(docs, id_col, text_col, CHUNK_BYTES).df
+    chunks = write_chunks(docs, id_col, text_col).df
 
     def send(row: dict) -> Iterator[pa.RecordBatch]:
         own = _Words(row, model_path)
