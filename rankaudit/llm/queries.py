@@ -38,7 +38,7 @@ def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query
-def op5_near_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
+def near_matches(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Near matches of every document: windows of ten words of a benchmark item whose terms all lie within two words of their place.
 
     n_near counts pairs of a window and a place of its rarest term; an exact occurrence is one of them. only_near tells documents

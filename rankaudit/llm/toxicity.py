@@ -60,7 +60,8 @@ _MEMO: dict[tuple[str, int | None], dict[str, float]] = {}
 class Lexicon:
     """Smoothed log-odds of the entries, with or without one document.
 
-    Weights of words are remembered by the Python worker for all its tasks, up to a bound.
+    Weights of words are remembered by the Python worker for all its tasks, up to a bound; those of other models, and of the
+    fit once texts are scored, are forgotten.
     """
 
     def __init__(self, counts: dict[str, tuple[int, int]], toxic: int, clean: int):
@@ -77,6 +78,9 @@ class Lexicon:
         return max([0.0, *(self.weigh(a, b, own) for a, b in found)])
 
     def weights(self, words: list[str], own: int | None) -> np.ndarray:
+        if (self.name, own) not in _MEMO:
+            for other in [k for k in _MEMO if k[0] != self.name or own is None]:
+                del _MEMO[other]
         memo = _MEMO.setdefault((self.name, own), {})
         if len(memo) > 300_000:
             memo.clear()
