@@ -161,7 +161,7 @@ def test_near_matches_of_the_registered_query(spark, small, tmp_path):
     items = [(1, " ".join(words)), (2, "one"), (3, None), (4, "Words, two"), (5, " ".join(words[44:54]).upper())]
     df.select("doc_id", "text").unionByName(spark.createDataFrame(moved, "doc_id bigint, text string")).write.parquet(str(tmp_path / "documents.parquet"))
     spark.createDataFrame(items, "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
-    found = got(QUERIES["op5_near_matches"](spark, str(tmp_path)), "doc_id", "n_words", "n_near", "n_items", "items_sha256", "only_near")
+    found = got(QUERIES["near_matches"](spark, str(tmp_path)), "doc_id", "n_words", "n_near", "n_items", "items_sha256", "only_near")
     assert found == expected(brute.near_leaks(rows + moved, items))
     assert {k: only for k, *_, only in found}[71] and {k: n for k, _, n, *_ in found}[72] == 0
 
