@@ -3,9 +3,10 @@
 Documents with the same set of shingles form a class, and links are sought between classes. Shingles are hashed into
 groups; the counts per group are a point, and the sum of the lesser coordinates of two points bounds their overlap.
 Two similar sets share a shingle among the first of either in one global order, rare shingles first, so points are
-partitioned by those shingles. Inside a partition an R-tree over the points finds the pairs that pass the bound, and
-these are verified on the whole texts. Links through a common least hash are verified beforehand: classes that they
-join need no more comparison, which keeps a large group of near copies from being compared pair by pair.
+brought together by those shingles. An R-tree over such points finds the pairs that pass the bound, and these are
+verified on the whole sets in the same task, which merges what it links as it goes: a tree yields a spanning forest of
+its links, never its pairs. Links through a common least hash are verified beforehand: classes that they join need no
+more comparison, which keeps a large group of near copies from being compared pair by pair.
 """
 
 from __future__ import annotations
@@ -20,15 +21,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .chunks import by_bucket, packed, unpacked
+from .chunks import by_bucket, gathered, packed, unpacked
 from .common import arrow_schema, batches_of, mix64, store, total_bytes, utf8
 
 SHINGLE, PERCENT = 4, 85
 GROUPS = 256
 #: Entries of the table of frequent shingles, which only orders shingles; ties of the rest fall to their hash.
 FREQUENT = 200_000
-#: Points that meet in one tree; larger partitions are dealt to several by pairs of parts.
-TREE = 4000
+#: Points and bytes of shingles of one part of a tree; larger groups are dealt to several trees by pairs of parts.
+TREE, TREE_BYTES = 4000, 8 << 20
 LEAF = 16
 BUCKET_BYTES = 8 << 20
 #: Bits of the filter on the texts to move; a fixed size, whatever the corpus.
@@ -70,47 +71,101 @@ def similar(a: np.ndarray, b: np.ndarray, percent: int) -> bool:
 
 
 class Tree:
-    """A packed R-tree over count vectors: leaves of points near in size, each node with the greatest coordinates below it."""
+    """A packed R-tree over count vectors: leaves of points near in size, each node with the greatest coordinates below it.
 
-    def __init__(self, sizes: np.ndarray, points: np.ndarray):
-        self.order = np.lexsort((points.argmax(axis=1), sizes))
-        self.sizes, self.points = sizes[self.order], points[self.order]
-        self.levels = [(np.arange(len(sizes) + 1), self.points, self.sizes, self.sizes)]
+    `labels` are the components known so far. Those that fill a leaf get leaves of their own, so that nodes inside one
+    component can be passed over whole.
+    """
+
+    def __init__(self, sizes: np.ndarray, points: np.ndarray, labels: np.ndarray):
+        _, own, times = np.unique(labels, return_inverse=True, return_counts=True)
+        crowd = np.where(times[own] >= LEAF, own + 1, 0)
+        self.order = np.lexsort((points.argmax(axis=1), sizes, crowd))
+        self.sizes, self.labels = sizes[self.order].astype(np.int64), own[self.order]
+        self.points = points[self.order].astype(np.uint8 if points.max(initial=0) < 256 else np.int32)
+        self.levels = [(None, self.points, self.sizes, self.sizes)]
         while len(self.levels[-1][1]) > LEAF:
             _, tops, low, high = self.levels[-1]
             cuts = np.arange(0, len(tops), LEAF)
             self.levels.append((np.append(cuts, len(tops)), np.maximum.reduceat(tops, cuts), np.minimum.reduceat(low, cuts), np.maximum.reduceat(high, cuts)))
 
-    def pairs(self, percent: int) -> tuple[np.ndarray, np.ndarray]:
-        """Places a < b of all pairs that sizes and summed coordinate minima leave possible."""
-        n = len(self.levels[-1][1])
-        a, b = np.triu_indices(n)
+    def merge(self, a: int, b: int) -> None:
+        """The points at places a and b belong together from now on."""
+        self.labels[self.labels == self.labels[b]] = self.labels[a]
+
+    def possible(self, percent: int) -> Iterator[tuple[int, np.ndarray]]:
+        """For each place its later places of other components that sizes and summed coordinate minima leave possible.
+
+        Components are read as each place is reached, so merges in between save the comparisons that follow.
+        """
+        n = len(self.sizes)
+        for start in range(0, n, LEAF):
+            stop = min(n, start + LEAF)
+            at = self._near(start, stop, percent)
+            for place in range(start, stop):
+                later = at[(at > place) & (self.labels[at] != self.labels[place])]
+                later = later[self._bound(self.points[place], self.sizes[place], self.sizes[place], self.points[later], self.sizes[later], self.sizes[later], percent)]
+                if len(later):
+                    yield place, later
+
+    def _near(self, start: int, stop: int, percent: int) -> np.ndarray:
+        """Places from `start` on that the leaf's greatest coordinates leave possible, without nodes of its only component."""
+        top, low, high = self.points[start:stop].max(axis=0), self.sizes[start:stop].min(), self.sizes[start:stop].max()
+        only = self.labels[start] if (self.labels[start:stop] == self.labels[start]).all() else None
+        at = np.arange(len(self.levels[-1][1]))
         for depth in range(len(self.levels) - 1, -1, -1):
-            cuts, tops, low, high = self.levels[depth]
-            keep = self._possible(tops, low, high, a, b, percent)
-            a, b = a[keep], b[keep]
-            if depth == 0:
-                a, b = self.order[a[a != b]], self.order[b[a != b]]
-                return np.minimum(a, b), np.maximum(a, b)
-            sizes_a, sizes_b = cuts[a + 1] - cuts[a], cuts[b + 1] - cuts[b]
-            n = sizes_a * sizes_b
-            at = np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
-            x = np.repeat(cuts[a], n) + at // np.repeat(sizes_b, n)
-            y = np.repeat(cuts[b], n) + at % np.repeat(sizes_b, n)
-            a, b = x[x <= y], y[x <= y]
-        return a, b
+            cuts, tops, lows, highs = self.levels[depth]
+            at = at[self._bound(top, low, high, tops[at], lows[at], highs[at], percent)]
+            width = LEAF**depth
+            at = at[(at + 1) * width > start]
+            if only is not None and len(at):
+                other = np.concatenate([[0], np.cumsum(self.labels != only)])
+                at = at[other[np.minimum((at + 1) * width, len(self.labels))] > other[at * width]]
+            if depth:
+                n = cuts[at + 1] - cuts[at]
+                at = np.repeat(cuts[at], n) + np.arange(int(n.sum())) - np.repeat(np.cumsum(n) - n, n)
+        return at
 
     @staticmethod
-    def _possible(tops, low, high, a, b, percent) -> np.ndarray:
-        keep = (100 * high[b] >= percent * low[a]) & (100 * high[a] >= percent * low[b])
+    def _bound(top, low, high, tops, lows, highs, percent) -> np.ndarray:
+        keep = (100 * highs >= percent * low) & (100 * high >= percent * lows)
         at = np.flatnonzero(keep)
-        for i in range(0, len(at), 200_000):
-            some = at[i : i + 200_000]
-            bound = np.minimum(tops[a[some]], tops[b[some]]).sum(axis=1)
-            keep[some] = (100 + percent) * bound >= percent * (low[a[some]] + low[b[some]])
+        overlap = np.minimum(tops[at], top).sum(axis=1, dtype=np.int64)
+        keep[at] = (100 + percent) * overlap >= percent * (low + lows[at])
         return keep
 
 
+def tree_links(sets: list[np.ndarray], labels: np.ndarray, parts: np.ndarray | None, percent: int) -> list[tuple[int, int]]:
+    """A spanning forest of the links between the components `labels` of these sets, as pairs of their places.
+
+    With `parts` (0 or 1) only pairs across the two parts are compared. The exact overlap of one set with all that the
+    tree leaves possible is counted by marking its shingles.
+    """
+    sizes = np.array([len(x) for x in sets], np.int64)
+    flat = np.concatenate(sets)
+    ends = np.cumsum(sizes)
+    point = np.repeat(np.arange(len(sets)) * GROUPS, sizes) + (flat % np.uint64(GROUPS)).astype(np.int64)
+    tree = Tree(sizes, np.bincount(point, minlength=len(sets) * GROUPS).reshape(len(sets), GROUPS), labels)
+    values, flat = np.unique(flat, return_inverse=True)
+    marks, links = np.zeros(len(values), np.int8), []
+    for place, later in tree.possible(percent):
+        a, others = tree.order[place], tree.order[later]
+        if parts is not None:
+            across = parts[others] != parts[a]
+            later, others = later[across], others[across]
+        own = flat[ends[a] - sizes[a] : ends[a]]
+        marks[own] = 1
+        for i in range(0, len(others), 1000):
+            some = others[i : i + 1000]
+            both = np.add.reduceat(marks[gathered(flat, ends[some] - sizes[some], sizes[some])], np.cumsum(sizes[some]) - sizes[some], dtype=np.int64)
+            for hit in np.flatnonzero(100 * both >= percent * (sizes[a] + sizes[some] - both)):
+                if tree.labels[later[i + hit]] != tree.labels[place]:
+                    links.append((int(a), int(some[hit])))
+                    tree.merge(place, later[i + hit])
+        marks[own] = 0
+    return links
+
+
 def _frequent(docs: DataFrame, size: int) -> dict[int, int]:
     """The most frequent shingles: shingles that recur within a task's rows, added up. Its bound is `FREQUENT`."""
 
@@ -188,13 +243,8 @@ def _passes(n_a: Column, n_b: Column, percent: int) -> Column:
     return (100 * n_b >= percent * n_a) & (100 * n_a >= percent * n_b)
 
 
-def verified(pairs: DataFrame, reps: DataFrame, sketches: DataFrame, size: int, percent: int) -> DataFrame:
-    """The pairs (a, b) of classes whose sets are similar, by the texts of one row of each class.
-
-    A filter of fixed size keeps most texts that no pair names from being moved.
-    """
-    spark = pairs.sparkSession
-    ends = pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct()
+def _texts(ends: DataFrame, reps: DataFrame, sketches: DataFrame) -> DataFrame:
+    """(class, text) of one row of each class in `ends`; a filter of fixed size keeps most other texts from being moved."""
     wanted = store(ends.join(reps.select("class", "row"), "class"))
     bit = F.pmod(F.xxhash64("row"), F.lit(FILTER_BITS))
     bits = wanted.df.select((bit + 1).alias("bit")).groupBy(F.bitmap_bucket_number("bit").alias("part")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("bit")).alias("map"))
@@ -212,7 +262,12 @@ def verified(pairs: DataFrame, reps: DataFrame, sketches: DataFrame, size: int,
 
     near = sketches.select("row", "text", bit.alias("bit"))
     near = near.mapInArrow(within, near.schema).drop("bit")
-    texts = store(near.join(wanted.df, "row").select("class", "text")).df
+    return store(near.join(wanted.df, "row").select("class", "text")).df
+
+
+def verified(pairs: DataFrame, reps: DataFrame, sketches: DataFrame, size: int, percent: int) -> DataFrame:
+    """The pairs (a, b) of classes whose sets are similar, by the texts of one row of each class."""
+    texts = _texts(pairs.select(F.explode(F.array("a", "b")).alias("class")).distinct(), reps, sketches)
     both = pairs.join(texts.select(F.col("class").alias("a"), F.col("text").alias("text_a")), "a")
     both = both.join(texts.select(F.col("class").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
 
@@ -278,49 +333,41 @@ def _shared_firsts(sketches: DataFrame, buckets: int) -> DataFrame:
     return sent.groupBy("bucket").applyInArrow(share, "shingle bigint, class bigint")
 
 
-def _tree_pairs(rows: DataFrame, percent: int) -> DataFrame:
-    """Pairs (a, b) of classes of different components that pass the bound in a tree of one partition.
+def _tree_links(rows: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
+    """Links (a, b) between classes of different components that meet under one lead; a spanning forest for each tree.
 
-    `rows`: (shingle, class, n, counts, root). A partition with more than `TREE` rows is dealt to several trees, one for
-    each pair of its parts, so that none grows with it.
+    `rows`: (lead, class, n, root). The classes of a lead are dealt to parts of bounded rows and bytes, and there is one
+    tree for each pair of parts, so that none grows with its group.
     """
-    sizes = rows.groupBy("shingle").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") > TREE)
-    parts = rows.join(sizes, "shingle", "left").withColumn("t", F.coalesce(F.ceil(F.col("m") / TREE), F.lit(1)).cast("int"))
+    load = F.greatest(F.ceil(F.count(F.lit(1)) / TREE), F.ceil(F.sum(F.col("n") * 8) / TREE_BYTES)).cast("int")
+    sizes = rows.groupBy("lead").agg(load.alias("t")).where("t > 1")
+    parts = rows.join(sizes, "lead", "left").withColumn("t", F.coalesce("t", F.lit(1)))
     own = parts.withColumn("own", F.pmod(F.xxhash64("class"), F.col("t")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("t") - 1)))
-    keyed = own.select("shingle", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "class", "n", "counts", "root")
-    keys = ["shingle", "i", "j"]
-    schema = "a bigint, b bigint"
+    keys = ["lead", "i", "j"]
+    keyed = own.select("lead", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "class", "root").join(texts, "class")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-
-        def finish(group: pa.Table) -> pa.RecordBatch:
-            column = lambda name: group[name].combine_chunks().to_numpy(zero_copy_only=False)
-            points = group["counts"].combine_chunks().flatten().to_numpy().reshape(group.num_rows, -1)
-            a, b = Tree(column("n"), points).pairs(percent)
-            root, own, classes = column("root"), column("own"), column("class")
-            across = group["i"][0] != group["j"][0]
-            keep = root[a] != root[b]
-            if across:
-                keep &= own[a] != own[b]
-            a, b = classes[a[keep]], classes[b[keep]]
-            return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
+        known, held, now = _WordHashes(), [], None
+
+        def finish() -> Iterator[pa.RecordBatch]:
+            if not held or len({root for _, _, root, _ in held}) < 2:
+                return
+            classes, own, roots, sets = zip(*held)
+            across = None if now[1] == now[2] else np.array(own) != now[1]
+            found = tree_links(list(sets), np.array(roots), across, percent)
+            ends = [[min(classes[a], classes[b]) for a, b in found], [max(classes[a], classes[b]) for a, b in found]]
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in ends], ["a", "b"])
 
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            names = [batch.column(k).to_numpy() for k in keys]
-            turns = np.flatnonzero(np.any([x[1:] != x[:-1] for x in names], axis=0)) + 1
-            cuts = [0, *turns.tolist(), batch.num_rows]
-            for a, b in zip(cuts, cuts[1:]):
-                if held and any(held[-1].column(k)[0] != batch.column(k)[a] for k in keys):
-                    yield finish(pa.Table.from_batches(held))
-                    held = []
-                held.append(batch.slice(a, b - a))
-        if held:
-            yield finish(pa.Table.from_batches(held))
+            columns = [batch.column(k).to_pylist() for k in (*keys, "class", "own", "root")]
+            for *key, name, own, root, text in zip(*columns, utf8(batch.column("text"))):
+                if key != now:
+                    yield from finish()
+                    held, now = [], key
+                held.append((name, own, root, shingles(text, known, size)))
+        yield from finish()
 
-    return keyed.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(search, schema).distinct()
+    return keyed.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(search, "a bigint, b bigint").distinct()
 
 
 def near_groups(
@@ -368,14 +415,16 @@ def near_groups(
                    .withColumn("root", F.coalesce("root", "class"))).df
     mark = F.xxhash64("class")
     members = shared.groupBy("shingle").agg(
-        F.min("root").alias("low"), F.max("root").alias("high"), F.count(F.lit(1)).alias("m"),
+        F.min("root").alias("low"), F.max("root").alias("high"), F.min("class").alias("lead"), F.count(F.lit(1)).alias("m"),
         F.bit_xor(mark).alias("xor"), F.sum(mark.cast("decimal(38,0)")).alias("sum"),
     )
-    # Shingles with the same classes would repeat the same comparisons; one of them is enough.
-    mixed = members.where("low <> high").groupBy("m", "xor", "sum").agg(F.min("shingle").alias("shingle")).select("shingle")
-    rows = shared.join(mixed, "shingle").join(points.select("class", "n", "counts"), "class")
-    others = store(_tree_pairs(rows, percent).join(pairs, ["a", "b"], "left_anti")).df
-    links = store(links.unionByName(verified(others, reps, sketches, size, percent))).df
+    # Shingles with the same classes would repeat the same comparisons; one of them is enough. The shingles of a group of
+    # near copies mostly have the same least class, which stands for them all: each text is moved once for such a lead.
+    mixed = members.where("low <> high").groupBy("m", "xor", "sum").agg(F.min_by(F.struct("shingle", "lead"), "shingle").alias("own")).select("own.*")
+    met = shared.join(mixed, "shingle").select("lead", "class", "root").distinct()
+    rows = store(met.join(points.select("class", "n"), "class")).df
+    texts = _texts(rows.select("class").distinct(), reps, sketches)
+    links = store(links.unionByName(_tree_links(rows, texts, size, percent))).df
     roots = components(links)
 
     named = reps.join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class")).select("class", "root", "id")

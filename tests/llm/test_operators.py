@@ -229,12 +229,56 @@ def test_tree_finds_all_pairs_that_the_bound_allows():
     points = rng.poisson(3, (300, 16)).astype(np.int32)
     points[150:] = points[:150]
     sizes = points.sum(axis=1).astype(np.int64)
-    a, b = jaccard_join.Tree(sizes, points).pairs(85)
-    found = set(zip(a.tolist(), b.tolist()))
+    tree = jaccard_join.Tree(sizes, points, np.arange(300) // 20 % 9)
+    found = {tuple(sorted((int(tree.order[a]), int(tree.order[b])))) for a, later in tree.possible(85) for b in later}
     for i in range(300):
         for j in range(i + 1, 300):
             bound = np.minimum(points[i], points[j]).sum()
-            assert ((i, j) in found) == bool(185 * bound >= 85 * (sizes[i] + sizes[j]))
+            apart = i // 20 % 9 != j // 20 % 9
+            assert ((i, j) in found) == bool(apart and 185 * bound >= 85 * (sizes[i] + sizes[j]))
+
+
+@pytest.mark.parametrize("parts", [False, True])
+def test_tree_links_span_the_components(parts):
+    """The same components as all pairs give, from no more links than there are sets."""
+    rng = np.random.default_rng(7)
+    base = rng.integers(0, 2**63, (12, 80)).astype(np.uint64)
+    sets = []
+    for i in range(400):
+        own = base[i % 12].copy()
+        own[rng.choice(80, rng.integers(0, 9), replace=False)] = rng.integers(0, 2**63)
+        sets.append(np.unique(own))
+    labels = np.where(np.arange(400) % 5 == 0, np.arange(400) % 12, 1000 + np.arange(400))
+    sides = np.arange(400) // 12 % 2 if parts else None
+    roots = {int(x): int(x) for x in labels}
+
+    def root(x):
+        while roots[x] != x:
+            x = roots[x]
+        return x
+
+    found = dict(roots)
+    for i in range(400):
+        for j in range(i):
+            if (sides is None or sides[i] != sides[j]) and jaccard_join.similar(sets[i], sets[j], 85):
+                roots[root(int(labels[i]))] = root(int(labels[j]))
+    whole = {x: root(x) for x in roots}
+    links = jaccard_join.tree_links(sets, labels, sides, 85)
+    assert len(links) < len(set(labels.tolist()))
+    assert all(jaccard_join.similar(sets[a], sets[b], 85) for a, b in links)
+    roots = found
+    for a, b in links:
+        roots[root(int(labels[a]))] = root(int(labels[b]))
+    groups = lambda of: {frozenset(x for x in of if of[x] == r) for r in set(of.values())}
+    assert groups({x: root(x) for x in roots}) == groups(whole)
+
+
+def test_tree_of_near_equal_points_yields_few_links():
+    """Thousands of sets that are all alike: links grow with the sets, not with their square."""
+    rng = np.random.default_rng(8)
+    base = rng.integers(0, 2**63, 100).astype(np.uint64)
+    sets = [np.unique(np.concatenate([base, rng.integers(0, 2**63, 2).astype(np.uint64)])) for _ in range(4000)]
+    assert len(jaccard_join.tree_links(sets, np.arange(4000), None, 85)) == 3999
 
 
 def test_components_of_paths_and_stars(spark):
