@@ -11,7 +11,7 @@ more comparison, which keeps a large group of near copies from being compared pa
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -333,41 +333,76 @@ def _shared_firsts(sketches: DataFrame, buckets: int) -> DataFrame:
     return sent.groupBy("bucket").applyInArrow(share, "shingle bigint, class bigint")
 
 
-def _tree_links(rows: DataFrame, texts: DataFrame, size: int, percent: int) -> DataFrame:
-    """Links (a, b) between classes of different components that meet under one lead; a spanning forest for each tree.
+def _each_tree(rows: DataFrame, payload: DataFrame, load: Column, found: Callable[..., tuple[list, list]], names: tuple[str, str]) -> DataFrame:
+    """`found` on the rows of every tree, as distinct pairs of longs named `names`.
 
-    `rows`: (lead, class, n, root). The classes of a lead are dealt to parts of bounded rows and bytes, and there is one
-    tree for each pair of parts, so that none grows with its group.
+    `rows`: (lead, class, n, root). The classes of a lead are dealt to parts of bounded rows and bytes (`load`), and there
+    is one tree for each pair of parts, so that none grows with its group. `payload` brings the last column by class.
+    `found` takes the lead, classes, roots, parts of a tree of two parts (else None) and payloads. Trees of one component
+    are passed over.
     """
-    load = F.greatest(F.ceil(F.count(F.lit(1)) / TREE), F.ceil(F.sum(F.col("n") * 8) / TREE_BYTES)).cast("int")
-    sizes = rows.groupBy("lead").agg(load.alias("t")).where("t > 1")
+    sizes = rows.groupBy("lead").agg(load.cast("int").alias("t")).where("t > 1")
     parts = rows.join(sizes, "lead", "left").withColumn("t", F.coalesce("t", F.lit(1)))
     own = parts.withColumn("own", F.pmod(F.xxhash64("class"), F.col("t")).cast("int")).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("t") - 1)))
     keys = ["lead", "i", "j"]
-    keyed = own.select("lead", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "class", "root").join(texts, "class")
+    keyed = own.select("lead", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "own", "class", "root").join(payload, "class")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, held, now = _WordHashes(), [], None
+        held: list[pa.RecordBatch] = []
 
         def finish() -> Iterator[pa.RecordBatch]:
-            if not held or len({root for _, _, root, _ in held}) < 2:
+            group = pa.Table.from_batches(held).combine_chunks()
+            column = lambda name: group[name].to_numpy()
+            if len(np.unique(column("root"))) < 2:
                 return
-            classes, own, roots, sets = zip(*held)
-            across = None if now[1] == now[2] else np.array(own) != now[1]
-            found = tree_links(list(sets), np.array(roots), across, percent)
-            ends = [[min(classes[a], classes[b]) for a, b in found], [max(classes[a], classes[b]) for a, b in found]]
-            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in ends], ["a", "b"])
+            across = None if held[0]["i"][0] == held[0]["j"][0] else column("own") != column("i")
+            pairs = found(group["lead"][0].as_py(), column("class"), column("root"), across, group.column(group.num_columns - 1).combine_chunks())
+            yield pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in pairs], list(names))
 
         for batch in batches:
-            columns = [batch.column(k).to_pylist() for k in (*keys, "class", "own", "root")]
-            for *key, name, own, root, text in zip(*columns, utf8(batch.column("text"))):
-                if key != now:
+            if not batch.num_rows:
+                continue
+            turns = np.flatnonzero(np.any([x[1:] != x[:-1] for x in (batch.column(k).to_numpy() for k in keys)], axis=0)) + 1
+            cuts = [0, *turns.tolist(), batch.num_rows]
+            for a, b in zip(cuts, cuts[1:]):
+                if held and any(held[-1][k][0] != batch[k][a] for k in keys):
                     yield from finish()
-                    held, now = [], key
-                held.append((name, own, root, shingles(text, known, size)))
-        yield from finish()
+                    held = []
+                held.append(batch.slice(a, b - a))
+        if held:
+            yield from finish()
+
+    return keyed.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(search, f"{names[0]} bigint, {names[1]} bigint").distinct()
+
+
+def _tree_links(rows: DataFrame, points: DataFrame, texts: Callable[[DataFrame], DataFrame], size: int, percent: int) -> DataFrame:
+    """Links (a, b) between classes of different components that meet under one lead; a spanning forest for each tree.
+
+    First the trees over the count vectors name the classes that have a possible partner under their lead, a row each and
+    no pairs. Only their texts are moved (`texts` of a table of classes), and the trees over these verify and link.
+    """
+    n_rows = F.ceil(F.count(F.lit(1)) / TREE)
+
+    def hopeful(lead: int, classes: np.ndarray, roots: np.ndarray, parts: np.ndarray | None, counts: pa.Array) -> tuple[list, list]:
+        vectors = counts.flatten().to_numpy().reshape(len(classes), -1)
+        tree, named = Tree(vectors.sum(axis=1), vectors, roots), np.zeros(len(classes), bool)
+        for place, later in tree.possible(percent):
+            a, others = tree.order[place], tree.order[later]
+            others = others if parts is None else others[parts[others] != parts[a]]
+            named[others] = True
+            named[a] |= len(others) > 0
+        own = classes[named]
+        return [lead] * len(own), own
+
+    def linked(lead: int, classes: np.ndarray, roots: np.ndarray, parts: np.ndarray | None, own: pa.Array) -> tuple[list, list]:
+        known = _WordHashes()
+        links = tree_links([shingles(text, known, size) for text in utf8(own)], roots, parts, percent)
+        return [min(classes[a], classes[b]) for a, b in links], [max(classes[a], classes[b]) for a, b in links]
 
-    return keyed.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(search, "a bigint, b bigint").distinct()
+    left = _each_tree(rows, points.select("class", "counts"), n_rows, hopeful, ("lead", "class"))
+    left = store(left.join(rows, ["lead", "class"])).df
+    load = F.greatest(n_rows, F.ceil(F.sum(F.col("n") * 8) / TREE_BYTES))
+    return _each_tree(left, texts(left.select("class").distinct()), load, linked, ("a", "b"))
 
 
 def near_groups(
@@ -419,12 +454,12 @@ def near_groups(
         F.bit_xor(mark).alias("xor"), F.sum(mark.cast("decimal(38,0)")).alias("sum"),
     )
     # Shingles with the same classes would repeat the same comparisons; one of them is enough. The shingles of a group of
-    # near copies mostly have the same least class, which stands for them all: each text is moved once for such a lead.
+    # near copies mostly have the same least class, which stands for them all: each vector is moved once for such a lead.
     mixed = members.where("low <> high").groupBy("m", "xor", "sum").agg(F.min_by(F.struct("shingle", "lead"), "shingle").alias("own")).select("own.*")
     met = shared.join(mixed, "shingle").select("lead", "class", "root").distinct()
     rows = store(met.join(points.select("class", "n"), "class")).df
-    texts = _texts(rows.select("class").distinct(), reps, sketches)
-    links = store(links.unionByName(_tree_links(rows, texts, size, percent))).df
+    found = _tree_links(rows, points, lambda ends: _texts(ends, reps, sketches), size, percent)
+    links = store(links.unionByName(found)).df
     roots = components(links)
 
     named = reps.join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class")).select("class", "root", "id")
