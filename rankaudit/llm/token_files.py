@@ -63,6 +63,8 @@ class FrameWriter:
         self.held, self.n_held = [], 0
 
     def add(self, ids: np.ndarray) -> None:
+        if len(ids) and (ids.min() < 0 or ids.max() > np.iinfo(self.kind).max):
+            raise ValueError(f"an id does not fit in {self.kind.itemsize} bytes: {ids.min()} to {ids.max()}")
         self.held.append(ids.astype(self.kind))
         self.lengths.append(len(ids))
         self.n_held += len(ids)
@@ -240,8 +242,8 @@ def write_token_files(
 
     Null texts are empty, null ids come first, rows of one id are ordered by their text. Distinct units of all texts are
     encoded once, in hash buckets, and return to the chunks of documents. Each chunk becomes a file under a name of its
-    own, and only files of the manifest are ever read, so a repeated task leaves no trace. Ids must fit the width: 2 bytes
-    for vocabularies up to 65,536. An empty table has an empty manifest.
+    own, and only files of the manifest are ever read, so a repeated task leaves no trace. An id beyond the width fails: 2 bytes
+    hold vocabularies up to 65,536. An empty table has an empty manifest.
     """
     spark = docs.sparkSession
     batches_of(spark)

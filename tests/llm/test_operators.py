@@ -1,5 +1,6 @@
 """The operators against plain Python versions, on small and empty tables."""
 
+import io
 import random
 
 import numpy as np
@@ -439,3 +440,13 @@ def test_crowded_near_copies_are_linked_in_turns(spark, monkeypatch):
         rows.append((i, " ".join(words)))
     df = spark.createDataFrame(rows, "doc_id bigint, text string")
     assert got(jaccard_join.near_groups(df), "doc_id", "n_shingles", "component_id") == expected(brute.components(rows))
+
+
+@pytest.mark.parametrize("width, fits, wide", [(2, 65535, 65536), (4, 2**32 - 1, 2**32)])
+def test_ids_beyond_their_width_are_refused(width, fits, wide):
+    writer = token_files.FrameWriter(io.BytesIO(), width)
+    writer.add(np.array([0, fits], np.int64))
+    for wrong in (wide, -1):
+        with pytest.raises(ValueError, match="does not fit"):
+            writer.add(np.array([0, wrong], np.int64))
+    assert writer.tokens == 2
