@@ -439,6 +439,29 @@ fr AS (SELECT *, row_number() OVER (PARTITION BY fusion_id ORDER BY score DESC,
 fc AS (SELECT fusion_id, count(*) FILTER ({POS} AND rk <= {cut('nn', 1.0)}) AS one, count(*) FILTER ({POS} AND rk <= {cut('nn', 10.0)}) AS ten FROM fr GROUP BY 1),
 best AS (SELECT fusion_id FROM fc ORDER BY one DESC, ten DESC, fusion_id LIMIT 6),
 kept AS (SELECT fusion_id, candidate_id, length, sequence, label, score FROM fz WHERE fusion_id IN (SELECT fusion_id FROM best)), {_q} {_s}"""
+# Random sets: gamma(0.55) from gamma(1.55) by the cube of a normal and a squeeze, times a uniform to the power 1 / 0.55.
+UNI = lambda kind, more="": f"((('0x' || substr(sha256('20260101:' || grp || ':' || t || ':' || component || ':{kind}'{more}), 1, 13))::BIGINT::DOUBLE + 0.5::DOUBLE) / 4503599627370496::DOUBLE)"
+SHAPE = "(1.55::DOUBLE - 1.0::DOUBLE / 3.0::DOUBLE)"
+RANDOM = f"""members AS (SELECT 'all' AS grp, component FROM {NAMES} UNION ALL SELECT 'low', component FROM {NAMES} WHERE component IN ('c01', 'c02', 'c03', 'c04')
+ UNION ALL SELECT 'high', component FROM {NAMES} WHERE component NOT IN ('c01', 'c02', 'c03', 'c04') UNION ALL SELECT 'preferred', component FROM {NAMES} WHERE component IN ('c01', 'c07')),
+tries AS (SELECT grp, component, t, k, sqrt(-2 * ln({UNI('r', " || ':' || k")})) * cos(2 * pi() * {UNI('a', " || ':' || k")}) AS x, {UNI('u', " || ':' || k")} AS u, {UNI('p')} AS p
+ FROM members, range(0, 20) a(t), range(1, 17) b(k)),
+cubes AS (SELECT *, pow(1 + x / sqrt(9 * {SHAPE}), 3) AS v FROM tries),
+gam AS (SELECT grp, component, t, {SHAPE} * min_by(v, k) * pow(any_value(p), 1 / 0.55::DOUBLE) AS g FROM cubes
+ WHERE CASE WHEN v > 0 THEN ln(u) < 0.5 * x * x + {SHAPE} * (1 - v + ln(v)) ELSE false END GROUP BY 1, 2, 3),
+rnd AS (SELECT 'dirichlet__' || grp || '__' || lpad(t::VARCHAR, 4, '0') AS fusion_id, component, {r('g / sum(g) OVER (PARTITION BY grp, t)', 8)} AS weight FROM gam),
+sets AS (SELECT * FROM wts UNION ALL SELECT 'mean__preferred', component, 0.5 FROM {NAMES} WHERE component IN ('c01', 'c07')
+ UNION ALL SELECT 'mean__alone', 'c01', 1.0 UNION ALL SELECT * FROM rnd WHERE weight > 1e-5)"""
+_q, _s = evaluation("kept", ["fusion_id"])
+ORACLE["random_fusion_search"] = f"""WITH {SCALED}, {WEIGHTS}, {RANDOM},
+fz AS (SELECT fusion_id, candidate_id, any_value(length) AS length, any_value(sequence) AS sequence, any_value(label) AS label,
+  {r("sum(weight * " + r('score', 9) + ") / sum(weight)", 12)} AS score FROM scaled JOIN sets USING (component) GROUP BY 1, 2),
+fr AS (SELECT *, row_number() OVER (PARTITION BY fusion_id ORDER BY score DESC, length, sequence) AS rk, count(*) OVER (PARTITION BY fusion_id) AS nn FROM fz),
+fc AS (SELECT fusion_id, count(*) FILTER ({POS} AND rk <= {cut('nn', 1.0)}) AS one, count(*) FILTER ({POS} AND rk <= {cut('nn', 10.0)}) AS ten FROM fr GROUP BY 1),
+maps AS (SELECT fusion_id, string_agg(component || '=' || weight, ',' ORDER BY component) AS map FROM sets GROUP BY 1),
+first_sets AS (SELECT fusion_id, map, row_number() OVER (ORDER BY one DESC, ten DESC, fusion_id) AS place FROM fc JOIN maps USING (fusion_id)),
+best AS (SELECT min_by(fusion_id, place) AS fusion_id FROM first_sets WHERE place <= 120 GROUP BY map ORDER BY min(place) LIMIT 40),
+kept AS (SELECT fusion_id, candidate_id, length, sequence, label, score FROM fz WHERE fusion_id IN (SELECT fusion_id FROM best)), {_q} {_s}"""
 GATE = lambda p: f"CAST(greatest({cut('gn', 1.0)}, ceil(round(gn * {p} / 100.0::DOUBLE, 9))) AS BIGINT)"
 _q, _s = evaluation("kept", ["rerank_id", "gate_component", "rank_component", "gate_percent"])
 ORACLE["two_stage_rerank"] = f"""WITH {SCALED},

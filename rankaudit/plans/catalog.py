@@ -361,6 +361,21 @@ def fusion_search(spark, sf_dir):
     return rounded(summary)
 
 
+RANDOM_GROUPS = {**GROUPS, "preferred": "^c0[17]$", "alone": "^c01$"}
+
+
+@query
+def random_fusion_search(spark, sf_dir):
+    """Single, mean and random weight sets of all groups; the mean of a group of one repeats a single set and goes."""
+    scaled = _scaled(spark, sf_dir)
+    names = fusion.component_names(scaled)
+    fixed_sets = fusion.single_and_mean_weights(scaled.select("component").distinct(), RANDOM_GROUPS)
+    drawn = fusion.random_weights(spark, names, RANDOM_GROUPS, trials=100, seed=20260101)
+    grid = scaled.withColumn("score", round_to(F.col("score"), 9))
+    summary, _ = fusion.fusion_search(grid, materialize(fixed_sets.unionByName(drawn)), keep=40)
+    return rounded(summary)
+
+
 @query
 def two_stage_rerank(spark, sf_dir):
     """All gate x ranker x percent combinations counted, full metrics for the best eight."""
