@@ -829,6 +829,43 @@ ORACLE["cv_summary"] = f"""WITH {CV}, s AS (SELECT count(*) AS fold_results, avg
 SELECT fold_results, win_count, {', '.join(f'{r(c)} AS {c}' for c in ('mean_selected_weight', 'median_selected_weight', 'mean_test_auroc', 'sd_test_auroc', 'mean_first_auroc', 'mean_second_auroc', 'mean_delta', 'median_delta', 'mean_test_ap'))},
   {r('win_count / CAST(fold_results AS DOUBLE)')} AS win_rate,
   {r('least(1.0::DOUBLE, 2 * list_sum(list_transform(range(greatest(win_count, fold_results - win_count), fold_results + 1), lambda k: exp(lgamma(fold_results + 1) - lgamma(k + 1) - lgamma(fold_results - k + 1) - fold_results * ln(2.0::DOUBLE)))))')} AS sign_test_p FROM s"""
+K3 = "scenario_id, repeat, fold"
+SCV = f"""{PAIRS}, evr AS (SELECT * FROM pairs WHERE label <> 'random_background'),
+gs AS (SELECT parent, row_number() OVER (ORDER BY count(*) FILTER ({POS}) DESC, count(*) DESC, parent) AS place FROM evr GROUP BY parent),
+gf AS (SELECT parent, repeat, (row_number() OVER (PARTITION BY repeat, (place - 1) // 5 ORDER BY sha256('cv:' || repeat || ':' || place)) - 1
+  + ('0x' || substr(sha256('cv:' || repeat), 1, 8))::BIGINT) % 5 + 1 AS own FROM gs, range(1, 4) a(repeat)),
+rf AS (SELECT evr.*, repeat, fold, own = fold AS held FROM evr JOIN gf USING (parent), range(1, 6) b(fold)),
+fl AS (SELECT repeat, fold, length, avg(s2) AS m, stddev_pop(s2) AS sd FROM rf WHERE NOT held GROUP BY 1, 2, 3),
+fg AS (SELECT repeat, fold, avg(s2) AS gm, stddev_pop(s2) AS gsd FROM rf WHERE NOT held GROUP BY 1, 2),
+lz AS (SELECT rf.*, (s2 - coalesce(m, gm)) / coalesce(nullif(sd, 0), nullif(gsd, 0), 1) AS z FROM rf JOIN fg USING (repeat, fold) LEFT JOIN fl USING (repeat, fold, length)),
+zz AS (SELECT 'raw' AS scenario_id, * REPLACE (s2 AS z) FROM lz UNION ALL SELECT 'length_z', * FROM lz),
+bb AS (SELECT {K3}, min(s1) AS a0, max(s1) AS a1, min(z) AS b0, max(z) AS b1 FROM zz WHERE NOT held GROUP BY ALL),
+gr AS (SELECT {K3}, held, label, sequence, weight, {r('weight * ((s1 - a0) / (a1 - a0)) + (1 - weight) * ((z - b0) / (b1 - b0))', 9)} AS score FROM zz JOIN bb USING ({K3}), {GRID}),
+mm AS (SELECT *, rank() OVER (PARTITION BY {K3}, held, weight ORDER BY score) + (count(*) OVER (PARTITION BY {K3}, held, weight, score) - 1) / 2.0 AS mr,
+  row_number() OVER (PARTITION BY {K3}, held, weight ORDER BY score DESC, sequence) AS rk, count(*) OVER (PARTITION BY {K3}, held, weight) AS nn FROM gr),
+au AS (SELECT {K3}, held, weight, {AUC('')} AS auc, count(*) FILTER ({POS} AND rk <= {cut('nn', 10.0)}) AS top FROM mm GROUP BY ALL),
+td AS (SELECT {K3}, held, weight, score, count(*) FILTER ({POS}) AS p, count(*) AS c FROM gr GROUP BY ALL),
+sp AS (SELECT *, sum(p) OVER w AS tp, sum(c) OVER w AS nn FROM td WINDOW w AS (PARTITION BY {K3}, held, weight ORDER BY score DESC)),
+ap AS (SELECT {K3}, held, weight, sum(p * CAST(tp AS DOUBLE) / nn) / nullif(sum(p), 0) AS ap FROM sp GROUP BY ALL),
+pick AS (SELECT {K3}, weight AS selected_weight, auc AS train_auroc FROM au WHERE NOT held QUALIFY row_number() OVER (PARTITION BY {K3} ORDER BY auc DESC, weight) = 1),
+sz AS (SELECT {K3}, count(*) FILTER (NOT held) AS train_rows, count(*) FILTER (held) AS test_rows, count(*) FILTER (NOT held AND {POS}) AS train_positives,
+  count(*) FILTER (held AND {POS}) AS test_positives FROM zz GROUP BY ALL),
+hel AS (SELECT {K3}, weight, auc, ap, top FROM au JOIN ap USING ({K3}, held, weight) WHERE held),
+scv AS (SELECT scenario_id, CAST(repeat AS INTEGER) AS repeat, CAST(fold AS INTEGER) AS fold, any_value(train_rows) AS train_rows, any_value(test_rows) AS test_rows,
+  any_value(train_positives) AS train_positives, any_value(test_positives) AS test_positives, any_value(selected_weight) AS selected_weight, any_value(train_auroc) AS train_auroc,
+  {', '.join(f"max({c}) FILTER (weight = {w}) AS test_{k}{n}" for k, w in (('', 'selected_weight'), ('first_', '1'), ('second_', '0')) for c, n in (('auc', 'auroc'), ('ap', 'ap'), ('top', 'top_10pct')))}
+  FROM sz JOIN pick USING ({K3}) JOIN hel USING ({K3}) GROUP BY 1, 2, 3)"""
+ORACLE["stratified_cv"] = f"""WITH {SCV} SELECT {K3}, train_rows, test_rows, train_positives, test_positives, test_top_10pct, test_first_top_10pct, test_second_top_10pct,
+  {', '.join(f'{r(c)} AS {c}' for c in ('selected_weight', 'train_auroc', *(f'test_{k}{n}' for k in ('', 'first_', 'second_') for n in ('auroc', 'ap'))))} FROM scv"""
+_means = {"mean_selected_weight": "selected_weight", "mean_test_auroc": "test_auroc", "mean_first_auroc": "test_first_auroc", "mean_second_auroc": "test_second_auroc",
+  "mean_test_ap": "test_ap", "mean_first_ap": "test_first_ap", "mean_second_ap": "test_second_ap", "mean_top_10pct": "test_top_10pct", "mean_first_top_10pct": "test_first_top_10pct",
+  "mean_delta": "test_auroc - test_first_auroc"}
+ORACLE["stratified_cv_summary"] = f"""WITH {SCV}, s AS (SELECT scenario_id, count(*) AS fold_results, {', '.join(f'{r(f"avg({c})")} AS {n}' for n, c in _means.items())},
+  {r('median(selected_weight)')} AS median_selected_weight, {r('coalesce(stddev_samp(test_auroc), 0)')} AS sd_test_auroc, {r('median(test_auroc - test_first_auroc)')} AS median_delta,
+  count(*) FILTER (test_auroc - test_first_auroc > 0) AS win_count FROM scv GROUP BY 1)
+SELECT *, {r('win_count / CAST(fold_results AS DOUBLE)')} AS win_rate, (SELECT count(*) FILTER ({POS}) FROM evr) AS n_positive, (SELECT count(*) FILTER (NOT ({POS})) FROM evr) AS n_matched,
+  (SELECT count(DISTINCT parent) FROM evr) AS n_groups,
+  {r('least(1.0::DOUBLE, 2 * list_sum(list_transform(range(greatest(win_count, fold_results - win_count), fold_results + 1), lambda k: exp(lgamma(fold_results + 1) - lgamma(k + 1) - lgamma(fold_results - k + 1) - fold_results * ln(2.0::DOUBLE)))))')} AS sign_test_p FROM s"""
 FROZEN = f"""{PAIRS}, zs AS (SELECT * FROM {lz('pairs', 's2')}), ab AS (SELECT *, {MM('s1')} AS first_norm, {MM('z')} AS second_norm FROM zs),
 fz AS (SELECT *, {r('0.65::DOUBLE * first_norm + (1.0::DOUBLE - 0.65::DOUBLE) * second_norm', 10)} AS score FROM ab), fr AS (SELECT *, row_number() OVER (ORDER BY score DESC, sequence) AS rank FROM fz)"""
 ORACLE["frozen_lm_fusion"] = f"WITH {FROZEN} SELECT candidate_id, rank, {r('first_norm')} AS first_norm, {r('z')} AS length_z, {r('second_norm')} AS second_norm, {r('score')} AS score FROM fr"

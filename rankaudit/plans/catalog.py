@@ -800,6 +800,22 @@ def cv_summary(spark, sf_dir):
     return rounded(validation.cv_summary(validation.grouped_cv(rows, "s1", "s2", repeats=3, folds=5)))
 
 
+def _scenarios(spark, sf_dir):
+    rows = inputs.grouped_pairs(spark, sf_dir).where(metrics.is_positive() | metrics.is_matched())
+    return validation.scenario_cv(rows, "s1", "s2", repeats=3, folds=5), rows
+
+
+@query
+def stratified_cv(spark, sf_dir):
+    """Folds of whole groups balanced on positives, with the second score raw and scaled by length."""
+    return rounded(_scenarios(spark, sf_dir)[0])
+
+
+@query
+def stratified_cv_summary(spark, sf_dir):
+    return rounded(validation.scenario_summary(*_scenarios(spark, sf_dir)))
+
+
 def _frozen(spark, sf_dir):
     fused = validation.frozen_fusion(inputs.grouped_pairs(spark, sf_dir), "s1", "s2", 0.65)
     return global_rank(fused, [], metrics.total_order(length=None), total="n_rows")

@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from rankaudit.operators import fusion
+from rankaudit.operators import fusion, validation
 from rankaudit.operators.metrics import cutoff
 
 ROW = "candidate_id string, length int, sequence string, label string, score double"
@@ -99,3 +99,52 @@ def test_random_weights_have_the_moments_of_their_distribution(spark):
         assert mean == pytest.approx(1 / 3, abs=0.025)
         assert sum((x - mean) ** 2 for x in w) / 2000 == pytest.approx(2 / 9 / 2.65, abs=0.01)
     assert all(r.weight > 1e-5 for r in rows)
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_stratified_folds_keep_groups_and_share_positives(spark, seed):
+    """Five groups of nine hold positives, one group holds a third of all rows, one is null."""
+    draw = random.Random(seed)
+    rows = []
+    for g in [None, *"abcdefgh"]:
+        for _ in range(90 if g == "a" else draw.randint(3, 30)):
+            rows.append((g, "known_positive" if g in (None, "b", "c", "d", "e") and draw.random() < 0.4 else "matched_decoy"))
+        if g in (None, "b", "c", "d", "e"):
+            rows.append((g, "known_positive"))
+    df = spark.createDataFrame(rows, "parent string, label string").repartition(7)
+    found = validation.stratified_folds(df, "parent", 4, 5, "s").collect()
+    assert len(found) == 9 * 4 and len({(r.parent, r.repeat) for r in found}) == 36
+    richest = max(sum(g == p and x == "known_positive" for g, x in rows) for p in [None, *"bcde"])
+    for repeat in range(1, 5):
+        fold = {r.parent: r.fold for r in found if r.repeat == repeat}
+        positives = [sum(fold[g] == f and x == "known_positive" for g, x in rows) for f in range(1, 6)]
+        assert min(positives) > 0 and max(positives) - min(positives) <= richest
+    assert len({tuple(sorted((str(r.parent), r.fold) for r in found if r.repeat == k)) for k in range(1, 5)}) > 1
+    key = lambda r: (str(r.parent), r.repeat)
+    assert sorted(found, key=key) == sorted(validation.stratified_folds(df.repartition(2), "parent", 4, 5, "s").collect(), key=key)
+
+
+def test_stratified_folds_with_less_than_a_run_of_groups_and_none(spark):
+    few = spark.createDataFrame([("a", "known_positive"), ("b", "matched_decoy")], "parent string, label string")
+    found = validation.stratified_folds(few, "parent", 2, 5).collect()
+    assert all(1 <= r.fold <= 5 for r in found) and len({(r.repeat, r.fold) for r in found}) == 4
+    assert validation.stratified_folds(few.limit(0), "parent", 2, 5).count() == 0
+
+
+def test_scenarios_differ_only_in_the_second_score(spark):
+    """Held-out figures of the first score are the same; a second score that is pure length is useless once scaled."""
+    draw = random.Random(5)
+    rows = []
+    for i in range(160):
+        length = draw.choice([3, 4, 5])
+        positive = draw.random() < {3: 0.1, 4: 0.4, 5: 0.8}[length]
+        rows.append((i % 16, "known_positive" if positive else "matched_decoy", length, f"s{i:03d}", draw.random(), float(length)))
+    df = spark.createDataFrame(rows, "parent int, label string, length int, sequence string, s1 double, s2 double")
+    found = {(r.scenario_id, r.repeat, r.fold): r for r in validation.scenario_cv(df, "s1", "s2", 1, 4).collect()}
+    assert len(found) == 8
+    for fold in range(1, 5):
+        raw, scaled = found["raw", 1, fold], found["length_z", 1, fold]
+        assert (raw.test_first_auroc, raw.test_first_ap, raw.test_first_top_10pct) == (
+            scaled.test_first_auroc, scaled.test_first_ap, scaled.test_first_top_10pct)
+        assert raw.test_second_auroc > 0.6 and scaled.test_second_auroc == pytest.approx(0.5)
+        assert raw.train_rows + raw.test_rows == 160 and raw.test_positives > 0
