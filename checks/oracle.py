@@ -641,6 +641,25 @@ ORACLE["motif_counts"] = f"""WITH {DOCW} SELECT length(sequence) AS length, coun
   count(*) FILTER (right(sequence, 1) IN ('D', 'E')) AS ends_acidic, {', '.join(f"count(*) FILTER (contains(sequence, '{m}')) AS contains_{m.lower()}" for m in ('PP', 'GP', 'PR', 'LRP', 'YY'))},
   CAST(sum(length(sequence) * length(sequence)) AS BIGINT) AS length_squared FROM docw GROUP BY 1"""
 
+NUMBERS = (
+    "short_score, cterm_anchor, cterm_proline, cterm_aromatic, penultimate_proline, antepenult_anchor, nterm_hydrophobic, second_basic_or_proline, "
+    "third_proline, hydrophobic_fraction, aromatic_fraction, basic_fraction, acidic_fraction, proline_fraction, hydrophobic_balance, proline_balance, "
+    "net_charge, charge_balance, triad, acidic_penalty, cysteine_penalty, extreme_charge_penalty, hydropathy, length"
+).split(", ")
+FLAGS = {
+    "ends_proline": "right(sequence, 1) = 'P'", "ends_aromatic": "right(sequence, 1) IN ('F', 'W', 'Y')", "ends_basic": "right(sequence, 1) IN ('K', 'R', 'H')",
+    "ends_acidic": "right(sequence, 1) IN ('D', 'E')", **{f"contains_{m.lower()}": f"contains(sequence, '{m}')" for m in ("PP", "GP", "PR", "LRP", "YY")},
+}
+SINGLE = {n: f"CASE WHEN {c} THEN 1 ELSE 0 END" for n, c in FLAGS.items()} | {"length_squared": "length(sequence) * length(sequence)"}
+SINGLE |= {f"count_{a}": cnt(a) for a in AA} | {f"share_{a}": frac(a) for a in AA}
+TOKENS = f"""{PANELW}, docw AS (SELECT sequence, 1 AS n FROM panelw), {feats('docw')}, {modes('sequence')},
+numbers AS (SELECT {', '.join(f'{c}::DOUBLE AS {c}' for c in NUMBERS)} FROM f2),
+singles AS (SELECT {', '.join(f'({c})::DOUBLE AS {n}' for n, c in SINGLE.items())} FROM docw),
+grams AS (SELECT sequence, token, count(*) / CAST(any_value(size) AS DOUBLE) AS value FROM ({GRAMS}) GROUP BY 1, 2),
+tok AS (SELECT * FROM (UNPIVOT numbers ON {', '.join(NUMBERS)} INTO NAME token VALUE value) UNION ALL SELECT * FROM (UNPIVOT singles ON {', '.join(SINGLE)} INTO NAME token VALUE value)
+  UNION ALL SELECT 'mode_' || mode, score FROM ml UNION ALL SELECT token, 1 FROM ({EDGES}) UNION ALL SELECT token, 1 FROM ({' UNION ALL '.join(PLACES)}) UNION ALL SELECT token, value FROM grams)"""
+ORACLE["training_tokens"] = f"WITH {TOKENS} SELECT token, count(*) AS n, {r('sum(value)', 4)} AS total FROM tok GROUP BY 1"
+
 PWM_ROWS = []
 for _name, _m in cut_matrices.CUT_MATRICES.items():
     for _off, _w in _m["positions"].items():
@@ -790,6 +809,20 @@ SELECT row_number() OVER (ORDER BY edit_count < 2, flag <> 'screen_pass', {r('me
   {r('support')} AS support, 'VAR-' || substr(sha256(parent || ':' || sequence || ':' || mutations), 1, 16) AS variant_id, {r('mean_ll')} AS mean_ll, {r('parent_mean_ll')} AS parent_mean_ll,
   {r('delta_mean_ll')} AS delta_mean_ll, {r('exp(-mean_ll)')} AS pseudo_perplexity, nearest, CAST(nd AS INTEGER) AS nearest_distance, flag FROM flagged QUALIFY rank <= 300"""
 
+ORACLE["recipe_from_file"] = f"""WITH {COMPS},
+rawall AS (SELECT candidate_id, length, sequence, label, component, score FROM comps UNION ALL
+  SELECT candidate_id, length, sequence, label, 'lenrank:' || component, score FROM ({pct('comps', 'component, length', 0.5)})),
+scaled AS (SELECT candidate_id, length, sequence, label, component, score FROM ({pct('rawall', 'component')})),
+mixw AS (SELECT * FROM (VALUES ('fusion:mix', 'c01', 0.5::DOUBLE), ('fusion:mix', 'c02', 0.25), ('fusion:mix', 'lenrank:c09', 0.25), ('fusion:pair', 'c05', 1.0), ('fusion:pair', 'c06', 1.0)) v(fusion_id, component, weight)),
+fused AS (SELECT fusion_id, candidate_id, any_value(length) AS length, any_value(sequence) AS sequence, any_value(label) AS label, {r('sum(weight * score) / sum(weight)', 12)} AS score FROM scaled JOIN mixw USING (component) GROUP BY 1, 2),
+allc AS (SELECT * FROM scaled UNION ALL SELECT candidate_id, length, sequence, label, fusion_id, score FROM fused),
+again AS ({pct('allc', 'component')}),
+gates AS (SELECT candidate_id, row_number() OVER (ORDER BY score DESC, length, sequence) AS gr, count(*) OVER () AS gn FROM again WHERE component = 'lenrank:c03'),
+rec AS (SELECT candidate_id, length, sequence, gr <= {GATE('12.5::DOUBLE')} AS gated, CASE WHEN gr <= {GATE('12.5::DOUBLE')} THEN score ELSE score - 2 END AS score
+  FROM again JOIN gates USING (candidate_id) WHERE component = 'fusion:mix')
+SELECT candidate_id, row_number() OVER (ORDER BY score DESC, length, sequence) AS rank, {r('score', 9)} AS score, CAST(gated AS INTEGER) AS gated, 'file-gate' AS recipe_id,
+  'lenrank:c03' AS gate_component, 'fusion:mix' AS rank_component, 12.5::DOUBLE AS gate_percent FROM rec"""
+
 # ---- two-score fusion -----------------------------------------------------------------------------------------
 
 MM = lambda v, o="": f"CASE WHEN abs(max({v}) OVER ({o}) - min({v}) OVER ({o})) <= 1e-9 * greatest(abs(min({v}) OVER ({o})), abs(max({v}) OVER ({o}))) THEN 0.5::DOUBLE ELSE ({v} - min({v}) OVER ({o})) / (max({v}) OVER ({o}) - min({v}) OVER ({o})) END"

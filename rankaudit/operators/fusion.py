@@ -295,6 +295,19 @@ def with_length_ranks(components: DataFrame) -> DataFrame:
     return components.unionByName(inside.withColumn("component", F.concat(F.lit("lenrank:"), "component")))
 
 
+def check_recipe(components: DataFrame, recipe: dict, weights: DataFrame) -> None:
+    """Raise ValueError where a recipe names a component that neither the table nor its fusions hold."""
+    raw = component_names(components)
+    raw += [f"lenrank:{name}" for name in raw] if recipe.get("include_length_ranks") else []
+    unknown = sorted(set(component_names(weights)) - set(raw))
+    if unknown:
+        raise ValueError(f"fusions use missing components: {unknown}")
+    fused = {row[0] for row in weights.select("fusion_id").distinct().collect()}
+    for role in ("gate_component", "rank_component"):
+        if recipe[role] not in fused | set(raw):
+            raise ValueError(f"{role} {recipe[role]} is missing")
+
+
 def apply_recipe(components: DataFrame, recipe: dict, weights: DataFrame) -> DataFrame:
     """Apply a frozen recipe to raw component scores; returns one ranked row per candidate.
 

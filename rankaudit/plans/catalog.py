@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import json
+
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -407,6 +409,29 @@ def frozen_recipe_summary(spark, sf_dir):
     return rounded(metrics.evaluate(rows.drop("rank", "n_rows", "gated"), ["recipe_id"]))
 
 
+RECIPE_FILE = {
+    "recipe_id": "file-gate", "status": "frozen", "include_length_stratified_components": True,
+    "gate_component": "lenrank:c03", "gate_percent": 12.5, "rank_component": "fusion:mix",
+    "fusion_components": [
+        {"component_id": "fusion:mix", "weights": {"c01": 0.5, "c02": 0.25, "lenrank:c09": 0.25}},
+        {"component_id": "fusion:pair", "weights": {"c05": 1.0, "c06": 1.0}},
+    ],
+}
+
+
+@query
+def recipe_from_file(spark, sf_dir):
+    """A recipe written as JSON, read back, checked and applied: every candidate with its rank and gate."""
+    path = _scratch(spark, "recipe")
+    spark.createDataFrame([(json.dumps(RECIPE_FILE, indent=2),)], "value string").coalesce(1).write.text(path)
+    recipe, weights = tables.load_recipe(spark, path)
+    components = inputs.components(spark, sf_dir)
+    fusion.check_recipe(components, recipe, weights)
+    rows = fusion.apply_recipe(components, recipe, weights)
+    settings = [F.lit(recipe[key]).alias(key) for key in ("recipe_id", "gate_component", "rank_component", "gate_percent")]
+    return rounded(rows.select("candidate_id", "rank", "score", F.col("gated").cast("int").alias("gated"), *settings), 9)
+
+
 # ---- strata ------------------------------------------------------------------------
 
 

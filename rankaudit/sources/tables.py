@@ -134,6 +134,31 @@ def recipe_weights(recipe: DataFrame) -> DataFrame:
     return fusion.select(F.col("component_id").alias("fusion_id"), F.explode("weights").alias("component", "weight"))
 
 
+def load_recipe(spark: SparkSession, path: str) -> tuple[dict, DataFrame]:
+    """A recipe file as the settings and the weights that `fusion.apply_recipe` takes.
+
+    Required keys are those of `read_recipe`; other keys are notes and are left aside. A fused
+    component without a name, without weights, with a weight that is no number, or named twice
+    raises ValueError. A recipe is one small document, so it is read to the driver.
+    """
+    rows = read_recipe(spark, path).limit(2).collect()
+    if len(rows) != 1:
+        raise ValueError(f"{path} holds {len(rows) or 'no'} recipes, not one")
+    found = rows[0].asDict(recursive=True)
+    settings = {key: found[key] for key in ("recipe_id", "gate_component", "rank_component", "gate_percent")}
+    settings["include_length_ranks"] = bool(found["include_length_stratified_components"])
+    weights, seen = [], set()
+    for part in found["fusion_components"] or []:
+        name = part["component_id"]
+        if not name or name in seen:
+            raise ValueError(f"fusion component named {name!r}: missing or repeated name")
+        if not part["weights"] or any(w is None for w in part["weights"].values()):
+            raise ValueError(f"fusion component {name} has no weights or one that is no number")
+        seen.add(name)
+        weights += [(name, component, weight) for component, weight in part["weights"].items()]
+    return settings, spark.createDataFrame(weights, "fusion_id string, component string, weight double")
+
+
 def load_fusion_weights(summary: DataFrame, weights: DataFrame, keep: int) -> DataFrame:
     """Weights of the first `keep` fusions of an ordered summary (`place`)."""
     first = summary.orderBy("place").limit(keep).select("fusion_id")

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from checks.compare import compare, connect
 from checks.oracle import ORACLE
 from rankaudit.functions.scoring import score_modes
+from rankaudit.operators import fusion
 from rankaudit.plans.catalog import QUERIES
 from rankaudit.sources import tables, text_files
 from rankaudit.streaming.scoring import arriving_candidates, score_arrivals
@@ -117,3 +118,30 @@ def test_compare_notices_differences():
     assert compare(a.copy(), a.iloc[::-1].copy()) == "ok"
     for changed in (a.assign(v=[0.100001, None]), a.assign(v=[0.1, 0.0]), a.assign(k=["x", "z"]), a.iloc[:1]):
         assert compare(a.copy(), changed.copy()) != "ok"
+
+
+def test_recipe_file_reaches_settings_and_weights(spark, tmp_path):
+    recipe = {
+        "recipe_id": "r", "gate_component": "f", "rank_component": "lenrank:a", "gate_percent": 1.5, "status": "a note",
+        "include_length_stratified_components": True,
+        "fusion_components": [{"component_id": "f", "weights": {"a": 0.5, "lenrank:b": 0.25}}],
+    }
+    path = tmp_path / "recipe.json"
+    path.write_text(json.dumps(recipe, indent=2))
+    settings, weights = tables.load_recipe(spark, str(path))
+    assert settings == {
+        "recipe_id": "r", "gate_component": "f", "rank_component": "lenrank:a", "gate_percent": 1.5, "include_length_ranks": True,
+    }
+    assert {tuple(r) for r in weights.collect()} == {("f", "a", 0.5), ("f", "lenrank:b", 0.25)}
+    components = spark.createDataFrame([("a",), ("b",)], "component string")
+    fusion.check_recipe(components, settings, weights)
+    with pytest.raises(ValueError, match="lenrank:b"):
+        fusion.check_recipe(components, settings | {"include_length_ranks": False}, weights)
+    with pytest.raises(ValueError, match="rank_component z"):
+        fusion.check_recipe(components, settings | {"rank_component": "z"}, weights)
+    for broken in ([{"component_id": "f"}], [{"weights": {"a": 1.0}}], recipe["fusion_components"] * 2):
+        path.write_text(json.dumps(recipe | {"fusion_components": broken}))
+        with pytest.raises(ValueError, match="fusion component"):
+            tables.load_recipe(spark, str(path))
+    path.write_text(json.dumps({k: v for k, v in recipe.items() if k != "fusion_components"}))
+    assert tables.load_recipe(spark, str(path))[1].count() == 0
