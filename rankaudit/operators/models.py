@@ -17,7 +17,10 @@ from ..functions.scoring import mode_columns
 from ..functions.text import (
     count_of, edge_ngrams, fraction_of, kmer_tokens, motif_flags, position_tokens, windows_of,
 )
+from ..session import materialize
 from .metrics import evaluate, is_positive
+from .panels import training_merge
+from .validation import stratified_folds
 
 
 def feature_tokens(df: DataFrame) -> DataFrame:
@@ -113,6 +116,28 @@ def score_family(fitted: dict, rows: DataFrame, keep: list[str]) -> DataFrame:
     return reduce(DataFrame.unionByName, parts)
 
 
+def split_groups(rows: DataFrame, group: str, folds: int = 5, seed: str = "models") -> DataFrame:
+    """Add `held_out`: whole groups, dealt so that a fold's share of positives and rows is held out."""
+    fold = stratified_folds(rows, group, 1, folds, seed).select(F.col(group).alias("_group"), (F.col("fold") == 1).alias("held_out"))
+    return rows.join(fold, F.col(group).eqNullSafe(F.col("_group"))).drop("_group")
+
+
+def train_and_hold_out(
+    rows: DataFrame, group: str, names: list[str], per_positive: int = 4, folds: int = 5, seed: str = "models"
+) -> DataFrame:
+    """Long scores of held-out rows only, by models that no row of their groups has trained.
+
+    `rows` is sequence, label and the group column. Training takes the other groups: all positives
+    and decoys, and background sampled per positive. The scores are (model_id, sequence, label, score).
+    """
+    split = materialize(split_groups(rows, group, folds, seed))
+    known = split.where(~F.col("held_out"))
+    weights = known.where(is_positive()).select("sequence", F.lit(1.0).alias("weight")).distinct()
+    train = materialize(training_merge(known.select("sequence", "label"), weights, per_positive=per_positive))
+    fitted = train_family(train, names)
+    return score_family(fitted, split.where("held_out").select("sequence", "label"), ["sequence", "label"])
+
+
 def leaderboard(scores: DataFrame) -> DataFrame:
     """All models evaluated in one grouped plan, best first."""
     table = evaluate(scores, ["model_id"])
