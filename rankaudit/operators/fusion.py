@@ -133,7 +133,7 @@ def hits_above(scored: DataFrame, by: list[str], cuts: dict[str, Column], bins:
         *by, "_bin", "_p", "_hits", F.col("_cut.name").alias("_name"),
         (F.col("_cut.rows") - F.col("_above")).alias("_need"), F.col("_n").alias("_size"),
     )
-    edges = materialize(edges.where((F.col("_need") > 0) & (F.col("_need") <= F.col("_size"))))
+    edges = edges.where((F.col("_need") > 0) & (F.col("_need") <= F.col("_size")))
     whole = edges.where("_need = _size").select(*by, "_name", (F.col("_hits") + F.col("_p")).alias("_found"))
     split = edges.where("_need < _size").select(*by, "_bin", "_name", "_need", "_hits")
     inside = marked.join(F.broadcast(split), [*by, "_bin"])
@@ -150,7 +150,9 @@ BLOCK = 1024
 
 
 def blocks(sets: DataFrame, key: list[str]) -> list[DataFrame]:
-    """`sets` numbered in the order of `key` and cut into parts of `BLOCK` rows."""
+    """`sets` in parts of `BLOCK` rows, cut in the order of `key` where there are more."""
+    if sets.count() <= BLOCK:
+        return [sets]
     numbered = materialize(global_rank(sets, [], [F.col(c) for c in key], "_number"))
     last = numbered.agg(F.max("_number")).first()[0] or 0
     return [
@@ -212,7 +214,7 @@ def fusion_search(components: DataFrame, weights: DataFrame, keep: int) -> tuple
     parts = [hits_above(fuse_wide(wide, block, len(names)), by, cuts) for block in blocks(sets, by)]
     order = [F.desc("top_1pct_count"), F.desc("top_10pct_count"), F.col("fusion_id")]
     placed = global_rank(reduce(DataFrame.unionByName, parts), [], order, "place").select("fusion_id", "place")
-    chosen = materialize(without_duplicates(weights, materialize(placed), keep, 3 * keep))
+    chosen = materialize(without_duplicates(weights, placed, keep, 3 * keep))
     best = sets.join(chosen.select("fusion_id"), "fusion_id", "left_semi")
     return evaluate(fuse_wide(wide, best, len(names)), by), chosen
 
