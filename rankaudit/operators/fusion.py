@@ -21,16 +21,18 @@ META = ["length", "sequence", "label"]
 def fuse(components: DataFrame, weights: DataFrame, keep: list[str]) -> DataFrame:
     """Weighted mean of component scores per (fusion_id, candidate); weights <= 0 are ignored.
 
-    Sums run map-side first, so the rows that travel are one per fusion and candidate. Doubles
-    add up in no fixed order, so the last bits are rounded off at 12 digits: candidates whose
-    means are equal stay tied, and ranks do not change from run to run.
+    A sum of doubles depends on the order of its terms, also after rounding where a mean lies at half a
+    digit, so terms are added in the order of their components: ranks do not change from run to run.
+    Means are rounded at 12 digits, which ties those that differ in their last bits only.
     """
     used = weights.where(F.col("weight") > 0).select("fusion_id", "component", "weight")
     joined = components.join(used, "component")
-    scored = joined.groupBy("fusion_id", *keep).agg(
-        round_to(F.sum(F.col("weight") * F.col("score")) / F.sum("weight"), 12).alias("score")
-    )
-    return scored
+    term = F.struct("component", (F.col("weight") * F.col("score")).alias("product"), "weight")
+    total = lambda field: F.aggregate(F.filter("_terms", lambda t: t[field].isNotNull()), F.lit(0.0), lambda run, t: run + t[field])
+    gathered = joined.groupBy("fusion_id", *keep).agg(F.array_sort(F.collect_list(term)).alias("_terms"))
+    some = F.exists("_terms", lambda t: t["product"].isNotNull())
+    mean = F.when(some, total("product") / total("weight"))
+    return gathered.select("fusion_id", *keep, round_to(mean, 12).alias("score"))
 
 
 def single_and_mean_weights(names: DataFrame, groups: dict[str, str]) -> DataFrame:

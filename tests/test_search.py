@@ -148,3 +148,15 @@ def test_scenarios_differ_only_in_the_second_score(spark):
             scaled.test_first_auroc, scaled.test_first_ap, scaled.test_first_top_10pct)
         assert raw.test_second_auroc > 0.6 and scaled.test_second_auroc == pytest.approx(0.5)
         assert raw.train_rows + raw.test_rows == 160 and raw.test_positives > 0
+
+
+def test_means_at_half_a_digit_do_not_depend_on_the_order_of_rows(spark):
+    scores = {"a": 0.9900316475623939, "b": 0.059688728265053115, "c": 0.5989484591361589}
+    rows = [("x", name, score) for name, score in scores.items()] + [("none", "a", None)]
+    weights = spark.createDataFrame([("f", "a", 0.5), ("f", "b", 0.25), ("f", "c", 0.25)], "fusion_id string, component string, weight double")
+
+    def fused(ordered):
+        table = spark.createDataFrame(ordered, "candidate_id string, component string, score double").coalesce(1)
+        return {r.candidate_id: r.score for r in fusion.fuse(table, weights, ["candidate_id"]).collect()}
+
+    assert fused(rows) == fused(rows[::-1]) == {"x": 0.659675120632, "none": None}
