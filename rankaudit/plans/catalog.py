@@ -81,12 +81,24 @@ def export_best_potency(spark, sf_dir):
 @query
 def digest_fragments(spark, sf_dir):
     """Fragments of every document under four cut rules: counts per source, rule and length."""
-    found = digest.digest(inputs.proteins(spark, sf_dir))
-    per_fragment = found.groupBy("source_class", "rule", "sequence").agg(F.count(F.lit(1)).alias("n"))
-    return per_fragment.groupBy("source_class", "rule", F.length("sequence").alias("length")).agg(
-        F.sum("n").alias("n_fragments"), F.count(F.lit(1)).alias("n_distinct"),
-        F.min("sequence").alias("first_fragment"), F.max("sequence").alias("last_fragment"),
-    )
+    found = digest.fragment_codes(inputs.proteins(spark, sf_dir))
+    rules = list(enumerate(digest.CUT_RULES))
+    bit = lambda i: F.shiftright("rules", i).bitwiseAND(F.lit(1))
+    per_fragment = found.groupBy("source_class", "code").agg(*[F.sum(bit(i)).alias(f"n{i}") for i, _ in rules])
+    has = lambda i: F.when(F.col(f"n{i}") > 0, F.col("code"))
+    sums = per_fragment.groupBy("source_class", digest.code_length(F.col("code")).alias("length")).agg(*[
+        c for i, _ in rules for c in (
+            F.sum(f"n{i}").alias(f"n{i}"), F.count(has(i)).alias(f"d{i}"), F.min(has(i)).alias(f"a{i}"), F.max(has(i)).alias(f"z{i}")
+        )
+    ])
+    each = F.inline(F.array(*[
+        F.struct(
+            F.lit(rule).alias("rule"), F.col(f"n{i}").alias("n_fragments"), F.col(f"d{i}").alias("n_distinct"),
+            digest.code_text(F.col(f"a{i}")).alias("first_fragment"), digest.code_text(F.col(f"z{i}")).alias("last_fragment"),
+        ) for i, rule in rules
+    ]))
+    opened = sums.select("source_class", "length", each).where(F.col("n_fragments") > 0)
+    return opened.select("source_class", "rule", "length", "n_fragments", "n_distinct", "first_fragment", "last_fragment")
 
 
 #: Decoys of a parent in all, how many of them are shuffles, and the tries that shuffles get.

@@ -485,3 +485,19 @@ def test_audit_report_counts_the_best_hundredth(spark):
     assert (r.positive_count, r.threshold, r.top_1pct_count, r.distant_count, r.top_1pct_distant_count, r.exact_overlap_count) == (4, 3, 2, 2, 1, 1)
     assert (r.mean_identity, r.median_identity) == (0.4375, 0.375)
     assert neighbors.with_top_ranks(audit, ranked, 100).where("top_1pct").count() == 1
+
+
+def test_fragment_codes_are_the_fragments_of_the_digest(spark):
+    from rankaudit.operators import digest
+
+    draw = random.Random(5)
+    texts = ["", None, "K", "KP", "AAA", "KKPRRFWYLPAIM", "A" * 40, *("".join(draw.choices("ACDEFGHIKLMNPQRSTVWYZ", k=n)) for n in (1, 2, 13, 300, 900))]
+    rows = spark.createDataFrame([(i, f"s{i % 2}", t) for i, t in enumerate(texts)], "accession long, source_class string, sequence string")
+    plain = {(r.accession, r.source_class, r.rule, r.sequence) for r in digest.digest(rows).collect()}
+    packed = digest.fragment_codes(rows).withColumns({"sequence": digest.code_text(F.col("code")), "length": digest.code_length(F.col("code"))}).collect()
+    rules = list(digest.CUT_RULES)
+    assert {(r.accession, r.source_class, rule, r.sequence) for r in packed for i, rule in enumerate(rules) if r.rules >> i & 1} == plain
+    assert len(packed) == len({(a, s) for a, _, _, s in plain}) and all(len(r.sequence) == r.length for r in packed)
+    assert [r.sequence for r in sorted(packed, key=lambda r: r.code)] == sorted(r.sequence for r in packed)
+    with pytest.raises(Exception, match="A-Z"):
+        digest.fragment_codes(rows.withColumn("sequence", F.lit("a b"))).collect()
