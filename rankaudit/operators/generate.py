@@ -76,11 +76,21 @@ def shuffled_decoys(parents: DataFrame, per_parent: int, tries: int = 200, seed:
     return top_per_group(found, ["parent"], [F.col("attempt")], per_parent, "ordinal")
 
 
+def without(strings: DataFrame, taken: DataFrame) -> DataFrame:
+    """Strings that are not in `taken`, a table that may be far larger.
+
+    First `taken` is reduced to what is among the strings: there the strings are the side that can be broadcast, which an
+    anti-join does not allow, so the large table is read in place while they are few. `strings` is read twice.
+    """
+    held = taken.select("sequence").join(strings.select("sequence"), "sequence", "left_semi").distinct()
+    return strings.join(held, "sequence", "left_anti")
+
+
 def _free(drawn: DataFrame, owner: list[str], taken: list[DataFrame]) -> DataFrame:
     """Distinct drawn strings that nothing has taken, each with its least owner."""
-    owned = drawn.groupBy("sequence").agg(F.min(F.struct(*owner)).alias("owner"))
+    owned = materialize(drawn.groupBy("sequence").agg(F.min(F.struct(*owner)).alias("owner")))
     for other in taken:
-        owned = owned.join(other.select("sequence"), "sequence", "left_anti")
+        owned = without(owned, other)
     return owned.select("sequence", "owner.*")
 
 

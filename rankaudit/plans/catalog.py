@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -112,8 +113,8 @@ def _parents(spark, sf_dir):
 def _decoy_sources(parents, taken):
     """Shuffles that nothing has taken, quotas of the parents, random decoys up to the quota, and all that is taken then."""
     drawn = generate.shuffled_decoys(parents, SHUFFLES, tries=SHUFFLE_TRIES)
-    owned = drawn.groupBy("sequence").agg(F.min("parent").alias("parent"))
-    shuffled = materialize(owned.join(taken.select("sequence"), "sequence", "left_anti"))
+    owned = materialize(drawn.groupBy("sequence").agg(F.min("parent").alias("parent")))
+    shuffled = materialize(generate.without(owned, taken))
     have = shuffled.groupBy("parent").agg(F.count(F.lit(1)).alias("_have"))
     quotas = parents.join(have, "parent", "left").select(
         "parent", (F.lit(DECOYS) - F.coalesce("_have", F.lit(0))).cast("int").alias("quota")
@@ -153,11 +154,35 @@ def random_background(spark, sf_dir):
     return _background(spark, sf_dir, _words_taken(spark, sf_dir))[1].select("sequence", "draw", "key", "ordinal")
 
 
+def _digest_owners(proteins):
+    """Every digest fragment with its least (source class, rule, accession) in `o`.
+
+    Documents are numbered in the order of source class and accession, so that owner is the least of a number that counts
+    the rules inside the source class, and fragments meet as numbers.
+    """
+    rules = list(digest.CUT_RULES)
+    order = [F.col("source_class").asc_nulls_first(), F.col("accession").asc_nulls_first()]
+    numbered = global_rank(proteins, [], order, "_number")
+    first = numbered.groupBy("source_class").agg(F.min("_number").alias("_first"), F.count(F.lit(1)).alias("_rows"))
+    first = first.withColumnRenamed("source_class", "_class")
+    placed = numbered.join(first, numbered["source_class"].eqNullSafe(first["_class"])).select(
+        "accession", "_first", "_rows", (F.col("_number") - F.col("_first")).alias("_in"), "sequence"
+    )
+    rule = reduce(lambda other, i: F.when(F.shiftright("rules", i).bitwiseAND(F.lit(1)) == 1, i).otherwise(other), reversed(range(len(rules))), F.lit(0))
+    found = digest.fragment_codes(placed).withColumn("_rule", rule.cast("bigint"))
+    key = (F.col("_first") - F.lit(1)) * F.lit(len(rules)) + F.col("_rule") * F.col("_rows") + F.col("_in")
+    least = found.select("code", "_rule", "accession", "_first", key.alias("_key")).groupBy("code").agg(
+        *[F.min_by(c, "_key").alias(c) for c in ("_rule", "accession", "_first")]
+    )
+    named = least.join(first.select("_first", F.col("_class").alias("source_class")), "_first")
+    name = F.element_at(F.array(*[F.lit(r) for r in rules]), (F.col("_rule") + 1).cast("int"))
+    return named.select(digest.code_text(F.col("code")).alias("sequence"), F.struct("source_class", name.alias("rule"), "accession").alias("o"))
+
+
 def _universe_parts(spark, sf_dir):
     """Digest of all documents, spiked panel, shuffles, random decoys and background; each leaves out what earlier ones have."""
     panel = inputs.sized(inputs.panel_words(spark, sf_dir))
-    pieces = digest.digest(inputs.proteins(spark, sf_dir))
-    owned = materialize(pieces.groupBy("sequence").agg(F.min(F.struct("source_class", "rule_order", "rule", "accession")).alias("o")))
+    owned = materialize(_digest_owners(inputs.proteins(spark, sf_dir)))
     taken = owned.select("sequence").unionByName(panel.select("sequence"))
     parents = panel.select(F.col("sequence").alias("parent"))
     shuffled, quotas, randoms, blocked = _decoy_sources(parents, taken)

@@ -12,6 +12,7 @@ from rankaudit.operators import (
     traces, validation,
 )
 from rankaudit.operators.ordering import average_ranks, global_rank, running_totals
+from rankaudit.session import materialize
 
 
 def skewed(n=3000, seed=5):
@@ -501,3 +502,25 @@ def test_fragment_codes_are_the_fragments_of_the_digest(spark):
     assert [r.sequence for r in sorted(packed, key=lambda r: r.code)] == sorted(r.sequence for r in packed)
     with pytest.raises(Exception, match="A-Z"):
         digest.fragment_codes(rows.withColumn("sequence", F.lit("a b"))).collect()
+
+
+def test_large_tables_of_taken_strings_are_not_shuffled(spark):
+    strings = spark.createDataFrame([("a",), ("b",), ("c",)], "sequence string")
+    taken = spark.range(200000).select(F.concat(F.lit("t"), F.col("id").cast("string")).alias("sequence")).union(spark.createDataFrame([("b",)], "sequence string"))
+    taken = materialize(taken.unionByName(taken))
+    free = generate.without(materialize(strings), taken)
+    assert sorted(r.sequence for r in free.collect()) == ["a", "c"]
+    plan = free._jdf.queryExecution().executedPlan().toString()
+    assert "LeftSemi, BuildRight" in plan and "SortMergeJoin [sequence" not in plan
+
+
+@pytest.mark.parametrize("rows", [[], [("s1", 5, "KAAK"), ("s0", 9, "AAK"), ("s0", 7, "AAKGG"), (None, 3, "AAK"), ("s1", 1, None), ("s1", 5, "KAAK")]])
+def test_digest_owners_are_the_least_of_class_rule_and_accession(spark, rows):
+    from rankaudit.operators import digest
+    from rankaudit.plans.catalog import _digest_owners
+
+    proteins = spark.createDataFrame(rows, "source_class string, accession long, sequence string")
+    least = digest.digest(proteins).groupBy("sequence").agg(F.min(F.struct("source_class", "rule_order", "rule", "accession")).alias("o"))
+    want = {(r.sequence, r.o.source_class, r.o.rule, r.o.accession) for r in least.collect()}
+    got = [(r.sequence, r.o.source_class, r.o.rule, r.o.accession) for r in _digest_owners(proteins).collect()]
+    assert len(got) == len(set(got)) and set(got) == want
