@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.fixed import MATCHED_LABEL, NEGATIVE_LABELS, POSITIVE_LABELS
 from ..functions.mathx import hash_uniform
+from ..session import materialize
 from .metrics import is_matched, is_positive
 from .ordering import global_rank
 
@@ -88,9 +89,9 @@ def training_merge(keys: DataFrame, weights: DataFrame, per_positive: int, seed:
         F.when(is_positive(), F.lit(0)).otherwise(F.lit(1)).alias("negative"),
         (-F.col("weight")).alias("minus_weight"), choice.alias("place"), F.col("label").alias("label"),
     )
-    merged = weighted.groupBy("sequence").agg(F.min(first).alias("first")).select(
+    merged = materialize(weighted.groupBy("sequence").agg(F.min(first).alias("first")).select(
         "sequence", "first.label", (-F.col("first.minus_weight")).alias("weight")
-    )
+    ))
     background = merged.where(~is_positive() & ~is_matched())
     drawn = hash_uniform(F.concat_ws(":", F.lit(seed), F.col("sequence")))
     numbered = global_rank(background.withColumn("_draw", drawn), ["label"], [F.col("_draw"), F.col("sequence")])

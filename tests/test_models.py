@@ -38,3 +38,12 @@ def test_only_held_out_rows_are_scored_and_the_rule_is_learned(spark):
     assert {r.sequence for r in scores.collect()} == held
     board = models.leaderboard(scores.withColumn("length", F.length("sequence"))).first()
     assert board.model_id == "logistic_c1" and board.auroc_matched > 0.9
+
+
+def test_training_rows_are_merged_once(spark):
+    from rankaudit.operators import panels
+
+    keys = spark.createDataFrame([("A", "known_positive"), ("B", "digestome_background"), ("C", "matched_decoy")], "sequence string, label string")
+    rows = panels.training_merge(keys, keys.where("sequence = 'A'").selectExpr("sequence", "2.0D AS weight"), per_positive=4)
+    assert {tuple(r) for r in rows.collect()} == {("A", "known_positive", 2.0), ("B", "digestome_background", 1.0), ("C", "matched_decoy", 1.0)}
+    assert "ExistingRDD" not in rows._jdf.queryExecution().executedPlan().toString()
