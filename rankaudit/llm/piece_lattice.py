@@ -12,7 +12,7 @@ from __future__ import annotations
 import heapq
 import re
 from collections import defaultdict
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 from dataclasses import dataclass
 from functools import cache, cached_property
@@ -26,8 +26,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .chunks import by_bucket, each_chunk, gathered, pack_strings, packed, texts_of, unpack_strings, unpacked, with_answers, write_chunks
-from .common import arrow_schema, store, total_bytes
+from .chunks import CHUNKS_PER_BATCH, by_bucket, each_chunk, gathered, pack_strings, packed, texts_of, unpack_strings, unpacked, with_answers, write_chunks
+from .common import arrow_schema, batches_of, store, total_bytes
 
 MARK = "▁"
 #: Text for each bucket of words.
@@ -36,6 +36,8 @@ BUCKET_BYTES = 4 << 20
 HASHED_WORDS = 20_000
 #: What a character without a piece costs beyond the lowest score, before it is spelt in bytes.
 UNKNOWN_PENALTY = 10.0
+#: Parts between spaces that a chunk cuts into words at a time.
+PARTS = 20_000
 #: Longer words are folded with a heap in Python, as column folds grow with the square of the length.
 LONG = 200
 
@@ -150,9 +152,13 @@ class _Words:
             documents.append(np.fromiter(map(parts.__getitem__, own), np.int32, len(own)))
         self.sizes = np.fromiter(map(len, documents), np.int64, len(documents))
         self.sequence = np.concatenate([*documents, np.empty(0, np.int32)])
-        cut, self.part_sizes = cutter_of(path).cut([MARK + p.decode("utf-8", "surrogatepass").replace(" ", MARK) for p in parts])
-        known: dict[str, int] = defaultdict(count().__next__)
-        self.part_words = np.fromiter(map(known.__getitem__, cut), np.int32, len(cut))
+        listed, cutter, known = list(parts), cutter_of(path), defaultdict(count().__next__)
+        numbers, sizes = [np.empty(0, np.int32)], [np.empty(0, np.int64)]
+        for a in range(0, len(listed), PARTS):
+            cut, some = cutter.cut([MARK + p.decode("utf-8", "surrogatepass").replace(" ", MARK) for p in listed[a : a + PARTS]])
+            numbers.append(np.fromiter(map(known.__getitem__, cut), np.int32, len(cut)))
+            sizes.append(some)
+        self.part_words, self.part_sizes = np.concatenate(numbers), np.concatenate(sizes)
         self.words = [w.encode("utf-8", "surrogatepass") for w in known]
         self.hashes = np.fromiter((xxhash.xxh64_intdigest(w) for w in self.words), np.uint64, len(self.words))
 
@@ -317,9 +323,11 @@ def _hash_aggregation(spark: SparkSession):
         spark.conf.unset(key) if before is None else spark.conf.set(key, before)
 
 
-def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: str = "text", decoded: str | None = None) -> DataFrame:
     """One row per row of `docs`: id and the ids of the best segmentation of its text; null and empty texts have none.
 
+    `decoded` names a further column with the text that the ids spell, as `decode` gives it, made in the task that has the ids.
+
     For unigram models the best segmentation has the highest sum of scores; for byte-pair models it is what the merges
     leave, as their scores only rank merges. Characters without a piece are spelt in bytes. Words of any length are segmented whole; an empty table gives no rows, repeated rows stay.
     """
@@ -357,11 +365,14 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
         return pa.table({"chunk": chunk_words["chunk"], "bucket": chunk_words["bucket"], "lengths": pa.array([a for a, _ in out], pa.binary()),
                          "ids": pa.array([b for _, b in out], pa.binary())})
 
+    batches_of(spark)  # rows are words here, not chunks
     with _hash_aggregation(spark):
         answers = store(sent.groupBy("bucket").cogroup(segmented.groupBy("_bucket")).applyInArrow(back, "chunk bigint, bucket int, lengths binary, ids binary")).df
+    batches_of(spark, CHUNKS_PER_BATCH)
 
-    schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("ids", T.ArrayType(T.IntegerType()))])
-    arrow = arrow_schema(schema)
+    text_field = [T.StructField(decoded, T.StringType())] if decoded else []
+    schema = T.StructType([T.StructField(id_col, docs.schema[id_col].dataType), T.StructField("ids", T.ArrayType(T.IntegerType())), *text_field])
+    arrow, texts = arrow_schema(schema), _spelling(pieces) if decoded else None
 
     def finish(row: dict) -> Iterator[pa.RecordBatch]:
         own = _Words(row, model_path)
@@ -385,7 +396,8 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
             if len(picked) and picked.min() < 0:
                 picked, cuts = _spelt(picked, cuts, pieces)
             listed = pa.ListArray.from_arrays(pa.array(np.concatenate([[0], cuts]), pa.int32()), pa.array(picked, pa.int32()))
-            yield pa.RecordBatch.from_arrays([row["ids"][a:z].cast(arrow.field(id_col).type), listed.cast(arrow.field("ids").type)], schema=arrow)
+            columns = [row["ids"][a:z].cast(arrow.field(id_col).type), listed.cast(arrow.field("ids").type)]
+            yield pa.RecordBatch.from_arrays([*columns, texts(listed)] if texts else columns, schema=arrow)
 
     return each_chunk(with_answers(chunks, answers=answers), finish, schema)
 
@@ -403,18 +415,12 @@ def _spelt(ids: np.ndarray, cuts: np.ndarray, pieces: Pieces) -> tuple[np.ndarra
     return out, np.concatenate([[0], ends])[cuts]
 
 
-def decode(encoded: DataFrame, model_path: str, ids_col: str = "ids", text_col: str = "text") -> DataFrame:
-    """`encoded` with the text that its ids spell; null ids give null.
-
-    Inverse of `encode` for every text without the mark U+2581 itself, which decodes to a space as in the library.
-    """
-    pieces = read_pieces(model_path)
+def _spelling(pieces: Pieces) -> Callable[[pa.Array], pa.Array]:
+    """A function from lists of ids to the texts that they spell; null for null."""
     spell = {i: p.replace(MARK, " ").encode() for p, i in pieces.ids.items()} | {i: bytes([b]) for b, i in enumerate(pieces.bytes)}
     last = max(spell)
     sizes = np.array([len(spell.get(i, b"")) for i in range(last + 1)], np.int64)
     letters, starts = np.frombuffer(b"".join(spell.get(i, b"") for i in range(last + 1)), np.uint8), np.cumsum(sizes) - sizes
-    schema = T.StructType([*[f for f in encoded.schema.fields if f.name != text_col], T.StructField(text_col, T.StringType())])
-    arrow = arrow_schema(schema)
 
     def texts(listed: pa.Array) -> pa.Array:
         flat = listed.flatten().to_numpy()
@@ -425,6 +431,18 @@ def decode(encoded: DataFrame, model_path: str, ids_col: str = "ids", text_col:
         raw, missing = written.tobytes(), listed.is_null().to_pylist()
         return pa.array([None if no else raw[a + 1 : b].decode("utf-8", "replace") for a, b, no in zip(begins.tolist(), ends.tolist(), missing)], pa.string())
 
+    return texts
+
+
+def decode(encoded: DataFrame, model_path: str, ids_col: str = "ids", text_col: str = "text") -> DataFrame:
+    """`encoded` with the text that its ids spell; null ids give null.
+
+    Inverse of `encode` for every text without the mark U+2581 itself, which decodes to a space as in the library.
+    """
+    texts = _spelling(read_pieces(model_path))
+    schema = T.StructType([*[f for f in encoded.schema.fields if f.name != text_col], T.StructField(text_col, T.StringType())])
+    arrow = arrow_schema(schema)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             decoded = texts(batch.column(ids_col)) if batch.num_rows else pa.array([], pa.string())

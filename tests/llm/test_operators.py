@@ -357,6 +357,18 @@ def test_piece_lattice_equals_the_library(spark, small):
     assert got(decoded, "doc_id", "text") == expected([(k, t or "") for k, t in rows])
 
 
+def test_encode_decodes_in_the_same_task(spark, small, monkeypatch):
+    path, rows = tokenizers.path("piece_bpe_32k.model"), []
+    store = piece_lattice.store
+    monkeypatch.setattr(piece_lattice, "store", lambda df: (rows.append(int(spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch"))), store(df))[1])
+    monkeypatch.setattr(piece_lattice, "PARTS", 3)
+    both = piece_lattice.encode(small[0], path, decoded="spelt")
+    assert rows[-1] >= 1000  # words come to the cogroups in batches of rows, not of chunks
+    tasks = both._jdf.queryExecution().executedPlan().toString()
+    assert tasks.count("MapInArrow") == 1
+    assert got(both, "doc_id", "ids", "spelt") == got(piece_lattice.decode(piece_lattice.encode(small[0], path), path), "doc_id", "ids", "text")
+
+
 def test_viterbi_fold_finds_the_best_sum(spark):
     rng = random.Random(9)
     alphabet = "abcd"
