@@ -38,7 +38,8 @@ SECOND_PERSON = frozenset("you your yours yourself u ur du dich dir dein deine d
 LOOKALIKES = str.maketrans({"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i", "*": ""})
 
 _WORD = re.compile(r"[^\W_]+")
-_DISGUISED = re.compile(r"[^\W\d_]+(?:[0-9@$*!]+[^\W\d_]+)+")
+_DISGUISED = re.compile(r"[^\W\d_]++(?:[0-9@$*!]++[^\W\d_]++)+")
+_INNER, _ONE_LETTER = re.compile(r"[0-9@$*!]++(?=[^\W\d_])"), re.compile(r"[^\W\d_]")
 _SHOUT = re.compile(r"\b[A-Z]{2,}\b")
 _UPPER = bytes(range(65, 91))
 _LETTER = _UPPER + bytes(range(97, 123)) + bytes(range(128, 256))
@@ -54,7 +55,56 @@ def entries(word: str) -> set[str]:
     return {word, *(word[:k] + "*" for k in PREFIXES if len(word) >= k)}
 
 
-_MEMO: dict[tuple[str, int | None], dict[str, float]] = {}
+def disguised(text: str) -> list[str]:
+    """Runs of letters with characters used for letters between them, found from those characters: most words have none."""
+    found, end = [], 0
+    for inner in _INNER.finditer(text):
+        start = inner.start()
+        if start < end:
+            continue
+        while start > end and _ONE_LETTER.match(text, start - 1):
+            start -= 1
+        if start < inner.start():
+            whole = _DISGUISED.match(text, start)
+            found.append(whole.group())
+            end = whole.end()
+    return found
+
+
+class _Weights(dict):
+    """Weights of words: the greatest above zero of the entries that hold a word, or zero."""
+
+    def __init__(self, lexicon: Lexicon, own: int | None):
+        # An entry of no harmless document stands in none of those that leave themselves out.
+        weights = {e: w for e, (a, b) in lexicon.counts.items() if (own != 0 or b) and (w := lexicon.weigh(a, b, own)) > 0.0}
+        self.whole = {e: w for e, w in weights.items() if not e.endswith("*")}
+        self.beginnings = {e[:-1]: w for e, w in weights.items() if e.endswith("*")}
+
+    def __missing__(self, word: str) -> float:
+        if len(self) > 300_000:
+            self.clear()
+        value = self.whole.get(word, 0.0)
+        for k in PREFIXES:
+            if len(word) >= k and (found := self.beginnings.get(word[:k], 0.0)) > value:
+                value = found
+        self[word] = value
+        return value
+
+
+class _Entries(dict):
+    """Entries of words, all or the known ones."""
+
+    def __init__(self, known: frozenset[str] | None):
+        self.known = known
+
+    def __missing__(self, word: str) -> tuple[str, ...]:
+        if len(self) > 100_000:
+            self.clear()
+        value = self[word] = tuple(entries(word) if self.known is None else entries(word) & self.known)
+        return value
+
+
+_MEMO: dict[tuple[str, int | None], _Weights] = {}
 
 
 class Lexicon:
@@ -73,20 +123,12 @@ class Lexicon:
             a, b, toxic, clean = a - own, b - (1 - own), toxic - own, clean - (1 - own)
         return math.log((a + 0.1) / (toxic + 1.0)) - math.log((b + 0.5) / (clean + 1.0)) if a >= 2 else 0.0
 
-    def word(self, word: str, own: int | None) -> float:
-        found = [self.counts[e] for e in entries(word) if e in self.counts]
-        return max([0.0, *(self.weigh(a, b, own) for a, b in found)])
-
     def weights(self, words: list[str], own: int | None) -> np.ndarray:
         if (self.name, own) not in _MEMO:
             for other in [k for k in _MEMO if k[0] != self.name or own is None]:
                 del _MEMO[other]
-        memo = _MEMO.setdefault((self.name, own), {})
-        if len(memo) > 300_000:
-            memo.clear()
-        for w in set(words):
-            if w not in memo:
-                memo[w] = self.word(w, own)
+            _MEMO[self.name, own] = _Weights(self, own)
+        memo = _MEMO[self.name, own]
         return np.fromiter(map(memo.__getitem__, words), np.float64, len(words))
 
 
@@ -107,7 +149,7 @@ def features(text: str | None, lexicon: Lexicon, own: int | None = None) -> list
             before = np.abs(persons[np.maximum(at - 1, 0)] - strong)
             near = int((np.minimum(after, before) <= NEAR).sum())
     letters = max(1, len(raw.translate(None, _NOT_LETTER)))
-    hidden = _DISGUISED.findall(text)
+    hidden = disguised(text)
     plain = lexicon.weights([x.lower().translate(LOOKALIKES) for x in hidden], own)
     return [
         float(np.log1p(len(strong))), 100.0 * len(strong) / n, 100.0 * float((weights >= 1.5).sum()) / n, float(top.max(initial=0.0)),
@@ -121,13 +163,13 @@ def _documents_of(rows: DataFrame, known: frozenset[str] | None = None) -> DataF
     """Documents that hold each entry: of all entries, or of the known ones."""
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: Counter = Counter()
+        total, listed = Counter(), _Entries(known)
         for batch in batches:
             for text in batch.column("_text").to_pylist():
                 own = set()
                 for word in set(_WORD.findall((text or "").lower())):
-                    own |= entries(word)
-                total.update(own if known is None else own & known)
+                    own.update(listed[word])
+                total.update(own)
         yield pa.RecordBatch.from_arrays([pa.array(list(total), pa.string()), pa.array(list(total.values()), pa.int64())], ["entry", "n"])
 
     return rows.select("_text").mapInArrow(counted, "entry string, n bigint").groupBy("entry").agg(F.sum("n").alias("n"))

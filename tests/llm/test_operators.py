@@ -336,6 +336,27 @@ def test_toxicity(spark):
     assert max(found[900], found[901], found[902], found[None]) < 0.3 <= found[903]
 
 
+def test_disguised_words_and_weights_of_words():
+    import re
+    import time
+
+    rng = random.Random(4)
+    for _ in range(3000):
+        text = "".join(rng.choice("abÉ\u00b2\u0663_1@$*! .-") for _ in range(rng.randint(0, 30)))
+        assert toxicity.disguised(text) == re.findall(r"[^\W\d_]+(?:[0-9@$*!]+[^\W\d_]+)+", text), text
+    began = time.process_time()
+    assert toxicity.disguised("x" * 200_000 + " a1b") == ["a1b"]  # took minutes when every letter was a start
+    assert time.process_time() - began < 5
+    words = ["".join(rng.choice("ab") for _ in range(rng.randint(1, 8))) for _ in range(400)]
+    counts = {e: (rng.randint(0, 9), rng.randint(1, 9)) for w in words[:40] for e in toxicity.entries(w)}
+    lexicon = toxicity.Lexicon(counts, 12, 30)
+    for own in (None, 0, 1):
+        plain = [max([0.0, *(lexicon.weigh(*counts[e], own) for e in toxicity.entries(w) if e in counts)]) for w in words]
+        assert lexicon.weights(words, own).tolist() == plain
+    assert toxicity.Lexicon({"ab": (3, 0)}, 12, 30).weights(["ab", "b"], 1).tolist()[1] == 0.0
+    assert toxicity.Lexicon({"ab": (3, 0)}, 12, 30).weights(["b"], 0).tolist() == [0.0]
+
+
 def test_toxicity_without_labels(spark):
     docs = spark.createDataFrame([(1, "a"), (2, None)], "doc_id bigint, text string")
     none = spark.createDataFrame([], "doc_id bigint, toxic int")
