@@ -15,6 +15,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
@@ -22,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .chunks import by_bucket, gathered, packed, unpacked
-from .common import arrow_schema, batches_of, mix64, store, total_bytes, utf8
+from .common import arrow_schema, batches_of, mix64, store, total_bytes
 
 SHINGLE, PERCENT = 4, 85
 GROUPS = 256
@@ -52,12 +53,34 @@ def shingles(text: bytes, known: dict, size: int) -> np.ndarray:
     words = text.lower().split()
     if not words:
         return np.empty(0, np.uint64)
-    hashed = mix64(np.fromiter(map(known.__getitem__, words), np.uint64, len(words)))
-    n = max(1, len(words) - size + 1)
-    total = np.full(n, len(words) if len(words) < size else size, np.uint64)
-    for k in range(min(size, len(words))):
+    return _of_hashes(mix64(np.fromiter(map(known.__getitem__, words), np.uint64, len(words))), size)
+
+
+def _of_hashes(hashed: np.ndarray, size: int) -> np.ndarray:
+    """The shingles of a text of these mixed word hashes, one word at least."""
+    n = max(1, len(hashed) - size + 1)
+    total = np.full(n, min(len(hashed), size), np.uint64)
+    for k in range(min(size, len(hashed))):
         total = total * _STEP + hashed[k : k + n]
-    return np.unique(mix64(total))
+    total = np.sort(mix64(total))
+    return total[np.concatenate([[True], total[1:] != total[:-1]])]
+
+
+def each_shingles(column: pa.Array, size: int) -> Iterator[np.ndarray]:
+    """`shingles` of every text of a column; a word is hashed once for all of them."""
+    split = pc.ascii_split_whitespace(pc.ascii_lower(column.cast(pa.string()).fill_null("")))
+    words, ends = split.flatten(), split.offsets.to_numpy()
+    coded = words.dictionary_encode()
+    distinct = coded.dictionary.cast(pa.binary()).to_pylist()
+    hashed = mix64(np.fromiter((xxhash.xxh64_intdigest(w) for w in distinct), np.uint64, len(distinct)))
+    codes = coded.indices.to_numpy()
+    empty = distinct.index(b"") if b"" in distinct else -1  # white space at the ends of a text leaves an empty word there
+    for a, b in zip((ends - ends[0]).tolist(), (ends[1:] - ends[0]).tolist()):
+        while a < b and codes[a] == empty:
+            a += 1
+        while a < b and codes[b - 1] == empty:
+            b -= 1
+        yield _of_hashes(hashed[codes[a:b]], size) if a < b else np.empty(0, np.uint64)
 
 
 def prefix_size(n: int, percent: int) -> int:
@@ -170,7 +193,7 @@ def _frequent(docs: DataFrame, size: int) -> dict[int, int]:
     """The most frequent shingles: shingles that recur within a task's rows, added up. Its bound is `FREQUENT`."""
 
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, held, n = _WordHashes(), [], 0
+        held, n = [], 0
 
         def flush() -> pa.RecordBatch:
             values, times = np.unique(np.concatenate(held), return_counts=True)
@@ -178,9 +201,9 @@ def _frequent(docs: DataFrame, size: int) -> dict[int, int]:
             return pa.RecordBatch.from_arrays([pa.array(values[often].view(np.int64)), pa.array(times[often])], ["shingle", "n"])
 
         for batch in batches:
-            for text in utf8(batch.column(0)):
-                held.append(shingles(text, known, size))
-                n += len(held[-1])
+            for own in each_shingles(batch.column(0), size):
+                held.append(own)
+                n += len(own)
             if n > 4_000_000:
                 yield flush()
                 held, n = [], 0
@@ -206,11 +229,10 @@ def _sketches(docs: DataFrame, id_col: str, text_col: str, size: int, percent: i
     arrow = arrow_schema(schema)
 
     def sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, row = _WordHashes(), TaskContext.get().partitionId() << 36
+        row = TaskContext.get().partitionId() << 36
         for batch in batches:
             classes, sizes, first, least, counts = [], [], [], [], []
-            for text in utf8(batch.column("text")):
-                own = shingles(text, known, size)
+            for own in each_shingles(batch.column("text"), size):
                 sizes.append(len(own))
                 if not len(own):
                     for x in (classes, first, least, counts):
@@ -222,7 +244,7 @@ def _sketches(docs: DataFrame, id_col: str, text_col: str, size: int, percent: i
                 hit = at < len(values)
                 hit[hit] = values[at[hit]] == own[hit]
                 seen[hit] = times[at[hit]]
-                first.append(own[np.lexsort((own, seen))][: prefix_size(len(own), percent)].view(np.int64))
+                first.append(own[np.argsort(seen, kind="stable")][: prefix_size(len(own), percent)].view(np.int64))
                 least.append([int(own[:1].view(np.int64)[0]), int(mix64(own * _SECOND).min().view(np.int64))])
                 counts.append(np.bincount((own % np.uint64(GROUPS)).astype(np.int64), minlength=GROUPS).astype(np.int32))
             yield pa.RecordBatch.from_arrays([
@@ -272,9 +294,9 @@ def verified(pairs: DataFrame, reps: DataFrame, sketches: DataFrame, size: int,
     both = both.join(texts.select(F.col("class").alias("b"), F.col("text").alias("text_b")), "b").select("a", "b", "text_a", "text_b")
 
     def check(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _WordHashes()
         for batch in batches:
-            kept = [similar(shingles(x, known, size), shingles(y, known, size), percent) for x, y in zip(utf8(batch.column("text_a")), utf8(batch.column("text_b")))]
+            both = zip(each_shingles(batch.column("text_a"), size), each_shingles(batch.column("text_b"), size))
+            kept = [similar(x, y, percent) for x, y in both]
             yield batch.filter(pa.array(kept, pa.bool_())).select(["a", "b"])
 
     return both.mapInArrow(check, "a bigint, b bigint")
@@ -395,8 +417,7 @@ def _tree_links(rows: DataFrame, points: DataFrame, texts: Callable[[DataFrame],
         return [lead] * len(own), own
 
     def linked(lead: int, classes: np.ndarray, roots: np.ndarray, parts: np.ndarray | None, own: pa.Array) -> tuple[list, list]:
-        known = _WordHashes()
-        links = tree_links([shingles(text, known, size) for text in utf8(own)], roots, parts, percent)
+        links = tree_links(list(each_shingles(own, size)), roots, parts, percent)
         return [min(classes[a], classes[b]) for a, b in links], [max(classes[a], classes[b]) for a, b in links]
 
     left = _each_tree(rows, points.select("class", "counts"), n_rows, hopeful, ("lead", "class"))

@@ -225,6 +225,21 @@ def test_jaccard_join_without_early_links(spark, monkeypatch, percent):
     assert found == expected(brute.components(rows, percent)) and len({x[2] for x in found}) < 60
 
 
+@pytest.mark.parametrize("size", [1, 4])
+def test_shingles_of_a_column_are_those_of_its_texts(size):
+    import pyarrow as pa
+
+    rng = random.Random(8)
+    letters = ["a", "B", "\u00c9", "\u00a0", "\u3000", "\x1c", "\x85", "\x00", *" \t\n\x0b\x0c\r"]
+    texts = [None, "", " ", "\n\t ", "one", " one  Two ", *("".join(rng.choice(letters) for _ in range(rng.randint(0, 40))) for _ in range(500))]
+    column = pa.array(["before"] + texts)[1:]
+    plain = [jaccard_join.shingles((t or "").encode(), jaccard_join._WordHashes(), size) for t in texts]
+    assert [x.tolist() for x in jaccard_join.each_shingles(column, size)] == [x.tolist() for x in plain]
+    assert list(jaccard_join.each_shingles(column[:0], size)) == []
+    for x, t in zip(plain, texts):
+        assert len(x) == len({tuple(w[i : i + size]) for w in [(t or "").encode().lower().split()] for i in range(max(1, len(w) - size + 1)) if w})
+
+
 def test_tree_finds_all_pairs_that_the_bound_allows():
     rng = np.random.default_rng(4)
     points = rng.poisson(3, (300, 16)).astype(np.int32)
