@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Stored, arrow_schema, batches_of, grouped, store_bucketed, utf8
+from .common import Stored, arrow_schema, batches_of, give_back, grouped, store_bucketed, utf8
 
 CHUNK_BYTES = 8 << 20
 #: Chunks that one Arrow batch takes to a Python worker.
@@ -68,6 +68,8 @@ def write_chunks(docs: DataFrame, id_col: str, text_col: str, chunk_bytes: int =
                 pa.array([part << 32 | number], pa.int64()), ids.cast(arrow.field("ids").type),
                 pa.array([packed(sizes)], pa.binary()), pa.array([packed(b"".join(texts))], pa.binary()),
             ], schema=arrow)
+            del held, texts, sizes, ids
+        give_back()
 
     rows = docs.select(F.col(id_col).alias("_id"), F.col(text_col).alias("_text"))
     stored = store_bucketed(rows.mapInArrow(pack, schema), "chunk")
@@ -91,6 +93,8 @@ def each_chunk(chunks: DataFrame, work: Callable[[dict], Iterator[pa.RecordBatch
                 if "ids" in batch.schema.names:
                     row["ids"] = batch.column("ids")[i].values
                 yield from work(row)
+                del row
+                give_back()
 
     return chunks.mapInArrow(run, schema)
 

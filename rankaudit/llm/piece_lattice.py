@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .chunks import CHUNKS_PER_BATCH, by_bucket, each_chunk, gathered, pack_strings, packed, texts_of, unpack_strings, unpacked, with_answers, write_chunks
-from .common import arrow_schema, batches_of, store, total_bytes
+from .common import arrow_schema, batches_of, give_back, shuffles_dropped, store, total_bytes
 
 MARK = "▁"
 #: Text for each bucket of words.
@@ -345,9 +345,12 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
 
     def spread(group: pa.Table) -> pa.Table:
         words = sorted({w for data in group["words"].to_pylist() for w in unpack_strings(data)})
-        return pa.table({"bucket": pa.repeat(group["bucket"][0], len(words)), "word": pa.array(words, pa.binary()).cast(pa.string())})
+        found = pa.table({"bucket": pa.repeat(group["bucket"][0], len(words)), "word": pa.array(words, pa.binary()).cast(pa.string())})
+        del words
+        give_back()
+        return found
 
-    sent = store(each_chunk(chunks, send, "bucket int, chunk bigint, words binary")).df
+    sent = each_chunk(chunks, send, "bucket int, chunk bigint, words binary").repartition(buckets, "bucket")
     distinct = sent.groupBy("bucket").applyInArrow(spread, "bucket int, word string")
     segmented = segment(distinct.repartition(buckets, "bucket"), pieces).select(F.col("bucket").alias("_bucket"), "word", "ids")
 
@@ -362,11 +365,13 @@ def encode(docs: DataFrame, model_path: str, id_col: str = "doc_id", text_col: s
             at = np.fromiter(map(place.__getitem__, words), np.int64, len(words))
             n = starts[at + 1] - starts[at]
             out.append((packed(n.astype("<u4").tobytes()), packed(as_ids(pieces, gathered(flat, starts[at], n)).astype("<i4").tobytes())))
+        del place, listed, flat, starts
+        give_back()
         return pa.table({"chunk": chunk_words["chunk"], "bucket": chunk_words["bucket"], "lengths": pa.array([a for a, _ in out], pa.binary()),
                          "ids": pa.array([b for _, b in out], pa.binary())})
 
     batches_of(spark)  # rows are words here, not chunks
-    with _hash_aggregation(spark):
+    with _hash_aggregation(spark), shuffles_dropped(spark):
         answers = store(sent.groupBy("bucket").cogroup(segmented.groupBy("_bucket")).applyInArrow(back, "chunk bigint, bucket int, lengths binary, ids binary")).df
     batches_of(spark, CHUNKS_PER_BATCH)
 

@@ -381,6 +381,31 @@ def test_toxicity_without_labels(spark):
 # ---- pieces and the language model ---------------------------------------------------
 
 
+def test_piece_lattice_keeps_one_copy_of_its_words(spark, small, monkeypatch):
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before, written, store = spark.conf.get(key), [], piece_lattice.store
+    monkeypatch.setattr(piece_lattice, "store", lambda df: (written.append((df.columns, spark.conf.get(key))), store(df))[1])
+    piece_lattice.encode(small[0], tokenizers.path("piece_bpe_32k.model"))
+    assert written == [(["chunk", "bucket", "lengths", "ids"], "true")]
+    assert spark.conf.get(key) == before
+
+
+def test_freed_memory_goes_back():
+    from rankaudit.llm import common
+
+    def held():
+        with open("/proc/self/statm") as file:
+            return int(file.read().split()[1])
+
+    common.give_back()
+    blocks = [bytearray(100_000) for _ in range(2_000)]
+    last = bytearray(100_000)
+    del blocks
+    kept = held()
+    common.give_back()
+    assert kept - held() > 20_000 and len(last) == 100_000
+
+
 def test_piece_lattice_equals_the_library(spark, small):
     import sentencepiece
 
