@@ -72,8 +72,8 @@ def _cut_table(rule: str) -> np.ndarray:
     return np.array([re.compile(rule).match(before + after, 1) is not None for before in signs for after in signs])
 
 
-def packed_fragments(sequences: list[str], cuts: list[np.ndarray], missed: int, shortest: int, longest: int) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct fragments of up to 65,536 strings, in NumPy: codes with the rules as bits on top, and how many each string has."""
+def _cut_fragments(sequences: list[str], cuts: list[np.ndarray], missed: int, shortest: int, longest: int) -> tuple[np.ndarray, np.ndarray]:
+    """All fragments of up to 65,536 strings, in NumPy: the place of their string, and their code with the number of the rule in two bits below."""
     signs = np.frombuffer(("\n" + "\n".join(sequences) + "\n").encode(), np.uint8)
     breaks = np.flatnonzero(signs == 10)
     if len(breaks) != len(sequences) + 1 or not ((signs == 10) | (signs >= 65) & (signs <= 90)).all():
@@ -99,7 +99,12 @@ def packed_fragments(sequences: list[str], cuts: list[np.ndarray], missed: int,
             kept = np.flatnonzero((owner[:-k] == owner[k:]) & (size >= shortest) & (size <= longest))
             owners.append(owner[kept].astype(np.uint16))
             values.append((twelve[bounds[kept]] & heads[size[kept]]) << 2 | number)
-    owner, value = np.concatenate(owners), np.concatenate(values)
+    return np.concatenate(owners), np.concatenate(values)
+
+
+def packed_fragments(sequences: list[str], cuts: list[np.ndarray], missed: int, shortest: int, longest: int) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct fragments of up to 65,536 strings: codes with the rules as bits on top, and how many each string has."""
+    owner, value = _cut_fragments(sequences, cuts, missed, shortest, longest)
     order = np.argsort(owner, kind="stable")
     owner, value = owner[order], value[order]
     ends = np.cumsum(np.bincount(owner, minlength=len(sequences)))
@@ -148,6 +153,29 @@ def fragment_codes(
     )
 
 
+def distinct_codes(
+    proteins: DataFrame,
+    rules: tuple[str, ...] = tuple(CUT_RULES),
+    missed: int = 2,
+    shortest: int = 2,
+    longest: int = CODE_LETTERS,
+) -> DataFrame:
+    """The fragments of `fragment_codes` without rules and owners, each once as `code`; a task takes copies out of its batches before it makes rows."""
+    if longest > CODE_LETTERS or len(rules) > _MASK_BITS:
+        raise ValueError("fragment codes hold twelve letters and four rules")
+    cuts = [_cut_table(CUT_RULES[rule]) for rule in rules]
+
+    def pack(batches):
+        for batch in batches:
+            column, size, found = batch.column("sequence"), 1024, [np.empty(0, np.int64)]
+            for at in range(0, batch.num_rows, size):
+                sequences = [s or "" for s in column.slice(at, size).to_pylist()]
+                found.append(np.unique(_cut_fragments(sequences, cuts, missed, shortest, longest)[1] >> 2))
+            yield pa.RecordBatch.from_arrays([pa.array(np.unique(np.concatenate(found)))], ["code"])
+
+    return proteins.select("sequence").mapInArrow(pack, "code bigint").distinct()
+
+
 def _letter(code: Column, i: int) -> Column:
     return F.shiftright(code, _place(i)).bitwiseAND(F.lit(31).cast("bigint")).cast("int")
 

@@ -179,10 +179,15 @@ def _digest_owners(proteins):
     return named.select(digest.code_text(F.col("code")).alias("sequence"), F.struct("source_class", name.alias("rule"), "accession").alias("o"))
 
 
-def _universe_parts(spark, sf_dir):
-    """Digest of all documents, spiked panel, shuffles, random decoys and background; each leaves out what earlier ones have."""
+def _universe_parts(spark, sf_dir, owners=True):
+    """Spiked panel, digest of all documents, shuffles, random decoys and background; each leaves out what earlier ones have.
+
+    Who owns a fragment changes nothing in what is taken, so counts alone need no owners.
+    """
     panel = inputs.sized(inputs.panel_words(spark, sf_dir))
-    owned = materialize(_digest_owners(inputs.proteins(spark, sf_dir)))
+    proteins = inputs.proteins(spark, sf_dir)
+    texts = lambda: digest.distinct_codes(proteins).select(digest.code_text(F.col("code")).alias("sequence"))
+    owned = materialize(_digest_owners(proteins) if owners else texts())
     taken = owned.select("sequence").unionByName(panel.select("sequence"))
     parents = panel.select(F.col("sequence").alias("parent"))
     shuffled, quotas, randoms, blocked = _decoy_sources(parents, taken)
@@ -219,7 +224,7 @@ def _universe(spark, sf_dir):
 @query
 def universe_shortage(spark, sf_dir):
     """What the blinded universe was asked for and got: decoys of every parent, and the background."""
-    _, _, shuffled, quotas, randoms, background, wanted = _universe_parts(spark, sf_dir)
+    _, _, shuffled, quotas, randoms, background, wanted = _universe_parts(spark, sf_dir, owners=False)
     decoys = quotas.select(F.lit("matched_decoy").alias("kind"), F.col("parent").alias("owner"), F.lit(DECOYS).cast("bigint").alias("requested"))
     noise = spark.range(1).select(F.lit("random_background").alias("kind"), F.lit("").alias("owner"), F.lit(wanted).cast("bigint").alias("requested"))
     accepted = shuffled.select("parent").unionByName(randoms.select("parent")).select(F.lit("matched_decoy").alias("kind"), F.col("parent").alias("owner"))

@@ -514,6 +514,29 @@ def test_large_tables_of_taken_strings_are_not_shuffled(spark):
     assert "LeftSemi, BuildRight" in plan and "SortMergeJoin [sequence" not in plan
 
 
+def test_distinct_codes_are_those_of_the_fragments(spark):
+    rows = spark.createDataFrame([("a", "ARNDKCEQRGHILK"), ("b", "ARNDKCEQRGHILK"), ("c", "KKRRPFWYL"), ("d", ""), ("e", None)], "accession string, sequence string")
+    codes = [r.code for r in digest.distinct_codes(rows).collect()]
+    assert sorted(codes) == sorted({r.code for r in digest.fragment_codes(rows).collect()}) and len(codes) > 5
+
+
+def test_shortage_asks_for_no_owners(spark, monkeypatch, tmp_path):
+    from rankaudit.plans import catalog
+
+    class Reached(Exception):
+        pass
+
+    def stop(*_):
+        raise Reached
+
+    spark.createDataFrame([(1, "s", "Some words of a document")], "doc_id bigint, source string, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    spark.createDataFrame([("i", "panel words")], "item_id string, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    monkeypatch.setattr(catalog, "_digest_owners", lambda proteins: pytest.fail("owners were computed"))
+    monkeypatch.setattr(catalog, "_decoy_sources", stop)
+    with pytest.raises(Reached):
+        catalog.universe_shortage(spark, str(tmp_path))
+
+
 @pytest.mark.parametrize("rows", [[], [("s1", 5, "KAAK"), ("s0", 9, "AAK"), ("s0", 7, "AAKGG"), (None, 3, "AAK"), ("s1", 1, None), ("s1", 5, "KAAK")]])
 def test_digest_owners_are_the_least_of_class_rule_and_accession(spark, rows):
     from rankaudit.operators import digest
