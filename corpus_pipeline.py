@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from rankaudit.llm import content_sort, jaccard_join, piece_lattice, positional_index, toxicity
-from rankaudit.llm.common import release, store, table
+from rankaudit.llm.common import release, shuffles_dropped, store, table
 from rankaudit.llm.queries import remainder
 
 THRESHOLD = 0.3
@@ -87,6 +87,7 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All stages over the whole of `documents`."""
     docs = table(spark, sf_dir, "documents")
-    for _, stage in STAGES:
-        docs = store(stage(spark, docs, sf_dir)).df
+    with shuffles_dropped(spark):
+        for _, stage in STAGES:
+            docs = store(stage(spark, docs, sf_dir)).df
     return docs

@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import Stored, arrow_schema, batches_of, store
+from .common import Stored, arrow_schema, batches_of, shuffles_dropped, store
 
 WHITE = r"[\x20\x09-\x0D]+"
 SPLITTER_CHARS = 24
@@ -63,19 +63,24 @@ def sorted_runs(docs: DataFrame, id_col: str, text_col: str, carry: tuple[str, .
     """The sorted rows with their run (`_part`, `_run`), and a row with `_edge` for every run at an edge."""
     batches_of(docs.sparkSession)
     text = F.col(text_col)
+    order = [F.desc("_chars"), F.asc_nulls_last("_id")]
     rows = docs.select(
         F.col(id_col).alias("_id"), F.length(F.coalesce(text, F.lit(""))).alias("_chars"), normalised(text).alias("_norm"),
         *[F.col(c).alias(f"_c_{c}") for c in carry],
-    ).withColumn("_sha", F.sha2("_norm", 256))
-    order = [F.desc("_chars"), F.asc_nulls_last("_id")]
-    start = F.substring("_norm", 1, SPLITTER_CHARS)
-    placed = rows.repartitionByRange(start, "_sha", *order).sortWithinPartitions(start, "_sha", "_norm", *order)
+    ).withColumn("_sha", F.sha2("_norm", 256)).withColumn("_start", F.substring("_norm", 1, SPLITTER_CHARS))
+    if text_col in carry:  # the text is moved once, and normalised again where it arrives
+        rows = rows.drop("_norm")
+    placed = rows.repartitionByRange("_start", "_sha", *order)
+    if text_col in carry:
+        placed = placed.withColumn("_norm", normalised(F.col(f"_c_{text_col}")))
+    placed = placed.sortWithinPartitions("_start", "_sha", "_norm", *order).drop("_start")
     fields = [f for f in placed.schema.fields if f.name != "_norm"]
     fields += [T.StructField("_part", T.IntegerType()), T.StructField("_run", T.LongType()),
                T.StructField("_head", T.BooleanType()), T.StructField("_edge", T.StringType())]
     schema = T.StructType([T.StructField(f.name, f.dataType, True) for f in fields])
     arrow = arrow_schema(schema)
-    return store(placed.mapInArrow(lambda it: _runs(it, arrow), schema))
+    with shuffles_dropped(docs.sparkSession):
+        return store(placed.mapInArrow(lambda it: _runs(it, arrow), schema))
 
 
 def merged_edges(runs: DataFrame) -> DataFrame:

@@ -23,7 +23,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from .chunks import by_bucket, gathered, packed, unpacked
-from .common import arrow_schema, batches_of, mix64, store, total_bytes
+from .common import arrow_schema, batches_of, mix64, shuffles_dropped, store, total_bytes
 
 SHINGLE, PERCENT = 4, 85
 GROUPS = 256
@@ -426,17 +426,8 @@ def _tree_links(rows: DataFrame, points: DataFrame, texts: Callable[[DataFrame],
     return _each_tree(left, texts(left.select("class").distinct()), load, linked, ("a", "b"))
 
 
-def near_groups(
-    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, percent: int = PERCENT
-) -> DataFrame:
-    """One row per row of `docs`: id, n_shingles and component_id, the least id that links reach, its own included.
-
-    Words stand between ASCII white space, A-Z lower-cased. A text of fewer words than a shingle has one shingle, a null or
-    empty text has none and is linked with nothing (its component is its own id). Two sets link when their Jaccard
-    similarity is `percent` hundredths or more. Equal sets are one class, told by 64-bit hashes; links between classes are
-    verified on their shingles. Null ids belong to the component of their class but never name it unless all ids are null.
-    Repeated rows and ids are kept; an empty table gives no rows.
-    """
+def _linked(docs: DataFrame, id_col: str, text_col: str, size: int, percent: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """The sketch of every row, a row of each class with the least id, and the (node, root) of classes with links; all written."""
     batches_of(docs.sparkSession)
     buckets = max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), total_bytes(docs, text_col)[1] // BUCKET_BYTES + 1)
     sketches = store(_sketches(docs, id_col, text_col, size, percent)).df
@@ -444,23 +435,31 @@ def near_groups(
     reps = store(filled.groupBy("class").agg(F.min("row").alias("row"), F.min("id").alias("id"))).df
     points = store(filled.select("row", "n", "least", "counts").join(reps.select("row", "class"), "row").drop("row")).df
 
-    keyed = points.select("class", "n", "counts", F.posexplode("least").alias("which", "key"))
+    keyed = store(points.select("class", "n", F.posexplode("least").alias("which", "key"))).df
+
+    def stars(placed: DataFrame, order: Column) -> DataFrame:
+        """Pairs of the head of each least hash with the classes of other components, as far as their sizes allow."""
+        heads = placed.groupBy("which", "key").agg(F.min_by(F.struct("class", "n", "root"), order).alias("head"), F.count(F.lit(1)).alias("m")).where("m > 1")
+        met = placed.join(heads, ["which", "key"]).where((F.col("root") != F.col("head.root")) & _passes(F.col("n"), F.col("head.n"), percent))
+        return met.select(F.least("head.class", "class").alias("a"), F.greatest("head.class", "class").alias("b")).distinct()
 
-    def stars(roots: DataFrame | None, order: Column, crowd: int) -> DataFrame:
-        """Pairs of the head of each least hash with the classes of other components that the bound leaves possible."""
-        placed = keyed.withColumn("root", F.col("class")) if roots is None else keyed.join(
-            roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
-        heads = placed.groupBy("which", "key").agg(F.min_by(F.struct("class", "n", "counts", "root"), order).alias("head"), F.count(F.lit(1)).alias("m"))
-        met = placed.join(heads.where(F.col("m") >= crowd).drop("m"), ["which", "key"]).where(F.col("root") != F.col("head.root"))
-        bound = (100 + percent) * _bound(F.col("counts"), F.col("head.counts")) >= percent * (F.col("n") + F.col("head.n"))
-        possible = met.where(_passes(F.col("n"), F.col("head.n"), percent) & bound)
-        return possible.select(F.least("head.class", "class").alias("a"), F.greatest("head.class", "class").alias("b")).distinct()
+    def possible(pairs: DataFrame, vectors: DataFrame) -> DataFrame:
+        """The pairs that the bound leaves possible; vectors are moved only here, not with every least hash."""
+        end = lambda name: vectors.select(F.col("class").alias(name), F.col("n").alias(f"n_{name}"), F.col("counts").alias(f"counts_{name}"))
+        bound = (100 + percent) * _bound(F.col("counts_a"), F.col("counts_b")) >= percent * (F.col("n_a") + F.col("n_b"))
+        return pairs.join(end("a"), "a").join(end("b"), "b").where(bound).select("a", "b")
 
-    pairs = store(stars(None, F.col("class"), 2)).df
+    pairs = store(possible(stars(keyed.withColumn("root", F.col("class")), F.col("class")), points)).df
     links = store(verified(pairs, reps, sketches, size, percent)).df
     roots = components(links)
+    # The turns look at the crowded least hashes and the vectors of their classes alone.
+    crowds = keyed.groupBy("which", "key").agg(F.count(F.lit(1)).alias("m")).where(F.col("m") >= CROWD).drop("m")
+    crowded = store(keyed.join(crowds, ["which", "key"])).df
+    vectors = store(points.select("class", "n", "counts").join(crowded.select("class").distinct(), "class", "left_semi")).df
     for turn in range(TURNS):
-        more = store(stars(roots, F.xxhash64(F.lit(turn), "class"), CROWD).join(pairs, ["a", "b"], "left_anti")).df
+        placed = crowded.join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class"))
+        new = stars(placed, F.xxhash64(F.lit(turn), "class")).join(pairs, ["a", "b"], "left_anti")
+        more = store(possible(new, vectors)).df
         if more.isEmpty():
             break
         pairs = pairs.unionByName(more)
@@ -482,7 +481,22 @@ def near_groups(
     found = _tree_links(rows, points, lambda ends: _texts(ends, reps, sketches), size, percent)
     links = store(links.unionByName(found)).df
     roots = components(links)
+    return sketches, reps, roots
 
+
+def near_groups(
+    docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, percent: int = PERCENT
+) -> DataFrame:
+    """One row per row of `docs`: id, n_shingles and component_id, the least id that links reach, its own included.
+
+    Words stand between ASCII white space, A-Z lower-cased. A text of fewer words than a shingle has one shingle, a null or
+    empty text has none and is linked with nothing (its component is its own id). Two sets link when their Jaccard
+    similarity is `percent` hundredths or more. Equal sets are one class, told by 64-bit hashes; links between classes are
+    verified on their shingles. Null ids belong to the component of their class but never name it unless all ids are null.
+    Repeated rows and ids are kept; an empty table gives no rows.
+    """
+    with shuffles_dropped(docs.sparkSession):
+        sketches, reps, roots = _linked(docs, id_col, text_col, size, percent)
     named = reps.join(roots.withColumnRenamed("node", "class"), "class", "left").withColumn("root", F.coalesce("root", "class")).select("class", "root", "id")
     least_id = named.groupBy("root").agg(F.min("id").alias("component"))
     known = named.join(least_id, "root").select("class", "component")

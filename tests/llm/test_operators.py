@@ -50,6 +50,24 @@ def test_without_copies_keeps_columns_and_one_row_each(small):
     assert kept.count() == sum(x[3] for x in brute.exact(rows))
 
 
+def plans_of(monkeypatch, module):
+    """The plans of what `module` writes, as they are written."""
+    plans, whole = [], module.store
+    monkeypatch.setattr(module, "store", lambda df: (plans.append(df._jdf.queryExecution().optimizedPlan()), whole(df))[1])
+    return plans
+
+
+def test_without_copies_moves_a_text_once(small, monkeypatch):
+    """The rows that are dealt hold the text, and not its normalised form beside it."""
+    df, _ = small
+    plans = plans_of(monkeypatch, content_sort)
+    content_sort.without_copies(df)
+    plan = plans[0]
+    while plan.nodeName() != "RepartitionByExpression":
+        plan = plan.children().head()
+    assert "_c_text#" in plan.output().toString() and "_norm#" not in plan.output().toString()
+
+
 # ---- sharding -----------------------------------------------------------------------
 
 
@@ -200,6 +218,22 @@ def test_jaccard_join(small):
     assert got(jaccard_join.near_groups(df), "doc_id", "n_shingles", "component_id") == expected(brute.components(rows))
 
 
+def test_turns_of_early_links_do_not_list_least_hashes_again(spark, monkeypatch):
+    """The least hashes are listed and written once, however many turns follow, and without the vectors."""
+    monkeypatch.setattr(jaccard_join, "CROWD", 2)
+    rng = random.Random(4)
+    base, rows = [f"b{i}" for i in range(80)], []
+    for i in range(60):
+        words = list(base)
+        for _ in range(rng.randint(0, 9)):
+            words[rng.randrange(80)] = f"w{i}"
+        rows.append((i, " ".join(words)))
+    plans = plans_of(monkeypatch, jaccard_join)
+    df = spark.createDataFrame(rows, "doc_id bigint, text string")
+    assert got(jaccard_join.near_groups(df), "doc_id", "n_shingles", "component_id") == expected(brute.components(rows))
+    assert sum("posexplode(least" in p.toString() for p in plans) == 1
+
+
 @pytest.mark.parametrize("percent", [60, 85])
 def test_jaccard_join_without_early_links(spark, monkeypatch, percent):
     """Only the trees may find links here; small trees force several parts per partition."""
