@@ -6,6 +6,10 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import clean_sequence
+from .chained_hash import chained_digests
+
+#: Files up to this size are one row; the endings of codecs that Spark's line reader unpacks.
+WHOLE_BYTES, PACKED = 64 << 20, r"(?i)\.(gz|deflate|bz2|lz4|snappy|zst|passthrough)$"
 
 
 def read_fasta(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
@@ -78,7 +82,21 @@ def read_fixed_width_atoms(spark: SparkSession, path: str) -> DataFrame:
 
 
 def file_digests(spark: SparkSession, path: str, pattern: str = "*", recursive: bool = True) -> DataFrame:
-    """Size and SHA-256 of every file under a path."""
-    reader = spark.read.format("binaryFile").option("pathGlobFilter", pattern)
-    files = reader.option("recursiveFileLookup", str(recursive).lower()).load(path)
-    return files.select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    """Size and SHA-256 of every file under a path.
+
+    Files over `WHOLE_BYTES` are read in splits and hashed span by span. The reader of splits would unpack files with the
+    ending of a codec, so these are always read whole, up to the 2 GB of a value. Spark's readers pass over files of no bytes.
+    """
+    of = lambda reader: reader.option("pathGlobFilter", pattern).option("recursiveFileLookup", str(recursive).lower())
+    files = of(spark.read.format("binaryFile")).load(path)
+    large = (F.col("_metadata.file_size") > WHOLE_BYTES) & ~F.col("_metadata.file_name").rlike(PACKED)
+    whole = files.where(~large).select("path", F.col("length").alias("bytes"), F.sha2("content", 256).alias("sha256"))
+    key = F.col("_metadata.file_path").alias("key")
+    named = files.where(large).select("path", "length", key)
+    if named.isEmpty():
+        return whole
+    lines = of(spark.read.format("text").option("lineSep", "\n")).load(path).where(large)
+    lines = lines.select(key, F.col("_metadata.file_block_start").alias("start"), "value").withColumnRenamed("key", "path")
+    digests = chained_digests(named.select(F.col("key").alias("path"), "length"), lines)
+    chained = named.join(digests.withColumnRenamed("path", "key"), "key").select("path", F.col("length").alias("bytes"), "sha256")
+    return whole.unionByName(chained)

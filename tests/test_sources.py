@@ -1,7 +1,9 @@
 """Readers, writers, the streaming scorer and the driver contract."""
 
+import gzip
 import hashlib
 import json
+import random
 
 import pytest
 from pyspark.sql import functions as F
@@ -11,7 +13,7 @@ from checks.oracle import ORACLE
 from rankaudit.functions.scoring import score_modes
 from rankaudit.operators import fusion
 from rankaudit.plans.catalog import QUERIES
-from rankaudit.sources import tables, text_files
+from rankaudit.sources import chained_hash, tables, text_files
 from rankaudit.streaming.scoring import arriving_candidates, score_arrivals
 
 
@@ -82,6 +84,34 @@ def test_file_digests(spark, tmp_path):
     assert (row.bytes, row.sha256) == (3, hashlib.sha256(b"abc").hexdigest())
 
 
+def test_large_files_are_hashed_span_by_span(spark, tmp_path, monkeypatch):
+    """Files that may not be read whole have the same digests, whatever bytes they start and end with."""
+    rng = random.Random(3)
+    noise = rng.randbytes(300_000)
+    contents = {
+        "noise": noise, "feed at end": noise + b"\n", "mark": b"\xef\xbb\xbf" + noise, "mark,{2}%20": b"\xef\xbb\xbf" * 2 + noise + b"\n\n",
+        "feeds": b"\n" * 30_000, "one line": b"\r\x00" * 20_000, "lines": b"caf\xc3\xa9\r\n" * 9_000, "small": b"abc\n",
+    }
+    folder = tmp_path / "a b%20c"
+    folder.mkdir()
+    for name, content in contents.items():
+        (folder / f"{name}.bin").write_bytes(content)
+    (folder / "packed.bin.gz").write_bytes(gzip.compress(b"x" * 5000))
+    monkeypatch.setattr(text_files, "WHOLE_BYTES", 20_000)
+    monkeypatch.setattr(chained_hash, "SPAN_BYTES", 100_000)
+    monkeypatch.setattr(chained_hash, "BLOCK_BYTES", 5_000)
+    settings = {"spark.sql.sources.binaryFile.maxLength": "20000", "spark.sql.files.maxPartitionBytes": "40000"}
+    before = {key: spark.conf.get(key) for key in settings}
+    try:
+        for key, value in settings.items():
+            spark.conf.set(key, value)
+        found = {r.path.rsplit("/", 1)[1]: (r.bytes, r.sha256) for r in text_files.file_digests(spark, str(tmp_path)).collect()}
+    finally:
+        for key, value in before.items():
+            spark.conf.set(key, value)
+    assert found == {f.name: (len(c := f.read_bytes()), hashlib.sha256(c).hexdigest()) for f in folder.iterdir()}
+
+
 def test_streaming_scores_equal_batch(spark, tmp_path):
     public = spark.createDataFrame([("1", "VPP", 3), ("2", "LKPNM", 5)], tables.PUBLIC_SCHEMA)
     source, out = str(tmp_path / "in"), str(tmp_path / "out")
